@@ -1,3 +1,23 @@
 """DuckDB SQL of the training-data queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+OP9 = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sums AS (SELECT count(*)::DOUBLE AS weights, sum(n)::DOUBLE AS docs FROM counts),
+rates AS (SELECT source, docs * 1.0 / weights / n AS rate FROM counts, sums),
+pmf AS (
+  SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p
+  FROM rates, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k)
+),
+cdf AS (SELECT source, rate, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+uniforms AS (
+  SELECT *, CAST(CAST('0x' || substr(md5('count-42|' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents
+),
+counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, r.rate, (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND cdf.c <= d.u) AS n
+  FROM uniforms d JOIN rates r ON r.source = d.source
+)
+SELECT doc_id, text, lang, source, n_chars, rate, CAST(copy AS INTEGER) AS copy, md5('order-42|' || doc_id || '|' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(0, n)) AS copy FROM counted WHERE n > 0)
+"""
+
+ORACLES: dict[str, str] = {"op9_mixing": OP9}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm._common import stored
+from inkfold.llm._common import cut, small_enough, stored
 from inkfold.llm._graph import connected_components
 
 SEED = 42
@@ -168,7 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
     """Rows whose id is the smallest of their component; all columns are kept, rows with a null id too."""
-    chosen = near_duplicates(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias("__keep")).distinct()
-    return docs.join(chosen, F.col(id_col).cast("long") == F.col("__keep"), "left").where(F.col("__keep").isNotNull() | F.col(id_col).isNull()).drop("__keep")
+    copies = cut(near_duplicates(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias("__copy")).distinct())
+    if small_enough(copies, most_broadcast):
+        copies = F.broadcast(copies)
+    return docs.join(copies, F.col(id_col).cast("long") == F.col("__copy"), "left_anti")
