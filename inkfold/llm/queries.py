@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import decontaminate, mixing, pii, secrets, simhash, toxicity
+from inkfold.llm import ann, decontaminate, mixing, pii, secrets, simhash, toxicity
 from inkfold.llm._common import table
 
 
@@ -36,6 +36,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -43,4 +47,5 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op9_mixing": op9_mixing,
+    "op10_ann": op10_ann,
 }
