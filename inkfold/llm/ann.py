@@ -163,7 +163,7 @@ def nearest(
     rows_per_part: int = 2048,
     most_parts: int = 128,
     block_rows: int = 8192,
-    recall: float = 0.98,
+    recall: float = 0.95,
     probes: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows by cosine for each row whose id is divisible by ``every``.

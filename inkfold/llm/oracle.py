@@ -20,4 +20,13 @@ SELECT doc_id, text, lang, source, n_chars, rate, CAST(copy AS INTEGER) AS copy,
 FROM (SELECT *, unnest(range(0, n)) AS copy FROM counted WHERE n > 0)
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": OP9}
+OP5 = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages),
+groups AS (SELECT *, CASE WHEN bytes >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS last FROM payloads)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM groups
+"""
+
+ORACLES: dict[str, str] = {"op5_warc": OP5, "op9_mixing": OP9}

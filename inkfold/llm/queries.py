@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, decontaminate, mixing, pii, secrets, simhash, toxicity
+from inkfold.llm import ann, decontaminate, mixing, pii, secrets, simhash, toxicity, warc
 from inkfold.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op9_mixing": op9_mixing,
