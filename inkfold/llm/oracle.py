@@ -29,4 +29,26 @@ SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest
 FROM groups
 """
 
-ORACLES: dict[str, str] = {"op5_warc": OP5, "op9_mixing": OP9}
+# Every 200-byte window as hex; fine at the size of a correctness check.
+OP4 = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS w FROM bytes, LATERAL (SELECT unnest(range(0, n - 199)) AS p) WHERE n >= 200),
+twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT doc_id, p FROM windows WHERE w IN (SELECT w FROM twice)),
+gaps AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+islands AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM gaps),
+runs AS (SELECT doc_id, k, min(p) AS s, max(p) + 200 AS e FROM islands GROUP BY doc_id, k),
+pieces AS (
+  SELECT r.doc_id, r.s, substr(b.h, CAST(2 * coalesce(lag(r.e) OVER (PARTITION BY r.doc_id ORDER BY r.s), 0) + 1 AS BIGINT), CAST(2 * (r.s - coalesce(lag(r.e) OVER (PARTITION BY r.doc_id ORDER BY r.s), 0)) AS BIGINT)) AS before,
+         substr(b.h, CAST(2 * r.e + 1 AS BIGINT)) AS after, r.e - r.s AS gone
+  FROM runs r JOIN bytes b USING (doc_id)
+),
+cleaned AS (
+  SELECT doc_id, string_agg(before, '' ORDER BY s) || arg_max(after, s) AS kept, sum(gone) AS n_removed, count(*) AS n_spans FROM pieces GROUP BY doc_id
+)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(c.kept, b.h))) AS kept_sha256
+FROM bytes b LEFT JOIN cleaned c USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": OP4, "op5_warc": OP5, "op9_mixing": OP9}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, decontaminate, mixing, pii, secrets, simhash, toxicity, warc
+from inkfold.llm import ann, decontaminate, mixing, pii, secrets, simhash, suffix_dedup, toxicity, warc
 from inkfold.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
