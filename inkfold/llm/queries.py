@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, decontaminate, mixing, pii, secrets, simhash, suffix_dedup, toxicity, warc
+from inkfold.llm import ann, decontaminate, lm_score, mixing, pii, secrets, simhash, suffix_dedup, toxicity, warc
 from inkfold.llm._common import table
 
 
@@ -40,6 +40,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
 }
