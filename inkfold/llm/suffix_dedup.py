@@ -1,7 +1,7 @@
 """Exact substring deduplication: bytes covered by a string of ``length`` bytes that starts anywhere else.
 
 Any such string holds one anchor that its content alone chooses (the window's smallest
-hash of ``GRAM`` bytes), so equal strings have equal anchors at equal places. Anchors
+hash of a gram, see ``gram_bytes``), so equal strings have equal anchors at equal places. Anchors
 whose gram is unique drop out. Equal surroundings of an anchor settle it at once; of the
 rest one representative of each surrounding meets the others with its gram. There the
 suffixes that start at the anchors are put in order by deep-shallow sorting, multikey
@@ -25,20 +25,24 @@ from pyspark.sql import functions as F
 
 from inkfold.llm._common import cut, stored
 
-GRAM = 32
-SHALLOW = 24  # bytes past the gram that multikey quicksort looks at
+SHALLOW = 24  # bytes that multikey quicksort looks at
 _CHUNK = 1 << 19
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 40, 1 << 62, 5, dtype=np.uint64)]
+_FACTOR = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 40, 1 << 62, 16, dtype=np.uint64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 20) - 1)
 
 
-def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each position, by doubling the hashed length."""
+def gram_bytes(length: int) -> int:
+    """The largest power of two within half a window: long enough that prose hardly repeats it by chance, short enough for few anchors."""
+    return 1 << (length // 2).bit_length() - 1
+
+
+def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram at each position, by doubling the hashed length."""
     h, n = _BYTE[text], 1
-    for f in _FACTOR:
+    for f in _FACTOR[: gram.bit_length() - 1]:
         h = h[:-n] * f + h[n:]
         n *= 2
     h ^= h >> np.uint64(32)
@@ -51,10 +55,11 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     data = np.frombuffer(text, np.uint8)
-    span = length - GRAM + 1
+    gram = gram_bytes(length)
+    span = length - gram + 1
     found_at, found = [], []
     for s in range(0, len(text) - length + 1, _CHUNK):
-        h = gram_hashes(data[s : s + _CHUNK + length - 1])
+        h = gram_hashes(data[s : s + _CHUNK + length - 1], gram)
         key = (h & ~_LOW) | (np.arange(len(h), dtype=np.uint64) & _LOW)  # ties go to the leftmost
         low, n = key, 1
         while 2 * n <= span:
@@ -188,7 +193,7 @@ def reaches(left: list[bytes], right: list[bytes], length: int) -> list[tuple[in
 
 
 def _sides(text: bytes, at: int, length: int) -> tuple[bytes, bytes]:
-    return text[max(0, at - length + GRAM) : at], text[at : at + length]
+    return text[max(0, at - length + gram_bytes(length)) : at], text[at : at + length]
 
 
 def repeated(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFrame:
@@ -197,38 +202,38 @@ def repeated(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFrame
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, grams, around, places = [], [], [], []
+            # One line per gram and surrounding of a text; those that it repeats itself are settled here and carry their ranges.
+            out: list[tuple[int, int, int, int, int, list[int] | None]] = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or b""
                 at, h = anchors(text, length)
-                rows.append(np.full(len(at), row, np.int64))
-                grams.append(h)
-                places.append(at)
-                for a in at.tolist():
+                met: dict[tuple[int, int], list[int]] = {}
+                for a, g in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                     x, y = _sides(text, a, length)
-                    around.append(xxhash.xxh64_intdigest(x + y, len(x)))
-            none = np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([none.astype(np.uint64), *grams]).view(np.int64)),
-                    pa.array(np.array(around, np.uint64).view(np.int64)),
-                    pa.array(np.concatenate([none, *rows])),
-                    pa.array(np.concatenate([none, *places])),
-                ],
-                ["gram", "around", "row", "at"],
-            )
-
-    every = slim.mapInArrow(find, "gram long, around long, row long, at long")
-    shared = every.groupBy("gram").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("gram", "mixed")
+                    met.setdefault((g, xxhash.xxh64_intdigest(x + y, len(x)) - (1 << 63)), []).append(a)
+                for (g, k), places in met.items():
+                    ends = None
+                    if len(places) > 1:
+                        ends = [v for r in merged([(max(0, a - reach), a + length) for a in places], len(text)) for v in r]
+                    out.append((g, k, len(places), row, places[0], ends))
+                if len(out) > 50_000:
+                    yield _found(out)
+                    out = []
+            yield _found(out)
+
+    reach = length - gram_bytes(length)
+    every = slim.mapInArrow(find, "gram long, around long, n long, row long, at long, ends array<long>")
+    shared = every.groupBy("gram").agg(F.sum("n").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("gram", "mixed")
     known = stored(every.join(shared, "gram"), "anchors")
-    surroundings = cut(
-        known.where("mixed").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    )
+    surroundings = cut(known.where("mixed").groupBy("gram", "around").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("one")))
     # Equal surroundings: all of them is repeated.
-    settled = known.where("not mixed").select("row", "at").unionByName(
-        known.where("mixed").join(surroundings.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("row", "at")
+    own = known.where("ends is not null").select("row", F.explode(F.transform(F.sequence(F.lit(0), F.size("ends") - 2, F.lit(2)), lambda k: F.slice("ends", k + 1, F.lit(2)))).alias("e"))
+    alone = known.where("ends is null")
+    settled = alone.where("not mixed").select("row", "at").unionByName(
+        alone.where("mixed").join(surroundings.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select("row", "at")
     )
-    whole = settled.select("row", F.greatest(F.col("at") - (length - GRAM), F.lit(0)).alias("start"), (F.col("at") + length).alias("finish"))
+    whole = settled.select("row", F.greatest(F.col("at") - reach, F.lit(0)).alias("start"), (F.col("at") + length).alias("finish"))
+    whole = whole.unionByName(own.select("row", F.col("e")[0].alias("start"), F.col("e")[1].alias("finish")))
     crowded = surroundings.groupBy("gram").count().where(F.col("count") > hot).select("gram")
     wanted = surroundings.select("gram", "one.row", "one.at").join(crowded.withColumn("crowded", F.lit(True)), "gram", "left")
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))
@@ -277,6 +282,12 @@ def repeated(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFrame
     return found
 
 
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) if out else [()] * 6
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["gram", "around", "n", "row", "at", "ends"])
+
+
 def _columns(out: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True)) if out else [()] * 5
     kinds = [pa.int64()] * 3 + [pa.binary()] * 2
@@ -295,7 +306,7 @@ def _counted(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row, text, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py()
-                starts = {p for w in some if w["crowded"] for p in range(max(0, w["at"] - length + GRAM), min(w["at"], len(text) - length) + 1)}
+                starts = {p for w in some if w["crowded"] for p in range(max(0, w["at"] - length + gram_bytes(length)), min(w["at"], len(text) - length) + 1)}
                 starts = sorted(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(text[p : p + length]) for p in starts], pa.binary()), pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int64())],
@@ -325,8 +336,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     Null text counts as empty. Unique ids name the rows; where ids repeat or are null, a
     numbered copy of the table is written first, and equal rows count as two texts.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must exceed {GRAM}")
+    if length < 4:
+        raise ValueError("length must be at least 4")
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n = slim.agg(F.count("*").alias("all"), F.countDistinct("id").alias("ids")).first()
     if n["all"] == n["ids"] and docs.schema[id_col].dataType.typeName() in ("long", "integer"):
