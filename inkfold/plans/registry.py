@@ -21,9 +21,15 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         _ORACLES[name] = oracle
 
 
+def _load() -> None:
+    from inkfold.plans import catalogue  # noqa: F401  registers on import
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
