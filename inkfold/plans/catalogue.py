@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from inkfold.operators import documents, graph, raster, regions, rings, selection
+from inkfold.operators import documents, graph, kernels, raster, regions, rings, selection
 from inkfold.operators.template import Operator
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
+from inkfold.sources import documents as json_documents
+from inkfold.sources import png
+from inkfold.streaming import telemetry
 
 
 def _declared(name: str, operator: Operator) -> None:
@@ -80,3 +83,25 @@ WITH stuck AS (
 )
 SELECT DISTINCT plan_id, step_id FROM stuck WHERE far > 0"""
 register("blocked_steps", lambda spark, sf_dir: graph.blocked_steps(view(spark, sf_dir, "steps")), oracle(_BLOCKED, ["steps"], recursive=True))
+
+for _name, _input in (("rdp_simplify", "rings"), ("vw_simplify", "rings"), ("cubic_fit", "rings"), ("circle_fit", "rings"), ("trace_rings", "shapes"), ("diverse_palette", "colours")):
+    register(_name, lambda spark, sf_dir, f=getattr(kernels, _name), n=_input: f(view(spark, sf_dir, n)))
+
+register("png_round_trip", lambda spark, sf_dir: png.write_images(view(spark, sf_dir, "pixels")).selectExpr("image_id", "width", "height", "length(png) AS bytes"))
+register(
+    "document_manifest",
+    lambda spark, sf_dir: json_documents.manifest(
+        view(spark, sf_dir, "nodes"), documents.validation_issues(**{n: view(spark, sf_dir, n) for n in documents.validation_issues.inputs})
+    ),
+)
+register("snapshot_digest", lambda spark, sf_dir: json_documents.snapshot_digest(view(spark, sf_dir, "shapes")))
+register(
+    "telemetry_windows",
+    lambda spark, sf_dir: telemetry.hourly(view(spark, sf_dir, "telemetry")),
+    oracle("SELECT date_trunc('hour', ts) AS hour, provider_id, count(*) AS requests, CAST(sum(credits_charged) AS BIGINT) AS credits_charged FROM telemetry GROUP BY date_trunc('hour', ts), provider_id", ["telemetry"]),
+)
+_SESSIONS = """
+WITH gaps AS (SELECT organization_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY organization_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM telemetry),
+numbered AS (SELECT organization_id, ts, sum(fresh) OVER (PARTITION BY organization_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gaps)
+SELECT organization_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS requests FROM numbered GROUP BY organization_id, k"""
+register("telemetry_sessions", lambda spark, sf_dir: telemetry.sessions(view(spark, sf_dir, "telemetry")), oracle(_SESSIONS, ["telemetry"]))

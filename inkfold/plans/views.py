@@ -46,7 +46,7 @@ VIEWS = {
                CAST(floor(p_retailprice) AS BIGINT) % 400 + 1 AS natural_w,
                CASE WHEN p_partkey % 10 IN (3, 4) THEN p_partkey - p_partkey % 10 END AS parent_id,
                CASE WHEN p_partkey % 10 = 8 THEN p_partkey - p_partkey % 3 * 4 - 8 END AS source_node_id,
-               CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE '#' || lpad(CAST((p_partkey * 7919) % 12 AS VARCHAR(10)), 6, 'a') END AS fill,
+               CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE '#' || lpad(CAST((p_partkey * 7919) % 3 AS VARCHAR(10)), 6, 'a') END AS fill,
                CASE WHEN p_partkey % 4 = 0 THEN '#000000' END AS stroke, CAST(p_size % 7 AS DOUBLE) / 10 AS stroke_mm, CAST(p_partkey % 13 AS DOUBLE) / 12 AS opacity,
                CASE WHEN p_partkey % 20 = 9 THEN 'fold' WHEN p_partkey % 10 = 9 THEN 'none' END AS guide_role, p_partkey AS z_index
         FROM {part}"""),
