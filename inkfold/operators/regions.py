@@ -109,24 +109,23 @@ WITH {_TOUCH}
 SELECT image_id, least(label, other) AS region_a, greatest(label, other) AS region_b, count(*) AS shared_len, min(x) AS min_x, min(y) AS min_y
 FROM touch GROUP BY image_id, least(label, other), greatest(label, other)""")
 
-_VOTE = """SELECT image_id, x, y, label, v, n, row_number() OVER (PARTITION BY image_id, x, y ORDER BY n DESC, v) AS k FROM (
-  SELECT c.image_id, c.x, c.y, c.label, n.label AS v, count(*) AS n
-  FROM {src} c JOIN offsets d ON true JOIN {src} n ON n.image_id = c.image_id AND n.x = c.x + d.dx AND n.y = c.y + d.dy GROUP BY c.image_id, c.x, c.y, c.label, n.label) q"""
-
-
 def _round(source: str) -> str:
-    return (
-        f"SELECT s.image_id, s.x, s.y, CASE WHEN b.n >= 5 THEN b.v ELSE s.label END AS label FROM {source} s "
-        f"LEFT JOIN ({_VOTE.replace('{src}', source)}) b ON b.k = 1 AND b.image_id = s.image_id AND b.x = s.x AND b.y = s.y"
-    )
+    """One vote of the 8 neighbours: each cell casts its label to itself and around; two aggregates, no self-join."""
+    return f"""SELECT image_id, x, y, CASE WHEN max(CASE WHEN k = 1 THEN n END) >= 5 THEN max(CASE WHEN k = 1 THEN v END) ELSE max(CASE WHEN own = 1 THEN v END) END AS label
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY n DESC, v) AS k FROM (
+      SELECT image_id, x + dx AS x, y + dy AS y, label AS v, sum(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE 1 END) AS n, max(CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE 0 END) AS own
+      FROM {source} JOIN offsets ON true GROUP BY image_id, x + dx, y + dy, label) cast_votes) ranked
+  GROUP BY image_id, x, y HAVING max(own) = 1"""
 
 
 icm_majority = Operator(f"""
-WITH offsets AS (SELECT a.d AS dx, b.d AS dy FROM (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) a JOIN (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) b ON a.d <> 0 OR b.d <> 0),
+WITH offsets AS (SELECT a.d AS dx, b.d AS dy FROM (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) a JOIN (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) b ON true),
 start AS (SELECT image_id, x, y, label FROM {{labels_map}}),
 one AS ({_round('start')}),
-two AS ({_round('one')})
-SELECT image_id, label, count(*) AS area FROM two GROUP BY image_id, label""")
+two AS ({_round('one')}),
+three AS ({_round('two')})
+SELECT image_id, label, count(*) AS area FROM three GROUP BY image_id, label""")
 
 reconstruction_error = Operator(f"""
 WITH {_STATS}
