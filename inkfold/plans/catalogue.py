@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkfold.operators import documents, graph, kernels, raster, regions, rings, selection
+from inkfold.operators import curves, documents, governance, graph, kernels, masks, raster, regions, rings, selection
 from inkfold.operators.template import Operator
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
@@ -18,7 +18,7 @@ def _declared(name: str, operator: Operator) -> None:
     register(name, query, oracle(operator.ansi(), operator.inputs))
 
 
-for _module in (raster, regions, rings, documents, selection):
+for _module in (raster, masks, regions, rings, curves, documents, governance, selection):
     for _name, _value in list(vars(_module).items()):
         if isinstance(_value, Operator) and not _name.startswith("_"):
             _declared(_name, _value)
