@@ -24,6 +24,9 @@ from inkfold.llm._common import cut, small_enough
 from inkfold.llm._text import words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+# Half of a perfect alignment: a copy with up to a third of its words edited; unrelated prose reaches about a third.
+THRESHOLD = 0.5
+
 
 class Items:
     """One block of benchmark items as word numbers and n-grams."""
@@ -137,7 +140,7 @@ def matches(
     rare: int = 100,
     least_seeds: int = 8,
     least_words: int = 5,
-    threshold: float = 0.6,
+    threshold: float = THRESHOLD,
     block_items: int = 20_000,
     block_chars: int = 20_000_000,
 ) -> DataFrame:

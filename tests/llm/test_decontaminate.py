@@ -47,7 +47,7 @@ def test_against_brute_force(spark):
         want = []
         for i, t in docs:
             for k, x in items:
-                if len(dc.words(x)) >= 5 and (s := slow_score(x, t)) >= 0.6:
+                if len(dc.words(x)) >= 5 and (s := slow_score(x, t)) >= dc.THRESHOLD:
                     want.append((-1 if i is None else i, k, round(s, 9)))
         assert got == sorted(want) and len(want) > 20
 

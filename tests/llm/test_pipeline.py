@@ -30,7 +30,7 @@ def test_stages_against_plain_versions(spark):
     for r in rows:
         w = decontaminate.words(r["text"])
         mine = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
-        if not any(len(mine & g) > 2 and slow_score(t, r["text"]) >= 0.6 for (_, t), g in zip(items, grams, strict=True)):
+        if not any(len(mine & g) > 2 and slow_score(t, r["text"]) >= decontaminate.THRESHOLD for (_, t), g in zip(items, grams, strict=True)):
             kept.append(r)
     out = corpus_pipeline.drop_contaminated(spark, out, SF)
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept} and len(kept) < len(rows)
