@@ -1,5 +1,98 @@
 """DuckDB SQL of the training-data queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+from inkfold.llm import pii, secrets
+
+def _placed(source: str, patterns: dict[str, str]) -> str:
+    """found(doc_id, kind, m, start, before, after): leftmost matches of each pattern with code-point offsets."""
+    parts = [
+        f"SELECT doc_id, '{kind}' AS kind, regexp_extract_all(s, '{p}', 0) AS ms, string_split_regex(s, '{p}') AS ps FROM {source}" for kind, p in ((k, v.replace("'", "''")) for k, v in patterns.items())
+    ]
+    return f"""searched AS ({' UNION ALL '.join(parts)}),
+spread AS (SELECT doc_id, kind, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(ps[2:]) AS q, unnest(range(1, len(ms) + 1)) AS i FROM searched WHERE len(ms) > 0),
+found AS (
+  SELECT doc_id, kind, m, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(m) AS BIGINT) AS start, right(p, 80) AS before, left(q, 80) AS after FROM spread
+)"""
+
+
+def _spans(kinds: list[str], where: str = "true") -> str:
+    rank = " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(kinds))
+    return f"string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, CASE kind {rank} END) FILTER (WHERE {where})"
+
+
+_SECRET = secrets.find.__defaults__[1]  # window
+_ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOW)
+_BOUND = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN {bits}" for p, bits in secrets.CLASSES.values()) + " END"
+OP3 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+{_placed('texts', {'assign': secrets.ASSIGN, 'access': 'AKIA[A-Z0-9]{16,}', 'hex': '[0-9a-f]{24,}', 'run': f'[A-Za-z0-9+/_=-]{{{_SECRET},}}'})},
+base AS (
+  SELECT doc_id, kind, m, start, start + length(m) AS stop FROM found
+  WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND length(regexp_extract(m, '{secrets.ASSIGNED.replace("'", "''")}', 1)) >= 6)
+),
+runs AS (
+  SELECT doc_id, m, start, start + length(m) AS stop FROM found f WHERE kind = 'run' AND regexp_matches(m, '[0-9]') AND NOT ({_ALLOWED})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.start + length(f.m) AND b.stop > f.start)
+),
+windows AS (SELECT doc_id, start, stop, m, unnest(range(0, length(m) - {_SECRET} + 1)) AS w FROM runs),
+letters AS (SELECT doc_id, start, stop, m, w, substr(m, CAST(w + j AS BIGINT), 1) AS c FROM windows, range(1, {_SECRET} + 1) t(j)),
+counted AS (SELECT doc_id, start, stop, m, w, c, count(*) AS n FROM letters GROUP BY ALL),
+entropies AS (SELECT doc_id, start, stop, m, w, log2({_SECRET}) - sum(n * log2(n)) / {_SECRET} AS h FROM counted GROUP BY doc_id, start, stop, m, w),
+secret AS (SELECT doc_id, 'entropy' AS kind, m, start, stop FROM entropies GROUP BY doc_id, start, stop, m HAVING max(h) >= {_BOUND}),
+every AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, m, start, stop FROM secret),
+joined AS (
+  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.KINDS)}, {_spans(secrets.KINDS, "kind <> 'entropy'")} AS base, {_spans(secrets.KINDS)} AS spans FROM every GROUP BY doc_id
+)
+SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id
+"""
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""(SELECT sum(CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, CAST(i AS BIGINT), 1) AS INTEGER)
+  ELSE 2 * CAST(substr({_DIGITS}, CAST(i AS BIGINT), 1) AS INTEGER) - CASE WHEN substr({_DIGITS}, CAST(i AS BIGINT), 1) > '4' THEN 9 ELSE 0 END END) FROM range(1, length({_DIGITS}) + 1) t(i)) % 10 = 0"""
+_BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])?"
+_RATED = "SELECT kind, pattern, sum(score) / (count(*) + 1) AS confidence, sum(seed) AS support FROM {0} GROUP BY kind, pattern"
+_SCORED = """SELECT e.kind, e.pattern, e.value, e.seed, greatest(e.seed, l.best) AS score FROM edges e
+  JOIN (SELECT x.kind, x.value, max(r.confidence) AS best FROM edges x JOIN {0} r ON r.kind = x.kind AND r.pattern = x.pattern GROUP BY x.kind, x.value) l ON l.kind = e.kind AND l.value = e.value"""
+OP1 = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+{_placed('texts', {'email': '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'ip': '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', 'card': '[0-9](?:[ -]?[0-9])+', 'phone': '[+][0-9][ ().0-9-]+[0-9]', 'word': '[^ \\x09-\\x0D0-9@]*[0-9@][^ \\x09-\\x0D]*'})},
+base AS (
+  SELECT doc_id, kind, m, start, start + length(m) AS stop, before, after FROM found
+  WHERE kind = 'email' OR (kind = 'ip' AND regexp_full_match(m, '{_BYTE}(?:[.]{_BYTE}){{3}}'))
+     OR (kind = 'card' AND length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}) OR (kind = 'phone' AND length({_DIGITS}) BETWEEN 10 AND 15)
+),
+words AS (
+  SELECT doc_id, lower(m) AS m, start, start + length(m) AS stop, before, after FROM found f WHERE kind = 'word'
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.start + length(f.m) AND b.stop > f.start)
+),
+shaped AS (
+  SELECT w.*, k.kind FROM words w, (VALUES ('email'), ('ip'), ('card'), ('phone')) k(kind)
+  WHERE CASE k.kind WHEN 'email' THEN regexp_matches(m, '^[^@]+@[^@]+$') WHEN 'ip' THEN regexp_matches(m, '[0-9]{{1,3}}(?:[.:_]+[0-9]{{1,3}}){{3}}')
+        WHEN 'card' THEN length({_DIGITS}) BETWEEN 13 AND 19 AND NOT regexp_matches(m, '[a-z@]') ELSE length({_DIGITS}) BETWEEN 7 AND 15 AND NOT regexp_matches(m, '[a-z@]') END
+),
+seen AS (SELECT doc_id, kind, lower(m) AS value, start, stop, before, after, 1.0::DOUBLE AS seed FROM base UNION ALL SELECT doc_id, kind, m, start, stop, before, after, 0.0 FROM shaped),
+sides AS (SELECT *, lower(regexp_extract(before, '(\S{{1,40}})\s*$', 1)) AS l, lower(regexp_extract(after, '^\S{{0,40}}?\s+(\S{{1,40}})', 1)) AS r FROM seen),
+beside AS (
+  SELECT *, '<' || l AS pattern FROM sides WHERE l <> '' UNION ALL SELECT *, '>' || r FROM sides WHERE r <> '' UNION ALL SELECT *, '=' || l || chr(9) || r FROM sides
+),
+edges AS (SELECT kind, pattern, value, max(seed) AS seed FROM beside GROUP BY kind, pattern, value),
+start0 AS (SELECT *, seed AS score FROM edges),
+rated1 AS ({_RATED.format('start0')}), scored1 AS ({_SCORED.format('rated1')}),
+rated2 AS ({_RATED.format('scored1')}), scored2 AS ({_SCORED.format('rated2')}),
+rated3 AS ({_RATED.format('scored2')}),
+good AS (SELECT kind, pattern, confidence FROM rated3 WHERE confidence >= 0.8 AND support >= 3),
+hits AS (SELECT b.doc_id, b.start, b.stop, b.kind, max(g.confidence) AS confidence FROM beside b JOIN good g ON g.kind = b.kind AND g.pattern = b.pattern WHERE b.seed = 0 GROUP BY b.doc_id, b.start, b.stop, b.kind),
+added AS (SELECT doc_id, kind, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, stop ORDER BY confidence DESC, kind DESC) AS k FROM hits) WHERE k = 1),
+every AS (SELECT doc_id, kind, start, stop, true AS own FROM base UNION ALL SELECT doc_id, kind, start, stop, false FROM added),
+joined AS (
+  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE own AND kind = '{k}') AS n_{k}" for k in pii.KINDS)}, {_spans(pii.KINDS, 'own')} AS base, {_spans(pii.KINDS)} AS spans FROM every GROUP BY doc_id
+)
+SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id
+"""
+
 OP9 = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 sums AS (SELECT count(*)::DOUBLE AS weights, sum(n)::DOUBLE AS docs FROM counts),
@@ -51,4 +144,4 @@ SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) A
 FROM bytes b LEFT JOIN cleaned c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_suffix_dedup": OP4, "op5_warc": OP5, "op9_mixing": OP9}
+ORACLES: dict[str, str] = {"op1_pii": OP1, "op3_secrets": OP3, "op4_suffix_dedup": OP4, "op5_warc": OP5, "op9_mixing": OP9}
