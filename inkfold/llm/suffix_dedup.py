@@ -224,7 +224,8 @@ def repeated(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFrame
     reach = length - gram_bytes(length)
     every = slim.mapInArrow(find, "gram long, around long, n long, row long, at long, ends array<long>")
     shared = every.groupBy("gram").agg(F.sum("n").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("gram", "mixed")
-    known = stored(every.join(shared, "gram"), "anchors")
+    # Written first, so that the join reads two plain shuffles and Spark can split a crowded gram's side.
+    known = stored(every.join(stored(shared, "grams"), "gram"), "anchors")
     surroundings = cut(known.where("mixed").groupBy("gram", "around").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("one")))
     # Equal surroundings: all of them is repeated.
     own = known.where("ends is not null").select("row", F.explode(F.transform(F.sequence(F.lit(0), F.size("ends") - 2, F.lit(2)), lambda k: F.slice("ends", k + 1, F.lit(2)))).alias("e"))
