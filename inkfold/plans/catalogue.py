@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkfold.operators import curves, documents, governance, graph, kernels, masks, raster, regions, rings, selection
+from inkfold.operators import contours, curves, documents, governance, graph, kernels, masks, raster, regions, rings, selection
 from inkfold.operators.template import Operator
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
@@ -105,3 +105,6 @@ WITH gaps AS (SELECT organization_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION
 numbered AS (SELECT organization_id, ts, sum(fresh) OVER (PARTITION BY organization_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gaps)
 SELECT organization_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS requests FROM numbered GROUP BY organization_id, k"""
 register("telemetry_sessions", lambda spark, sf_dir: telemetry.sessions(view(spark, sf_dir, "telemetry")), oracle(_SESSIONS, ["telemetry"]))
+
+register("cut_contours", lambda spark, sf_dir: contours.cut_contours(view(spark, sf_dir, "nodes")))
+register("region_growth", lambda spark, sf_dir: contours.region_growth(view(spark, sf_dir, "pixels")))
