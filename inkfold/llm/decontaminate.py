@@ -245,4 +245,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", mo
     dirty = cut(matches(docs, benchmark, id_col, **how).where("id is not null").select(F.col("id").alias("__dirty")).distinct())
     if small_enough(dirty, most_broadcast):
         dirty = F.broadcast(dirty)
-    return docs.join(dirty, F.col(id_col).cast("long") == F.col("__dirty"), "left_anti")
+    return docs.join(dirty, docs[id_col].cast("long") == dirty["__dirty"], "left_anti")

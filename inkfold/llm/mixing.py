@@ -68,16 +68,23 @@ def mix(
     total: expected output rows (default: as many as the input). Rows with a null id share
     one uniform number; repeated ids get equal counts. The table of sources is broadcast
     only if it has at most most_broadcast rows, else joined by a shuffle whose large
-    partitions Spark splits. Input columns named rate, copy or shuffle_key are refused.
+    partitions Spark splits. An input column that is itself named rate, copy or shuffle_key
+    is kept under its name with ``_in`` added.
     """
-    clash = {"rate", "copy", "shuffle_key"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already present: {sorted(clash)}")
-    known = rates(docs, source_col, weights, total).select(F.col("source").alias("__source"), "rate", poisson_cdf(F.col("rate")).alias("__cdf"))
+    known = rates(docs, source_col, weights, total).select(F.col("source").alias("known"), "rate", poisson_cdf(F.col("rate")).alias("cdf"))
     if small_enough(docs.select(source_col).distinct(), most_broadcast):
         known = F.broadcast(known)
-    u = uniform(F.col(id_col), f"count-{seed}")
-    counted = docs.join(known, F.col(source_col).eqNullSafe(F.col("__source"))).select(*docs.columns, "rate", F.size(F.filter("__cdf", lambda c: c <= u)).alias("__n"))
-    copies = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order-{seed}"), F.col(id_col).cast("string"), F.col("copy").cast("string"))))
-    return keyed.orderBy("shuffle_key", id_col, "copy")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    u = uniform(F.col("id"), f"count-{seed}")
+    counted = rows.join(known, F.col("source").eqNullSafe(F.col("known"))).select("row", "id", "rate", F.size(F.filter("cdf", lambda c: c <= u)).alias("n"))
+    copies = counted.where("n > 0").select("row", "id", "rate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order-{seed}"), F.col("id").cast("string"), F.col("copy").cast("string"))))
+    ordered = keyed.orderBy("shuffle_key", "id", "copy")
+    return ordered.select(*[F.col("row")[c].alias(_free(c, docs.columns)) for c in docs.columns], "rate", "copy", "shuffle_key")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    out = name
+    while out in ("rate", "copy", "shuffle_key") or (out != name and out in taken):
+        out += "_in"
+    return out

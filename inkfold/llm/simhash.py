@@ -173,4 +173,4 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = cut(near_duplicates(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias("__copy")).distinct())
     if small_enough(copies, most_broadcast):
         copies = F.broadcast(copies)
-    return docs.join(copies, F.col(id_col).cast("long") == F.col("__copy"), "left_anti")
+    return docs.join(copies, docs[id_col].cast("long") == copies["__copy"], "left_anti")

@@ -300,4 +300,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     bad = cut(classify(docs, labels, id_col, text_col, **fitting).where("predicted = 1 and id is not null").select(F.col("id").alias("__bad")).distinct())
     if small_enough(bad, most_broadcast):
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    return docs.join(bad, docs[id_col].cast("long") == bad["__bad"], "left_anti")

@@ -52,5 +52,9 @@ def test_large_rates_do_not_underflow(spark):
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df).count() == 0
+    full = spark.createDataFrame([(i, "t", "s", i) for i in range(50)], "doc_id long, rate string, source string, copy int").withColumn("cdf", F.lit(1)).withColumn("row", F.lit(2))
+    out = mixing.mix(full)
+    assert out.columns == ["doc_id", "rate_in", "source", "copy_in", "cdf", "row", "rate", "copy", "shuffle_key"]
+    assert all(r["copy_in"] == r["doc_id"] and r["rate_in"] == "t" for r in out.collect())
     with pytest.raises(ValueError):
-        mixing.mix(df.withColumn("copy", F.lit(1)))
+        mixing.mix(full, weights={"s": -1.0})

@@ -43,3 +43,12 @@ def test_stages_against_plain_versions(spark):
 
     ran = corpus_pipeline.run(spark, SF).collect()
     assert sorted(ran) == sorted(mixing.mix(out).collect())
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS __bad", "2 AS __copy", "3 AS __dirty", "4 AS row", "5 AS spans", "6 AS id", "7 AS component_id").limit(40)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema and 0 < out.count() <= 40
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), SF).count() == 0
