@@ -45,7 +45,6 @@ def pixel_components(cells: DataFrame, value: str = "label") -> DataFrame:
     rows are the edges, so the graph has a node per run, not per cell.
     """
     cells = cells.where(F.col(value).isNotNull()).select("image_id", "x", "y", F.col(value).alias("v"))
-    cells.createOrReplaceTempView("_ink_cells")
     runs = cells.sparkSession.sql("""
         WITH marked AS (SELECT *, CASE WHEN lag(x) OVER w = x - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END AS fresh FROM {cells} WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
         numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY x) AS k FROM marked)
@@ -80,30 +79,32 @@ def merge_regions(edges: DataFrame, colour: float = 0.09, weak: float = 0.20, st
     return regions.join(found, ["image_id", "region"], "left").select("image_id", "region", F.coalesce("component", "region").alias("merged"))
 
 
-def step_levels(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
+def step_levels(steps: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """plan_id, step_id, level: 1 + the level of the step it depends on; steps on a cycle or with a missing dependency get none."""
     steps = cut(steps.select("plan_id", "step_id", "depends_on"))
     level = cut(steps.where("depends_on IS NULL").select("plan_id", "step_id", F.lit(0).cast("long").alias("level")))
     front = level
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         above = front.select("plan_id", F.col("step_id").alias("depends_on"), F.col("level").alias("up"))
         front = cut(steps.join(above, ["plan_id", "depends_on"]).select("plan_id", "step_id", (F.col("up") + 1).alias("level")))
         if not front.limit(1).count():
-            break
+            return level
         level = level.unionByName(front)
-    return level
+        if (k + 1) % 16 == 0:
+            level = cut(level)
+    raise RuntimeError("levels did not settle")
 
 
-def blocked_steps(steps: DataFrame, most_rounds: int = 64) -> DataFrame:
+def blocked_steps(steps: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """plan_id, step_id of steps that a failed or blocked step is under, at any distance, and that are not completed."""
     steps = cut(steps.select("plan_id", "step_id", "depends_on", "status"))
     front = steps.where("status IN ('FAILED', 'BLOCKED')").select("plan_id", "step_id")
-    found = None
+    found = steps.select("plan_id", "step_id").limit(0)
     for _ in range(most_rounds):
         above = front.select("plan_id", F.col("step_id").alias("depends_on"))
-        front = cut(steps.where("status <> 'COMPLETED'").join(above, ["plan_id", "depends_on"]).select("plan_id", "step_id"))
+        reached = steps.where("status <> 'COMPLETED'").join(above, ["plan_id", "depends_on"]).select("plan_id", "step_id").distinct()
+        front = cut(reached.join(found, ["plan_id", "step_id"], "left_anti"))  # a cycle ends here
         if not front.limit(1).count():
-            break
-        found = front if found is None else found.unionByName(front)
-    empty = steps.select("plan_id", "step_id").limit(0)
-    return (empty if found is None else found).distinct()
+            return found
+        found = cut(found.unionByName(front))
+    raise RuntimeError("blocked steps did not settle")

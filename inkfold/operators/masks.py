@@ -34,7 +34,6 @@ slopes AS (SELECT image_id, x, y, (n - p) / 2 AS slope FROM near WHERE p IS NOT
 peaks AS (SELECT image_id, x, y, abs(slope) AS m, abs(lag(slope) OVER w) AS pm, abs(lead(slope) OVER w) AS nm FROM slopes WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
 SELECT image_id, x, y, {E.rounded('m')} AS strength, {E.rounded('x + CASE WHEN pm - 2 * m + nm = 0 THEN 0e0 ELSE (pm - nm) / (2 * (pm - 2 * m + nm)) END')} AS edge_x FROM peaks WHERE m > 20 AND m > pm AND m >= nm""")
 
-_LABS = "l a b".split()
 _L, _A, _B = E.oklab("r", "g", "b")
 _CENTRES = "SELECT image_id, cell, avg(x) AS cx, avg(y) AS cy, avg(l) AS cl, avg(a) AS ca, avg(b) AS cb FROM {src} GROUP BY image_id, cell"
 

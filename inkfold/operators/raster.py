@@ -7,7 +7,6 @@ from inkfold.operators.template import Operator
 
 _L, _A, _B = E.oklab("r", "g", "b")
 _LAB = f"SELECT image_id, x, y, r, g, b, a, {_L} AS ll, {_A} AS la, {_B} AS lb FROM {{pixels}}"
-_STEP = E.distance(("ll", "nl"), ("la", "na"), ("lb", "nb"))
 
 
 def _neighbours(columns: str, source: str) -> str:

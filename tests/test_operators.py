@@ -51,6 +51,13 @@ def test_blocked_through_several_steps(spark):
     assert sorted(tuple(r) for r in graph.blocked_steps(steps).collect()) == [(1, 2), (1, 3)]
 
 
+def test_long_chains_and_blocked_cycles(spark):
+    rows = [(1, k, k - 1 if k > 1 else None, "FAILED" if k == 1 else "PENDING") for k in range(1, 91)] + [(2, 1, 2, "FAILED"), (2, 2, 1, "PENDING")]
+    steps = spark.createDataFrame(rows, "plan_id long, step_id long, depends_on long, status string")
+    assert graph.step_levels(steps).agg(F.max("level")).first()[0] == 89
+    assert graph.blocked_steps(steps).groupBy("plan_id").count().orderBy("plan_id").collect() == [(1, 89), (2, 2)]
+
+
 def value(spark, sql):
     return spark.sql(f"SELECT {sql} AS v").first()["v"]
 
