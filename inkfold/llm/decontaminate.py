@@ -32,8 +32,8 @@ class Items:
     """One block of benchmark items as word numbers and n-grams."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, least_words: int):
-        self.width, self.vocab = width, {}
-        self.ids, self.words, self.grams = [], [], []
+        self.vocab: dict[str, int] = {}
+        self.ids, self.words = [], []
         self.of: dict[tuple, list[int]] = defaultdict(list)
         for item_id, text in items:
             nums = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
