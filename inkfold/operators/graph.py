@@ -79,32 +79,49 @@ def merge_regions(edges: DataFrame, colour: float = 0.09, weak: float = 0.20, st
     return regions.join(found, ["image_id", "region"], "left").select("image_id", "region", F.coalesce("component", "region").alias("merged"))
 
 
-def step_levels(steps: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """plan_id, step_id, level: 1 + the level of the step it depends on; steps on a cycle or with a missing dependency get none."""
-    steps = cut(steps.select("plan_id", "step_id", "depends_on"))
-    level = cut(steps.where("depends_on IS NULL").select("plan_id", "step_id", F.lit(0).cast("long").alias("level")))
-    front = level
-    for k in range(most_rounds):
-        above = front.select("plan_id", F.col("step_id").alias("depends_on"), F.col("level").alias("up"))
-        front = cut(steps.join(above, ["plan_id", "depends_on"]).select("plan_id", "step_id", (F.col("up") + 1).alias("level")))
-        if not front.limit(1).count():
-            return level
-        level = level.unionByName(front)
-        if (k + 1) % 16 == 0:
-            level = cut(level)
-    raise RuntimeError("levels did not settle")
-
-
-def blocked_steps(steps: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """plan_id, step_id of steps that a failed or blocked step is under, at any distance, and that are not completed."""
-    steps = cut(steps.select("plan_id", "step_id", "depends_on", "status"))
-    front = steps.where("status IN ('FAILED', 'BLOCKED')").select("plan_id", "step_id")
-    found = steps.select("plan_id", "step_id").limit(0)
-    for _ in range(most_rounds):
-        above = front.select("plan_id", F.col("step_id").alias("depends_on"))
-        reached = steps.where("status <> 'COMPLETED'").join(above, ["plan_id", "depends_on"]).select("plan_id", "step_id").distinct()
-        front = cut(reached.join(found, ["plan_id", "step_id"], "left_anti"))  # a cycle ends here
-        if not front.limit(1).count():
-            return found
-        found = cut(found.unionByName(front))
-    raise RuntimeError("blocked steps did not settle")
+def _doublings(steps: DataFrame) -> int:
+    """Rounds of pointer jumping that reach over the largest plan."""
+    largest = steps.groupBy("plan_id").count().agg(F.max("count")).first()[0] or 0
+    return int(largest).bit_length() + 1
+
+
+def step_levels(steps: DataFrame) -> DataFrame:
+    """plan_id, step_id, level: 1 + the level of the step it depends on; steps on a cycle, after one or after a missing dependency get none.
+
+    Every step doubles the distance it looks up in each round, so a chain of n steps takes about log n rounds.
+    """
+    rounds = _doublings(steps)
+    state = cut(
+        steps.select("plan_id", "step_id", F.col("depends_on").alias("up"), F.when(F.col("depends_on").isNull(), 0).otherwise(1).cast("long").alias("level"), F.lit(True).alias("rooted"))
+    )
+    for _ in range(rounds):
+        above = state.select("plan_id", F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("level2"), F.col("rooted").alias("rooted2"))
+        joined = state.join(above, ["plan_id", "up"], "left")
+        state = cut(
+            joined.select(
+                "plan_id", "step_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level"),
+                (F.col("rooted") & (F.col("up").isNull() | F.coalesce("rooted2", F.lit(False)))).alias("rooted"),
+            )
+        )
+        if not state.where("up IS NOT NULL").limit(1).count():
+            break
+    return state.where("up IS NULL AND rooted").select("plan_id", "step_id", "level")
+
+
+def blocked_steps(steps: DataFrame) -> DataFrame:
+    """plan_id, step_id of steps that a failed or blocked step is under, at any distance, and that are not completed; a completed step between ends the reach."""
+    rounds = _doublings(steps)
+    above = steps.select("plan_id", F.col("step_id").alias("depends_on"), F.col("status").alias("over"))
+    state = cut(
+        steps.where("status <> 'COMPLETED'")
+        .join(above, ["plan_id", "depends_on"], "left")
+        .select("plan_id", "step_id", F.col("depends_on").alias("up"), F.coalesce(F.col("over").isin("FAILED", "BLOCKED"), F.lit(False)).alias("hit"))
+    )
+    for _ in range(rounds):
+        over = state.select("plan_id", F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("hit").alias("hit2"))
+        state = cut(
+            state.join(over, ["plan_id", "up"], "left").select("plan_id", "step_id", F.col("up2").alias("up"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit"))
+        )
+        if not state.where("up IS NOT NULL").limit(1).count():
+            break
+    return state.where("hit").select("plan_id", "step_id").distinct()
