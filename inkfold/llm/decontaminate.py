@@ -1,18 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-A first pass counts, over all documents, in how many each benchmark n-gram occurs. An
-item's seeds are its n-grams in at most ``rare`` documents, and in any case its
-``least_seeds`` rarest, so a passage that leaked everywhere still has seeds. A second
-pass joins each text with the items through the seeds and aligns the item with the
-words around the hits; the score is the alignment's share of a perfect one, so copies
-with edits keep most of it. Benchmark items reach the tasks in blocks of at most
-``block_items`` items and ``block_chars`` characters, each block against all rows; a
-larger benchmark takes more blocks, not larger ones.
+"""Benchmark decontamination: word seeds by the pigeonhole principle, then Smith-Waterman alignment of words.
+
+An alignment at the threshold matches at least ``threshold`` of an item's words, so of any
+subset of its words it matches all but the rest. An item's seeds are all its words but the
+ones most items hold, and few enough of these are left out that a third of the least matches
+fall on seeds, whatever the corpus. Seeds are counted in stretches of the longest passage
+that such an alignment spans; the item is aligned with every two neighbouring stretches
+that hold enough of them, so no alignment at the threshold is lost. The score is the
+alignment's share of a perfect one, so copies with edits keep most of it. Benchmark items
+reach the tasks in blocks of at most ``block_items`` items and ``block_chars`` characters,
+each block against all rows; a larger benchmark takes more blocks, not larger ones.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,43 +30,92 @@ THRESHOLD = 0.5
 
 
 class Items:
-    """One block of benchmark items as word numbers and n-grams."""
+    """One block of benchmark items as word numbers, with the seeds of each item by word."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, least_words: int):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, least_words: int):
         self.vocab: dict[str, int] = {}
         self.ids, self.words = [], []
-        self.of: dict[tuple, list[int]] = defaultdict(list)
         for item_id, text in items:
             nums = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
-            if len(nums) < least_words:
-                continue
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.words.append(np.array(nums, np.int32))
-            n = min(width, len(nums))
-            for gram in {tuple(nums[i : i + n]) for i in range(len(nums) - n + 1)}:
-                self.of[gram].append(k)
-        self.widths = sorted({len(g) for g in self.of}, reverse=True)
-
-    def numbers(self, text: str | None) -> list[int]:
+            if len(nums) >= max(1, least_words):
+                self.ids.append(item_id)
+                self.words.append(np.array(nums, np.int32))
+        held_by = np.zeros(len(self.vocab) + 1, np.int64)
+        for nums in self.words:
+            held_by[np.unique(nums)] += 1
+        self.need, self.reach = np.ones(len(self.ids), np.int64), np.ones(len(self.ids), np.int64)
+        of, seeds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k, nums in enumerate(self.words):
+            # A score of threshold * MATCH * length takes this many matches, on a passage of at most so many words.
+            matches = max(1, math.ceil(threshold * len(nums) - 1e-9))
+            self.reach[k] = max(1, math.floor((1 + MATCH - threshold * MATCH) * len(nums) + 1e-9))
+            self.need[k] = (matches + 2) // 3
+            mine = np.unique(nums[np.lexsort((nums, -held_by[nums]))[matches - self.need[k] :]])
+            of.append(np.full(len(mine), k, np.int64))
+            seeds.append(mine)
+        every, word = np.concatenate(of), np.concatenate(seeds)
+        self.item = every[np.argsort(word, kind="stable")]
+        self.degree = np.bincount(word.astype(np.int64), minlength=len(self.vocab) + 1)  # the last, also -1, is that of unknown words
+        self.first = np.cumsum(self.degree) - self.degree
+
+    def numbers(self, text: str | None) -> np.ndarray:
         get = self.vocab.get
-        return [get(w, -1) for w in words(text)]
-
-    def hits(self, nums: list[int], wanted: dict) -> list[tuple[int, tuple]]:
-        """(position, gram) of every wanted n-gram in a text."""
-        out = []
-        known = np.array(nums, np.int32) >= 0
-        for n in self.widths:
-            if len(nums) < n:
+        return np.array([get(w, -1) for w in words(text)], np.int32)
+
+    def candidates(self, texts: list[np.ndarray], most_hits: int = 2_000_000) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of all passages with enough seeds of an item, in order of text and item."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        if not len(self.ids) or not lengths.sum():
+            return
+        nums = np.concatenate(texts)
+        at = np.flatnonzero(self.degree[nums])
+        nums = nums[at]
+        starts = np.cumsum(lengths) - lengths
+        row = np.searchsorted(starts, at, "right") - 1
+        pos = at - starts[row]
+        stretches = int(lengths.max() // self.reach.min()) + 3  # bin 0 and the last stay empty
+        degree = self.degree[nums]
+        edges = np.searchsorted(np.cumsum(degree), np.arange(0, degree.sum() + most_hits, most_hits)).tolist()
+        edges[0], edges[-1] = 0, len(nums)
+        keys, counts = [], []
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            d = degree[s:e]
+            if not len(d):
+                continue
+            inner = np.arange(d.sum()) - np.repeat(np.cumsum(d) - d, d)
+            item = self.item[np.repeat(self.first[nums[s:e]], d) + inner]
+            key, n = np.unique((np.repeat(row[s:e], d) * len(self.ids) + item) * stretches + np.repeat(pos[s:e], d) // self.reach[item] + 1, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+        if not keys:
+            return
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        following = np.zeros_like(count)
+        following[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        item = key // stretches % len(self.ids)
+        alone = count >= self.need[item]
+        some = np.flatnonzero(alone | (count + following >= self.need[item]))
+        last: list[int] | None = None
+        for k, own in zip(some.tolist(), alone[some].tolist(), strict=True):
+            r, i, b = int(key[k] // stretches // len(self.ids)), int(item[k]), int(key[k] % stretches) - 1
+            wide = int(self.reach[i])
+            s, e = max(0, (b - own) * wide), min(int(lengths[r]), (b + 2) * wide)
+            if last and last[:2] == [r, i] and s <= last[3]:
+                last[3] = e
                 continue
-            run = known[: len(nums) - n + 1].copy()
-            for k in range(1, n):
-                run &= known[k : len(nums) - n + 1 + k]
-            for i in np.flatnonzero(run).tolist():
-                gram = tuple(nums[i : i + n])
-                if gram in wanted:
-                    out.append((i, gram))
-        return out
+            if last:
+                yield tuple(last)
+            last = [r, i, s, e]
+        if last:
+            yield tuple(last)
+
+    def may_reach(self, item: int, passage: np.ndarray, least: float) -> bool:
+        """Whether a run of the passage scores enough if each of its words that the item holds were a match."""
+        held = np.zeros(len(self.vocab) + 1, bool)
+        held[self.words[item]] = True
+        sums = np.concatenate(([0], np.cumsum(np.where(held[passage], MATCH, GAP))))
+        return bool((sums - np.minimum.accumulate(sums)).max() >= least)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +143,6 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _passages(positions: list[int], length: int, item: int) -> list[tuple[int, int]]:
-    """Merged word ranges around hits, an item's length and a quarter to either side."""
-    reach = item + item // 4 + 4
-    out: list[list[int]] = []
-    for p in sorted(positions):
-        s, e = max(0, p - reach), min(length, p + reach)
-        if out and s <= out[-1][1]:
-            out[-1][1] = e
-        else:
-            out.append([s, e])
-    return [tuple(x) for x in out]
-
-
 def _pieces(s: int, e: int, item: int) -> Iterator[tuple[int, int]]:
     """A long passage in overlapping pieces of bounded size; every window of twice the item's length is whole in one."""
     size, lap = max(1024, 8 * item), 2 * item + 8
@@ -136,9 +173,7 @@ def matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    width: int = 3,
     rare: int = 100,
-    least_seeds: int = 8,
     least_words: int = 5,
     threshold: float = THRESHOLD,
     block_items: int = 20_000,
@@ -148,51 +183,25 @@ def matches(
 
     score is the best local alignment over a perfect one (2 a word, -1 a mismatch or gap).
     Null and empty texts match nothing, nor do items of fewer than least_words words, which
-    ordinary prose holds as well; repeated documents each give their rows.
+    ordinary prose holds as well; repeated documents each give their rows. rare is taken
+    for older callers and changes nothing.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
     for block in _blocks(benchmark, item_col, item_text_col, block_items, block_chars):
-        part = _match_block(slim, Items(block, width, least_words), rare, least_seeds, threshold)
+        part = _match_block(slim, Items(block, threshold, least_words), threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "id long, item_id long, score double, end_word int")
     return found
 
 
-def _match_block(docs: DataFrame, items: Items, rare: int, least_seeds: int, threshold: float) -> DataFrame:
-    grams = list(items.of)
+def _match_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
-        number = {g: k for k, g in enumerate(held.of)}
-        seen = np.zeros(len(number), np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                for gram in {g for _, g in held.hits(held.numbers(text), number)}:
-                    seen[number[gram]] += 1
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(seen[some])], ["gram", "n"])
-
-    counted = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    held = {r["gram"]: r["n"] for r in counted.toLocalIterator()}  # at most the block's own n-grams
-    df = {g: held.get(k, 0) for k, g in enumerate(grams)}
-    seeds: dict[tuple, list[int]] = defaultdict(list)
-    of_item: dict[int, list[tuple]] = defaultdict(list)
-    for g, ks in items.of.items():
-        for k in ks:
-            of_item[k].append(g)
-    for k, mine in of_item.items():
-        mine.sort(key=lambda g: (df[g], g))
-        for i, g in enumerate(mine):
-            if i < least_seeds or df[g] <= rare:
-                seeds[g].append(k)
-    sown = docs.sparkSession.sparkContext.broadcast(dict(seeds))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, wanted = sent.value, sown.value
+        held = sent.value
 
         def settle(pairs: list[tuple[int, int, int, np.ndarray]], best: dict) -> None:
             pairs.sort(key=lambda p: (len(p[3]), p[1]))
@@ -208,23 +217,23 @@ def _match_block(docs: DataFrame, items: Items, rare: int, least_seeds: int, thr
             ids = batch.column(0).to_pylist()
             best: dict[tuple[int, int], tuple[float, int]] = {}
             pairs: list[tuple[int, int, int, np.ndarray]] = []
+            texts: list[np.ndarray] = []
+            first = tokens = 0
             for row, text in enumerate(batch.column(1).to_pylist()):
-                nums = held.numbers(text)
-                at: dict[int, list[int]] = defaultdict(list)
-                for i, gram in held.hits(nums, wanted):
-                    for k in wanted[gram]:
-                        at[k].append(i)
-                if not at:
+                texts.append(held.numbers(text))
+                tokens += len(texts[-1])
+                if tokens < 100_000 and row + 1 < batch.num_rows:
                     continue
-                whole = np.array(nums, np.int32)
-                for k, positions in at.items():
-                    item = len(held.words[k])
-                    for s, e in _passages(positions, len(nums), item):
-                        for x, y in _pieces(s, e, item):
-                            pairs.append((row, k, x, whole[x:y]))
+                for r, k, s, e in held.candidates(texts):
+                    item, least = len(held.words[k]), threshold * MATCH * len(held.words[k])
+                    for x, y in _pieces(s, e, max(item, int(held.reach[k] + 1) // 2)):
+                        passage = texts[r][x:y]
+                        if held.may_reach(k, passage, least - 1e-9):
+                            pairs.append((first + r, k, x, passage))
                     if len(pairs) >= 4096:
                         settle(pairs, best)
                         pairs = []
+                texts, first, tokens = [], row + 1, 0
             settle(pairs, best)
             out = sorted((row, held.ids[k], -s, e) for (row, k), (s, e) in best.items())
             yield pa.RecordBatch.from_arrays(

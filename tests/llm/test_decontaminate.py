@@ -74,3 +74,24 @@ def test_long_passages_in_pieces():
     pieces = list(dc._pieces(5, 5000, 50))
     for s in range(5, 5000 - 100):
         assert any(x <= s and s + 100 <= y for x, y in pieces)
+
+
+def test_common_leaks_keep_their_edited_and_truncated_copies(spark):
+    """Over 100 exact copies of an item hide none of its partial, edited or stretched copies."""
+    rng = np.random.default_rng(5)
+    vocab = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(vocab, 30))) for k in range(4)]
+    texts = [f"start{k} {t} end{k}" for _, t in items for k in range(110)]
+    for _, t in items:
+        w = t.split()
+        variants = [w[12:], w[15:], w[:15], ["edited"] * 10 + w[10:], [x if i % 3 else "edited" for i, x in enumerate(w)], [y for x in w for y in (x, "put")]]
+        for _ in range(20):
+            v = list(w)
+            for i in rng.choice(30, 7, replace=False):
+                v[i] = "edited"
+            variants.append(v)
+        texts += [" ".join([*rng.choice(vocab, 40), *v, *rng.choice(vocab, 40)]) for v in variants]
+    df = spark.createDataFrame([(k, t, 1, "s") for k, t in enumerate(texts)], SCHEMA)
+    got = sorted((r["id"], r["item_id"], round(r["score"], 9)) for r in dc.matches(df, spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = [(k, i, round(s, 9)) for k, t in enumerate(texts) for i, x in items if (s := slow_score(x, t)) >= dc.THRESHOLD]
+    assert got == sorted(want) and len(want) > 500
