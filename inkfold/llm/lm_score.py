@@ -6,7 +6,8 @@ Vocabulary: the most frequent words of all documents, counted over the whole cor
 summed, squashed and projected to a softmax over the vocabulary, whose biases start from
 the corpus frequencies. Every document trains it: in each pass every partition takes
 mini-batch steps from the common parameters over its own masked tokens (one in ``mask``
-of every text, from a start that the pass and the text choose), and Spark averages the
+of every text, from a start that the pass and the text choose; one in ``passes`` unless
+given, so that the passes together mask every token once), and Spark averages the
 changes by the tokens behind them. Changes travel as whole numbers of 2**-20, so their
 sum does not depend on the order in which tasks end. A document's score is the sum of
 the log-probabilities of all its tokens, each masked in turn.
@@ -148,8 +149,9 @@ def _steps(net: Window, texts: Iterator[np.ndarray], mask: int, turn: int, rate:
     return tokens
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, passes: int = 2, mask: int = 16, rate: float = 0.1, batch: int = 2048, reach: int = 2, dim: int = 16, seed: int = 3) -> Window:
-    """Passes over every document; start: biases to begin with."""
+def train(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, passes: int = 2, mask: int | None = None, rate: float = 0.1, batch: int = 2048, reach: int = 2, dim: int = 16, seed: int = 3) -> Window:
+    """Passes over every document, masking each token in one of them unless mask is given; start: biases to begin with."""
+    mask = mask or max(1, passes)
     net = Window(vocabulary.size, reach, dim, seed)
     net.bias += start.astype(np.float32)
     sizes = [net.into.size, net.out.size, net.bias.size]

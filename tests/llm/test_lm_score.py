@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 
@@ -78,3 +79,15 @@ def test_repeats_exactly_and_empty(spark):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in corpus(30)], SCHEMA)
     assert sorted(lm.score(df).collect()) == sorted(lm.score(df).collect())
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_every_token_is_masked_once_over_the_passes(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 15, 16, 17, 100):
+        ids = rng.integers(0, 9, n).astype(np.int32)
+        assert sorted(np.concatenate([lm._masked(ids, 2, turn) for turn in range(2)])) == list(range(n))
+    vocabulary = lm.Vocabulary([f"n{k}" for k in range(20)], 1)
+    missed = lambda w: all((zlib.crc32(vocabulary.encode(w).tobytes()) + turn) % 16 for turn in range(2))
+    word = next(w for w in vocabulary.frequent if missed(w))  # one in 16 tokens would leave this text out
+    net = lm.train(spark.createDataFrame([(1, word)], "doc_id long, text string"), vocabulary, np.zeros(21))
+    assert net.bias[vocabulary.frequent[word]] > 0
