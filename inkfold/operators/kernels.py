@@ -229,15 +229,13 @@ def trace_rings(shapes: DataFrame) -> DataFrame:
 
 
 def diverse_palette(colours: DataFrame, most: int = 8, least_distance: float = 40.0) -> DataFrame:
-    """rank, r, g, b, n: greedy choice of frequent colours at least a distance apart; a fold over the colours in order of count."""
-    top = colours.orderBy(F.desc("n"), "r", "g", "b").limit(4096)  # candidates of a top-k report
-    ordered = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "r", "g", "b"))).alias("c"))
-    far = lambda x, y: F.sqrt((x["r"] - y["r"]) ** 2 + (x["g"] - y["g"]) ** 2 + (x["b"] - y["b"]) ** 2) < least_distance
-    chosen = ordered.select(
-        F.aggregate(
-            "c",
-            F.array().cast("array<struct<o:bigint,r:bigint,g:bigint,b:bigint>>"),
-            lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda y: far(x, y)), acc).otherwise(F.concat(acc, F.array(x))),
-        ).alias("c")
-    )
-    return chosen.select(F.posexplode("c").alias("rank", "c")).select(F.col("rank").cast("long"), "c.r", "c.g", "c.b", (-F.col("c.o")).alias("n"))
+    """rank, r, g, b, n: greedy choice of frequent colours at least a distance apart, one aggregate over all colours for each."""
+    left = colours.where("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
+    chosen: list[tuple[int, int, int, int, int]] = []
+    while len(chosen) < most:
+        top = left.agg(F.min(F.struct((-F.col("n")).alias("o"), "r", "g", "b")).alias("c")).first()["c"]
+        if top is None:
+            break
+        chosen.append((len(chosen), int(top["r"]), int(top["g"]), int(top["b"]), -int(top["o"])))
+        left = left.where(F.sqrt((F.col("r") - top["r"]) ** 2 + (F.col("g") - top["g"]) ** 2 + (F.col("b") - top["b"]) ** 2) >= least_distance)
+    return colours.sparkSession.createDataFrame(chosen, "rank long, r long, g long, b long, n long")

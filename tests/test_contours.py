@@ -1,6 +1,6 @@
 import numpy as np
 
-from inkfold.operators import contours
+from inkfold.operators import contours, kernels
 from inkfold.sources import svg
 
 
@@ -37,3 +37,10 @@ def test_flattening(spark):
     assert abs(rows[(0, 1)]["length"] - 2 * 20.0) < 0.5 and rows[(0, 1)]["points"] > 10
     s = contours.flatten([("M", [0, 0]), ("Q", [10, 20, 20, 0]), ("T", [40, 0])], 0.01)[0]
     assert abs(s[:, 1].max() - 10) < 0.05 and abs(s[:, 1].min() + 10) < 0.05
+
+
+def test_palette_reaches_colours_below_thousands_of_shades(spark):
+    shades = [(r, g, b, 100) for r in range(17) for g in range(17) for b in range(17)]
+    far = [(255, 0, 0, 3), (0, 255, 0, 2), (0, 0, 255, 1)]
+    got = kernels.diverse_palette(spark.createDataFrame(shades + far, "r int, g int, b int, n long")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(k, *c) for k, c in enumerate([shades[0], *far])]
