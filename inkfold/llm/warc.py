@@ -3,9 +3,11 @@
 Archives are written by Spark's text writer (records are whole strings of bytes, the
 separator between records is the format's own), so the commit protocol covers lost tasks.
 They are read as binary files and parsed by declared lengths only. The converter turns
-version-specific ARC header lines into WARC identifiers, timestamps, types and digests.
-Of records with equal payloads of at least ``least`` bytes the one with the largest page id
-stays a response, the others become revisits of it without a payload.
+version-specific ARC header lines into WARC identifiers, timestamps, types and digests; an
+archive's own description becomes a warcinfo record. A record is known by its archive and
+its place there, so no two share an identifier whatever their page ids. Of records with
+equal payloads of at least ``least`` bytes the one with the largest page id stays a
+response, the others become revisits of it without a payload.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +26,7 @@ from inkfold.llm._common import cut, scratch_path, small_enough
 
 CRLF = "\r\n"
 ARC_FIELDS = {1: 5, 2: 10}  # words of a record's header line
+_FIRST = "19700101000000"
 _BATCH_BYTES = 8 << 20
 _GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
@@ -61,9 +65,20 @@ def _opened(content: bytes) -> io.BufferedIOBase:
     return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
 
 
+def full_date(date: str, otherwise: str) -> str:
+    """14 digits (year to second) of an ARC date; short ones are filled up from the start of their span, unreadable ones replaced."""
+    digits = date if date.isascii() and date.isdigit() and len(date) >= 4 else otherwise
+    digits = (digits + _FIRST[len(digits) :])[:14]
+    try:
+        datetime.strptime(digits, "%Y%m%d%H%M%S")
+    except ValueError:
+        return otherwise
+    return digits
+
+
 def arc_records(content: bytes, name: str) -> Iterator[dict]:
-    """Records of one ARC file, read by declared lengths; a broken file raises ValueError."""
-    stream, version = _opened(content), 1
+    """Records of one ARC file, read by declared lengths, its description (kind ``filedesc``) among them; a broken file raises ValueError."""
+    stream, version, made = _opened(content), 1, _FIRST
     while line := stream.readline():
         if line == b"\n" or line == b"\r\n":
             continue
@@ -80,9 +95,11 @@ def arc_records(content: bytes, name: str) -> Iterator[dict]:
             version = int(body.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"{name}: ARC version {version} is unknown")
+            made = full_date(words[2], _FIRST)
+            yield {"kind": "filedesc", "url": words[0], "ip": words[1], "date": made, "mime": words[3], "head": b"", "payload": body}
             continue
         head, gap, payload = body.partition(b"\r\n\r\n") if body.startswith(b"HTTP/") else (b"", b"", body)
-        yield {"url": words[0], "ip": words[1], "date": words[2], "mime": words[3], "head": head + gap, "payload": payload}
+        yield {"kind": "record", "url": words[0], "ip": words[1], "date": full_date(words[2], made), "mime": words[3], "head": head + gap, "payload": payload}
 
 
 def warc_records(content: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -117,8 +134,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, key, url, ip, date, mime, head, payload (null unless asked for), payload_bytes, payload_digest of every ARC record."""
-    schema = "page_id long, key string, url string, ip string, date string, mime string, head binary, payload binary, payload_bytes long, payload_digest string"
+    """kind (record or filedesc), page_id, key (archive and place), url, ip, date (14 digits), mime, head, payload (null unless asked for), payload_bytes, payload_digest of every ARC record."""
+    schema = "kind string, page_id long, key string, url string, ip string, date string, mime string, head binary, payload binary, payload_bytes long, payload_digest string"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +144,8 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
                 rows, held = [], 0
                 for k, r in enumerate(arc_records(content.as_py(), name)):
                     page, payload = _page_id(r["head"]), r["payload"]
-                    key = f"{name.rsplit('/', 1)[-1]}#{k}" if page is None else str(page)
-                    rows.append((page, key, r["url"], r["ip"], r["date"], r["mime"], r["head"], payload if payloads else None, len(payload), hashlib.sha1(payload).hexdigest()))
+                    key = f"{name.rsplit('/', 1)[-1]}#{k}"
+                    rows.append((r["kind"], page, key, r["url"], r["ip"], r["date"], r["mime"], r["head"], payload if payloads else None, len(payload), hashlib.sha1(payload).hexdigest()))
                     held += len(payload) if payloads else 100
                     if held >= _BATCH_BYTES:
                         yield _batch(rows, schema, names)
@@ -156,36 +173,40 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 100
     """Write the WARC equivalent of every ARC record.
 
     Records without a page id, and all rows that share the largest page id of their payload,
-    stay responses. The table of revisits is broadcast only if it has at most most_broadcast rows.
+    stay responses; revisits name the first of these by its record id. The table of revisits
+    is broadcast only if it has at most most_broadcast rows.
     """
-    index = cut(read_arc(spark, arc_path, payloads=False).select("page_id", "payload_bytes", "payload_digest").where("page_id is not null").where(F.col("payload_bytes") >= least))
-    last = index.groupBy("payload_digest").agg(F.max("page_id").alias("of"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "of")
-    revisits = cut(index.join(last, "payload_digest").where("page_id < of").select("page_id", "payload_digest", "of").distinct())
+    index = cut(read_arc(spark, arc_path, payloads=False).where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least)).select("key", "page_id", "payload_digest"))
+    last = index.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "last")
+    known = index.join(last, "payload_digest")
+    of = known.where("page_id = last").groupBy("payload_digest").agg(F.min("key").alias("of"))
+    revisits = cut(known.where("page_id < last").join(of, "payload_digest").select("key", "of"))
     if small_enough(revisits, most_broadcast):
         revisits = F.broadcast(revisits)
-    rows = read_arc(spark, arc_path).join(revisits, ["page_id", "payload_digest"], "left")
+    rows = read_arc(spark, arc_path).join(revisits, "key", "left")
 
     again = F.col("of").isNotNull()
-    block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
+    about = F.col("kind") == "filedesc"
+    info = F.concat(F.lit(f"software: inkfold{CRLF}format: WARC File Format 1.0{CRLF}converted-from: "), F.col("url"), F.lit(CRLF)).cast("binary")
+    block = F.when(about, info).when(again, F.col("head")).otherwise(F.concat("head", "payload"))
     rows = rows.select("*", block.alias("block"))
     stamp = F.regexp_replace("date", r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3T$4:$5:$6Z")
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     head = F.concat(
         F.lit(f"WARC/1.0{CRLF}"),
-        field("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.when(F.length("head") > 0, F.lit("response")).otherwise(F.lit("resource")))),
+        field("WARC-Type", F.when(about, F.lit("warcinfo")).when(again, F.lit("revisit")).when(F.length("head") > 0, F.lit("response")).otherwise(F.lit("resource"))),
         field("WARC-Record-ID", _record_id(F.col("key"))),
         field("WARC-Date", stamp),
-        field("WARC-Target-URI", F.col("url")),
-        field("WARC-IP-Address", F.col("ip")),
+        F.when(about, F.lit("")).otherwise(F.concat(field("WARC-Target-URI", F.col("url")), field("WARC-IP-Address", F.col("ip")))),
         F.when(
             again,
             F.concat(
-                field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), field("WARC-Refers-To", _record_id(F.col("of").cast("string")))
+                field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), field("WARC-Refers-To", _record_id(F.col("of")))
             ),
         ).otherwise(F.lit("")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        F.when(about, F.lit("")).otherwise(field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))),
         field("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1("block"))),
-        field("Content-Type", F.when(F.length("head") > 0, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))),
+        field("Content-Type", F.when(about, F.lit("application/warc-fields")).when(F.length("head") > 0, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))),
         field("Content-Length", F.octet_length("block").cast("string")),
         F.lit(CRLF),
     )
@@ -193,7 +214,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 100
 
 
 def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """page_id, record_id, record_type, refers_to_id, payload_bytes, payload_digest of every record.
+    """page_id, record_id, record_type, refers_to_id, payload_bytes, payload_digest of every record but warcinfo.
 
     Digests of responses are computed anew (and, with check, must equal the declared ones); a revisit
     carries the declared digest and no payload size.
@@ -206,6 +227,8 @@ def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 for fields, block in warc_records(content.as_py(), name):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     head, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
                     declared = fields["warc-payload-digest"].removeprefix("sha1:")
                     kind = fields["warc-type"]
@@ -223,7 +246,10 @@ def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to per page, as read back from the converted archives.
 
-    A revisit's size and target come from the response that its WARC-Refers-To names.
+    A revisit's size and target come from the response that its WARC-Refers-To names. Null
+    html is an empty page; null ids and repeated ids or rows each give a record of their own
+    (equal rows with the largest id are all responses); a page of any length is one record.
+    Other columns of the input are ignored.
     """
     spark = pages.sparkSession
     arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
@@ -231,6 +257,6 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     convert(spark, arc, out, least)
     records = cut(read_warc(spark, out))
     direct = records.where("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    target = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes")).dropDuplicates(["refers_to_id"])
+    target = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"))
     again = records.where("record_type = 'revisit'").join(target, "refers_to_id").select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return direct.unionByName(again)
