@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<m:string,start:int,end:int,before:string,after:string>>"
-_CHUNK = 256
+CHUNK = 256
 
 
-def add_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+def add_matches(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str, str] | None = None) -> DataFrame:
     """The rows with, per name, array<struct<m,start,end,before,after>> of the pattern's matches; empty for null text.
 
+    needs: per name, a cheap pattern that every text with a match holds; other texts are not searched.
+
     ``before`` and ``after`` are up to 80 code points around a match that no other match
     covers. Each step is a projection of its own so that no search runs twice. Running sums
     go over chunks first and then inside each chunk, so a text with very many matches costs
@@ -30,8 +32,11 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
     def put(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
         return rows.select("*", *[c.alias(n) for n, c in made.items()])
 
-    col = F.col
-    rows = put(df, {f"__f_{n}": F.regexp_extract_all(col(text), F.lit(p), F.lit(0)) for n, p in patterns.items()})
+    col, needs = F.col, needs or {}
+    flags = {p: f"__n_{k}" for k, p in enumerate(dict.fromkeys(needs.values()))}
+    rows = put(df, {f: col(text).rlike(p) for p, f in flags.items()})
+    search = {n: F.regexp_extract_all(col(text), F.lit(p), F.lit(0)) for n, p in patterns.items()}
+    rows = put(rows, {f"__f_{n}": F.when(col(flags[needs[n]]), c).otherwise(F.array().cast("array<string>")) if n in needs else c for n, c in search.items()})
     rows = put(rows, {f"__p_{n}": F.when(F.size(f"__f_{n}") > 0, F.split(text, p, -1)) for n, p in patterns.items()})
     rows = put(
         rows,
@@ -47,7 +52,7 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
         {
             f"__c_{n}": F.when(
                 F.size(f"__z_{n}") > 0,
-                F.transform(F.sequence(F.lit(0), F.floor((F.size(f"__z_{n}") - 1) / _CHUNK).cast("int")), _chunk(f"__z_{n}")),
+                F.transform(F.sequence(F.lit(0), F.floor((F.size(f"__z_{n}") - 1) / CHUNK).cast("int")), _chunk(f"__z_{n}")),
             )
             for n in patterns
         },
@@ -79,7 +84,7 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
 
 
 def _chunk(name: str):
-    return lambda c: F.slice(name, c * _CHUNK + 1, _CHUNK)
+    return lambda c: F.slice(name, c * CHUNK + 1, CHUNK)
 
 
 def _step(acc: Column, x: Column) -> Column:
@@ -91,9 +96,53 @@ def _step(acc: Column, x: Column) -> Column:
     return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
 
-def overlaps(spans: Column, start: Column, end: Column) -> Column:
-    """Whether [start, end) meets any of the spans."""
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+def chunks(items: Column) -> Column:
+    """An array cut into arrays of at most CHUNK."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, CHUNK))).otherwise(
+        F.slice(F.array(items), 1, 0)
+    )
+
+
+def keep_by(found: Column, spans: Column, keep) -> Column:
+    """The spans of found (in order of start) for which keep(one, nearby spans) holds; nearby: those that meet the range of one's chunk.
+
+    Each chunk looks through all spans once and each of its members through the nearby ones only.
+    """
+    near = F.transform(
+        chunks(found),
+        lambda ch: F.struct(ch.alias("own"), F.filter(spans, lambda s: (s["start"] < F.element_at(ch, -1)["end"]) & (s["end"] > F.element_at(ch, 1)["start"])).alias("near")),
+    )
+    return F.flatten(F.transform(near, lambda z: F.filter(z["own"], lambda one: keep(one, z["near"]))))
+
+
+def outside(found: Column, spans: Column) -> Column:
+    """The found spans that meet none of the others."""
+    return keep_by(found, spans, lambda one, near: ~F.exists(near, lambda s: (s["start"] < one["end"]) & (s["end"] > one["start"])))
+
+
+def add_merged(df: DataFrame, name: str, spans: Column) -> DataFrame:
+    """The rows with a column of the spans' union as sorted, disjoint array<struct<start,end>>; spans that only touch stay apart."""
+    kept = df.columns
+    rows = df.select("*", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__s"))
+    rows = rows.select("*", chunks(F.col("__s")).alias("__c"))
+    before = F.aggregate(
+        F.transform("__c", lambda ch: F.array_max(F.transform(ch, lambda s: s["end"]))), F.array(F.lit(-1)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x)))
+    )
+    rows = rows.select("*", before.alias("__b"))
+    # Largest end of a span and all before it.
+    reach = F.transform(
+        "__c",
+        lambda ch, k: F.slice(F.aggregate(ch, F.array(F.get("__b", k)), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"])))), F.lit(2), F.size(ch)),
+    )
+    rows = rows.select("*", F.flatten(reach).alias("__r"))
+    first = F.filter(
+        F.transform("__s", lambda s, k: F.when((k == 0) | (s["start"] >= F.get("__r", k - 1)), F.struct(s["start"].alias("start"), k.alias("k")))), lambda x: x.isNotNull()
+    )
+    rows = rows.select("*", first.alias("__f"))
+    out = F.transform(
+        "__f", lambda x, k: F.struct(x["start"].alias("start"), F.get("__r", F.coalesce(F.get("__f", k + 1)["k"], F.size("__s")) - 1).alias("end"))
+    )
+    return rows.select(*kept, out.alias(name))
 
 
 def of_kind(found: Column, kind: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from inkfold.llm import pii, secrets
 
 def _placed(source: str, patterns: dict[str, str]) -> str:
     """found(doc_id, kind, m, start, before, after): leftmost matches of each pattern with code-point offsets."""
@@ -21,30 +20,36 @@ def _spans(kinds: list[str], where: str = "true") -> str:
     return f"string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, CASE kind {rank} END) FILTER (WHERE {where})"
 
 
-_SECRET = secrets.find.__defaults__[1]  # window
-_ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOW)
-_BOUND = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN {bits}" for p, bits in secrets.CLASSES.values()) + " END"
+# Written out here, not taken from the operators.
+_ASSIGN = """[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"""
+_VALUE = """["']?[ ]*[:=][ ]*["']?"""
+_NO_SECRET = ["^[A-Za-z]+$", "^[0-9_=+/-]+$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "(?i)example|sample|dummy|placeholder|changeme|lorem", "(?i)^(?:0123456789|abcdefghij|qwertyuiop)", "^[A-Za-z]+(?:[/_-][A-Za-z]+)+[0-9]{0,4}$"]
+_BITS = "CASE WHEN regexp_matches(m, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN 3.0 WHEN regexp_matches(m, '^(?:[0-9a-z]+|[0-9A-Z]+)$') THEN 3.6 WHEN regexp_matches(m, '^[0-9A-Za-z]+$') THEN 3.8 WHEN regexp_matches(m, '^[0-9A-Za-z+/_=-]+$') THEN 3.9 END"
+_SECRETS = ["assign", "access", "hex", "entropy"]
 OP3 = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
-{_placed('texts', {'assign': secrets.ASSIGN, 'access': 'AKIA[A-Z0-9]{16,}', 'hex': '[0-9a-f]{24,}', 'run': f'[A-Za-z0-9+/_=-]{{{_SECRET},}}'})},
+{_placed('texts', {'assign': f'(?:{_ASSIGN}){_VALUE}[A-Za-z0-9+/_.=-]+', 'access': 'AKIA[A-Z0-9]{16,}', 'hex': '[0-9a-f]{24,}', 'run': '[A-Za-z0-9+/_=-]{20,}'})},
 base AS (
   SELECT doc_id, kind, m, start, start + length(m) AS stop FROM found
-  WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND length(regexp_extract(m, '{secrets.ASSIGNED.replace("'", "''")}', 1)) >= 6)
+  WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND length(regexp_extract(m, '^(?:{_ASSIGN}){_VALUE.replace("'", "''")}([A-Za-z0-9+/_.=-]+)', 1)) >= 6)
 ),
+reached AS (SELECT doc_id, start, stop, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM base),
+grouped AS (SELECT doc_id, start, stop, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS g FROM reached),
+known AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM grouped GROUP BY doc_id, g),
 runs AS (
-  SELECT doc_id, m, start, start + length(m) AS stop FROM found f WHERE kind = 'run' AND regexp_matches(m, '[0-9]') AND NOT ({_ALLOWED})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.start + length(f.m) AND b.stop > f.start)
+  SELECT doc_id, m, start, start + length(m) AS stop FROM found f WHERE kind = 'run' AND regexp_matches(m, '[0-9]') AND NOT ({' OR '.join(f"regexp_matches(m, '{p}')" for p in _NO_SECRET)})
+    AND NOT EXISTS (SELECT 1 FROM known b WHERE b.doc_id = f.doc_id AND b.start <= f.start AND b.stop >= f.start + length(f.m))
 ),
-windows AS (SELECT doc_id, start, stop, m, unnest(range(0, length(m) - {_SECRET} + 1)) AS w FROM runs),
-letters AS (SELECT doc_id, start, stop, m, w, substr(m, CAST(w + j AS BIGINT), 1) AS c FROM windows, range(1, {_SECRET} + 1) t(j)),
+windows AS (SELECT doc_id, start, stop, m, unnest(range(0, length(m) - 20 + 1)) AS w FROM runs),
+letters AS (SELECT doc_id, start, stop, m, w, substr(m, CAST(w + j AS BIGINT), 1) AS c FROM windows, range(1, 21) t(j)),
 counted AS (SELECT doc_id, start, stop, m, w, c, count(*) AS n FROM letters GROUP BY ALL),
-entropies AS (SELECT doc_id, start, stop, m, w, log2({_SECRET}) - sum(n * log2(n)) / {_SECRET} AS h FROM counted GROUP BY doc_id, start, stop, m, w),
-secret AS (SELECT doc_id, 'entropy' AS kind, m, start, stop FROM entropies GROUP BY doc_id, start, stop, m HAVING max(h) >= {_BOUND}),
+entropies AS (SELECT doc_id, start, stop, m, w, log2(20) - sum(n * log2(n)) / 20 AS h FROM counted GROUP BY doc_id, start, stop, m, w),
+secret AS (SELECT doc_id, 'entropy' AS kind, m, start, stop FROM entropies GROUP BY doc_id, start, stop, m HAVING max(h) >= {_BITS}),
 every AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, m, start, stop FROM secret),
 joined AS (
-  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.KINDS)}, {_spans(secrets.KINDS, "kind <> 'entropy'")} AS base, {_spans(secrets.KINDS)} AS spans FROM every GROUP BY doc_id
+  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _SECRETS)}, {_spans(_SECRETS, "kind <> 'entropy'")} AS base, {_spans(_SECRETS)} AS spans FROM every GROUP BY doc_id
 )
-SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _SECRETS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
 
@@ -55,6 +60,7 @@ _BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])?"
 _RATED = "SELECT kind, pattern, sum(score) / (count(*) + 1) AS confidence, sum(seed) AS support FROM {0} GROUP BY kind, pattern"
 _SCORED = """SELECT e.kind, e.pattern, e.value, e.seed, greatest(e.seed, l.best) AS score FROM edges e
   JOIN (SELECT x.kind, x.value, max(r.confidence) AS best FROM edges x JOIN {0} r ON r.kind = x.kind AND r.pattern = x.pattern GROUP BY x.kind, x.value) l ON l.kind = e.kind AND l.value = e.value"""
+_PERSONAL = ["email", "ip", "card", "phone"]
 OP1 = rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
 {_placed('texts', {'email': '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'ip': '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', 'card': '[0-9](?:[ -]?[0-9])+', 'phone': '[+][0-9][ ().0-9-]+[0-9]', 'word': '[^ \\x09-\\x0D0-9@]*[0-9@][^ \\x09-\\x0D]*'})},
@@ -75,7 +81,7 @@ shaped AS (
 seen AS (SELECT doc_id, kind, lower(m) AS value, start, stop, before, after, 1.0::DOUBLE AS seed FROM base UNION ALL SELECT doc_id, kind, m, start, stop, before, after, 0.0 FROM shaped),
 sides AS (SELECT *, lower(regexp_extract(before, '(\S{{1,40}})\s*$', 1)) AS l, lower(regexp_extract(after, '^\S{{0,40}}?\s+(\S{{1,40}})', 1)) AS r FROM seen),
 beside AS (
-  SELECT *, '<' || l AS pattern FROM sides WHERE l <> '' UNION ALL SELECT *, '>' || r FROM sides WHERE r <> '' UNION ALL SELECT *, '=' || l || chr(9) || r FROM sides
+  SELECT *, '<' || l AS pattern FROM sides WHERE l <> '' UNION ALL SELECT *, '>' || r FROM sides WHERE r <> '' UNION ALL SELECT *, '=' || l || chr(9) || r FROM sides WHERE l <> '' OR r <> ''
 ),
 edges AS (SELECT kind, pattern, value, max(seed) AS seed FROM beside GROUP BY kind, pattern, value),
 start0 AS (SELECT *, seed AS score FROM edges),
@@ -87,9 +93,9 @@ hits AS (SELECT b.doc_id, b.start, b.stop, b.kind, max(g.confidence) AS confiden
 added AS (SELECT doc_id, kind, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, stop ORDER BY confidence DESC, kind DESC) AS k FROM hits) WHERE k = 1),
 every AS (SELECT doc_id, kind, start, stop, true AS own FROM base UNION ALL SELECT doc_id, kind, start, stop, false FROM added),
 joined AS (
-  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE own AND kind = '{k}') AS n_{k}" for k in pii.KINDS)}, {_spans(pii.KINDS, 'own')} AS base, {_spans(pii.KINDS)} AS spans FROM every GROUP BY doc_id
+  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE own AND kind = '{k}') AS n_{k}" for k in _PERSONAL)}, {_spans(_PERSONAL, 'own')} AS base, {_spans(_PERSONAL)} AS spans FROM every GROUP BY doc_id
 )
-SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PERSONAL)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
 

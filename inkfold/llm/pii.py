@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm._common import cut, joined_spans, stored
-from inkfold.llm._spans import add_matches, of_kind, overlaps
+from inkfold.llm._spans import add_matches, of_kind, outside
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -73,10 +73,11 @@ def _seen(found: Column) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, one array of seen base matches per kind, and the uncovered candidate words; one pass over the texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("_t"))
-    rows = add_matches(rows, "_t", {f"_{k}": p for k, p in BASE.items()} | {"_word": CANDIDATE})
+    patterns = {f"_{k}": p for k, p in BASE.items()} | {"_word": CANDIDATE}
+    rows = add_matches(rows, "_t", patterns, dict.fromkeys(patterns, "[0-9@]"))
     rows = rows.select("id", "_word", *[F.filter(f"_{k}", _valid(k)).alias(k) for k in KINDS])
     rows = rows.select("id", "_word", *KINDS, F.concat(*KINDS).alias("_base"))
-    return rows.select("id", *[_seen(F.col(k)).alias(k) for k in KINDS], _seen(F.filter("_word", lambda s: ~overlaps(F.col("_base"), s["start"], s["end"]))).alias("candidate"))
+    return rows.select("id", *[_seen(F.col(k)).alias(k) for k in KINDS], _seen(outside(F.col("_word"), F.col("_base"))).alias("candidate"))
 
 
 def _shape(kind: Column, value: Column) -> Column:
@@ -92,9 +93,14 @@ def _shape(kind: Column, value: Column) -> Column:
 
 
 def _patterns(seen: Column) -> Column:
-    return F.filter(
-        F.array(F.concat(F.lit("<"), seen["before"]), F.concat(F.lit(">"), seen["after"]), F.concat(F.lit("="), seen["before"], F.lit("\t"), seen["after"])),
-        lambda p: F.length(p) > 1,
+    """Word before, word after, both; a side without a word makes no pattern of its own."""
+    left, right = seen["before"], seen["after"]
+    return F.array_compact(
+        F.array(
+            F.when(left != "", F.concat(F.lit("<"), left)),
+            F.when(right != "", F.concat(F.lit(">"), right)),
+            F.when((left != "") | (right != ""), F.concat(F.lit("="), left, F.lit("\t"), right)),
+        )
     )
 
 
@@ -126,7 +132,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lear
     """id, n_email, n_ip, n_card, n_phone, base and spans (arrays of kind, start, end) per row.
 
     Offsets are code points, end exclusive. Null text counts as empty; each input row
-    gives a row, repeated ids included. Added spans never overlap a base span.
+    gives a row, repeated ids and null ids included. Added spans never overlap a base span;
+    a word that fits several kinds equally goes to the last of them by name. Texts of any
+    length are searched whole, in time about linear in their matches. Other columns of the
+    input are ignored, an empty table gives an empty one.
     """
     scanned = stored(scan(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "pii")
     good = learn(scanned, **learning)

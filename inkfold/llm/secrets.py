@@ -4,7 +4,8 @@ Candidate strings are runs of key-like characters. A window slides over each, it
 per-character counts kept up to date by adding the entering and removing the leaving
 character, so the Shannon entropy sum changes by four table look-ups a step. A run is a
 secret if its highest window entropy reaches the bound of its character class and no
-allow-list rule knows it. Base matches stay whatever their entropy.
+allow-list rule knows it. Base matches stay whatever their entropy; a secret run that
+reaches beyond them is added whole, so that nothing of it is left when it is masked.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm._common import joined_spans
-from inkfold.llm._spans import add_matches, of_kind, overlaps
+from inkfold.llm._spans import CHUNK, add_matches, add_merged, chunks, keep_by, of_kind
 
 KINDS = ["assign", "access", "hex", "entropy"]
 
@@ -40,7 +41,7 @@ ALLOW = [
     r"^[0-9_=+/-]+$",  # numbers and rules
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
     r"(?i)example|sample|dummy|placeholder|changeme|lorem",
-    r"(?i)0123456789|abcdefghij|qwertyuiop",
+    r"(?i)^(?:0123456789|abcdefghij|qwertyuiop)",
     r"^[A-Za-z]+(?:[/_-][A-Za-z]+)+[0-9]{0,4}$",  # paths and identifiers
 ]
 
@@ -96,23 +97,26 @@ def find(docs: DataFrame, text_col: str = "text", window: int = 20) -> DataFrame
     """row (the input row), assign, access, hex, entropy, base and spans (arrays of kind, start, end), without a shuffle.
 
     Offsets are code points, end exclusive; null text counts as empty. Spans of kind
-    ``entropy`` are those the method adds; they never overlap a base span. Input columns
-    stay inside ``row``, so no name of theirs can clash.
+    ``entropy`` are those the method adds: whole runs that base spans do not cover wholly.
+    Each input row gives a row; texts of any length are searched whole. Input columns stay
+    inside ``row``, so no name of theirs can clash.
     """
     # A run needs a digit to be a candidate; words of prose are never cut out.
     run = rf"(?:\G|(?<![A-Za-z0-9+/_=-]))(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{window},}}+"
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = add_matches(rows, "text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "run": run})
+    rows = add_matches(rows, "text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "run": run}, {"assign": "[:=]", "access": "AKIA", "run": "[0-9]"})
     assigned = F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["m"], ASSIGNED, 1)) >= 6)
     rows = rows.select("row", "run", of_kind(assigned, "assign").alias("assign"), of_kind(F.col("access"), "access").alias("access"), of_kind(F.col("hex"), "hex").alias("hex"))
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    unknown = F.filter("run", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]) & ~_allowed(s["m"]))
-    secret = F.filter(unknown, lambda s: window_entropy(s["m"], window) >= _bound(s["m"]))
-    rows = rows.withColumn("entropy", of_kind(secret, "entropy")).drop("run")
+    rows = add_merged(rows, "__known", F.col("base"))
+    beyond = keep_by(F.col("run"), F.col("__known"), lambda one, near: ~F.exists(near, lambda s: (s["start"] <= one["start"]) & (s["end"] >= one["end"])))
+    secret = F.filter(F.filter(beyond, lambda s: ~_allowed(s["m"])), lambda s: window_entropy(s["m"], window) >= _bound(s["m"]))
+    rows = rows.withColumn("entropy", of_kind(secret, "entropy")).drop("run", "__known")
     return rows.withColumn("spans", F.concat("base", "entropy"))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The report columns of find(), a row per input row: id, counts by kind, base_sha256, spans; null and empty texts have counts 0 and no spans."""
     found = find(docs.select(id_col, text_col), text_col)
     return found.select(
         f"row.{id_col}",
@@ -126,24 +130,20 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     """The rows with every found span replaced by a mask; n_chars, if there, follows. Texts without secrets are unchanged."""
     found = find(docs, text_col)
     text = F.col("row")[text_col]
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    # Overlapping spans become one; then only the pieces between them are cut out of the text.
-    merged = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
+    rows = add_merged(found.select("row", "spans"), "__cuts", F.col("spans")).select("row", F.when(F.size("spans") > 0, F.col("__cuts")).alias("cuts"))
+    # A piece of text per chunk of cuts first, then the parts between the cuts out of the piece.
+    end = lambda spans, k, first: F.when(k == 0, first).otherwise(F.get(spans, k - 1)["end"])
+    dealt = F.transform(
+        chunks(F.col("cuts")),
+        lambda ch, c: F.struct(ch.alias("own"), end(F.col("cuts"), c * CHUNK, F.lit(0)).alias("first"), F.substring(text, end(F.col("cuts"), c * CHUNK, F.lit(0)) + 1, F.element_at(ch, -1)["end"] - end(F.col("cuts"), c * CHUNK, F.lit(0))).alias("piece")),
     )
-    rows = found.select("row", F.when(F.size("spans") > 0, merged).alias("cuts"))
-    before = F.transform(
-        "cuts", lambda s, k: F.substring(text, F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1)["end"]) + 1, s["start"] - F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1)["end"]))
+    parts = F.transform(
+        dealt,
+        lambda z: F.array_join(
+            F.transform(z["own"], lambda s, k: F.concat(F.substring(z["piece"], end(z["own"], k, z["first"]) - z["first"] + 1, s["start"] - end(z["own"], k, z["first"])), F.lit(mask))), ""
+        ),
     )
-    clean = F.concat(F.array_join(F.transform(before, lambda p: F.concat(p, F.lit(mask))), ""), F.substr(text, F.element_at("cuts", -1)["end"] + 1))
+    clean = F.concat(F.array_join(parts, ""), F.substr(text, F.element_at("cuts", -1)["end"] + 1))
     rows = rows.select("row", F.col("cuts").isNotNull().alias("cut"), F.when(F.col("cuts").isNotNull(), clean).otherwise(text).alias("clean"))
     made = {text_col: F.col("clean")}
     if "n_chars" in docs.columns:

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
 
 from inkfold.llm import pii, secrets
+from inkfold.llm._spans import add_merged
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, kind string, start int, _base int"
@@ -105,6 +107,42 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert got[10] == [("card", 14, 30)] and got[11] == [] and got[12] == [] and got[0] == [("card", 14, 30)]
 
 
+def test_bootstrap_with_production_parameters(spark):
+    """Ten known addresses in one context reveal an eleventh without a dot; a known address without any word beside it teaches nothing."""
+    rows = [(k, f"please write to user{k}@mail{k}.example.com at once") for k in range(10)] + [(20, "please write to root@localhost at once")]
+    rows += [(30 + k, f"solo{k}@mail{k}.example.com") for k in range(10)] + [(50, "abc@def")]
+    df = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], SCHEMA)
+    got = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(df).collect()}
+    assert got[20] == [("email", 16, 30)] and got[50] == [] and got[3] == [("email", 16, 39)]
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte with 50,000 base matches and as many candidates takes seconds, not a product of the two."""
+    text = "1.2.3.4 12:34:56 " * 50_000
+    df = spark.createDataFrame([(1, text, "k", 1, 2)], SCHEMA)
+    began = time.monotonic()
+    row = pii.digest(pii.find(df)).first()
+    assert row["n_ip"] == 50_000 and time.monotonic() - began < 60
+    text = "token=abcdef1 Zq7Xk9Lm2Pv4Rt80BxYu " * 20_000
+    began = time.monotonic()
+    row = secrets.redact(spark.createDataFrame([(1, text, "k", 1, 2)], SCHEMA)).first()
+    assert row["text"] == "[SECRET] [SECRET] " * 20_000 and time.monotonic() - began < 60
+
+
+def test_run_beyond_a_base_span_is_a_secret_whole(spark):
+    text = "key Zq7Xk9Lm2Pv4Rt80123456789abcdef01234567Wn5Yb3Hd6Jf1Gs9Tu7 end"
+    df = spark.createDataFrame([(1, text, "k", 1, 2)], SCHEMA)
+    assert secrets.digest(df).first()["spans"] == "entropy:4:61,hex:18:43"
+    assert secrets.redact(df).first()["text"] == "key [SECRET] end"
+
+
+def test_merged_spans(spark):
+    rows = [([(5, 9), (0, 3), (2, 6), (9, 12), (20, 21)],), ([],), ([(3 * k, 3 * k + 4) for k in range(600)],), ([(3 * k, 3 * k + 2) for k in range(600)],)]
+    df = spark.createDataFrame(rows, "s array<struct<start:int,end:int>>")
+    got = [[tuple(x) for x in r["m"]] for r in add_merged(df, "m", F.col("s")).collect()]
+    assert got == [[(0, 9), (9, 12), (20, 21)], [], [(0, 1801)], [(3 * k, 3 * k + 2) for k in range(600)]]
+
+
 def slow_entropy(s, w=20):
     h = lambda x: -sum(c / len(x) * math.log2(c / len(x)) for c in Counter(x).values())
     return max([h(s[i : i + w]) for i in range(len(s) - w + 1)] or [h(s)])
