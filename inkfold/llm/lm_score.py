@@ -1,70 +1,145 @@
 """Masked pseudo-likelihood by a bidirectional window network trained in numpy.
 
-Vocabulary: the most frequent words of all documents, counted over the whole corpus, then
-``rare`` classes that the other words are hashed to. The network predicts a token from
-``reach`` tokens on either side: position-specific embeddings of the neighbours are
-summed, squashed and projected to a softmax over the vocabulary, whose biases start from
-the corpus frequencies. Every document trains it: in each pass every partition takes
-mini-batch steps from the common parameters over its own masked tokens (one in ``mask``
-of every text, from a start that the pass and the text choose; one in ``passes`` unless
-given, so that the passes together mask every token once), and Spark averages the
-changes by the tokens behind them. Changes travel as whole numbers of 2**-20, so their
-sum does not depend on the order in which tasks end. A document's score is the sum of
-the log-probabilities of all its tokens, each masked in turn.
+Every word of the corpus is in the vocabulary, a distributed table of counts. The network
+predicts a token's class: the most frequent words are classes of their own, all others
+are hashed to ``rare`` classes; a token's probability is that of its class, given
+``reach`` tokens on either side, times the word's share of its class by the counts of all
+documents. Position-specific embeddings of the neighbours' classes are summed, squashed
+and projected to a softmax, whose biases start from the corpus frequencies.
+
+Texts are dealt to tasks by a hash of id and text and split into words once; a *chunk* of
+them holds its own dictionary, so only distinct words of chunks are joined with the
+counts, and later passes read one byte a token. In each pass every chunk takes mini-batch
+steps from the common parameters over its own masked tokens (one in ``mask``, in turn; one
+in ``passes`` unless given, so that the passes together mask every token once), and the
+changes are averaged by the tokens behind them. Chunks depend on rows alone and changes
+travel as whole numbers of 2**-20, so neither the layout of the input files nor the order
+in which tasks end shows in the scores. A document's score is the sum of the
+log-probabilities of all its tokens, each masked in turn.
 """
 
 from __future__ import annotations
 
 import copy
-import zlib
-from collections import Counter
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm._common import cut
+from inkfold.llm._common import cut, stored
 from inkfold.llm._text import words
 
 _SCALE = float(1 << 20)
+CHUNK_WORDS = 60_000  # distinct words and tokens after which a chunk ends with the text at hand
+CHUNK_TOKENS = 1 << 20
+SHARD_BYTES = 16 << 20
 
 
-class Vocabulary:
-    """Frequent words by rank, then hashed classes of the rest; the class after the last pads texts at both ends."""
-
-    def __init__(self, frequent: list[str], rare: int):
-        self.frequent = {w: k for k, w in enumerate(frequent)}
-        self.rare = rare
-        self.size = len(frequent) + rare
-
-    def encode(self, text: str | None) -> np.ndarray:
-        get, base, rare = self.frequent.get, len(self.frequent), self.rare
-        return np.array([k if (k := get(w)) is not None else base + zlib.crc32(w.encode()) % rare for w in words(text)], np.int32)
-
-
-def count_words(docs: DataFrame, size: int) -> tuple[list[tuple[str, int]], int]:
-    """The ``size`` most frequent words of all documents with their counts, ties in order of the word, and the count of all words."""
+def chunk_texts(docs: DataFrame) -> DataFrame:
+    """chunk, ids, lens, tokens (places in the chunk's dictionary), words, counts; docs: id long, text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(8, math.ceil(size / SHARD_BYTES))
+    dealt = docs.withColumn("key", F.xxhash64("id", "text")).repartition(shards, "key").sortWithinPartitions("key", "id").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        shard, made = TaskContext.get().partitionId(), 0
+        local: defaultdict[str, int] = defaultdict()
+        local.default_factory = local.__len__
+        ids: list[int | None] = []
+        texts: list[np.ndarray] = []
+        held = 0
 
         def out() -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["word", "n"])
+            tokens = np.concatenate(texts).astype(np.int32)
+            packed = tokens.astype(np.uint16) if len(local) <= 1 << 16 else tokens
+            cols = [
+                pa.array([(shard << 32) + made], pa.int64()),
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([[len(t) for t in texts]], pa.list_(pa.int32())),
+                pa.array([packed.tobytes()], pa.binary()),
+                pa.array([list(local)], pa.list_(pa.string())),
+                pa.array([np.bincount(tokens, minlength=len(local))], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "lens", "tokens", "words", "counts"])
 
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen.update(words(text))
-                if len(seen) > 200_000:  # partial counts; Spark adds them up
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(np.array([local[w] for w in words(text)], np.int32))
+                held += len(texts[-1])
+                if len(local) >= CHUNK_WORDS or held >= CHUNK_TOKENS or len(ids) >= CHUNK_TOKENS:
                     yield out()
-                    seen.clear()
-        yield out()
+                    made += 1
+                    local.clear()
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield out()
+
+    return stored(dealt.mapInArrow(run, "chunk long, ids array<long>, lens array<int>, tokens binary, words array<string>, counts array<long>"), "lm-chunks")
+
+
+def count_words(chunks: DataFrame) -> DataFrame:
+    """word, n over all documents; grows with the corpus and stays distributed."""
+    return stored(chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), "lm-words")
+
+
+def word_class(word: Column, frequent: int, rare: int) -> Column:
+    """Class of a word that is not among the frequent ones."""
+    return (F.pmod(F.crc32(word.cast("binary")), F.lit(rare)) + frequent).cast("int")
+
+
+def classes(counts: DataFrame, frequent: int, rare: int) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """The ``frequent`` most frequent words with their counts (ties in order of the word), and the count of every class."""
+    known = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    total = np.zeros(len(known) + rare)
+    total[: len(known)] = [n for _, n in known]
+    rest = counts.where(~F.col("word").isin([w for w, _ in known])) if known else counts
+    for r in rest.groupBy(word_class(F.col("word"), len(known), rare).alias("c")).agg(F.sum("n").alias("n")).collect():  # at most rare rows
+        total[r["c"]] = r["n"]
+    return known, total
+
+
+def encode(chunks: DataFrame, counts: DataFrame, known: list[tuple[str, int]], total: np.ndarray) -> DataFrame:
+    """chunk, ids, lens, tokens (one byte each: classes), inner (per text: sum of log P(word | class))."""
+    spark, frequent, rare = chunks.sparkSession, len(known), len(total) - len(known)
+    if len(total) > 255:
+        raise ValueError("frequent and rare classes together must be at most 255")
+    local = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+    top = F.broadcast(spark.createDataFrame([(w, k) for k, (w, _) in enumerate(known)], "word string, class int"))
+    sizes = F.array(*[F.lit(float(n)) for n in total])
+    others = counts.join(top, "word", "left_anti").select("word", word_class(F.col("word"), frequent, rare).alias("class"), "n")
+    others = others.select("word", "class", F.ln(F.col("n") / F.get(sizes, F.col("class"))).alias("inner"))
+    looked = local.join(top, "word").select("chunk", "at", "class", F.lit(0.0).alias("inner")).unionByName(
+        local.join(top, "word", "left_anti").join(others, "word").select("chunk", "at", "class", "inner")
+    )
+    looked = looked.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "class", "inner"))).alias("w")).select("chunk", "w.class", "w.inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lens, tokens, cls, inner = (batch.column(k).to_pylist() for k in range(2, 6))
+            packed, sums = [], []
+            for n, t, c, x in zip(lens, tokens, cls, inner, strict=True):
+                n, c, x = np.array(n, np.int64), np.array(c or [], np.uint8), np.array(x or [], np.float64)
+                at = np.frombuffer(t, np.uint16 if len(t) == 2 * n.sum() else np.int32)
+                packed.append(c[at].tobytes())
+                sums.append(_sums(x[at], n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array(sums, pa.list_(pa.float64()))], ["chunk", "ids", "lens", "tokens", "inner"])
+
+    joined = chunks.select("chunk", "ids", "lens", "tokens").join(looked, "chunk", "left")
+    return stored(joined.mapInArrow(run, "chunk long, ids array<long>, lens array<int>, tokens binary, inner array<double>"), "lm-ready")
+
 
-    counted = cut(docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()], total
+def _sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sum per text of values laid end to end."""
+    out, some = np.zeros(len(lens)), lens > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lens) - lens)[some])
+    return out
 
 
 class Window:
@@ -77,9 +152,9 @@ class Window:
         self.out = rng.normal(0, 0.1, (dim, size)).astype(np.float32)
         self.bias = np.zeros(size, np.float32)
 
-    def neighbours(self, ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        padded = np.concatenate([np.full(self.reach, self.size, np.int32), ids, np.full(self.reach, self.size, np.int32)])
-        return [padded[at + k] for k in range(2 * self.reach + 1) if k != self.reach]
+    def neighbours(self, laid: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Classes at each offset from places in texts laid out with padding."""
+        return [laid[at + k] for k in range(-self.reach, self.reach + 1) if k]
 
     def hidden(self, near: list[np.ndarray]) -> np.ndarray:
         total = self.into[0][near[0]]
@@ -111,105 +186,90 @@ class Window:
         return g_in, h.T @ z, z.sum(axis=0)
 
 
-def _masked(ids: np.ndarray, mask: int, turn: int) -> np.ndarray:
-    """Places masked in a pass: every mask-th token from a start that the text's tokens choose."""
-    return np.arange((zlib.crc32(ids.tobytes()) + turn) % mask, len(ids), mask)
+def _padded(tokens: bytes, lens: np.ndarray, reach: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's classes with padding around every text, and the place of each token there."""
+    at = np.arange(int(lens.sum())) + reach * (np.repeat(np.arange(len(lens)), lens) + 1)
+    laid = np.full(len(at) + reach * (len(lens) + 1), pad, np.int32)
+    laid[at] = np.frombuffer(tokens, np.uint8)
+    return laid, at
 
 
-def _steps(net: Window, texts: Iterator[np.ndarray], mask: int, turn: int, rate: float, batch: int) -> int:
-    """AdaGrad mini-batches over the masked tokens of texts, in place; returns the number of tokens."""
+def _steps(net: Window, laid: np.ndarray, at: np.ndarray, rate: float, batch: int) -> None:
+    """AdaGrad mini-batches over masked places, in place."""
     params = [net.into, net.out, net.bias]
     squares = [np.full(p.shape, 1e-3, np.float32) for p in params]
-    near: list[list[np.ndarray]] = []
-    target: list[np.ndarray] = []
-    held = tokens = 0
-
-    def step() -> None:
-        n = sum(map(len, target))
-        g = net.gradients([np.concatenate(x) for x in zip(*near, strict=True)], np.concatenate(target))
+    for s in range(0, len(at), batch):
+        some = at[s : s + batch]
+        g = net.gradients(net.neighbours(laid, some), laid[some])
         for p, q, x in zip(params, squares, g, strict=True):
-            x = x / n
+            x = x / len(some)
             q += x * x
             p -= rate * x / np.sqrt(q)
 
-    for ids in texts:
-        at = _masked(ids, mask, turn)
-        for s in range(0, len(at), batch):
-            some = at[s : s + batch]
-            near.append(net.neighbours(ids, some))
-            target.append(ids[some])
-            held += len(some)
-            if held >= batch:
-                step()
-                tokens += held
-                near, target, held = [], [], 0
-    if held:
-        step()
-        tokens += held
-    return tokens
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, passes: int = 2, mask: int | None = None, rate: float = 0.1, batch: int = 2048, reach: int = 2, dim: int = 16, seed: int = 3) -> Window:
-    """Passes over every document, masking each token in one of them unless mask is given; start: biases to begin with."""
+
+def train(ready: DataFrame, total: np.ndarray, passes: int = 2, mask: int | None = None, rate: float = 0.1, batch: int = 2048, reach: int = 2, dim: int = 16, seed: int = 3) -> Window:
+    """Passes over every chunk, masking each token in one of them unless mask is given; total: counts of the classes, the biases to begin with."""
     mask = mask or max(1, passes)
-    net = Window(vocabulary.size, reach, dim, seed)
-    net.bias += start.astype(np.float32)
+    net = Window(len(total), reach, dim, seed)
+    net.bias += np.log((total + 1.0) / (total + 1.0).sum()).astype(np.float32)
     sizes = [net.into.size, net.out.size, net.bias.size]
     for turn in range(passes):
-        sent = docs.sparkSession.sparkContext.broadcast((net, vocabulary, turn))
+        sent = ready.sparkSession.sparkContext.broadcast((net, turn))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            common, vocab, turn = sent.value
-            mine = copy.deepcopy(common)
-            texts = (vocab.encode(t) for b in batches for t in b.column(1).to_pylist())
-            tokens = _steps(mine, texts, mask, turn, rate, batch)
-            change = np.concatenate([(x - y).ravel() for x, y in ((mine.into, common.into), (mine.out, common.out), (mine.bias, common.bias))])
-            flat = np.concatenate([np.rint(change.astype(np.float64) * tokens * _SCALE).astype(np.int64), [tokens]])
+            common, turn = sent.value
+            flat = np.zeros(sum(sizes) + 1, np.int64)
+            for batch_ in batches:
+                for lens, tokens in zip(batch_.column(0).to_pylist(), batch_.column(1).to_pylist(), strict=True):
+                    laid, at = _padded(tokens, np.array(lens, np.int64), reach, common.size)
+                    at = at[(np.arange(len(at)) + turn) % mask == 0]
+                    if not len(at):
+                        continue
+                    mine = copy.deepcopy(common)
+                    _steps(mine, laid, at, rate, batch)
+                    change = np.concatenate([(x - y).ravel() for x, y in ((mine.into, common.into), (mine.out, common.out), (mine.bias, common.bias))])
+                    flat[:-1] += np.rint(change.astype(np.float64) * len(at) * _SCALE).astype(np.int64)
+                    flat[-1] += len(at)
             hit = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(flat[hit])], ["at", "value"])
 
         # As many rows as the network has parameters, whatever the corpus.
-        summed = docs.mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("double").alias("value"))
-        total = np.zeros(sum(sizes) + 1)
+        summed = ready.select("lens", "tokens").mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("double").alias("value"))
+        sums = np.zeros(sum(sizes) + 1)
         for r in summed.collect():
-            total[r["at"]] = r["value"]
-        if not total[-1]:
+            sums[r["at"]] = r["value"]
+        if not sums[-1]:
             break
-        parts = np.split(total[:-1] / _SCALE / total[-1], np.cumsum(sizes)[:-1])
+        parts = np.split(sums[:-1] / _SCALE / sums[-1], np.cumsum(sizes)[:-1])
         for p, x in zip((net.into, net.out, net.bias), parts, strict=True):
             p += x.reshape(p.shape).astype(np.float32)
         sent.unpersist()
     return net
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 192, rare: int = 64, **training) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 128, rare: int = 32, **training) -> DataFrame:
     """id, n_tokens, pseudo_log_likelihood (sum over tokens), mean_log_prob per row.
 
-    Null texts and texts without words have no tokens, sum 0 and a null mean.
+    Null texts and texts without words have no tokens, sum 0 and a null mean; rows with
+    null or repeated ids each give a row. Texts of any length are scored whole. Other
+    columns are ignored; an empty table gives an empty one.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known, total = count_words(slim, frequent)
-    vocabulary = Vocabulary([w for w, _ in known], rare)
-    counts = np.array([n for _, n in known] + [(total - sum(n for _, n in known)) / rare] * rare) + 1.0
-    net = train(slim, vocabulary, np.log(counts / counts.sum()), **training)
-    sent = docs.sparkSession.sparkContext.broadcast((net, vocabulary))
+    chunks = chunk_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    counts = count_words(chunks)
+    known, total = classes(counts, frequent, rare)
+    ready = encode(chunks, counts, known, total)
+    net = train(ready, total, **training)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, vocab = sent.value
+        held = sent.value
         for batch in batches:
-            n, sums = [], []
-            for text in batch.column(1).to_pylist():
-                ids = vocab.encode(text)
-                total = 0.0
-                for s in range(0, len(ids), 4096):
-                    at = np.arange(s, min(s + 4096, len(ids)))
-                    total += float(held.log_probs(held.neighbours(ids, at), ids[at]).sum(dtype=np.float64))
-                n.append(len(ids))
-                sums.append(total)
-            means = [x / k if k else None for x, k in zip(sums, n, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"]
-            )
-
-    return slim.mapInArrow(run, "id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
-
+            for ids, lens, tokens, inner in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                lens = np.array(lens, np.int64)
+                laid, at = _padded(tokens, lens, held.reach, held.size)
+                logs = np.concatenate([np.empty(0), *(held.log_probs(held.neighbours(laid, at[s : s + 4096]), laid[at[s : s + 4096]]) for s in range(0, len(at), 4096))])
+                sums = _sums(logs.astype(np.float64), lens) + np.array(inner)
+                means = pa.array(sums / np.maximum(lens, 1), mask=lens == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lens), pa.array(sums), means], ["id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
+
+    return ready.select("ids", "lens", "tokens", "inner").mapInArrow(run, "id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
