@@ -1,16 +1,18 @@
 """SimHash near-duplicates: tiled exact Hamming comparison with numpy.
 
-Equal fingerprints collapse first. The 64 bits are cut into radius + 1 blocks; two
-fingerprints within the radius agree on at least one block, so the tiles are filled
-per (block, value) and nothing is lost. Inside, rows sorted by population count form
-tiles; tile pairs whose counts differ by more than the radius are skipped, the others
-are compared by exclusive-or and bit counts. Each bucket emits a spanning forest of
-its links, not all pairs. A bucket above ``hot`` rows is cut again by the same
-argument over its remaining bits.
+Equal fingerprints collapse first. Rows meet in buckets: at a small radius the bits are cut
+into radius + 1 blocks, of which two fingerprints within the radius share one, so nothing
+is lost; at the wide radius of a set similarity, long fingerprints meet where they agree on
+samples of bits, as many samples as the asked recall takes at the corpus' size. Inside a
+bucket, rows sorted by population count form tiles; tile pairs whose counts differ by more
+than the radius are skipped, the others are compared by exclusive-or and bit counts. Each
+bucket emits a spanning forest of its links, not all pairs. A bucket above ``hot`` rows is
+dealt out as pairs of its blocks, so that no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fold(hashes: np.ndarray) -> int:
-    """Bit i is 1 if set in over half of the hashes; zero without hashes."""
+    """64 bits, bit i 1 if set in over half of the hashes; zero without hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)]
@@ -63,18 +65,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def forest(fps: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (node, root) of a spanning forest of the links among fps."""
-    pops = np.bitwise_count(fps)
+    """Index pairs (node, root) of a spanning forest of the links among fps (rows of one or more 64-bit lanes)."""
+    fps = fps.reshape(len(fps), -1)
+    pops = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(pops, kind="stable")
-    f, pops = fps[order], pops[order].astype(np.int64)
-    n = len(f)
+    f, pops = np.ascontiguousarray(fps[order].T), pops[order]
+    n = len(pops)
     root = np.arange(n)
     for i in range(0, n, tile):
-        x, top = f[i : i + tile], pops[min(i + tile, n) - 1]
+        x, top = f[:, i : i + tile], pops[min(i + tile, n) - 1]
         for j in range(i, n, tile):
             if pops[j] - top > radius:
                 break
-            a, b = np.nonzero(np.bitwise_count(x[:, None] ^ f[None, j : j + tile]) <= radius)
+            apart = np.bitwise_count(x[0][:, None] ^ f[0][None, j : j + tile]).astype(np.uint16 if len(f) > 1 else np.uint8, copy=False)
+            for lane in range(1, len(f)):
+                apart += np.bitwise_count(x[lane][:, None] ^ f[lane][None, j : j + tile])
+            a, b = np.nonzero(apart <= radius)
             a, b = a + i, b + j
             keep = root[a] != root[b]
             a, b = a[keep], b[keep]
@@ -89,51 +95,69 @@ def forest(fps: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray,
     return order[child], order[root[child]]
 
 
-def _blocks(low: int, high: int, parts: int) -> list[tuple[int, int]]:
-    edges = [low + (high - low) * k // parts for k in range(parts + 1)]
-    return list(zip(edges, edges[1:], strict=False))
+def shared_blocks(distinct: DataFrame, radius: int) -> DataFrame:
+    """f0, rep, block, value: each fingerprint under every one of its radius + 1 bit blocks. distinct: f0 (unique), rep (long)."""
+    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+    cuts = [F.shiftrightunsigned("f0", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("long") for low, high in zip(edges, edges[1:], strict=False)]
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("block"), c.alias("value")) for k, c in enumerate(cuts)])
+    return distinct.select("f0", "rep", F.explode(keys).alias("k")).select("f0", "rep", "k.block", "k.value")
 
 
-def _value(fp, low: int, high: int):
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("long")
+def bit_samples(lanes: int, rows: int, agree: float, recall: float, per_bucket: int = 32, seed: int = SEED) -> np.ndarray:
+    """Samples of bit places (one row each): enough that two fingerprints agreeing on a share ``agree`` of all bits share one with the asked probability.
+
+    Samples are as long as keeps about per_bucket unrelated rows of ``rows`` in a bucket.
+    """
+    size = int(min(48, max(4, math.ceil(math.log2(max(2, rows) / per_bucket)))))
+    many = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**size)))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(64 * lanes, size, replace=False) for _ in range(many)])
+
+
+def shared_samples(distinct: DataFrame, lanes: int, samples: np.ndarray) -> DataFrame:
+    """f0, f1, ..., rep, block, value: each fingerprint under its bits at every sample."""
+    weight = np.zeros((64 * lanes, len(samples)))
+    for k, places in enumerate(samples):
+        weight[places, k] = 2.0 ** np.arange(len(places))  # sums stay whole below 2**53
+    names = [f"f{k}" for k in range(lanes)] + ["rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                cols = [c.slice(s, 2048).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+                bits = np.unpackbits(np.stack(cols[:-1], axis=1).view(np.uint8), axis=1, bitorder="little")
+                value = (bits.astype(np.float64) @ weight).astype(np.int64)
+                n, many = value.shape
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(c, many)) for c in cols], pa.array(np.tile(np.arange(many), n)), pa.array(value.ravel())], [*names, "block", "value"])
+
+    return distinct.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "block", "value"]))
 
 
-def links(distinct: DataFrame, radius: int = 4, hot: int = 50_000) -> DataFrame:
-    """a, b: representatives of fingerprints at radius or fewer differing bits (a spanning set of such links).
+def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -> DataFrame:
+    """a, b: representatives of fingerprints at radius or fewer differing bits that share a bucket (a spanning set of such links).
 
-    distinct: fp (unique), rep (long).
+    keyed: f0, ..., rep, block, value. A bucket above hot rows is dealt out as all pairs of its blocks of about hot rows.
     """
-    parts = _blocks(0, 64, radius + 1)
-    keyed = distinct.select(
-        "fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _value(F.col("fp"), *p).alias("value")) for k, p in enumerate(parts)])).alias("k")
-    ).select("fp", "rep", "k.block", "k.value")
-    crowded = keyed.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.lit(True).alias("crowded"))
-    marked = keyed.join(crowded, ["block", "value"], "left")
-    # Bits below and above the agreed block, cut again: one more agreement among radius + 1 parts of the rest.
-    rest = None
-    for k, (low, high) in enumerate(parts):
-        squeezed = F.shiftleft(F.shiftrightunsigned(F.col("fp"), high) if high < 64 else F.lit(0).cast("long"), low).bitwiseOR(
-            F.col("fp").bitwiseAND(F.lit((1 << low) - 1).cast("long"))
-        )
-        again = F.array(*[F.struct(F.lit(i).alias("sub"), _value(squeezed, *p).alias("subvalue")) for i, p in enumerate(_blocks(0, 64 - (high - low), radius + 1))])
-        rest = F.when(F.col("block") == k, again) if rest is None else rest.when(F.col("block") == k, again)
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subvalue")))
-    dealt = marked.select("fp", "rep", "block", "value", F.explode(F.when(F.col("crowded"), rest).otherwise(whole)).alias("s")).select(
-        "fp", "rep", "block", "value", "s.sub", "s.subvalue"
-    )
+    crowded = keyed.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
+    rows = keyed.join(crowded, ["block", "value"], "left")
+    mine = F.pmod(F.xxhash64("f0", "rep"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    names = [f"f{k}" for k in range(lanes)] + ["rep"]
+    dealt = rows.select(*names, "block", "value", F.explode(F.coalesce(pairs, one)).alias("p")).select(*names, "block", "value", "p.i", "p.j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((rows[1:, 2:] != rows[:-1, 2:]).any(axis=1)) + 1
+            cuts = np.flatnonzero((rows[1:, lanes + 1 :] != rows[:-1, lanes + 1 :]).any(axis=1)) + 1
             bounds = np.concatenate(([0], cuts, [len(rows)]))
             a, b = [], []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    x, y = forest(rows[s:e, 0].view(np.uint64), radius)
-                    a.append(rows[s:e, 1][x])
-                    b.append(rows[s:e, 1][y])
+                    x, y = forest(np.ascontiguousarray(rows[s:e, :lanes]).view(np.uint64), radius)
+                    a.append(rows[s:e, lanes][x])
+                    b.append(rows[s:e, lanes][y])
             none = np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
@@ -141,20 +165,20 @@ def links(distinct: DataFrame, radius: int = 4, hot: int = 50_000) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            same = (rows[:, 2:] == rows[-1, 2:]).all(axis=1)
+            same = (rows[:, lanes + 1 :] == rows[-1, lanes + 1 :]).all(axis=1)
             first = int(np.argmax(same))  # start of the bucket that may go on in the next batch
             if first:
-                yield flush(np.ascontiguousarray(np.concatenate([*held, rows[:first]])))
+                yield flush(np.concatenate([*held, rows[:first]]))
                 held = []
             held.append(rows[first:])
         if held:
-            yield flush(np.ascontiguousarray(np.concatenate(held)))
+            yield flush(np.concatenate(held))
 
-    key = ["block", "value", "sub", "subvalue"]
+    key = ["block", "value", "i", "j"]
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = 50_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = 20_000) -> DataFrame:
     """id, fp, component_id per row.
 
     component_id is the smallest id reachable over links, itself included. Null text is
@@ -163,14 +187,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     distinct = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    parts = connected_components(links(distinct, radius, hot))
+    parts = connected_components(links(shared_blocks(distinct.withColumnRenamed("fp", "f0"), radius), radius, 1, hot))
     labels = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """Rows whose id is the smallest of their component; all columns are kept, rows with a null id too."""
-    copies = cut(near_duplicates(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias("__copy")).distinct())
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, lanes: int) -> DataFrame:
+    """id, same (a digest of the set of shingles), f0, f1, ... of each whole text's set of shingles."""
+    odd = np.random.default_rng(SEED).integers(1, 1 << 63, lanes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, fps = [], []
+            for t in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t or b"", width))
+                same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append([fold(_mixed(h, m)) for m in odd])
+            lane = np.array(fps, np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *[pa.array(lane[:, k]) for k in range(lanes)]], ["id", "same", *[f"f{k}" for k in range(lanes)]])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return slim.mapInArrow(run, "id long, same binary, " + ", ".join(f"f{k} long" for k in range(lanes)))
+
+
+def _mixed(hashes: np.ndarray, odd: np.uint64) -> np.ndarray:
+    """New hashes of hashes."""
+    h = hashes * odd
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits between sets of equal size and this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.95, hot: int = 20_000) -> DataFrame:
+    """id, component_id per row with an id: texts link whose sets of word shingles are alike by their fingerprints.
+
+    Fingerprints link within the differing bits that the Jaccard similarity leads to expect, so
+    the similarity is the fingerprints' estimate of it. Two texts at the similarity share a bucket with probability
+    ``recall``, closer ones nearly always. Equal sets link always; null and empty texts are
+    one set, and texts shorter than a shingle are one shingle.
+    """
+    fps = stored(wide_fingerprints(docs, id_col, text_col, width, lanes).where("id is not null"), "simhash-wide")
+    names = [f"f{k}" for k in range(lanes)]
+    distinct = stored(fps.groupBy("same").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in names]), "simhash-sets")
+    share = differing_share(similarity)
+    radius = math.ceil(64 * lanes * share)
+    samples = bit_samples(lanes, distinct.count(), 1 - share, recall)
+    parts = connected_components(links(stored(shared_samples(distinct, lanes, samples), "simhash-keyed"), radius, lanes, hot))
+    labels = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(labels, "same").select("id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000, **how) -> DataFrame:
+    """Rows whose id is the smallest of their component of similar texts; all columns are kept, rows with a null id too."""
+    copies = cut(similar(docs, id_col, text_col, **how).where("id <> component_id").select(F.col("id").alias("__copy")).distinct())
     if small_enough(copies, most_broadcast):
         copies = F.broadcast(copies)
     return docs.join(copies, docs[id_col].cast("long") == copies["__copy"], "left_anti")

@@ -44,7 +44,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
+@pytest.mark.parametrize("hot", [20_000, 3])
 def test_against_brute_force(spark, hot):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
@@ -62,8 +62,45 @@ def test_keeps_one_of_each_group_and_all_columns(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 9]
 
 
+def shingles(text, width=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or {" ".join(w)}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("hot", [20_000, 8])
+def test_similar_texts(spark, hot):
+    """Edited copies at 0.8 and above are found, unrelated texts and texts with a shared half stay apart, whatever is crowded."""
+    rng = np.random.default_rng(9)
+    rows, pairs, apart = [(0, None), (1, ""), (2, "two words"), (3, "Two  Words"), (4, "other words")], [], []
+    for k in range(120):
+        base = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(150, 900)))]
+        edited = list(base)
+        for at in rng.choice(len(base), max(1, int(len(base) * (0.005 + 0.035 * k / 120))), replace=False):
+            edited[at] = f"e{k}x{at}"
+        half = base[: len(base) // 2] + [f"h{k}x{x}" for x in range(len(base) // 2)]
+        a, b, c = 10 + 3 * k, 11 + 3 * k, 12 + 3 * k
+        rows += [(a, " ".join(base)), (b, " ".join(edited)), (c, " ".join(half))]
+        pairs.append((a, b, jaccard(" ".join(base), " ".join(edited))))
+        apart.append(c)
+    rows += [(1000 + k, " ".join([f"w{x}" for x in range(200)] + [f"tail{k}"])) for k in range(50)]  # one crowd of near copies
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
+    label = {r["id"]: r["component_id"] for r in simhash.similar(df, hot=hot).collect()}
+    close = [(a, b, j) for a, b, j in pairs if j >= 0.85]
+    assert len(close) > 40 and sum(label[a] == label[b] == a for a, b, _ in close) >= 0.95 * len(close)
+    edge = [(a, b) for a, b, j in pairs if 0.8 <= j < 0.85]
+    assert len(edge) > 5 and sum(label[a] == label[b] for a, b in edge) >= 0.7 * len(edge)
+    assert all(label[c] == c for c in apart)
+    assert {label[1000 + k] for k in range(50)} == {1000} and label[1] == 0 and label[3] == 2 and label[4] == 4
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
+    assert simhash.similar(df).count() == 0
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.keep_representatives(df).count() == 0
 
