@@ -3,8 +3,10 @@
 On a bounded sample (``sample_rows``, chosen by a hash of the id) a neighbour graph is
 cut into equal parts, and a small network learns to tell a vector's parts from its
 coordinates. Every row is indexed under its most probable part; a query goes to as many
-of its most probable parts as the sample's own neighbours need for ``recall``, and the
-candidates there are reranked by exact cosine.
+of its most probable parts as the neighbours of sampled rows kept out of the training need
+for ``recall``, and the candidates there are reranked by exact cosine. The number of parts
+follows the sample. A part above ``rows_per_part`` rows is cut once more the same way, by a
+graph and a network of its own, fitted to a bounded sample of the part.
 
 Equal vectors are indexed once with their few smallest ids, since ties go to the smaller
 id, and equal queries are searched once, so a vector that a third of all rows share
@@ -13,9 +15,12 @@ costs no more than another. Large parts are dealt out in blocks that any task ca
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,8 +133,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, parts: int, top: int = 5, neighbours: int = 10, recall: float = 0.98) -> Router:
-    """A router for unit vectors x, with the number of probes that the sample's nearest rows need."""
+def fit(x: np.ndarray, parts: int, top: int = 5, neighbours: int = 10, recall: float = 0.98, seed: int = 5) -> Router:
+    """A router for unit vectors x, trained on four fifths of them, with the number of probes that the nearest rows of the others need."""
     router = Router(x.shape[1], parts)
     if parts == 1 or len(x) < 2:
         router.probes = parts
@@ -139,16 +144,24 @@ def fit(x: np.ndarray, parts: int, top: int = 5, neighbours: int = 10, recall: f
     target = np.zeros((len(x), parts))
     near = np.concatenate([np.arange(len(x))[:, None], graph], axis=1)
     np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), label[near].ravel()), 1 / near.shape[1])
-    router.train(x, target)
+    out = np.random.default_rng(seed).random(len(x)) < 0.2
+    if not out.any() or out.all():
+        out[:] = False
+    router.train(x[~out], target[~out])
     order = router.order(x)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(x), axis=0), axis=1)
-    held = order[:, 0]
-    needed = np.take_along_axis(rank, held[graph[:, :top]], axis=1).ravel()
+    ask = np.flatnonzero(out) if out.any() else np.arange(len(x))
+    needed = np.take_along_axis(rank[ask], order[:, 0][graph[ask, :top]], axis=1).ravel()
     router.probes = int(min(parts, 1 + np.searchsorted(np.cumsum(np.bincount(needed, minlength=parts)) / len(needed), recall)))
     return router
 
 
+def _parts(sampled: int, most: int) -> int:
+    """Parts for a sample: 32 rows each, whatever the table's size."""
+    return int(max(1, min(most, sampled // 32)))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -160,8 +173,8 @@ def nearest(
     every: int = 50,
     top: int = 5,
     sample_rows: int = 8192,
-    rows_per_part: int = 2048,
-    most_parts: int = 128,
+    most_parts: int = 64,
+    rows_per_part: int = 65_536,
     block_rows: int = 8192,
     recall: float = 0.95,
     probes: int | None = None,
@@ -170,6 +183,7 @@ def nearest(
 
     Ties go to the smaller id; a query's own id is no candidate. Invalid vectors, null ids
     and vectors of another length than most take no part. Repeated queries count once.
+    Other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null").where(valid(F.col("v")))
@@ -184,35 +198,58 @@ def nearest(
         rows.select("id", "v").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.element_at("ids", 1)),
         "ann",
     )
-    count = distinct.count()
     sample = distinct.select("key", "v").orderBy(F.xxhash64("key", F.lit(11)), "key").limit(sample_rows).toPandas()
-    parts = int(min(most_parts, max(1, count // rows_per_part), max(1, len(sample) // 32)))
-    router = fit(_unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), parts, top, recall=recall)
-    if probes is not None:
-        router.probes = min(probes, parts)
+    parts = _parts(len(sample), most_parts)
+    router = fit(_unit(np.stack(sample["v"].to_numpy()).astype(np.float64)), parts, top, recall=math.sqrt(recall))
     sent = spark.sparkContext.broadcast(router)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                order = held.order(_unit(_matrix(batch.column(1), dim)))[:, : held.probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32), order.ravel())],
-                    ["key", "v", "ids", "parts"],
-                )
-
-    routed = stored(distinct.select("key", "v", "ids").mapInArrow(route, "key long, v array<double>, ids array<long>, parts array<int>"), "ann-routed")
-    held = {r["part"]: r["count"] for r in routed.groupBy(F.element_at("parts", 1).alias("part")).count().collect()}  # at most most_parts rows
-    blocks = F.array(*[F.lit(max(1, -(-held.get(p, 0) // block_rows))) for p in range(parts)])
-    candidates = routed.select(
-        F.element_at("parts", 1).alias("part"), F.pmod(F.xxhash64("key"), F.get(blocks, F.element_at("parts", 1))).cast("int").alias("block"), F.lit(0).alias("asks"), "key", "v", "ids"
-    )
+                part = sent.value.order(_unit(_matrix(batch.column(1), dim)))[:, 0].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["key", "v", "ids", "part"])
+
+    placed = stored(distinct.select("key", "v", "ids").mapInArrow(home, "key long, v array<double>, ids array<long>, part int"), "ann-placed")
+    under = _sub_routers(placed, rows_per_part, sample_rows, most_parts, top, math.sqrt(recall))
+    if probes is not None:
+        for r in (router, *under.values()):
+            r.probes = min(probes, len(r.b[1]))
+    subs, sent = spark.sparkContext.broadcast(under), spark.sparkContext.broadcast(router)
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, out = batch.column(3).to_numpy(), np.zeros(batch.num_rows, np.int32)
+            x = _unit(_matrix(batch.column(1), dim)) if batch.num_rows else None
+            for p in np.unique(part).tolist():
+                if p in subs.value:
+                    mine = np.flatnonzero(part == p)
+                    out[mine] = subs.value[p].order(x[mine])[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array((part * most_parts + out).astype(np.int32)), *batch.columns[:3]], ["leaf", "key", "v", "ids"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(_matrix(batch.column(1), dim))
+            order = sent.value.order(x)[:, : sent.value.probes]
+            leaves: list[list[int]] = [[] for _ in range(len(x))]
+            for p in np.unique(order).tolist():
+                mine = np.flatnonzero((order == p).any(axis=1))
+                sub = subs.value[p].order(x[mine])[:, : subs.value[p].probes] if p in subs.value else np.zeros((len(mine), 1), np.int64)
+                for row, some in zip(mine.tolist(), (p * most_parts + sub).tolist(), strict=True):
+                    leaves[row] += some
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["key", "v", "leaves"])
+
+    indexed = stored(placed.mapInArrow(leaf, "leaf int, key long, v array<double>, ids array<long>"), "ann-indexed")
+    # At most most_parts squared rows: one per leaf.
+    blocks = F.broadcast(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    candidates = indexed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(0).alias("asks"), "key", "v", "ids")
     asked = rows.where(F.col("id") % every == 0).select("id", "v").distinct()
-    asking = routed.join(asked.select("v").distinct(), "v", "left_semi")
+    asking = placed.join(asked.select("v").distinct(), "v", "left_semi").select("key", "v").mapInArrow(ask, "key long, v array<double>, leaves array<int>")
     questions = (
-        asking.select("key", "v", F.explode("parts").alias("part"))
-        .select("part", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)).alias("block"), F.lit(1).alias("asks"), "key", "v", F.array().cast("array<long>").alias("ids"))
+        asking.select("key", "v", F.explode("leaves").alias("leaf"))
+        .join(blocks, "leaf")
+        .select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "key", "v", F.array().cast("array<long>").alias("ids"))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +274,7 @@ def nearest(
                     ready = every_x, _unit(every_x)
                 yield _answer(batch.column(3).slice(s, e - s).to_numpy(), v, *ready, ids, top + 1)
 
-    dealt = candidates.unionByName(questions).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+    dealt = candidates.unionByName(questions).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "asks")
     found = dealt.mapInArrow(search, "key long, vec_id long, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top + 1).drop("n")
@@ -252,6 +289,20 @@ def nearest(
     )
 
 
+def _sub_routers(placed: DataFrame, rows_per_part: int, sample_rows: int, most_parts: int, top: int, recall: float) -> dict[int, Router]:
+    """A router for each part above rows_per_part rows, fitted in a task of its own to at most sample_rows rows of the part."""
+    large = placed.groupBy("part").count().where(F.col("count") > rows_per_part).select("part")  # at most most_parts rows
+    chosen = Window.partitionBy("part").orderBy(F.xxhash64("key", F.lit(13)), "key")
+    sample = placed.join(F.broadcast(large), "part").select("part", "key", "v").withColumn("n", F.row_number().over(chosen)).where(F.col("n") <= sample_rows)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+        router = fit(_unit(np.stack(rows["v"].to_numpy()).astype(np.float64)), _parts(len(rows), most_parts), top, recall=recall)
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "router": [pickle.dumps(router)]})
+
+    return {r["part"]: pickle.loads(r["router"]) for r in sample.groupBy("part").applyInPandas(learn, "part int, router binary").collect()}
+
+
 def _answer(keys: np.ndarray, q: np.ndarray, x: np.ndarray, unit: np.ndarray, ids: list[list[int]], top: int) -> pa.RecordBatch:
     """The top rows of one block for each query: a matrix product finds them, the exact cosine in a fixed order of sums ranks them."""
     out_key, out_id, out_score = [], [], []

@@ -44,6 +44,22 @@ def test_all_probes_are_exact_and_few_reach_the_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_production_parameters_route_and_reach_the_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    dim = len(next(v for _, v in rows if v))
+    ids = np.array([i for i, v in rows if v and len(v) == dim and np.isfinite(v).all() and any(v)])
+    x = np.array([v for _, v in rows if v and len(v) == dim and np.isfinite(v).all() and any(v)], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = answers(ann.nearest(df))
+    hits = []
+    for i, q in zip(ids, x, strict=True):
+        if i % 50 == 0:
+            near = [j for _, j in sorted((-float(s), int(j)) for s, j in zip(x @ q, ids, strict=True) if j != i)[:5]]
+            hits.append(len({j for j, _ in got[int(i)]} & set(near)) / 5)
+    assert np.mean(hits) >= 0.9 and ann._parts(len(x), 64) > 8  # parts and routing even on a small table
+
+
 def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0] * 8, 1, 0.0), (3, [2.0] * 8, 1, 0.0), (4, [-1.0] * 8, 1, 0.0)], SCHEMA)
     got = answers(ann.nearest(df))
