@@ -60,7 +60,7 @@ class Hasher:
         return pair
 
     def encode(self, text: str | None) -> tuple[np.ndarray, int]:
-        """int32 pairs of a whole text, and its language (index into LANGUAGES, or their number if unknown)."""
+        """int32 pairs of a whole text, and its language (index into LANGUAGES, or their number if none leads)."""
         ws = words(text)
         get, make = self.known.get, self._hash
         pairs = np.array([get(w) or make(w) for w in ws], np.int32).reshape(-1, 2)
@@ -69,7 +69,8 @@ class Hasher:
         for w in ws:
             for k in look(w, ()):
                 votes[k] += 1
-        return pairs, votes.index(max(votes)) if max(votes) else len(LANGUAGES)
+        most = max(votes)
+        return pairs, votes.index(most) if votes.count(most) == 1 else len(LANGUAGES)
 
 
 class Network:
@@ -207,15 +208,27 @@ def calibrate(net: Network, z: np.ndarray, y: np.ndarray, language: np.ndarray,
     net.scale = float(3.0 / max(1e-3, np.median(spread)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, seed: int = 7) -> Network | None:
-    """Train on at most sample_rows labelled rows, chosen by a hash of the id; None without both labels.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, sample_bytes: int = 96 << 20, seed: int = 7) -> Network | None:
+    """Train on at most sample_rows labelled rows of together at most sample_bytes of text, chosen by a hash of the id; None without both labels.
 
-    An id with several labels counts as toxic if any is; ids without a text are left out.
+    An id with several labels counts as toxic if any is, one with several texts by the text
+    of the smallest hash; ids without a text are left out, and texts that no longer fit in
+    sample_bytes are passed over. What reaches the driver is bounded by these two numbers.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    picked = slim.join(F.broadcast(chosen), "id").select("id", "y", "t")
+    texts_of = slim.join(F.broadcast(chosen), "id").select("id", "y", "t", F.xxhash64("t").alias("h"))
+    known = texts_of.groupBy("id").agg(F.min(F.struct("h", F.octet_length("t").alias("n"))).alias("s")).select("id", "s.h", "s.n")
+    fits, room = [], sample_bytes
+    for r in known.orderBy(F.xxhash64("id", F.lit(seed)), "id").collect():  # at most sample_rows rows of three numbers
+        if r["n"] <= room:
+            fits.append((r["id"], r["h"]))
+            room -= r["n"]
+    if not fits:
+        return None
+    use = docs.sparkSession.createDataFrame(fits, "id long, h long")
+    picked = texts_of.join(F.broadcast(use), ["id", "h"]).groupBy("id").agg(F.first("y").alias("y"), F.min("t").alias("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -254,9 +267,9 @@ def _groups(texts: list[np.ndarray], most: int = 50_000) -> Iterator[list[np.nda
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted for every row from its whole text; null and empty texts get the score of no words.
+    """id, score, predicted for every row from its whole text, however long; null and empty texts get the score of no words.
 
-    Without a network (no labelled rows of both kinds) every score is 0.
+    Rows with null or repeated ids each give a row; other columns are ignored. Without a network (no labelled rows of both kinds) every score is 0.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     if net is None:

@@ -77,3 +77,18 @@ def test_filtering_keeps_clean_rows_and_columns(spark):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     clean = {i for i, _, y in labels if not y}
     assert len(clean - ids) <= 2 and len(ids - clean) <= 3
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    rows, labels = made(200, 5)
+    rows += [(i, "river " * 20_000, "en", 0.0, 1) for i in range(0, 200, 3) for _ in range(3)]  # repeated ids with long texts
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    toxicity_train = toxicity.train
+    try:
+        toxicity.train = lambda texts, y, **how: (seen.append(sum(8 * len(t) for t in texts)), toxicity_train(texts, y, **how))[1]
+        assert toxicity.fit(docs, lab, sample_bytes=200_000) is not None and seen[-1] < 400_000
+        assert toxicity.fit(docs, lab, sample_rows=60) is not None
+    finally:
+        toxicity.train = toxicity_train
+    assert toxicity.fit(docs, lab, sample_bytes=10) is None
