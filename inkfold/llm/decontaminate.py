@@ -6,9 +6,11 @@ ones most items hold, and few enough of these are left out that a third of the l
 fall on seeds, whatever the corpus. Seeds are counted in stretches of the longest passage
 that such an alignment spans; the item is aligned with every two neighbouring stretches
 that hold enough of them, so no alignment at the threshold is lost. The score is the
-alignment's share of a perfect one, so copies with edits keep most of it. Benchmark items
+alignment's share of a perfect one, so copies with edits keep most of it. Items of fewer
+than ``least_words`` words match where all their words stand in a row. Benchmark items
 reach the tasks in blocks of at most ``block_items`` items and ``block_chars`` characters,
-each block against all rows; a larger benchmark takes more blocks, not larger ones.
+each block against all rows; a larger benchmark takes more blocks, not larger ones, and the
+driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm._common import cut, small_enough
+from inkfold.llm._common import cut, small_enough, stored
 from inkfold.llm._text import words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -37,18 +39,20 @@ class Items:
         self.ids, self.words = [], []
         for item_id, text in items:
             nums = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
-            if len(nums) >= max(1, least_words):
+            if nums:
                 self.ids.append(item_id)
                 self.words.append(np.array(nums, np.int32))
         held_by = np.zeros(len(self.vocab) + 1, np.int64)
         for nums in self.words:
             held_by[np.unique(nums)] += 1
+        self.share = np.array([threshold if len(nums) >= least_words else 1.0 for nums in self.words])
         self.need, self.reach = np.ones(len(self.ids), np.int64), np.ones(len(self.ids), np.int64)
         of, seeds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, nums in enumerate(self.words):
             # A score of threshold * MATCH * length takes this many matches, on a passage of at most so many words.
-            matches = max(1, math.ceil(threshold * len(nums) - 1e-9))
-            self.reach[k] = max(1, math.floor((1 + MATCH - threshold * MATCH) * len(nums) + 1e-9))
+            least = self.share[k]
+            matches = max(1, math.ceil(least * len(nums) - 1e-9))
+            self.reach[k] = max(1, math.floor((1 + MATCH - least * MATCH) * len(nums) + 1e-9))
             self.need[k] = (matches + 2) // 3
             mine = np.unique(nums[np.lexsort((nums, -held_by[nums]))[matches - self.need[k] :]])
             of.append(np.full(len(mine), k, np.int64))
@@ -173,7 +177,6 @@ def matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    rare: int = 100,
     least_words: int = 5,
     threshold: float = THRESHOLD,
     block_items: int = 20_000,
@@ -182,22 +185,23 @@ def matches(
     """id, item_id, score, end_word: one row per document row and item whose alignment reaches the threshold.
 
     score is the best local alignment over a perfect one (2 a word, -1 a mismatch or gap).
-    Null and empty texts match nothing, nor do items of fewer than least_words words, which
-    ordinary prose holds as well; repeated documents each give their rows. rare is taken
-    for older callers and changes nothing.
+    Null and empty texts and items without a word match nothing; items of fewer than
+    least_words words need score 1. Repeated documents each give their rows, texts of any
+    length are searched whole, other columns are ignored.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
     for block in _blocks(benchmark, item_col, item_text_col, block_items, block_chars):
-        part = _match_block(slim, Items(block, threshold, least_words), threshold)
+        part = _match_block(slim, Items(block, threshold, least_words))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "id long, item_id long, score double, end_word int")
     return found
 
 
-def _match_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+def _match_block(docs: DataFrame, items: Items) -> DataFrame:
+    """The matches of one block, written out so that its broadcast can go before the next block comes."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +214,7 @@ def _match_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 score, end = align([held.words[k] for _, k, _, _ in some], [w for *_, w in some])
                 for (row, k, start, _), x, e in zip(some, score.tolist(), end.tolist(), strict=True):
                     share = x / (MATCH * len(held.words[k]))
-                    if share >= threshold and (-share, start + e) < best.get((row, k), (0.0, 0)):
+                    if share >= held.share[k] - 1e-12 and (-share, start + e) < best.get((row, k), (0.0, 0)):
                         best[(row, k)] = (-share, start + e)
 
         for batch in batches:
@@ -225,7 +229,7 @@ def _match_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 if tokens < 100_000 and row + 1 < batch.num_rows:
                     continue
                 for r, k, s, e in held.candidates(texts):
-                    item, least = len(held.words[k]), threshold * MATCH * len(held.words[k])
+                    item, least = len(held.words[k]), held.share[k] * MATCH * len(held.words[k])
                     for x, y in _pieces(s, e, max(item, int(held.reach[k] + 1) // 2)):
                         passage = texts[r][x:y]
                         if held.may_reach(k, passage, least - 1e-9):
@@ -246,7 +250,9 @@ def _match_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 ["id", "item_id", "score", "end_word"],
             )
 
-    return docs.mapInArrow(search, "id long, item_id long, score double, end_word int")
+    out = stored(docs.mapInArrow(search, "id long, item_id long, score double, end_word int"), "matches")
+    sent.destroy()
+    return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1_000_000, **how) -> DataFrame:
