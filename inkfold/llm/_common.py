@@ -20,14 +20,33 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="inkfold-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+_MADE: list[str] = []  # scratch paths not yet discarded, oldest first
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkfold-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/inkfold-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def scratch_mark() -> int:
+    """A point to which discard() can go back."""
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete scratch tables written since a mark, but those to keep; tables read from them are gone after that."""
+    for path in [p for p in _MADE[since:] if p not in keep]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _MADE.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

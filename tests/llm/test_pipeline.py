@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
-from inkfold.llm import decontaminate, mixing, simhash, toxicity
+from inkfold.llm import _common, decontaminate, mixing, simhash, toxicity
 from tests.llm.test_decontaminate import slow_score
 from tests.llm.test_simhash import shingles
 from tests.llm.test_spans import slow_secrets
@@ -62,3 +64,13 @@ def test_stages_keep_clashing_columns_and_empty_tables(spark):
         assert out.schema == docs.schema and 0 < out.count() <= 40
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.mix_sources(spark, docs.limit(0), SF).count() == 0
+
+
+def test_scratch_goes_when_a_stage_is_done(spark, tmp_path):
+    mark = _common.scratch_mark()
+    a, b = _common.stored(spark.range(3), "a"), _common.stored(spark.range(4), "b")
+    kept = _common._MADE[-1]
+    _common.discard(spark, mark, keep=(kept,))
+    assert _common._MADE[mark:] == [kept] and b.count() == 4
+    with pytest.raises(Exception):
+        a.count()
