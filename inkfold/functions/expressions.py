@@ -20,6 +20,10 @@ def whole(x: str) -> str:
     return f"CAST(floor({x}) AS BIGINT)"
 
 
+def toward_zero(x: str) -> str:
+    return f"CAST(CASE WHEN ({x}) < 0 THEN ceil({x}) ELSE floor({x}) END AS BIGINT)"
+
+
 def clamp(x: str, low: str, high: str) -> str:
     return f"greatest({low}, least({high}, {x}))"
 

@@ -46,14 +46,16 @@ turns AS (SELECT ring_id, pos, {E.rounded(E.turn_degrees('ax', 'ay', 'bx', 'b_y'
 kept AS (SELECT ring_id, pos, sum(CASE WHEN turn >= 45 THEN 1 ELSE 0 END) AS seen FROM turns GROUP BY ring_id, pos)
 SELECT ring_id, CAST(seen AS BIGINT) AS scales_seen, count(*) AS points FROM kept GROUP BY ring_id, seen""")
 
+# Every point of either outline to the nearest side of the other, closing sides included.
 point_to_segment = Operator(f"""
-WITH segs AS (SELECT ring_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {{rings}} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),
+WITH segs AS (SELECT ring_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM {{rings}} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),
+ways AS (SELECT DISTINCT ring_id AS pair_id, ring_id AS from_id, ring_id + 1 AS to_id FROM {{rings}} UNION ALL SELECT DISTINCT ring_id AS pair_id, ring_id + 1 AS from_id, ring_id AS to_id FROM {{rings}}),
 pairs AS (
-  SELECT a.ring_id AS a_id, s.ring_id AS b_id, a.pos, a.x, a.y, x1, y1, x2 - x1 AS vx, y2 - y1 AS vy FROM {{rings}} a JOIN segs s ON s.ring_id = a.ring_id + 1 AND s.x2 IS NOT NULL WHERE a.pos % 2 = 0
+  SELECT w.pair_id, w.from_id, a.pos, a.x, a.y, x1, y1, x2 - x1 AS vx, y2 - y1 AS vy FROM ways w JOIN {{rings}} a ON a.ring_id = w.from_id JOIN segs s ON s.ring_id = w.to_id
 ),
 feet AS (SELECT *, CASE WHEN vx * vx + vy * vy = 0 THEN 0e0 ELSE {E.clamp('((x - x1) * vx + (y - y1) * vy) / (vx * vx + vy * vy)', '0e0', '1e0')} END AS t FROM pairs),
-near AS (SELECT a_id, b_id, pos, min({E.distance(('x', 'x1 + t * vx'), ('y', 'y1 + t * vy'))}) AS d FROM feet GROUP BY a_id, b_id, pos)
-SELECT a_id, b_id, count(*) AS points, {E.rounded('avg(d)')} AS mean_distance, {E.rounded('max(d)')} AS max_distance FROM near GROUP BY a_id, b_id""")
+near AS (SELECT pair_id, from_id, pos, min({E.distance(('x', 'x1 + t * vx'), ('y', 'y1 + t * vy'))}) AS d FROM feet GROUP BY pair_id, from_id, pos)
+SELECT pair_id, count(*) AS points, {E.rounded('avg(d)')} AS mean_distance, {E.rounded('max(d)')} AS max_distance FROM near GROUP BY pair_id""")
 
 boundary_distance = Operator(f"""
 WITH both_ways AS (

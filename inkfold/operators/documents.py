@@ -121,6 +121,10 @@ WITH paths AS (SELECT doc_id, node_id, 1 + node_id % 3 AS p FROM {nodes} WHERE t
 parts AS (SELECT doc_id, count(*) AS paths, CAST(sum(CASE WHEN p > 1 THEN 1 ELSE 0 END) AS BIGINT) AS compound, CAST(sum(p - 1) AS BIGINT) AS holes FROM paths GROUP BY doc_id)
 SELECT doc_id, paths, compound, holes, CASE WHEN holes = 0 THEN 'NOT_APPLICABLE' WHEN holes < paths THEN 'PRESERVED' ELSE 'CHECK' END AS status FROM parts""")
 
+document_complexity = Operator(f"""
+WITH counts AS (SELECT doc_id, CAST(sum(CASE WHEN type = 'vector_path' THEN 1 ELSE 0 END) AS BIGINT) AS paths FROM {{nodes}} GROUP BY doc_id)
+SELECT doc_id, paths, {E.complexity('paths')} AS complexity FROM counts""")
+
 readiness = Operator(f"""
 WITH {_ISSUES},
 worst AS (SELECT doc_id, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS level, count(DISTINCT rule_id) AS rules FROM issues GROUP BY doc_id),

@@ -21,7 +21,7 @@ SELECT image_id, {E.whole('x / 2')} AS x, {E.whole('y / 2')} AS y, {E.whole('avg
 FROM {{pixels}} GROUP BY image_id, {E.whole('x / 2')}, {E.whole('y / 2')}""")
 
 bilinear_samples = Operator(f"""
-WITH probes AS (SELECT image_id, idx AS probe, x + 0.25e0 AS u, y + 0.75e0 AS v, x AS x0, y AS y0 FROM {{pixels}} WHERE idx % 16 = 0),
+WITH probes AS (SELECT image_id, idx AS probe, x + 0.25e0 AS u, y + 0.75e0 AS v, x AS x0, y AS y0 FROM {{pixels}}),
 corners AS (SELECT 0 AS i, 0 AS j UNION ALL SELECT 1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 1, 1),
 wanted AS (SELECT image_id, probe, x0 + i AS x, y0 + j AS y, CASE WHEN i = 1 THEN u - x0 ELSE 1 - (u - x0) END * CASE WHEN j = 1 THEN v - y0 ELSE 1 - (v - y0) END AS w FROM probes JOIN corners ON true)
 SELECT w.image_id, w.probe, {E.rounded('sum(w.w * (2126 * r + 7152 * g + 722 * b)) / sum(w.w) / 10000')} AS value, count(*) AS corners
@@ -60,7 +60,8 @@ WITH boxes AS (
   SELECT n.doc_id, greatest(0, {E.whole('x_mm')}) AS x0, greatest(0, {E.whole('y_mm')}) AS y0, least({E.whole('width_mm')}, {E.whole('x_mm + w_mm')}) AS x1, least({E.whole('height_mm')}, {E.whole('y_mm + h_mm')}) AS y1
   FROM {{nodes}} n JOIN {{docs}} d ON d.doc_id = n.doc_id WHERE visible AND type IN ('raster_image', 'group', 'vector_path') AND parent_id IS NULL
 ),
-cover AS (SELECT DISTINCT b.doc_id, gx.k AS x, gy.k AS y FROM boxes b JOIN {{lattice}} gx ON gx.k >= b.x0 AND gx.k < b.x1 JOIN {{lattice}} gy ON gy.k >= b.y0 AND gy.k < b.y1),
+lines AS (SELECT doc_id, x0, x1, explode(sequence(y0, y1 - 1)) AS y FROM boxes WHERE x1 > x0 AND y1 > y0),
+cover AS (SELECT DISTINCT doc_id, explode(sequence(x0, x1 - 1)) AS x, y FROM lines),
 sums AS (SELECT doc_id, count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM cover GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(cells, 0) AS BIGINT) AS artwork_cells, CAST(width_mm * height_mm AS BIGINT) AS full_cells, {E.rounded('CASE WHEN width_mm * height_mm > 0 THEN coalesce(cells, 0) / (width_mm * height_mm) ELSE 0 END')} AS coverage, min_x, max_x, min_y, max_y
 FROM {{docs}} d LEFT JOIN sums s ON s.doc_id = d.doc_id""")
@@ -73,7 +74,7 @@ SELECT doc_id, {E.rounded('CASE WHEN canvas > 0 THEN largest / canvas ELSE 0 END
 typographic_palette = Operator(f"""
 WITH size AS (SELECT image_id, max(x) AS w, max(y) AS h FROM {{pixels}} GROUP BY image_id),
 border AS (SELECT p.image_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM {{pixels}} p JOIN size s ON s.image_id = p.image_id WHERE x = 0 OR y = 0 OR x = w OR y = h GROUP BY p.image_id),
-dark AS (SELECT p.image_id, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM {{pixels}} p WHERE a > 0 AND idx % 3 = 0 AND {_GREY} < 100 GROUP BY p.image_id)
+dark AS (SELECT p.image_id, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM {{pixels}} p WHERE a > 0 AND {_GREY} < 100 GROUP BY p.image_id)
 SELECT b.image_id, {E.whole('b.r + 0.5')} AS bg_r, {E.whole('b.g + 0.5')} AS bg_g, {E.whole('b.b + 0.5')} AS bg_b, {E.whole('d.r + 0.5')} AS fg_r, {E.whole('d.g + 0.5')} AS fg_g, {E.whole('d.b + 0.5')} AS fg_b, d.n AS dark_samples
 FROM border b JOIN dark d ON d.image_id = b.image_id""")
 
@@ -82,8 +83,8 @@ SELECT image_id, count(*) AS n, {E.rounded('avg(r)')} AS r, {E.rounded('avg(g)')
 FROM {{pixels}} WHERE a > 0 AND g > r + 20 AND g > b + 20 GROUP BY image_id""")
 
 palette_snap = Operator(f"""
-WITH top AS (SELECT r, g, b, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM {{colours}}),
-palette AS (SELECT r, g, b, k FROM top WHERE k <= 6),
+WITH top AS (SELECT n, r, g, b FROM {{colours}} ORDER BY n DESC, r, g, b LIMIT 6),
+palette AS (SELECT r, g, b, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM top),
 gaps AS (SELECT c.r, c.g, c.b, c.n, p.k, row_number() OVER (PARTITION BY c.r, c.g, c.b ORDER BY (c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b), p.k) AS near,
                 (c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b) AS gap FROM {{colours}} c JOIN palette p ON true)
 SELECT CAST(k AS BIGINT) AS palette_id, count(*) AS colours, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(CASE WHEN gap > 0 THEN n ELSE 0 END) AS BIGINT) AS reassigned, {E.rounded('sqrt(max(gap))')} AS farthest FROM gaps WHERE near = 1 GROUP BY k""")

@@ -114,32 +114,79 @@ SELECT image_id, step, count(*) AS sampled, CAST(sum(CASE WHEN a = 0 THEN 1 ELSE
 FROM {{pixels}} JOIN (SELECT CAST(1 AS BIGINT) AS step UNION ALL SELECT CAST(2 AS BIGINT)) s ON idx % step = 0
 GROUP BY image_id, step""")
 
-ramp_width = Operator(f"""
-WITH grey AS (SELECT image_id, x, y, {E.luminance('r', 'g', 'b')} AS v FROM {{pixels}} WHERE a > 0),
-moves AS (SELECT image_id, x, y, CASE WHEN v > lag(v) OVER w THEN 1 WHEN v < lag(v) OVER w THEN -1 ELSE 0 END AS dir FROM grey WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
-breaks AS (SELECT *, CASE WHEN dir = lag(dir) OVER w AND dir <> 0 THEN 0 ELSE 1 END AS fresh FROM moves WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
-runs AS (SELECT image_id, y, dir, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM breaks),
-lengths AS (SELECT image_id, y, run, least(15, count(*)) AS n FROM runs WHERE dir <> 0 GROUP BY image_id, y, run)
-SELECT image_id, count(*) AS runs, {E.rounded('CAST(sum(n) AS DOUBLE) / count(*)')} AS mean_width, CAST(max(n) AS BIGINT) AS widest FROM lengths GROUP BY image_id""")
-
-local_variety = Operator(f"""
-WITH cells AS (
-  SELECT image_id, {E.whole('x / 8')} AS cx, {E.whole('y / 8')} AS cy, count(DISTINCT {E.whole('r / 64')} * 16 + {E.whole('g / 64')} * 4 + {E.whole('b / 64')}) AS colours
-  FROM {{pixels}} WHERE a > 0 GROUP BY image_id, {E.whole('x / 8')}, {E.whole('y / 8')}
-)
-SELECT image_id, count(*) AS cells, CAST(sum(CASE WHEN colours >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS cpoly FROM cells GROUP BY image_id""")
+# An inner pixel is an edge if one of the nine around it differs by more than this in Lab.
+_EDGE_STEP = 3.8
+_CL, _CA, _CB = E.cielab("r", "g", "b")
+
+
+def _steps_to(names: str) -> str:
+    gaps = [E.distance(("ll", f"{n}_l"), ("la", f"{n}_a"), ("lb", f"{n}_b")) for n in names.split()]
+    return "greatest(" + ", ".join(f"coalesce({g}, 0e0)" for g in gaps) + ")"
+
+
+def _moved(way: str, names: dict[str, str]) -> str:
+    """Lab columns of neighbours as lag (-) and lead (+) over a window."""
+    out = []
+    for new, old in names.items():
+        fn, source = ("lag" if new.startswith(("w", "n")) else "lead"), old
+        out += [f"{fn}({source}{c}) OVER {way} AS {new}_{c}" for c in "lab"]
+    return ", ".join(out)
+
+
+# Whole rasters, row by row: two windows bring the eight neighbours, no join.
+_EDGE_PIXELS = f"""
+lab AS (SELECT image_id, x, y, {_CL} AS ll, {_CA} AS la, {_CB} AS lb FROM {{artwork}}),
+sized AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM {{artwork}} GROUP BY image_id),
+across AS (SELECT *, {_moved('w_row', {'w': 'l', 'e': 'l'})} FROM lab WINDOW w_row AS (PARTITION BY image_id, y ORDER BY x)),
+around AS (SELECT *, {_moved('w_col', {'n': 'l', 's': 'l', 'nw': 'w_', 'ne': 'e_', 'sw': 'w_', 'se': 'e_'})} FROM across WINDOW w_col AS (PARTITION BY image_id, x ORDER BY y)),
+marked AS (
+  SELECT q.*, width, height, CASE WHEN x BETWEEN 1 AND width - 2 AND y BETWEEN 1 AND height - 2 AND {_steps_to('w e n s nw ne sw se')} > {_EDGE_STEP} THEN 1 ELSE 0 END AS edge
+  FROM around q JOIN sized z ON z.image_id = q.image_id
+)"""
+
+
+def _runs(way: str, axis: str) -> str:
+    """Start and end of the run of edge pixels that a pixel lies in, along an axis."""
+    return f"min({axis}) OVER (PARTITION BY image_id, {way}, {axis}_run) AS {axis}_first, max({axis}) OVER (PARTITION BY image_id, {way}, {axis}_run) AS {axis}_last"
+
+
+_BREAKS = """
+numbered AS (
+  SELECT *, sum(1 - edge) OVER (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS x_run, sum(1 - edge) OVER (PARTITION BY image_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) AS y_run FROM marked
+)"""
+_FEATURE_CTES = f"""{_EDGE_PIXELS}, {_BREAKS.strip()},
+spans AS (SELECT *, {_runs('y', 'x')}, {_runs('x', 'y')} FROM numbered WHERE edge = 1),
+samples AS (
+  SELECT *, {E.distance(('w_l', 'e_l'), ('w_a', 'e_a'), ('w_b', 'e_b'))} AS flat, {E.distance(('n_l', 's_l'), ('n_a', 's_a'), ('n_b', 's_b'))} AS steep
+  FROM spans WHERE x >= 5 AND x < width - 5 AND y >= 5 AND y < height - 5 AND (x - 5) % 4 = 0 AND (y - 5) % 4 = 0
+),
+ramps AS (
+  SELECT image_id, count(*) AS samples, CAST(sum(CASE WHEN flat >= steep THEN least(15, x - x_first + 1) + least(15, x_last - x + 1) ELSE least(15, y - y_first + 1) + least(15, y_last - y + 1) END) AS DOUBLE) / count(*) AS wramp
+  FROM samples WHERE greatest(flat, steep) > 15 GROUP BY image_id
+),
+windows AS (
+  SELECT image_id, {E.whole('(x - 6) / 12')} AS ax, {E.whole('(y - 6) / 12')} AS ay, count(DISTINCT {E.toward_zero('ll / 15')} * 65536 + {E.toward_zero('(la + 128) / 15')} * 256 + {E.toward_zero('(lb + 128) / 15')}) AS colours
+  FROM marked WHERE edge = 0 AND x >= 6 AND y >= 6 AND (x - 6) % 12 <= 8 AND (y - 6) % 12 <= 8 AND x % 2 = 0 AND y % 2 = 0
+    AND 10 + 12 * {E.whole('(x - 6) / 12')} < width - 10 AND 10 + 12 * {E.whole('(y - 6) / 12')} < height - 10
+  GROUP BY image_id, {E.whole('(x - 6) / 12')}, {E.whole('(y - 6) / 12')}
+),
+variety AS (SELECT image_id, count(*) AS cells, CAST(sum(CASE WHEN colours >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS cpoly FROM windows GROUP BY image_id)"""
+
+ramp_width = Operator(f"WITH {_FEATURE_CTES} SELECT z.image_id, coalesce(samples, 0) AS samples, {E.rounded('coalesce(wramp, 1e0)')} AS wramp FROM sized z LEFT JOIN ramps r ON r.image_id = z.image_id")
+
+local_variety = Operator(f"WITH {_FEATURE_CTES} SELECT z.image_id, coalesce(cells, 0) AS cells, coalesce(cpoly, 0) AS cpoly FROM sized z LEFT JOIN variety v ON v.image_id = z.image_id")
 
 backend_route = Operator(f"""
-WITH stats AS (
-  SELECT image_id, CAST(count(DISTINCT r) AS DOUBLE) AS cpoly, CAST(max(y) AS DOUBLE) / 7 AS wramp, count(DISTINCT r * 256 + g) * 3 AS paths FROM {{pixels}} GROUP BY image_id
-)
-SELECT image_id, {E.route('cpoly', 'wramp')} AS backend, {E.complexity('paths')} AS complexity FROM stats""")
+WITH {_FEATURE_CTES},
+features AS (SELECT z.image_id, coalesce(v.cpoly, 0) AS cpoly, coalesce(r.wramp, 1e0) AS wramp FROM sized z LEFT JOIN variety v ON v.image_id = z.image_id LEFT JOIN ramps r ON r.image_id = z.image_id)
+SELECT image_id, cpoly, {E.rounded('wramp')} AS wramp, {E.route('cpoly', 'wramp')} AS backend, {E.route('cpoly', 'wramp')} = 'UNCERTAIN' AS needs_validation FROM features""")
 
 white_underbase = Operator(f"""
 WITH boxes AS (
   SELECT doc_id, {E.whole('x_mm')} AS x0, {E.whole('y_mm')} AS y0, {E.whole('x_mm + w_mm')} AS x1, {E.whole('y_mm + h_mm')} AS y1, {E.whole('opacity * 255 + 0.5')} AS alpha
   FROM {{nodes}} WHERE visible AND type NOT IN ('cut_contour', 'technical_guide') AND parent_id IS NULL AND w_mm > 0
 ),
-grid AS (SELECT k FROM {{lattice}}),
-cover AS (SELECT b.doc_id, gx.k AS x, gy.k AS y, max(b.alpha) AS alpha FROM boxes b JOIN grid gx ON gx.k >= b.x0 AND gx.k < b.x1 JOIN grid gy ON gy.k >= b.y0 AND gy.k < b.y1 GROUP BY b.doc_id, gx.k, gy.k)
+lines AS (SELECT doc_id, x0, x1, alpha, explode(sequence(y0, y1 - 1)) AS y FROM boxes WHERE x1 > x0 AND y1 > y0),
+cells AS (SELECT doc_id, alpha, y, explode(sequence(x0, x1 - 1)) AS x FROM lines),
+cover AS (SELECT doc_id, x, y, max(alpha) AS alpha FROM cells GROUP BY doc_id, x, y)
 SELECT doc_id, count(*) AS covered, CAST(sum(alpha) AS BIGINT) AS alpha_sum, CAST(max(alpha) AS BIGINT) AS alpha_max FROM cover GROUP BY doc_id""")

@@ -74,15 +74,16 @@ SELECT image_id, label, area, CAST(neighbours AS BIGINT) AS neighbours,
 FROM offs""")
 
 mixture_endpoint = Operator(f"""
-WITH lead_colours AS (SELECT r, g, b, n, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM {{colours}}),
-owners AS (SELECT r, g, b, k FROM lead_colours WHERE k <= 12),
+WITH top AS (SELECT n, r, g, b FROM {{colours}} ORDER BY n DESC, r, g, b LIMIT 12),
+owners AS (SELECT r, g, b, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM top),
+others AS (SELECT c.r, c.g, c.b FROM {{colours}} c LEFT JOIN top o ON o.r = c.r AND o.g = c.g AND o.b = c.b WHERE o.r IS NULL),
 pairs AS (
   SELECT p.k AS i, q.k AS j, p.r AS r1, p.g AS g1, p.b AS b1, q.r - p.r AS vr, q.g - p.g AS vg, q.b - p.b AS vb
   FROM owners p JOIN owners q ON p.k < q.k
 ),
 shares AS (
   SELECT c.r, c.g, c.b, i, j, r1, g1, b1, vr, vg, vb, CAST((c.r - r1) * vr + (c.g - g1) * vg + (c.b - b1) * vb AS DOUBLE) / (vr * vr + vg * vg + vb * vb) AS t
-  FROM (SELECT r, g, b FROM lead_colours WHERE k > 12) c JOIN pairs ON vr * vr + vg * vg + vb * vb > 0
+  FROM others c JOIN pairs ON vr * vr + vg * vg + vb * vb > 0
 ),
 fits AS (SELECT *, {E.distance(('r', 'r1 + vr * t'), ('g', 'g1 + vg * t'), ('b', 'b1 + vb * t'))} AS off FROM shares WHERE t > 0.02 AND t < 0.98),
 best AS (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY off, i, j) AS k FROM fits)

@@ -52,10 +52,10 @@ turns AS (
   FROM far WHERE n >= 3
 ),
 exact AS (SELECT ring_id, pos, n, w, {E.rounded('near_turn')} AS near_turn, {E.rounded('wide_turn')} AS wide_turn, arms FROM turns),
+around AS (SELECT ring_id, pos, n, wide_turn, explode(sequence(-w, w)) AS d FROM exact WHERE n > 8),
 beaten AS (
-  SELECT DISTINCT t.ring_id, t.pos FROM exact t JOIN exact o ON o.ring_id = t.ring_id AND o.pos <> t.pos AND t.n > 8
-    AND ((o.pos - t.pos + t.n) % t.n <= t.w OR (t.pos - o.pos + t.n) % t.n <= t.w)
-    AND (o.wide_turn > t.wide_turn OR (o.wide_turn = t.wide_turn AND o.pos < t.pos))
+  SELECT DISTINCT t.ring_id, t.pos FROM around t JOIN exact o ON o.ring_id = t.ring_id AND o.pos = (t.pos + t.d + t.n) % t.n
+  WHERE t.d <> 0 AND (o.wide_turn > t.wide_turn OR (o.wide_turn = t.wide_turn AND o.pos < t.pos))
 )
 SELECT t.ring_id, CASE WHEN near_turn >= 45 AND wide_turn >= 35 AND arms >= 0.75 AND b.pos IS NULL THEN 'HARD_CORNER' WHEN wide_turn >= 20 OR near_turn >= 12 THEN 'SOFT_CORNER' ELSE 'REGULAR' END AS class,
        count(*) AS points
@@ -89,9 +89,13 @@ SELECT ring_id, {E.rounded('avg(size)')} AS mean_off, {E.rounded('max(size)')} A
        CAST(sum(flip) AS DOUBLE) / greatest(1, count(*) - 1) >= 0.40 AND max(size) <= 1.4 AS stair_step
 FROM flips GROUP BY ring_id""")
 
-_SEGMENTS = """segs AS (
-  SELECT ring_id, pos, n, x AS x1, y AS y1, nx AS x2, ny AS y2, least(x, nx) AS lx, greatest(x, nx) AS hx, least(y, ny) AS ly, greatest(y, ny) AS hy FROM cyc
-)"""
+# Segments meet only others of their ring that reach into the same strip of eight units; the higher of two first strips makes a pair unique.
+_STRIP = 8
+_SEGMENTS = f"""segs AS (
+  SELECT ring_id, pos, n, x AS x1, y AS y1, nx AS x2, ny AS y2, least(x, nx) AS lx, greatest(x, nx) AS hx, least(y, ny) AS ly, greatest(y, ny) AS hy,
+         {E.whole(f'least(y, ny) / {_STRIP}')} AS first_strip FROM cyc
+),
+cut AS (SELECT *, explode(sequence(first_strip, {E.whole(f'hy / {_STRIP}')})) AS strip FROM segs)"""
 
 
 def _side(a: str, b: str, c: str) -> str:
@@ -102,7 +106,7 @@ segment_intersections = Operator(f"""
 WITH {_CYCLE}, {_SEGMENTS},
 pairs AS (
   SELECT p.ring_id, p.x1 AS x_a, p.y1 AS y_a, p.x2 AS x_b, p.y2 AS y_b, q.x1 AS x_c, q.y1 AS y_c, q.x2 AS x_d, q.y2 AS y_d
-  FROM segs p JOIN segs q ON q.ring_id = p.ring_id AND q.pos > p.pos + 1 AND NOT (p.pos = 0 AND q.pos = p.n - 1)
+  FROM cut p JOIN cut q ON q.ring_id = p.ring_id AND q.strip = p.strip AND p.strip = greatest(p.first_strip, q.first_strip) AND q.pos > p.pos + 1 AND NOT (p.pos = 0 AND q.pos = p.n - 1)
     AND p.lx <= q.hx AND q.lx <= p.hx AND p.ly <= q.hy AND q.ly <= p.hy
 )
 SELECT ring_id, count(*) AS close_pairs,
@@ -110,16 +114,14 @@ SELECT ring_id, count(*) AS close_pairs,
        CAST(sum(CASE WHEN {_side('a', 'b', 'c')} = 0 AND {_side('a', 'b', 'd')} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS overlaps
 FROM pairs GROUP BY ring_id""")
 
+# Every centroid against every ring: a ray to the right crosses only edges of the probe's own strip.
 point_in_ring = Operator(f"""
 WITH {_CYCLE},
-probes AS (SELECT ring_id AS probe_id, avg(x) AS qx, avg(y) AS qy FROM {{rings}} GROUP BY ring_id),
-hits AS (
-  SELECT p.probe_id, c.ring_id, sum(CASE WHEN (c.y > qy) <> (c.ny > qy) AND qx < (c.nx - c.x) * (qy - c.y) / CASE WHEN c.ny = c.y THEN 1 ELSE c.ny - c.y END + c.x THEN 1 ELSE 0 END) AS crossings
-  FROM cyc c JOIN (SELECT ring_id, min(y) AS ly, max(y) AS hy FROM {{rings}} GROUP BY ring_id) b ON b.ring_id = c.ring_id
-  JOIN probes p ON p.qy BETWEEN b.ly AND b.hy AND {E.whole('p.probe_id / 10')} = {E.whole('c.ring_id / 10')} AND p.probe_id <> c.ring_id
-  GROUP BY p.probe_id, c.ring_id
-)
-SELECT probe_id, ring_id, crossings % 2 = 1 AS inside FROM hits""")
+edges AS (SELECT ring_id, x, y, nx, ny, explode(sequence({E.whole(f'least(y, ny) / {_STRIP}')}, {E.whole(f'greatest(y, ny) / {_STRIP}')})) AS strip FROM cyc WHERE y <> ny),
+probes AS (SELECT ring_id AS probe_id, avg(x) AS qx, avg(y) AS qy, {E.whole(f'avg(y) / {_STRIP}')} AS strip FROM {{rings}} GROUP BY ring_id)
+SELECT p.probe_id, e.ring_id, count(*) AS crossings FROM edges e JOIN probes p ON p.strip = e.strip AND p.probe_id <> e.ring_id
+WHERE (e.y > qy) <> (e.ny > qy) AND qx < (e.nx - e.x) * (qy - e.y) / (e.ny - e.y) + e.x
+GROUP BY p.probe_id, e.ring_id HAVING count(*) % 2 = 1""")
 
 containment_tree = Operator(f"""
 WITH boxes AS (SELECT doc_id, node_id, x_mm AS x0, y_mm AS y0, x_mm + w_mm AS x1, y_mm + h_mm AS y1, w_mm * h_mm AS area FROM {{nodes}} WHERE w_mm > 0 AND type <> 'technical_guide'),

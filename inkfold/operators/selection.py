@@ -98,9 +98,12 @@ WITH trials AS (SELECT image_id, t.tolerance, CAST(floor(r / t.tolerance) AS BIG
 SELECT image_id, CAST(sum(CASE WHEN tolerance = 8 THEN 1 ELSE 0 END) AS BIGINT) AS t8, CAST(sum(CASE WHEN tolerance = 16 THEN 1 ELSE 0 END) AS BIGINT) AS t16, CAST(sum(CASE WHEN tolerance = 32 THEN 1 ELSE 0 END) AS BIGINT) AS t32,
        CAST(sum(CASE WHEN tolerance = 64 THEN 1 ELSE 0 END) AS BIGINT) AS t64, {E.rounded('CAST(max(n) AS DOUBLE) / sum(n)')} AS largest_share FROM trials GROUP BY image_id""")
 
+# Every node of a document in order of its id; a change to any of them changes the digest.
 fingerprints = Operator("""
-SELECT doc_id, md5(string_agg(part, '|')) AS fingerprint, count(*) AS nodes FROM (
-  SELECT doc_id, CAST(node_id AS VARCHAR(20)) || ':' || type || ':' || CAST(CAST(x_mm AS BIGINT) AS VARCHAR(20)) AS part FROM {nodes} WHERE node_id = doc_id) q GROUP BY doc_id""")
+SELECT doc_id, sha2(listagg(part, '|') WITHIN GROUP (ORDER BY node_id), 256) AS fingerprint, count(*) AS nodes FROM (
+  SELECT doc_id, node_id, concat_ws(':', CAST(node_id AS VARCHAR(20)), type, CAST(CAST(floor(x_mm * 100 + 0.5) AS BIGINT) AS VARCHAR(20)), CAST(CAST(floor(y_mm * 100 + 0.5) AS BIGINT) AS VARCHAR(20)),
+         CAST(CAST(floor(w_mm * 100 + 0.5) AS BIGINT) AS VARCHAR(20)), CAST(CAST(floor(h_mm * 100 + 0.5) AS BIGINT) AS VARCHAR(20)), CASE WHEN visible THEN 'shown' ELSE 'hidden' END, coalesce(fill, 'none')) AS part FROM {nodes}) q
+GROUP BY doc_id""")
 
 slug_names = Operator("""
-SELECT p_partkey, trim(BOTH '-' FROM regexp_replace(lower(p_name), '[^a-z0-9]+', '-' /*g*/)) AS slug, crc_key FROM (SELECT p_partkey, p_name, length(p_name) AS crc_key FROM {part}) q""")
+SELECT p_partkey, trim(BOTH '-' FROM regexp_replace(lower(p_name), '[^a-z0-9]+', '-' /*g*/)) AS slug, sha2(p_name, 256) AS cache_key FROM {part}""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkfold.operators import contours, curves, documents, governance, graph, kernels, masks, raster, regions, rings, selection
 from inkfold.operators.template import Operator
+from inkfold.plans.oracles import ORACLES
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
 from inkfold.sources import documents as json_documents
@@ -15,7 +16,7 @@ def _declared(name: str, operator: Operator) -> None:
     def query(spark, sf_dir):
         return operator(**{n: view(spark, sf_dir, n) for n in operator.inputs})
 
-    register(name, query, oracle(operator.ansi(), operator.inputs))
+    register(name, query, oracle(ORACLES.get(name) or operator.ansi(), operator.inputs))
 
 
 for _module in (raster, masks, regions, rings, curves, documents, governance, selection):

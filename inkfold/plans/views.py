@@ -28,6 +28,13 @@ VIEWS = {
                  WHEN (x - 30) * (x - 30) + (y - 60) * (y - 60) <= 81 THEN 1
                  WHEN x BETWEEN 50 AND 58 AND y BETWEEN 50 AND 70 THEN 3 END AS BIGINT) AS label
         FROM {pixels}"""),
+    # The shapes in flat colours, one of them striped, on a plain ground with a shaded band.
+    "artwork": Operator("""
+        SELECT image_id, idx, x, y,
+               CAST(CASE WHEN label = 1 THEN 200 WHEN label = 2 THEN 20 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 0 THEN 250 ELSE 30 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS r,
+               CAST(CASE WHEN label = 1 THEN 30 WHEN label = 2 THEN 60 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 1 THEN 180 ELSE 90 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS g,
+               CAST(CASE WHEN label = 1 THEN 40 WHEN label = 2 THEN 180 WHEN label = 3 THEN 60 WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS b, CAST(255 AS BIGINT) AS a
+        FROM {shapes}"""),
     "labels_map": Operator("""
         SELECT image_id, idx, x, y, r, g, b, a,
                CAST(floor(r / 64) AS BIGINT) * 16 + CAST(floor(g / 64) AS BIGINT) * 4 + CAST(floor(b / 64) AS BIGINT) AS label
@@ -75,7 +82,6 @@ VIEWS = {
 }
 # Vector components as rows; the only view whose text differs between engines.
 _DIMS_SPARK = Operator("SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(dim AS BIGINT) AS dim, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS dim, v")
-_LATTICE = "SELECT CAST({c} AS BIGINT) AS k FROM range(-40, 400)"
 _DIMS_ANSI = "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS dim, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)"
 
 
@@ -83,8 +89,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or a derived relation as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "lattice":
-        return spark.sql(_LATTICE.format(c="id"))
     operator = _DIMS_SPARK if name == "dims" else VIEWS[name]
     return operator(**{n: view(spark, sf_dir, n) for n in operator.inputs})
 
@@ -93,9 +97,6 @@ def _needed(names: list[str], seen: dict[str, str]) -> None:
     for name in names:
         if name in TABLES or name in seen:
             continue
-        if name == "lattice":
-            seen[name] = _LATTICE.format(c="range")
-            continue
         if name == "dims":
             seen[name] = _DIMS_ANSI
             continue
