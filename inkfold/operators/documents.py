@@ -62,14 +62,19 @@ _RULES = [
     _issue("V008_RASTER_LOW_DPI", "'warning'", "raster", f"boxes WHERE type = 'raster_image' AND w_mm > 0 AND natural_w > 0 AND {_DPI} < 150", "node_id", f"CASE WHEN {_DPI} < 100 THEN 'critical_low_dpi' ELSE 'low_dpi' END"),
     _issue("V009_CUT_CONTOUR_ORPHAN", "'error'", "cut", "(SELECT c.doc_id, c.node_id FROM {nodes} c LEFT JOIN {nodes} s ON s.doc_id = c.doc_id AND s.node_id = c.source_node_id AND s.type = 'group' WHERE c.type = 'cut_contour' AND s.node_id IS NULL) q"),
     _issue("V010_CUT_CONTOUR_INVALID_GEOMETRY", "'error'", "cut", "{nodes} WHERE type = 'cut_contour' AND NOT (w_mm > 0 AND h_mm > 0)"),
-    _issue("V012_GUIDE_OUT_OF_BOUNDS", "'warning'", "guide", "boxes WHERE type = 'technical_guide' AND (x_mm < 0 OR x_mm > width_mm)"),
+    # The findings of a cut outline in one pass over its checks.
+    "SELECT c.doc_id, k.rule_id, k.severity, 'cut' AS category, c.node_id, k.detail FROM cuts c JOIN (SELECT 'V010_CUT_CONTOUR_INVALID_GEOMETRY' AS rule_id, 'error' AS severity, 'degenerate' AS detail"
+    " UNION ALL SELECT 'V011_CUT_CONTOUR_VALID', 'info', '' UNION ALL SELECT 'V014_CUT_CONTOUR_SELF_INTERSECTION', 'error', '' UNION ALL SELECT 'V015_CUT_CONTOUR_OVERLAPPING_SEGMENT', 'error', '' UNION ALL SELECT 'V016_CUT_CONTOUR_OPEN', 'error', '') k"
+    " ON CASE substr(k.rule_id, 1, 4) WHEN 'V010' THEN degenerate WHEN 'V011' THEN c.visible AND valid WHEN 'V014' THEN crossings > 0 WHEN 'V015' THEN overlapping > 0 ELSE open_contour AND NOT degenerate AND crossings = 0 AND overlapping = 0 END",
+    _issue("V012_GUIDE_OUT_OF_BOUNDS", "'warning'", "guide", "boxes WHERE type = 'technical_guide' AND NOT coalesce(guide_mm >= 0 AND guide_mm <= CASE orientation WHEN 'vertical' THEN width_mm ELSE height_mm END, false)"),
     _issue("V013_GUIDES_SUMMARY", "'info'", "guide", "(SELECT doc_id FROM {nodes} WHERE type = 'technical_guide' AND guide_role IN ('fold', 'crease', 'cut_reference') GROUP BY doc_id) q", _NONE),
     _issue(
         "V016_CUT_CONTOUR_REQUIRED_MISSING", "'error'", "cut",
         "(SELECT d.doc_id FROM {docs} d JOIN {nodes} n ON n.doc_id = d.doc_id WHERE d.profile_id = 'generic-sticker' GROUP BY d.doc_id HAVING sum(CASE WHEN n.type = 'cut_contour' THEN 1 ELSE 0 END) = 0) q", _NONE,
     ),
 ]
-_ISSUES = f"{_ROOTS}, {_SIDES}, issues AS (" + "\nUNION ALL ".join(_RULES) + ")"
+_CUTS = "cuts AS (SELECT k.*, n.visible FROM {cut_checks} k JOIN {nodes} n ON n.doc_id = k.doc_id AND n.node_id = k.node_id WHERE n.w_mm > 0 AND n.h_mm > 0)"
+_ISSUES = f"{_ROOTS}, {_SIDES}, {_CUTS}, issues AS (" + "\nUNION ALL ".join(_RULES) + ")"
 
 validation_issues = Operator(f"WITH {_ISSUES} SELECT doc_id, rule_id, severity, category, node_id, detail FROM issues")
 

@@ -27,12 +27,6 @@ WITH facts AS (
 )
 SELECT doc_id, profile_id, CASE WHEN sized = 0 THEN 'INVALID_ARTBOARD' WHEN profile_id = 'generic-sticker' AND cut = 0 THEN 'CUT_MISSING' WHEN profile_id = 'dtf-uv' AND raster = 0 THEN 'ARTWORK_MISSING' ELSE 'OK' END AS gate FROM facts""")
 
-separation_state = Operator("""
-WITH made AS (SELECT doc_id, node_id, type, w_mm, h_mm, node_id % 3 AS drift FROM {nodes} WHERE type IN ('raster_image', 'group')),
-masks AS (SELECT doc_id, node_id, w_mm + CASE WHEN drift = 1 THEN 0.005 WHEN drift = 2 THEN 1 ELSE 0 END AS mw, h_mm AS mh, CASE WHEN node_id % 5 = 0 THEN 'old' ELSE md5(CAST(node_id AS VARCHAR(20))) END AS made_from FROM made)
-SELECT m.doc_id, m.node_id, CASE WHEN abs(k.mw - m.w_mm) > 0.01 OR abs(k.mh - m.h_mm) > 0.01 THEN 'INVALID' WHEN k.made_from <> md5(CAST(m.node_id AS VARCHAR(20))) THEN 'STALE' ELSE 'ALIGNED' END AS state
-FROM made m JOIN masks k ON k.doc_id = m.doc_id AND k.node_id = m.node_id""")
-
 command_log_state = Operator("""
 WITH log AS (SELECT user_id AS doc_id, event_id, ts, CASE event_type WHEN 'view' THEN 'UNDO' ELSE 'SET' END AS cmd, CAST(floor(value * 10) AS BIGINT) AS v FROM {events}),
 depth AS (SELECT *, sum(CASE cmd WHEN 'SET' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS height FROM log),

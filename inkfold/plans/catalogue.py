@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkfold.operators import contours, curves, documents, governance, graph, kernels, masks, raster, regions, rings, selection
+from inkfold.operators import contours, curves, documents, governance, graph, kernels, masks, prepress, raster, regions, rings, selection
 from inkfold.operators.template import Operator
 from inkfold.plans.oracles import ORACLES
 from inkfold.plans.registry import register
@@ -19,7 +19,7 @@ def _declared(name: str, operator: Operator) -> None:
     register(name, query, oracle(ORACLES.get(name) or operator.ansi(), operator.inputs))
 
 
-for _module in (raster, masks, regions, rings, curves, documents, governance, selection):
+for _module in (raster, masks, regions, rings, curves, documents, prepress, governance, selection):
     for _name, _value in list(vars(_module).items()):
         if isinstance(_value, Operator) and not _name.startswith("_"):
             _declared(_name, _value)

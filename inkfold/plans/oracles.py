@@ -49,7 +49,46 @@ variety AS (SELECT image_id, count(*) AS cells, CAST(count(*) FILTER (WHERE colo
 # Angle between two directions by the arc tangent of cross and dot product.
 _ANGLE = "abs(atan2(({ax}) * ({by}) - ({ay}) * ({bx}), ({ax}) * ({bx}) + ({ay}) * ({by}))) * 180 / " + _PI
 
+def _checked(points: str) -> str:
+    """Contour integrity by comparing every side of a node with every other."""
+    near = lambda a, b: f"sqrt((x{a} - x{b}) ** 2 + (y{a} - y{b}) ** 2) <= 0.001"
+    on = lambda a, b, c: f"x{c} >= least(x{a}, x{b}) - 0.001 AND x{c} <= greatest(x{a}, x{b}) + 0.001 AND y{c} >= least(y{a}, y{b}) - 0.001 AND y{c} <= greatest(y{a}, y{b}) + 0.001"
+    area2 = lambda a, b, c: f"((x{b} - x{a}) * (y{c} - y{a}) - (y{b} - y{a}) * (x{c} - x{a}))"
+    return f"""
+WITH sides AS (SELECT a.doc_id, a.node_id, a.contour, a.pos, a.n, a.closed, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {points} a JOIN {points} b ON b.doc_id = a.doc_id AND b.node_id = a.node_id AND b.contour = a.contour AND b.pos = (a.pos + 1) % a.n),
+rings_of AS (
+  SELECT doc_id, node_id, contour, count(*) AS v, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, bool_or(closed) AS shut, bool_or(NOT closed) AS ajar, max(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)) FILTER (WHERE pos = n - 1) AS gap,
+         coalesce(sum(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)) FILTER (WHERE pos < n - 1), 0) / greatest(1, count(*) - 1) AS side FROM sides GROUP BY ALL
+),
+nodes_of AS (SELECT doc_id, node_id, CAST(sum(v) AS BIGINT) AS vertices, sum(area) AS area, coalesce(bool_or(v >= 2 AND gap > 0.5 AND (coalesce(ajar, false) OR (NOT coalesce(shut, false) AND v >= 3 AND gap < 0.5 * side))), false) AS open_contour FROM rings_of GROUP BY doc_id, node_id),
+pairs AS (
+  SELECT p.doc_id, p.node_id, p.x1, p.y1, p.x2, p.y2, q.x1 AS x3, q.y1 AS y3, q.x2 AS x4, q.y2 AS y4 FROM sides p JOIN sides q ON q.doc_id = p.doc_id AND q.node_id = p.node_id AND (q.contour, q.pos) > (p.contour, p.pos)
+  WHERE greatest(p.x1, p.x2) + 0.001 >= least(q.x1, q.x2) - 0.001 AND least(p.x1, p.x2) - 0.001 <= greatest(q.x1, q.x2) + 0.001 AND greatest(p.y1, p.y2) + 0.001 >= least(q.y1, q.y2) - 0.001 AND least(p.y1, p.y2) - 0.001 <= greatest(q.y1, q.y2) + 0.001
+),
+d AS (SELECT *, {area2('3', '4', '1')} AS d1, {area2('3', '4', '2')} AS d2, {area2('1', '2', '3')} AS d3, {area2('1', '2', '4')} AS d4, {' OR '.join(near(*p) for p in ('13', '14', '23', '24'))} AS share FROM pairs),
+kinds AS (
+  SELECT doc_id, node_id, abs(d1) <= 0.001 AND abs(d2) <= 0.001 AND abs(d3) <= 0.001 AND abs(d4) <= 0.001 AS flat, share,
+         (sign(CASE WHEN abs(d1) > 0.001 THEN d1 ELSE 0 END) * sign(CASE WHEN abs(d2) > 0.001 THEN d2 ELSE 0 END) < 0 AND sign(CASE WHEN abs(d3) > 0.001 THEN d3 ELSE 0 END) * sign(CASE WHEN abs(d4) > 0.001 THEN d4 ELSE 0 END) < 0)
+           OR (abs(d1) <= 0.001 AND {on('3', '4', '1')}) OR (abs(d2) <= 0.001 AND {on('3', '4', '2')}) OR (abs(d3) <= 0.001 AND {on('1', '2', '3')}) OR (abs(d4) <= 0.001 AND {on('1', '2', '4')}) AS meet,
+         NOT ({near('1', '2')}) AND NOT ({near('3', '4')}) AND CASE WHEN abs(x2 - x1) > abs(y2 - y1) THEN least(greatest(x1, x2), greatest(x3, x4)) - greatest(least(x1, x2), least(x3, x4)) ELSE least(greatest(y1, y2), greatest(y3, y4)) - greatest(least(y1, y2), least(y3, y4)) END > 0.005 AS laps
+  FROM d
+),
+sums AS (SELECT doc_id, node_id, count(*) FILTER (WHERE NOT flat AND NOT share AND meet) AS crossings, count(*) FILTER (WHERE flat AND laps) AS overlapping FROM kinds GROUP BY doc_id, node_id)
+SELECT n.doc_id, n.node_id, vertices, floor(area * 10000 + 0.5) / 10000 AS area_mm2, open_contour, coalesce(crossings, 0) AS crossings, coalesce(overlapping, 0) AS overlapping, vertices < 3 OR area < 0.01 AS degenerate,
+       vertices >= 3 AND area >= 0.01 AND NOT open_contour AND coalesce(crossings, 0) = 0 AND coalesce(overlapping, 0) = 0 AS valid FROM nodes_of n LEFT JOIN sums s ON s.doc_id = n.doc_id AND s.node_id = n.node_id"""
+
+
+# Derived relations whose Spark text another engine does not take.
+RELATIONS: dict[str, str] = {"cut_checks": _checked("cut_rings"), "path_checks": _checked("path_points")}
+
 ORACLES: dict[str, str] = {
+    "cut_integrity": _checked("cut_rings"),
+    "path_integrity": _checked("path_points"),
+    "separation_state": """
+WITH current AS (SELECT doc_id, sum(node_id + round(x_mm * 100) * 3 + round(y_mm * 100) * 7 + round(w_mm * 100) * 11 + round(h_mm * 100) * 13) AS state, min(x_mm) AS x0, max(x_mm + w_mm) AS x1, min(y_mm) AS y0, max(y_mm + h_mm) AS y1
+  FROM nodes WHERE visible AND parent_id IS NULL AND type IN ('raster_image', 'group', 'vector_path') GROUP BY doc_id)
+SELECT s.doc_id, s.role, CASE WHEN greatest(abs(s.width_mm - d.width_mm), abs(s.height_mm - d.height_mm)) <= 0.01 OR coalesce(greatest(abs(s.width_mm - (x1 - x0)), abs(s.height_mm - (y1 - y0))) <= 0.01, false)
+  THEN CASE WHEN c.state = s.source_state THEN 'GENERATED' ELSE 'STALE' END ELSE 'INVALID' END AS status FROM separations s JOIN docs d USING (doc_id) LEFT JOIN current c USING (doc_id)""",
     "fingerprints": """
 SELECT doc_id, sha256(string_agg(node_id || ':' || type || ':' || CAST(floor(x_mm * 100 + 0.5) AS BIGINT) || ':' || CAST(floor(y_mm * 100 + 0.5) AS BIGINT) || ':' || CAST(floor(w_mm * 100 + 0.5) AS BIGINT) || ':' || CAST(floor(h_mm * 100 + 0.5) AS BIGINT)
   || ':' || CASE WHEN visible THEN 'shown' ELSE 'hidden' END || ':' || coalesce(fill, 'none'), '|' ORDER BY node_id)) AS fingerprint, count(*) AS nodes FROM nodes GROUP BY doc_id""",

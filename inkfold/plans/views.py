@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkfold.operators import documents, prepress
 from inkfold.operators.template import Operator
+from inkfold.plans.oracles import RELATIONS
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
@@ -55,14 +57,37 @@ VIEWS = {
                CASE WHEN p_partkey % 10 = 8 THEN p_partkey - p_partkey % 3 * 4 - 8 END AS source_node_id,
                CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE '#' || lpad(CAST((p_partkey * 7919) % 3 AS VARCHAR(10)), 6, 'a') END AS fill,
                CASE WHEN p_partkey % 4 = 0 THEN '#000000' END AS stroke, CAST(p_size % 7 AS DOUBLE) / 10 AS stroke_mm, CAST(p_partkey % 13 AS DOUBLE) / 12 AS opacity,
-               CASE WHEN p_partkey % 20 = 9 THEN 'fold' WHEN p_partkey % 10 = 9 THEN 'none' END AS guide_role, p_partkey AS z_index
+               CASE WHEN p_partkey % 20 = 9 THEN 'fold' WHEN p_partkey % 10 = 9 THEN 'none' END AS guide_role, p_partkey AS z_index,
+               CASE WHEN p_partkey % 10 = 9 THEN CASE WHEN p_partkey % 3 = 0 THEN 'vertical' ELSE 'horizontal' END END AS orientation, CASE WHEN p_partkey % 10 = 9 THEN CAST((p_partkey * 17) % 260 - 10 AS DOUBLE) END AS guide_mm
         FROM {part}"""),
     "docs": Operator("""
         SELECT doc_id, CAST(200 + doc_id % 5 * 10 AS DOUBLE) AS width_mm, CAST(CASE WHEN doc_id = 49 THEN 0 ELSE 140 + doc_id % 3 * 10 END AS DOUBLE) AS height_mm,
                doc_id % 2 = 0 AS bleed_enabled, CAST(CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 2 END AS DOUBLE) AS bleed_mm,
                doc_id % 3 = 0 AS safety_enabled, CAST(5 AS DOUBLE) AS safety_mm,
-               CASE doc_id % 4 WHEN 0 THEN 'generic-sticker' WHEN 1 THEN 'dtf-uv' WHEN 2 THEN 'print' ELSE 'generic' END AS profile_id
+               CASE doc_id % 4 WHEN 0 THEN 'generic-sticker' WHEN 1 THEN 'dtf-uv' WHEN 2 THEN 'print' ELSE 'generic' END AS profile_id,
+               CASE WHEN doc_id % 8 = 5 THEN 'REQUIRED' ELSE 'OPTIONAL' END AS white_policy, CASE WHEN doc_id % 8 = 1 THEN 'REQUIRED' ELSE 'OPTIONAL' END AS clear_policy
         FROM (SELECT DISTINCT p_partkey % 50 AS doc_id FROM {part})"""),
+    # Cut outlines: a ring where one has the node's number, else a rectangle, some of them left open.
+    "cut_rings": Operator("""
+        SELECT n.doc_id, n.node_id, CAST(0 AS BIGINT) AS contour, CAST(NULL AS BOOLEAN) AS closed, r.pos, r.n, r.x, r.y FROM {nodes} n JOIN {rings} r ON r.ring_id = n.node_id WHERE n.type = 'cut_contour'
+        UNION ALL
+        SELECT n.doc_id, n.node_id, CAST(0 AS BIGINT), n.node_id % 30 <> 8, CAST(k.pos AS BIGINT), CAST(CASE WHEN n.node_id % 30 = 8 THEN 5 ELSE 4 END AS BIGINT),
+               n.x_mm + CASE WHEN k.pos IN (1, 2) THEN n.w_mm ELSE 0 END, n.y_mm + CASE WHEN k.pos IN (2, 3) THEN n.h_mm WHEN k.pos = 4 THEN 0.2 + n.node_id % 4 * 0.2 ELSE 0 END
+        FROM {nodes} n JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k ON k.pos < CASE WHEN n.node_id % 30 = 8 THEN 5 ELSE 4 END
+        LEFT JOIN (SELECT DISTINCT ring_id FROM {rings}) r ON r.ring_id = n.node_id WHERE n.type = 'cut_contour' AND r.ring_id IS NULL"""),
+    "path_points": Operator("""
+        SELECT n.doc_id, n.node_id, CAST(0 AS BIGINT) AS contour, n.node_id % 4 <> 1 AS closed, r.pos, r.n, r.x, r.y FROM {nodes} n JOIN {rings} r ON r.ring_id = n.node_id WHERE n.type = 'vector_path'"""),
+    # Saved separations of transfer prints; every third was made before its artwork changed, every fifth at another size.
+    "separations": Operator("""
+        SELECT d.doc_id, k.role, d.width_mm + CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS width_mm, d.height_mm, coalesce(s.state, 0) + CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS source_state
+        FROM {docs} d JOIN (SELECT 'WHITE' AS role UNION ALL SELECT 'CLEAR') k ON true LEFT JOIN (
+          SELECT doc_id, CAST(sum(node_id + CAST(floor(x_mm * 100 + 0.5) AS BIGINT) * 3 + CAST(floor(y_mm * 100 + 0.5) AS BIGINT) * 7 + CAST(floor(w_mm * 100 + 0.5) AS BIGINT) * 11 + CAST(floor(h_mm * 100 + 0.5) AS BIGINT) * 13) AS BIGINT) AS state
+          FROM {nodes} WHERE visible AND parent_id IS NULL AND type IN ('raster_image', 'group', 'vector_path') GROUP BY doc_id) s ON s.doc_id = d.doc_id
+        WHERE d.doc_id % 4 = 1 AND d.doc_id % (CASE k.role WHEN 'WHITE' THEN 13 ELSE 9 END) <> 0"""),
+    "cut_checks": prepress.cut_integrity,
+    "path_checks": prepress.path_integrity,
+    "path_parts": prepress.path_analysis,
+    "issues": documents.validation_issues,
     "telemetry": Operator("""
         SELECT event_id, ts, user_id % 7 AS organization_id, user_id % 3 AS provider_id,
                CASE WHEN event_id % 10 < 7 THEN 'SUCCESS' WHEN event_id % 10 < 9 THEN 'CACHED' ELSE 'FAILED' END AS status,
@@ -101,7 +126,7 @@ def _needed(names: list[str], seen: dict[str, str]) -> None:
             seen[name] = _DIMS_ANSI
             continue
         _needed(VIEWS[name].inputs, seen)
-        seen[name] = VIEWS[name].ansi()
+        seen[name] = RELATIONS.get(name) or VIEWS[name].ansi()
 
 
 def oracle(text: str, names: list[str], recursive: bool = False) -> str:
