@@ -121,11 +121,6 @@ pairs AS (
 ranked AS (SELECT *, both_area / (a_area + b_area - both_area) AS iou, row_number() OVER (PARTITION BY a_id ORDER BY both_area / (a_area + b_area - both_area) DESC, apart, b_id) AS k FROM pairs)
 SELECT a_id, b_id, {E.rounded('iou')} AS iou, {E.rounded('apart')} AS centroid_distance, {E.rounded('b_area / a_area')} AS area_ratio FROM ranked WHERE k = 1""")
 
-topology_metrics = Operator("""
-WITH paths AS (SELECT doc_id, node_id, 1 + node_id % 3 AS p FROM {nodes} WHERE type = 'vector_path'),
-parts AS (SELECT doc_id, count(*) AS paths, CAST(sum(CASE WHEN p > 1 THEN 1 ELSE 0 END) AS BIGINT) AS compound, CAST(sum(p - 1) AS BIGINT) AS holes FROM paths GROUP BY doc_id)
-SELECT doc_id, paths, compound, holes, CASE WHEN holes = 0 THEN 'NOT_APPLICABLE' WHEN holes < paths THEN 'PRESERVED' ELSE 'CHECK' END AS status FROM parts""")
-
 document_complexity = Operator(f"""
 WITH counts AS (SELECT doc_id, CAST(sum(CASE WHEN type = 'vector_path' THEN 1 ELSE 0 END) AS BIGINT) AS paths FROM {{nodes}} GROUP BY doc_id)
 SELECT doc_id, paths, {E.complexity('paths')} AS complexity FROM counts""")

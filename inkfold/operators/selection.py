@@ -56,28 +56,6 @@ history_cap = Operator("""
 WITH ranked AS (SELECT organization_id, event_id, row_number() OVER (PARTITION BY organization_id ORDER BY ts DESC, event_id DESC) AS k FROM {telemetry})
 SELECT organization_id, event_id, CAST(k AS BIGINT) AS age FROM ranked WHERE k <= 50""")
 
-golden_verdict = Operator(f"""
-WITH stats AS (
-  SELECT page_id, length(html) AS bytes, length(html) - length(replace(html, '<p', '<')) AS paths, length(html) - length(replace(html, '<a', '<')) AS anchors, length(html) - length(replace(html, '<b>', '<>')) AS holes FROM {{tags}}
-),
-compared AS (
-  SELECT c.page_id, c.paths, c.anchors, c.holes, g.paths AS g_paths, g.anchors AS g_anchors, g.holes AS g_holes, g.page_id % 3 = 0 AS approved, c.bytes = g.bytes AS same_size, g.page_id % 5 = 0 AS other_backend
-  FROM stats c JOIN stats g ON g.page_id = c.page_id + 1
-)
-SELECT page_id, paths - g_paths AS path_delta, holes - g_holes AS hole_delta, {E.rounded('CASE WHEN g_anchors > 0 THEN abs(CAST(anchors - g_anchors AS DOUBLE)) / g_anchors * 100 ELSE 0 END')} AS anchor_pct,
-       CASE WHEN paths = 0 OR other_backend OR (g_holes > 0 AND holes = 0) OR (g_anchors > 10 AND anchors > g_anchors * 2) OR (g_paths > 10 AND paths > g_paths * 2) THEN 'FAIL'
-            WHEN NOT approved OR NOT same_size THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS verdict
-FROM compared""")
-
-golden_tally = Operator(golden_verdict.text.replace("SELECT page_id, paths - g_paths", "SELECT verdict, count(*) AS cases FROM (SELECT page_id, paths - g_paths") + ") q GROUP BY verdict")
-
-tag_attributes = Operator(r"""
-SELECT page_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, length(html) AS bytes,
-       html LIKE '%<script%' AS has_script, html LIKE '%javascript:%' OR html LIKE '% onclick=%' AS unsafe FROM {tags}""")
-
-command_counts = Operator(r"""
-SELECT page_id, length(html) - length(regexp_replace(html, '<[a-z]', '<' /*g*/)) AS opened, length(html) - length(replace(html, '</', '<')) AS closed, length(html) - length(replace(html, '"', '')) AS quotes FROM {tags}""")
-
 unit_parse = Operator(f"""
 WITH said AS (
   SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR(10)) || ' cm' WHEN 1 THEN CAST(p_size AS VARCHAR(10)) || ',5mm' WHEN 2 THEN 'about ' || CAST(p_size AS VARCHAR(10)) || '.25 centimetros' WHEN 3 THEN 'no size' ELSE CAST(p_size AS VARCHAR(10)) END AS said FROM {{part}}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from inkfold.operators import contours, curves, documents, governance, graph, kernels, masks, prepress, raster, regions, rings, selection
+from inkfold.operators import contours, curves, documents, golden, governance, graph, kernels, masks, prepress, raster, regions, rings, selection
 from inkfold.operators.template import Operator
 from inkfold.plans.oracles import ORACLES
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
 from inkfold.sources import documents as json_documents
-from inkfold.sources import png
+from inkfold.sources import package, png
 from inkfold.streaming import telemetry
 
 
@@ -19,7 +19,7 @@ def _declared(name: str, operator: Operator) -> None:
     register(name, query, oracle(ORACLES.get(name) or operator.ansi(), operator.inputs))
 
 
-for _module in (raster, masks, regions, rings, curves, documents, prepress, governance, selection):
+for _module in (raster, masks, regions, rings, curves, documents, golden, prepress, governance, selection):
     for _name, _value in list(vars(_module).items()):
         if isinstance(_value, Operator) and not _name.startswith("_"):
             _declared(_name, _value)
@@ -95,6 +95,20 @@ register(
         view(spark, sf_dir, "nodes"), documents.validation_issues(**{n: view(spark, sf_dir, n) for n in documents.validation_issues.inputs})
     ),
 )
+register("cut_lines", lambda spark, sf_dir: package.cut_lines(view(spark, sf_dir, "cut_rings"), view(spark, sf_dir, "docs")))
+
+
+def _packages(spark, sf_dir):
+    docs, nodes = view(spark, sf_dir, "docs"), view(spark, sf_dir, "nodes")
+    status = documents.doc_status(**{n: view(spark, sf_dir, n) for n in documents.doc_status.inputs})
+    images = png.write_images(view(spark, sf_dir, "artwork")).withColumnRenamed("image_id", "art_id")
+    art = docs.selectExpr("doc_id", "doc_id % 10 AS art_id").join(images, "art_id").select("doc_id", "png")
+    manifests = json_documents.manifest(nodes, view(spark, sf_dir, "issues"))
+    made = package.production_packages(docs, status, art, package.cut_lines(view(spark, sf_dir, "cut_rings"), docs), manifests)
+    return made.selectExpr("doc_id", "status", "files", "length(zip) AS bytes", "crc32(zip) AS crc")
+
+
+register("production_packages", _packages)
 register("snapshot_digest", lambda spark, sf_dir: json_documents.snapshot_digest(view(spark, sf_dir, "shapes")))
 register(
     "telemetry_windows",

@@ -81,7 +81,27 @@ SELECT n.doc_id, n.node_id, vertices, floor(area * 10000 + 0.5) / 10000 AS area_
 # Derived relations whose Spark text another engine does not take.
 RELATIONS: dict[str, str] = {"cut_checks": _checked("cut_rings"), "path_checks": _checked("path_points")}
 
+_SVG = """data AS (SELECT case_id, svg, backend, strlen(svg) AS bytes, len(regexp_extract_all(svg, '<path ')) AS paths, regexp_extract_all(svg, ' d="([^"]*)"', 1) AS ds FROM svgs),
+counted AS (
+  SELECT case_id, svg, backend, bytes, CAST(paths AS BIGINT) AS paths, CAST(list_sum(list_transform(ds, lambda d: length(regexp_replace(d, '[^Mm]', '', 'g')))) AS BIGINT) AS subpaths,
+         CAST(list_sum(list_transform(ds, lambda d: length(regexp_replace(d, '[^A-Za-z]', '', 'g')))) AS BIGINT) AS anchors, CAST(list_sum(list_transform(ds, lambda d: length(regexp_replace(d, '[^Mm]', '', 'g')) - 1)) AS BIGINT) AS holes,
+         len(list_filter(ds, lambda d: length(regexp_replace(d, '[^Mm]', '', 'g')) > 1)) AS compound, CAST(list_sum(list_transform(ds, lambda d: length(regexp_replace(d, '[^Cc]', '', 'g')))) AS BIGINT) AS curves,
+         CAST(list_sum(list_transform(ds, lambda d: len(regexp_extract_all(d, '[0-9]+')) // 2)) AS BIGINT) AS nodes FROM data
+)"""
+_GOLDEN = f"""WITH {_SVG}, both_sides AS (
+  SELECT c.case_id, c.paths - g.paths AS path_delta, c.anchors - g.anchors AS anchor_delta, c.holes - g.holes AS hole_delta, abs(c.anchors - g.anchors) * 100.0 / g.anchors AS pct, trim(c.svg) = trim(g.svg) AS same,
+         CASE WHEN c.paths = 0 OR c.backend <> g.backend OR (g.holes > 0 AND c.holes = 0) OR (g.anchors > 10 AND c.anchors > 3 * g.anchors) OR (g.paths > 10 AND c.paths > 3 * g.paths) THEN 'FAIL'
+              WHEN g.approved AND trim(c.svg) = trim(g.svg) THEN 'PASS' ELSE 'REVIEW_REQUIRED' END AS verdict
+  FROM counted c JOIN goldens g USING (case_id)
+)"""
+
 ORACLES: dict[str, str] = {
+    "command_counts": f"WITH {_SVG} SELECT case_id, bytes, paths, subpaths, anchors, holes, compound, curves FROM counted",
+    "svg_guard": f"WITH {_SVG} SELECT case_id, bytes, nodes, CASE WHEN contains(svg, '<script') THEN 'UNSAFE' ELSE 'OK' END AS verdict FROM counted",
+    "golden_verdict": f"{_GOLDEN} SELECT case_id, path_delta, anchor_delta, hole_delta, {_r('pct')} AS anchor_pct, verdict FROM both_sides",
+    "golden_tally": f"{_GOLDEN} SELECT verdict, count(*) AS cases, count(*) FILTER (WHERE same) AS identical, {_r('avg(pct)')} AS mean_anchor_pct FROM both_sides GROUP BY verdict",
+    "topology_metrics": f"""WITH {_SVG} SELECT doc_id, count(*) AS files, CAST(sum(c.paths) AS BIGINT) AS paths, CAST(sum(c.compound) AS BIGINT) AS compound, CAST(sum(c.holes) AS BIGINT) AS holes, CAST(sum(g.holes) AS BIGINT) AS approved_holes,
+  CASE WHEN sum(g.holes) = 0 THEN 'NOT_APPLICABLE' WHEN sum(c.holes) < sum(g.holes) THEN 'LOST' ELSE 'PRESERVED' END AS status FROM counted c JOIN goldens g USING (case_id) JOIN nodes n ON n.node_id = c.case_id GROUP BY doc_id""",
     "cut_integrity": _checked("cut_rings"),
     "path_integrity": _checked("path_points"),
     "separation_state": """

@@ -94,7 +94,18 @@ VIEWS = {
                CAST(floor(value * 100 + 0.5) AS BIGINT) AS duration_ms, CAST(event_id % 5 AS BIGINT) AS credits_calculated,
                CAST(CASE WHEN event_id % 10 < 7 THEN event_id % 5 ELSE 0 END AS BIGINT) AS credits_charged, md5(CAST(event_id % 997 AS VARCHAR(20))) AS sha
         FROM {events}"""),
-    "tags": Operator("SELECT page_id, url, html FROM {pages}"),
+    # One file per vector path: an outline of its box, some with a hole, a second curved path, or something unsafe.
+    "svgs": Operator("""
+        SELECT node_id AS case_id, CASE WHEN node_id % 5 = 0 THEN 'REGION_GRAPH' ELSE 'DIRECT' END AS backend,
+               '<svg xmlns="http://www.w3.org/2000/svg" width="' || w || 'mm" viewBox="0 0 ' || w || ' ' || h || '"><path d="M 0 0 L ' || w || ' 0 L ' || w || ' ' || h || ' L 0 ' || h || ' Z' || CASE WHEN node_id % 4 = 0 THEN ' M 1 1 L 2 1 L 2 2 Z' ELSE '' END
+               || '" fill="' || coalesce(fill, 'none') || '"/>' || CASE WHEN node_id % 3 = 0 THEN '<path d="M 1 1 C 2 2 3 3 4 4 Z" fill="none"/>' ELSE '' END || CASE WHEN node_id % 17 = 0 THEN '<script>x</script>' ELSE '' END || '</svg>' AS svg
+        FROM (SELECT node_id, fill, CAST(CAST(w_mm AS BIGINT) AS VARCHAR(20)) AS w, CAST(CAST(h_mm AS BIGINT) AS VARCHAR(20)) AS h FROM {nodes} WHERE type = 'vector_path') q"""),
+    # Approved results of the same files, some of an earlier form.
+    "goldens": Operator("""
+        SELECT case_id, backend, case_id % 6 <> 0 AS approved, CASE WHEN case_id % 13 = 0 THEN svg || '<g/>' ELSE svg || ' ' END AS svg,
+               1 + CASE WHEN case_id % 3 = 0 THEN 1 ELSE 0 END AS paths, CASE WHEN case_id % 4 = 0 OR case_id % 11 = 0 THEN 1 ELSE 0 END AS holes,
+               5 + CASE WHEN case_id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN case_id % 4 = 0 THEN 4 ELSE 0 END + CASE WHEN case_id % 19 = 0 THEN 1 ELSE 0 END AS anchors
+        FROM (SELECT case_id, svg, CASE WHEN case_id % 23 = 0 THEN 'REGION_GRAPH' ELSE backend END AS backend FROM {svgs}) q"""),
     "palette": Operator("""
         SELECT label AS proto_id, dim, avg(v) AS v FROM {dims} GROUP BY label, dim"""),
     "steps": Operator("""
