@@ -12,6 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder; a temporary one only where none is set."""
     sc = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkfold-"))
     return df.checkpoint(eager=True)
 

@@ -51,23 +51,11 @@ parts AS (SELECT r.image_id, r.root, sum(n) AS area, min(x0) AS x0, max(x1) AS x
 SELECT p.image_id, CAST(area AS BIGINT) AS area, x0 AS min_x, y0 AS min_y, x0 = 0 OR y0 = 0 OR x1 = w OR y1 = h AS outside FROM parts p JOIN size s ON s.image_id = p.image_id"""
 register("border_flood_fill", lambda spark, sf_dir: graph.border_flood_fill(view(spark, sf_dir, "shapes")), oracle(_FLOOD, ["shapes"], recursive=True))
 
-_MERGE = (
-    "WITH rag AS ("
-    + oracle(regions.rag_edges.ansi(), regions.rag_edges.inputs)
-    + """),
-ok AS (SELECT image_id, region_a, region_b FROM rag WHERE color_dist <= 0.09 AND coverage_diff <= 0.72 AND max_strength < 0.45 AND avg_strength <= 0.20),
-links AS (SELECT image_id, region_a AS p, region_b AS q FROM ok UNION ALL SELECT image_id, region_b, region_a FROM ok),
-nodes AS (SELECT image_id, region_a AS region FROM rag UNION SELECT image_id, region_b FROM rag),
-walk AS (SELECT image_id, region, region AS root FROM nodes UNION SELECT w.image_id, l.q, w.root FROM walk w JOIN links l ON l.image_id = w.image_id AND l.p = w.region AND l.q > w.root)
-SELECT image_id, region, min(root) AS merged FROM walk GROUP BY image_id, region"""
-)
-
-
 def _merge(spark, sf_dir):
     return graph.merge_regions(regions.rag_edges(**{n: view(spark, sf_dir, n) for n in regions.rag_edges.inputs}))
 
 
-register("merge_regions", _merge, oracle(_MERGE, [], recursive=True))
+register("merge_regions", _merge, oracle(ORACLES["merge_regions"].replace("WITH RECURSIVE", "WITH", 1), ["pixels", "labels_map"], recursive=True))
 
 _LEVELS = """
 WITH levels AS (

@@ -78,6 +78,33 @@ SELECT n.doc_id, n.node_id, vertices, floor(area * 10000 + 0.5) / 10000 AS area_
        vertices >= 3 AND area >= 0.01 AND NOT open_contour AND coalesce(crossings, 0) = 0 AND coalesce(overlapping, 0) = 0 AS valid FROM nodes_of n LEFT JOIN sums s ON s.doc_id = n.doc_id AND s.node_id = n.node_id"""
 
 
+# Oklab of 8-bit sRGB over a relation of pixels.
+def _oklab(relation: str, keys: str) -> str:
+    return f"""lin AS (SELECT {keys}, r, g, b, a, {_LINEAR.format('r')} AS lr, {_LINEAR.format('g')} AS lg, {_LINEAR.format('b')} AS lb FROM {relation}),
+cone AS (SELECT {keys}, r, g, b, a, cbrt(0.4122214708 * lr + 0.5363325363 * lg + 0.0514459929 * lb) AS c1, cbrt(0.2119034982 * lr + 0.6806995451 * lg + 0.1073969566 * lb) AS c2, cbrt(0.0883024619 * lr + 0.2817188376 * lg + 0.6299787005 * lb) AS c3 FROM lin),
+ok AS (SELECT {keys}, r, g, b, a, 0.2104542553 * c1 + 0.793617785 * c2 - 0.0040720468 * c3 AS ol, 1.9779984951 * c1 - 2.428592205 * c2 + 0.4505937099 * c3 AS oa, 0.0259040371 * c1 + 0.7827717662 * c2 - 0.808675766 * c3 AS ob FROM cone)"""
+
+
+_OK_GAP = "sqrt(({0}.ol - {1}.ol) ** 2 + ({0}.oa - {1}.oa) ** 2 + ({0}.ob - {1}.ob) ** 2)"
+_RAG = f"""{_oklab('pixels', 'image_id, x, y')},
+steps AS (
+  SELECT p.image_id, p.x, p.y, least(1, {_OK_GAP.format('p', 'q')} * 5 * least(p.a, q.a) / 255.0) AS strength FROM ok p JOIN ok q ON q.image_id = p.image_id AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) WHERE p.a > 0 AND q.a > 0
+),
+strong AS (SELECT image_id, x, y, max(strength) AS strength FROM steps GROUP BY image_id, x, y),
+member AS (SELECT m.image_id, m.x, m.y, m.label, o.ol, o.oa, o.ob, o.a, coalesce(s.strength, 0) AS strength FROM labels_map m JOIN ok o USING (image_id, x, y) LEFT JOIN strong s USING (image_id, x, y)),
+region AS (SELECT image_id, label, avg(ol) AS ol, avg(oa) AS oa, avg(ob) AS ob, avg(a / 255.0) AS coverage FROM member GROUP BY image_id, label),
+border AS (
+  SELECT p.image_id, least(p.label, q.label) AS region_a, greatest(p.label, q.label) AS region_b, count(*) AS shared_len, avg(greatest(p.strength, q.strength)) AS avg_strength, max(greatest(p.strength, q.strength)) AS max_strength
+  FROM member p JOIN member q ON q.image_id = p.image_id AND q.label <> p.label AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) GROUP BY ALL
+),
+rag AS (
+  SELECT e.image_id, region_a, region_b, shared_len, {_r('avg_strength')} AS avg_strength, {_r('max_strength')} AS max_strength, {_r(_OK_GAP.format('f', 's'))} AS color_dist, {_r('abs(f.coverage - s.coverage)')} AS coverage_diff
+  FROM border e JOIN region f ON f.image_id = e.image_id AND f.label = e.region_a JOIN region s ON s.image_id = e.image_id AND s.label = e.region_b
+)"""
+_SPAN = "441.673"
+_RGB_GAP = "sqrt(({0}.r - {1}.r) ** 2 + ({0}.g - {1}.g) ** 2 + ({0}.b - {1}.b) ** 2) / " + _SPAN
+
+
 # Derived relations whose Spark text another engine does not take.
 RELATIONS: dict[str, str] = {"cut_checks": _checked("cut_rings"), "path_checks": _checked("path_points")}
 
@@ -96,6 +123,74 @@ _GOLDEN = f"""WITH {_SVG}, both_sides AS (
 )"""
 
 ORACLES: dict[str, str] = {
+    "rag_edges": f"WITH {_RAG} SELECT * FROM rag",
+    "artwork_mode": f"""
+WITH {_oklab('pixels', 'image_id, x, y')},
+seen AS (SELECT * FROM ok WHERE a > 0),
+bins AS (SELECT image_id, r // 32 AS i, g // 32 AS j, b // 32 AS k, count(*) AS n FROM seen GROUP BY ALL),
+totals AS (SELECT image_id, sum(n) AS total, count(*) AS buckets FROM bins GROUP BY image_id),
+spread AS (
+  SELECT t.image_id, total, buckets, (SELECT sum(n) FROM (SELECT n FROM bins b WHERE b.image_id = t.image_id ORDER BY n DESC LIMIT 8)) / total AS dominant, (SELECT -sum(n / total * log2(n / total)) FROM bins b WHERE b.image_id = t.image_id) AS entropy FROM totals t
+),
+pairs AS (SELECT p.image_id, {_OK_GAP.format('p', 'q')} > 0.08 AS varied FROM seen p JOIN seen q ON q.image_id = p.image_id AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1))),
+local AS (SELECT image_id, count(*) FILTER (WHERE varied) / count(*) AS variation FROM pairs GROUP BY image_id),
+soft AS (SELECT image_id, count(*) FILTER (WHERE a < 255) / count(*) AS alpha FROM seen GROUP BY image_id),
+signals AS (SELECT s.image_id, total, buckets, dominant, entropy, alpha, coalesce(variation, 0) AS variation FROM spread s JOIN soft USING (image_id) LEFT JOIN local USING (image_id))
+SELECT image_id, CAST(total AS BIGINT) AS visible_pixels, floor(dominant * 10000 + 0.5) / 10000 AS dominant_coverage, floor(variation * 10000 + 0.5) / 10000 AS local_variation, floor(entropy * 10000 + 0.5) / 10000 AS color_entropy, floor(alpha * 10000 + 0.5) / 10000 AS alpha_coverage,
+       CASE WHEN entropy >= 5.25 OR (buckets > 8 AND variation >= 0.08) THEN 'DETAILED_ART' WHEN dominant < 0.8 OR (buckets > 8 AND variation > 0.23) THEN 'INCONCLUSIVE' WHEN buckets > 10 THEN 'FLAT_GRAPHIC' ELSE 'FLAT_LOGO' END AS mode FROM signals""",
+    "residual_region_class": f"""
+WITH mean AS (SELECT image_id, label, count(*) AS area, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS alpha FROM labels_map GROUP BY image_id, label),
+contact AS (SELECT p.image_id, p.label, q.label AS other, count(*) AS shared FROM labels_map p JOIN labels_map q ON q.image_id = p.image_id AND q.label <> p.label AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY ALL),
+ranked AS (SELECT c.image_id, c.label, c.other, {_RGB_GAP.format('m', 'o')} AS dist, row_number() OVER (PARTITION BY c.image_id, c.label ORDER BY shared DESC, other) AS k FROM contact c JOIN mean m ON m.image_id = c.image_id AND m.label = c.label JOIN mean o ON o.image_id = c.image_id AND o.label = c.other),
+sizes AS (SELECT image_id, greatest(4, ((max(x) + 1) * (max(y) + 1)) // 10000) AS small FROM labels_map GROUP BY image_id),
+facts AS (
+  SELECT m.*, small, (SELECT count(*) FROM ranked n WHERE n.image_id = m.image_id AND n.label = m.label) AS neighbours, (SELECT min(dist) FROM ranked n WHERE n.image_id = m.image_id AND n.label = m.label) AS nearest, (SELECT max(dist) FROM ranked n WHERE n.image_id = m.image_id AND n.label = m.label) AS contrast
+  FROM mean m JOIN sizes USING (image_id)
+),
+two AS (
+  SELECT f.*, a.dist AS d1, b.dist AS d2, p.r AS pr, p.g AS pg, p.b AS pb, q.r - p.r AS vr, q.g - p.g AS vg, q.b - p.b AS vb FROM facts f LEFT JOIN ranked a ON a.image_id = f.image_id AND a.label = f.label AND a.k = 1 LEFT JOIN ranked b ON b.image_id = f.image_id AND b.label = f.label AND b.k = 2
+  LEFT JOIN mean p ON p.image_id = f.image_id AND p.label = a.other LEFT JOIN mean q ON q.image_id = f.image_id AND q.label = b.other
+),
+line AS (SELECT *, vr * vr + vg * vg + vb * vb AS len2 FROM two),
+foot AS (SELECT *, CASE WHEN len2 = 0 THEN 0 ELSE greatest(0, least(1, ((r - pr) * vr + (g - pg) * vg + (b - pb) * vb) / len2)) END AS t FROM line),
+judged AS (SELECT *, sqrt((r - pr - t * vr) ** 2 + (g - pg - t * vg) ** 2 + (b - pb - t * vb) ** 2) / {_SPAN} AS residual, sqrt(len2) / {_SPAN} AS apart FROM foot)
+SELECT image_id, label, area, neighbours, CASE WHEN area > small AND nearest < 0.08 THEN 'SHADING_REGION' WHEN area > small THEN 'STRUCTURAL_COLOR_REGION' WHEN alpha < 250 THEN 'UNCERTAIN' WHEN neighbours = 1 AND d1 >= 0.55 THEN 'LEGITIMATE_DETAIL' WHEN neighbours < 2 THEN 'UNCERTAIN'
+  WHEN residual <= 0.06 AND least(d1, d2) < 0.45 AND apart >= 0.12 AND apart < 0.65 AND contrast < 0.7 THEN 'EDGE_TRANSITION_REGION' WHEN contrast >= 0.55 AND apart < 0.05 THEN 'LEGITIMATE_DETAIL' ELSE 'UNCERTAIN' END AS class FROM judged""",
+    "merge_regions": f"""
+WITH RECURSIVE {_RAG},
+same AS (SELECT image_id, region_a, region_b FROM rag WHERE max_strength < 0.45 AND avg_strength <= 0.2 AND coverage_diff <= 0.72 AND color_dist <= 0.09),
+steps_of AS (SELECT image_id, region_a AS p, region_b AS q FROM same UNION SELECT image_id, region_b, region_a FROM same),
+reached AS (SELECT image_id, label AS region, label AS root FROM region WHERE (image_id, label) IN (SELECT (image_id, region_a) FROM rag UNION SELECT (image_id, region_b) FROM rag) UNION SELECT w.image_id, s.q, w.root FROM reached w JOIN steps_of s ON s.image_id = w.image_id AND s.p = w.region)
+SELECT image_id, region, min(root) AS merged FROM reached GROUP BY image_id, region""",
+    "validation_issues": """
+WITH root AS (SELECT n.*, d.width_mm AS dw, d.height_mm AS dh, d.bleed_enabled, d.bleed_mm, d.safety_enabled, d.safety_mm AS m, x_mm + w_mm AS x2, y_mm + h_mm AS y2 FROM nodes n JOIN docs d USING (doc_id) WHERE parent_id IS NULL),
+art AS (SELECT * FROM root WHERE visible AND type IN ('raster_image', 'group') AND w_mm > 0 AND h_mm > 0),
+inside AS (SELECT *, x_mm < dw AND x2 > 0 AND y_mm < dh AND y2 > 0 AS touching, least(x_mm, y_mm, dw - x2, dh - y2) AS slack FROM art),
+edges AS (SELECT doc_id, side FROM docs, (VALUES ('top'), ('right'), ('bottom'), ('left')) s(side) WHERE bleed_enabled AND bleed_mm > 0),
+covered AS (SELECT DISTINCT a.doc_id, e.side FROM art a JOIN edges e USING (doc_id) WHERE CASE e.side WHEN 'top' THEN y_mm <= -bleed_mm WHEN 'left' THEN x_mm <= -bleed_mm WHEN 'right' THEN x2 >= dw + bleed_mm ELSE y2 >= dh + bleed_mm END),
+dpi AS (SELECT doc_id, node_id, natural_w * 25.4 / w_mm AS v FROM root WHERE type = 'raster_image' AND w_mm > 0 AND natural_w > 0),
+cut AS (SELECT c.*, n.visible FROM cut_checks c JOIN nodes n ON n.doc_id = c.doc_id AND n.node_id = c.node_id AND n.w_mm > 0 AND n.h_mm > 0),
+all_issues(doc_id, rule_id, severity, category, node_id, detail) AS (
+  SELECT doc_id, 'V001_ARTBOARD_INVALID_DIMENSIONS', 'error', 'document', NULL::BIGINT, '' FROM docs WHERE least(width_mm, height_mm) <= 0
+  UNION ALL SELECT doc_id, 'V002_NODE_INVALID_DIMENSIONS', 'error', 'geometry', node_id, '' FROM root WHERE type IN ('raster_image', 'group', 'cut_contour') AND least(w_mm, h_mm) <= 0
+  UNION ALL SELECT doc_id, 'V003_OBJECT_COMPLETELY_OUTSIDE', 'warning', 'layout', node_id, '' FROM inside WHERE NOT touching
+  UNION ALL SELECT doc_id, 'V004_OBJECT_PARTIALLY_OUTSIDE', CASE WHEN bleed_enabled AND bleed_mm > 0 THEN 'info' ELSE 'warning' END, 'layout', node_id, '' FROM inside WHERE touching AND slack < 0
+  UNION ALL SELECT doc_id, 'V005_BLEED_CONFIGURED', 'info', 'bleed', NULL, '' FROM docs WHERE bleed_enabled
+  UNION ALL SELECT doc_id, 'V006_BLEED_INSUFFICIENT_COVERAGE', 'warning', 'bleed', NULL, side FROM (SELECT doc_id, side FROM edges EXCEPT SELECT doc_id, side FROM covered)
+  UNION ALL SELECT doc_id, 'V007_SAFETY_MARGIN_INTERSECTION', 'warning', 'safety', node_id, '' FROM inside WHERE safety_enabled AND touching AND slack < m
+  UNION ALL SELECT doc_id, 'V008_RASTER_LOW_DPI', 'warning', 'raster', node_id, CASE WHEN v < 100 THEN 'critical_low_dpi' ELSE 'low_dpi' END FROM dpi WHERE v < 150
+  UNION ALL SELECT doc_id, 'V009_CUT_CONTOUR_ORPHAN', 'error', 'cut', node_id, '' FROM nodes c WHERE type = 'cut_contour' AND NOT EXISTS (SELECT 1 FROM nodes s WHERE s.doc_id = c.doc_id AND s.node_id = c.source_node_id AND s.type = 'group')
+  UNION ALL SELECT doc_id, 'V010_CUT_CONTOUR_INVALID_GEOMETRY', 'error', 'cut', node_id, '' FROM nodes WHERE type = 'cut_contour' AND least(w_mm, h_mm) <= 0
+  UNION ALL SELECT doc_id, 'V010_CUT_CONTOUR_INVALID_GEOMETRY', 'error', 'cut', node_id, 'degenerate' FROM cut WHERE vertices < 3 OR degenerate
+  UNION ALL SELECT doc_id, 'V011_CUT_CONTOUR_VALID', 'info', 'cut', node_id, '' FROM cut WHERE visible AND valid
+  UNION ALL SELECT doc_id, 'V014_CUT_CONTOUR_SELF_INTERSECTION', 'error', 'cut', node_id, '' FROM cut WHERE crossings <> 0
+  UNION ALL SELECT doc_id, 'V015_CUT_CONTOUR_OVERLAPPING_SEGMENT', 'error', 'cut', node_id, '' FROM cut WHERE overlapping <> 0
+  UNION ALL SELECT doc_id, 'V016_CUT_CONTOUR_OPEN', 'error', 'cut', node_id, '' FROM cut WHERE NOT valid AND NOT degenerate AND crossings + overlapping = 0
+  UNION ALL SELECT doc_id, 'V012_GUIDE_OUT_OF_BOUNDS', 'warning', 'guide', node_id, '' FROM root WHERE type = 'technical_guide' AND (guide_mm IS NULL OR guide_mm < 0 OR guide_mm > CASE WHEN orientation = 'vertical' THEN dw ELSE dh END)
+  UNION ALL SELECT DISTINCT doc_id, 'V013_GUIDES_SUMMARY', 'info', 'guide', NULL::BIGINT, '' FROM nodes WHERE type = 'technical_guide' AND guide_role IN ('fold', 'crease', 'cut_reference')
+  UNION ALL SELECT doc_id, 'V016_CUT_CONTOUR_REQUIRED_MISSING', 'error', 'cut', NULL, '' FROM docs d WHERE profile_id = 'generic-sticker' AND doc_id IN (SELECT doc_id FROM nodes) AND doc_id NOT IN (SELECT doc_id FROM nodes WHERE type = 'cut_contour')
+)
+SELECT * FROM all_issues""",
     "command_counts": f"WITH {_SVG} SELECT case_id, bytes, paths, subpaths, anchors, holes, compound, curves FROM counted",
     "svg_guard": f"WITH {_SVG} SELECT case_id, bytes, nodes, CASE WHEN contains(svg, '<script') THEN 'UNSAFE' ELSE 'OK' END AS verdict FROM counted",
     "golden_verdict": f"{_GOLDEN} SELECT case_id, path_delta, anchor_delta, hole_delta, {_r('pct')} AS anchor_pct, verdict FROM both_sides",
