@@ -78,10 +78,6 @@ dark AS (SELECT p.image_id, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b
 SELECT b.image_id, {E.whole('b.r + 0.5')} AS bg_r, {E.whole('b.g + 0.5')} AS bg_g, {E.whole('b.b + 0.5')} AS bg_b, {E.whole('d.r + 0.5')} AS fg_r, {E.whole('d.g + 0.5')} AS fg_g, {E.whole('d.b + 0.5')} AS fg_b, d.n AS dark_samples
 FROM border b JOIN dark d ON d.image_id = b.image_id""")
 
-accent_components = Operator(f"""
-SELECT image_id, count(*) AS n, {E.rounded('avg(r)')} AS r, {E.rounded('avg(g)')} AS g, {E.rounded('avg(b)')} AS b, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y
-FROM {{pixels}} WHERE a > 0 AND g > r + 20 AND g > b + 20 GROUP BY image_id""")
-
 palette_snap = Operator(f"""
 WITH top AS (SELECT n, r, g, b FROM {{colours}} ORDER BY n DESC, r, g, b LIMIT 6),
 palette AS (SELECT r, g, b, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM top),

@@ -12,11 +12,17 @@ from inkfold.sources import package, png
 from inkfold.streaming import telemetry
 
 
+# Operators shown on a derived relation of another name than their input.
+_SHOWN_ON = {"path_simplify": {"rings": "worn_rings"}}
+
+
 def _declared(name: str, operator: Operator) -> None:
+    shown = {n: _SHOWN_ON.get(name, {}).get(n, n) for n in operator.inputs}
+
     def query(spark, sf_dir):
-        return operator(**{n: view(spark, sf_dir, n) for n in operator.inputs})
+        return operator(**{n: view(spark, sf_dir, v) for n, v in shown.items()})
 
-    register(name, query, oracle(ORACLES.get(name) or operator.ansi(), operator.inputs))
+    register(name, query, oracle(ORACLES.get(name) or operator.ansi(), list(shown.values())))
 
 
 for _module in (raster, masks, regions, rings, curves, documents, golden, prepress, governance, selection):
@@ -37,6 +43,12 @@ register(
     oracle(_CC.format(value="label"), ["shapes"], recursive=True),
 )
 
+register(
+    "accent_components",
+    lambda spark, sf_dir: graph.connected_components(view(spark, sf_dir, "accents")),
+    oracle(_CC.format(value="label").replace("FROM shapes", "FROM accents"), ["accents"], recursive=True),
+)
+
 # Runs of background per row keep the recursion short: a component is walked from the runs that touch the border.
 _FLOOD = """
 WITH cells AS (SELECT image_id, x, y FROM shapes WHERE label IS NULL),

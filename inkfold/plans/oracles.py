@@ -237,6 +237,16 @@ feet AS (
 ),
 near AS (SELECT pair_id, ring_id, pos, min(sqrt((px - x - t * vx) ** 2 + (py - y - t * vy) ** 2)) AS d FROM feet GROUP BY ALL)
 SELECT pair_id, count(*) AS points, {_r('avg(d)')} AS mean_distance, {_r('max(d)')} AS max_distance FROM near GROUP BY pair_id""",
+    "path_simplify": """
+WITH sized AS (SELECT *, count(*) OVER (PARTITION BY ring_id) AS m FROM worn_rings),
+one AS (SELECT a.ring_id, a.pos, a.x, a.y FROM sized a JOIN sized b ON b.ring_id = a.ring_id AND b.pos = (a.pos + a.m - 1) % a.m WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= 0.0001),
+numbered AS (SELECT ring_id, x, y, row_number() OVER (PARTITION BY ring_id ORDER BY pos) - 1 AS pos, count(*) OVER (PARTITION BY ring_id) AS m FROM one),
+bent AS (
+  SELECT c.ring_id, c.pos, c.x, c.y, q.x - p.x AS vx, q.y - p.y AS vy, c.x - p.x AS ux, c.y - p.y AS uy FROM numbered c JOIN numbered p ON p.ring_id = c.ring_id AND p.pos = (c.pos + c.m - 1) % c.m JOIN numbered q ON q.ring_id = c.ring_id AND q.pos = (c.pos + 1) % c.m
+),
+left_over AS (SELECT ring_id, pos, x, y FROM bent WHERE vx * vx + vy * vy = 0 OR ux * vx + uy * vy <= 0 OR ux * vx + uy * vy >= vx * vx + vy * vy OR abs(ux * vy - uy * vx) / sqrt(vx * vx + vy * vy) > 0.005),
+result AS (SELECT * FROM left_over WHERE ring_id IN (SELECT ring_id FROM left_over GROUP BY ring_id HAVING count(*) >= 3) UNION ALL SELECT ring_id, pos, x, y FROM worn_rings WHERE ring_id NOT IN (SELECT ring_id FROM left_over GROUP BY ring_id HAVING count(*) >= 3))
+SELECT ring_id, row_number() OVER (PARTITION BY ring_id ORDER BY pos) - 1 AS pos, x, y FROM result""",
     "segment_intersections": """
 WITH sides AS (SELECT a.ring_id, a.pos, a.n, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM rings a JOIN rings b ON b.ring_id = a.ring_id AND b.pos = (a.pos + 1) % a.n),
 pairs AS (

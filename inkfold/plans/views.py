@@ -37,6 +37,13 @@ VIEWS = {
                CAST(CASE WHEN label = 1 THEN 30 WHEN label = 2 THEN 60 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 1 THEN 180 ELSE 90 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS g,
                CAST(CASE WHEN label = 1 THEN 40 WHEN label = 2 THEN 180 WHEN label = 3 THEN 60 WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS b, CAST(255 AS BIGINT) AS a
         FROM {shapes}"""),
+    "accents": Operator("SELECT image_id, idx, x, y, CASE WHEN a > 0 AND g > r + 20 AND g > b + 20 THEN CAST(1 AS BIGINT) END AS label FROM {artwork}"),
+    # Outlines with every third side halved and some points doubled.
+    "worn_rings": Operator("""
+        SELECT ring_id, CAST(row_number() OVER (PARTITION BY ring_id ORDER BY pos, k) AS BIGINT) - 1 AS pos, count(*) OVER (PARTITION BY ring_id) AS n, x, y FROM (
+          SELECT ring_id, pos, 0 AS k, x, y FROM {rings}
+          UNION ALL SELECT ring_id, pos, 1, (x + nx) / 2, (y + ny) / 2 FROM (SELECT *, lead(x) OVER (PARTITION BY ring_id ORDER BY pos) AS nx, lead(y) OVER (PARTITION BY ring_id ORDER BY pos) AS ny FROM {rings}) s WHERE pos % 3 = 0 AND nx IS NOT NULL
+          UNION ALL SELECT ring_id, pos, -1, x, y FROM {rings} WHERE pos % 5 = 0) q"""),
     "labels_map": Operator("""
         SELECT image_id, idx, x, y, r, g, b, a,
                CAST(floor(r / 64) AS BIGINT) * 16 + CAST(floor(g / 64) AS BIGINT) * 4 + CAST(floor(b / 64) AS BIGINT) AS label
