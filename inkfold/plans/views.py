@@ -33,8 +33,8 @@ VIEWS = {
     # The shapes in flat colours, one of them striped, on a plain ground with a shaded band.
     "artwork": Operator("""
         SELECT image_id, idx, x, y,
-               CAST(CASE WHEN label = 1 THEN 200 WHEN label = 2 THEN 20 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 0 THEN 250 ELSE 30 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS r,
-               CAST(CASE WHEN label = 1 THEN 30 WHEN label = 2 THEN 60 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 1 THEN 180 ELSE 90 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS g,
+               CAST(CASE WHEN label = 1 THEN 30 WHEN label = 2 THEN 20 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 0 THEN 250 ELSE 30 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS r,
+               CAST(CASE WHEN label = 1 THEN 200 WHEN label = 2 THEN 60 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 1 THEN 180 ELSE 90 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS g,
                CAST(CASE WHEN label = 1 THEN 40 WHEN label = 2 THEN 180 WHEN label = 3 THEN 60 WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS b, CAST(255 AS BIGINT) AS a
         FROM {shapes}"""),
     "accents": Operator("SELECT image_id, idx, x, y, CASE WHEN a > 0 AND g > r + 20 AND g > b + 20 THEN CAST(1 AS BIGINT) END AS label FROM {artwork}"),
