@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkfold.functions import expressions as E
+from inkfold.operators.rings import BOTH_WAYS, nearest_by_grid
 from inkfold.operators.template import Operator
 
 # Every third point starts a cubic; the next two are its handles.
@@ -57,12 +58,7 @@ feet AS (SELECT *, CASE WHEN vx * vx + vy * vy = 0 THEN 0e0 ELSE {E.clamp('((x -
 near AS (SELECT pair_id, from_id, pos, min({E.distance(('x', 'x1 + t * vx'), ('y', 'y1 + t * vy'))}) AS d FROM feet GROUP BY pair_id, from_id, pos)
 SELECT pair_id, count(*) AS points, {E.rounded('avg(d)')} AS mean_distance, {E.rounded('max(d)')} AS max_distance FROM near GROUP BY pair_id""")
 
-boundary_distance = Operator(f"""
-WITH both_ways AS (
-  SELECT a.ring_id AS pair_id, a.pos AS p, min({E.distance(('a.x', 'b.x'), ('a.y', 'b.y'))}) AS d FROM {{rings}} a JOIN {{rings}} b ON b.ring_id = a.ring_id + 1 GROUP BY a.ring_id, a.pos
-  UNION ALL SELECT b.ring_id - 1 AS pair_id, b.pos AS p, min({E.distance(('a.x', 'b.x'), ('a.y', 'b.y'))}) AS d FROM {{rings}} b JOIN {{rings}} a ON a.ring_id = b.ring_id - 1 GROUP BY b.ring_id, b.pos
-)
-SELECT pair_id, count(*) AS points, {E.rounded('avg(d)')} AS chamfer, {E.rounded('max(d)')} AS hausdorff FROM both_ways GROUP BY pair_id""")
+boundary_distance = Operator(f"WITH {nearest_by_grid(BOTH_WAYS)} SELECT pair_id, count(*) AS points, {E.rounded('avg(d)')} AS chamfer, {E.rounded('max(d)')} AS hausdorff FROM gaps GROUP BY pair_id")
 
 ground_truth_fidelity = Operator(f"""
 WITH sides AS (SELECT ring_id, pos, n, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM {{rings}} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),

@@ -247,6 +247,14 @@ bent AS (
 left_over AS (SELECT ring_id, pos, x, y FROM bent WHERE vx * vx + vy * vy = 0 OR ux * vx + uy * vy <= 0 OR ux * vx + uy * vy >= vx * vx + vy * vy OR abs(ux * vy - uy * vx) / sqrt(vx * vx + vy * vy) > 0.005),
 result AS (SELECT * FROM left_over WHERE ring_id IN (SELECT ring_id FROM left_over GROUP BY ring_id HAVING count(*) >= 3) UNION ALL SELECT ring_id, pos, x, y FROM worn_rings WHERE ring_id NOT IN (SELECT ring_id FROM left_over GROUP BY ring_id HAVING count(*) >= 3))
 SELECT ring_id, row_number() OVER (PARTITION BY ring_id ORDER BY pos) - 1 AS pos, x, y FROM result""",
+    "chamfer_hausdorff": f"""
+WITH gaps AS (SELECT a.ring_id AS a_id, b.ring_id AS b_id, a.pos, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM rings a JOIN rings b ON b.ring_id = a.ring_id + 1 GROUP BY ALL),
+sorted AS (SELECT a_id, b_id, list(d ORDER BY d) AS ds FROM gaps GROUP BY a_id, b_id)
+SELECT a_id, b_id, len(ds) AS points, {_r('list_avg(ds)')} AS chamfer, {_r('list_max(ds)')} AS hausdorff, {_r('ds[CAST(floor(len(ds) * 0.95) AS BIGINT) + 1]')} AS p95 FROM sorted""",
+    "boundary_distance": f"""
+WITH apart AS (SELECT a.ring_id AS pair_id, a.pos AS p, b.pos AS q, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM rings a JOIN rings b ON b.ring_id = a.ring_id + 1),
+near AS (SELECT pair_id, 0 AS way, p, min(d) AS d FROM apart GROUP BY pair_id, p UNION ALL SELECT pair_id, 1, q, min(d) FROM apart GROUP BY pair_id, q)
+SELECT pair_id, count(*) AS points, {_r('avg(d)')} AS chamfer, {_r('max(d)')} AS hausdorff FROM near GROUP BY pair_id""",
     "segment_intersections": """
 WITH sides AS (SELECT a.ring_id, a.pos, a.n, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM rings a JOIN rings b ON b.ring_id = a.ring_id AND b.pos = (a.pos + 1) % a.n),
 pairs AS (
