@@ -35,8 +35,8 @@ from inkfold.llm._common import cut, stored
 from inkfold.llm._text import words
 
 _SCALE = float(1 << 20)
-CHUNK_WORDS = 60_000  # distinct words and tokens after which a chunk ends with the text at hand
-CHUNK_TOKENS = 1 << 20
+CHUNK_WORDS = 200_000  # distinct words and tokens after which a chunk ends with the text at hand
+CHUNK_TOKENS = 1 << 21
 SHARD_BYTES = 16 << 20
 
 
