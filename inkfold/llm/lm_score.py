@@ -121,14 +121,14 @@ def encode(chunks: DataFrame, counts: DataFrame, known: list[tuple[str, int]], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lens, tokens, cls, inner = (batch.column(k).to_pylist() for k in range(2, 6))
-            packed, sums = [], []
-            for n, t, c, x in zip(lens, tokens, cls, inner, strict=True):
-                n, c, x = np.array(n, np.int64), np.array(c or [], np.uint8), np.array(x or [], np.float64)
+            for k in range(batch.num_rows):  # one chunk at a time, as arrays
+                n, c, x = (np.asarray(batch.column(j)[k].values if batch.column(j)[k].is_valid else [], kind) for j, kind in ((2, np.int64), (4, np.uint8), (5, np.float64)))
+                t = batch.column(3)[k].as_py()
                 at = np.frombuffer(t, np.uint16 if len(t) == 2 * n.sum() else np.int32)
-                packed.append(c[at].tobytes())
-                sums.append(_sums(x[at], n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array(sums, pa.list_(pa.float64()))], ["chunk", "ids", "lens", "tokens", "inner"])
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*row.columns[:3], pa.array([c[at].tobytes()], pa.binary()), pa.array([_sums(x[at], n)], pa.list_(pa.float64()))], ["chunk", "ids", "lens", "tokens", "inner"]
+                )
 
     joined = chunks.select("chunk", "ids", "lens", "tokens").join(looked, "chunk", "left")
     return stored(joined.mapInArrow(run, "chunk long, ids array<long>, lens array<int>, tokens binary, inner array<double>"), "lm-ready")
