@@ -150,4 +150,65 @@ SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) A
 FROM bytes b LEFT JOIN cleaned c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_pii": OP1, "op3_secrets": OP3, "op4_suffix_dedup": OP4, "op5_warc": OP5, "op9_mixing": OP9}
+OP12 = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+),
+positives AS (SELECT * FROM scored WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+pairs AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM pairs QUALIFY rank <= 10
+"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# crc32 of a decimal number, bit by bit.
+_CRC = """crc AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, s, k + 1, CASE WHEN c0 % 2 = 1 THEN xor(c0 >> 1, 3988292384) ELSE c0 >> 1 END
+  FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(s[CAST(k // 8 + 1 AS BIGINT)]) AS BIGINT)) ELSE c END AS c0 FROM crc WHERE k < 8 * length(s))
+)"""
+OP13 = f"""
+WITH RECURSIVE {_CRC},
+marked AS (SELECT doc_id FROM crc WHERE k = 8 * length(s) AND xor(c, 4294967295) % 7 = 0),
+leaves AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN doc_id IN (SELECT doc_id FROM marked) AND n_chars IS NOT NULL THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS used FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS g FROM leaves
+),
+low AS (
+  SELECT g, 0 AS level, i AS j, n AS wide, leaf AS h FROM placed
+  UNION ALL SELECT g, level + 1, j // 2, any_value((wide + 1) // 2), sha256(string_agg(h, '' ORDER BY j)) FROM low WHERE wide > 1 GROUP BY g, level, j // 2
+),
+subroots AS (SELECT g, h, level AS top FROM low WHERE wide = 1),
+high AS (
+  SELECT 0 AS level, g AS j, (SELECT count(*) FROM subroots) AS wide, h FROM subroots
+  UNION ALL SELECT level + 1, j // 2, any_value((wide + 1) // 2), sha256(string_agg(h, '' ORDER BY j)) FROM high WHERE wide > 1 GROUP BY level, j // 2
+),
+root AS (SELECT h, level AS top FROM high WHERE wide = 1),
+nodes AS (SELECT g, level, j, h FROM low WHERE wide > 1 UNION ALL SELECT s.g, s.top + y.level, y.j, y.h FROM high y, subroots s WHERE y.level > 0 OR y.j <> s.g),
+walk AS (
+  SELECT p.doc_id, p.leaf, p.used, p.g, 0 AS level, CASE WHEN s.top = 0 THEN p.g ELSE p.i END AS j, p.used AS f, '' AS met, s.top AS mid, s.top + r.top AS top FROM placed p JOIN subroots s ON s.g = p.g, root r
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.used, w.g, w.level + 1, CASE WHEN w.level + 1 = w.mid THEN w.g ELSE w.j // 2 END,
+         CASE WHEN x.h IS NULL THEN sha256(w.f) WHEN x.j < w.j THEN sha256(x.h || w.f) ELSE sha256(w.f || x.h) END, w.met || coalesce(x.h, ''), w.mid, w.top
+  FROM walk w LEFT JOIN nodes x ON x.g = w.g AND x.level = w.level AND x.j = CASE WHEN w.j % 2 = 0 THEN w.j + 1 ELSE w.j - 1 END WHERE w.level < w.top
+)
+SELECT w.doc_id, w.leaf, s.h AS subroot, r.h AS root, sha256(w.met) AS proof_sha256, w.f AS folded_root, w.f = r.h AS verified
+FROM walk w JOIN subroots s ON s.g = w.g, root r WHERE w.level = w.top
+"""
+
+ORACLES: dict[str, str] = {"op1_pii": OP1, "op3_secrets": OP3, "op4_suffix_dedup": OP4, "op5_warc": OP5, "op9_mixing": OP9, "op12_hard_negatives": OP12, "op13_merkle": OP13}

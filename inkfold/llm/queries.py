@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import ann, decontaminate, lm_score, mixing, pii, secrets, simhash, suffix_dedup, toxicity, warc
+from inkfold.llm import ann, decontaminate, hard_negatives, lm_score, merkle, mixing, pii, secrets, simhash, suffix_dedup, token_count, toxicity, warc
 from inkfold.llm._common import table
 
 
@@ -52,6 +52,25 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings")).withColumn("label", moved))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the rows as they are; of some, a tampered copy's leaf is folded along the same path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    marked = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    fields = {c: F.col(c) for c in docs.columns} | {"n_chars": F.col("n_chars") + 1}
+    proven = merkle.prove(docs.withColumn("tampered", F.when(marked, merkle.leaf(fields))), carry=("doc_id", "tampered"))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return proven.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -63,4 +82,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
+    "op11_token_count": op11_token_count,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle": op13_merkle,
 }
