@@ -198,7 +198,7 @@ def mine(
     groups are only left out where no score in them can be an answer. An anchor without
     positives, or a positive without rows in its interval (always so below zero), has no
     rows. Repeated rows count as often as they occur, but a repeated id asks once, by its
-    smallest label and vector; null ids, labels or vectors take no part, other columns are
+    smallest label and vector, and is never its own answer; null ids, labels or vectors take no part, other columns are
     not read. Components so large that a product may exceed 2**53 are refused.
 
     The top tree is fitted to sample_rows rows (by a hash) and has at most top_leaves
