@@ -49,7 +49,7 @@ every AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, m, start, stop FROM
 joined AS (
   SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _SECRETS)}, {_spans(_SECRETS, "kind <> 'entropy'")} AS base, {_spans(_SECRETS)} AS spans FROM every GROUP BY doc_id
 )
-SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _SECRETS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _SECRETS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
 FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
 

@@ -116,13 +116,14 @@ def find(docs: DataFrame, text_col: str = "text", window: int = 20) -> DataFrame
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The report columns of find(), a row per input row: id, counts by kind, base_sha256, spans; null and empty texts have counts 0 and no spans."""
+    """The report columns of find(), a row per input row: id, counts of the base kinds, base_sha256, spans, n_entropy; null and empty texts have counts 0 and no spans."""
     found = find(docs.select(id_col, text_col), text_col)
     return found.select(
         f"row.{id_col}",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS if k != "entropy"],
         F.sha2(joined_spans(F.col("base"), KINDS), 256).alias("base_sha256"),
         joined_spans(F.col("spans"), KINDS).alias("spans"),
+        F.size("entropy").cast("long").alias("n_entropy"),
     )
 
 
