@@ -3,7 +3,8 @@
 Equal fingerprints collapse first. Rows meet in buckets: at a small radius the bits are cut
 into radius + 1 blocks, of which two fingerprints within the radius share one, so nothing
 is lost; at the wide radius of a set similarity, long fingerprints meet where they agree on
-samples of bits, as many samples as the asked recall takes at the corpus' size. Inside a
+samples of bits, as many samples as the asked recall takes at the corpus' size, and the
+sets of those that meet are compared exactly. Inside a
 bucket, rows sorted by population count form tiles; tile pairs whose counts differ by more
 than the radius are skipped, the others are compared by exclusive-or and bit counts. Each
 bucket emits a spanning forest of its links, not all pairs. A bucket above ``hot`` rows is
@@ -133,9 +134,27 @@ def shared_samples(distinct: DataFrame, lanes: int, samples: np.ndarray) -> Data
     return distinct.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "block", "value"]))
 
 
-def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -> DataFrame:
+def pairs_between(fps: np.ndarray, group: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius whose groups differ, a pair of tiles at a time."""
+    pops = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    order = np.argsort(pops, kind="stable")
+    f, pops, group = np.ascontiguousarray(fps[order].T), pops[order], group[order]
+    n = len(pops)
+    for i in range(0, n, tile):
+        for j in range(i, n, tile):
+            if pops[j] - pops[min(i + tile, n) - 1] > radius:
+                break
+            apart = sum(np.bitwise_count(x[i : i + tile, None] ^ x[None, j : j + tile]).astype(np.uint16) for x in f)
+            a, b = np.nonzero((apart <= radius) & (group[i : i + tile, None] != group[None, j : j + tile]))
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            yield order[a + i], order[b + j]
+
+
+def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, group: str | None = None) -> DataFrame:
     """a, b: representatives of fingerprints at radius or fewer differing bits that share a bucket (a spanning set of such links).
 
+    With a group column (long), every such pair of different groups instead.
     keyed: f0, ..., rep, block, value. A bucket above hot rows is dealt out as all pairs of its blocks of about hot rows.
     """
     crowded = keyed.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
@@ -143,21 +162,23 @@ def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -> D
     mine = F.pmod(F.xxhash64("f0", "rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    names = [f"f{k}" for k in range(lanes)] + ["rep"]
+    names = [f"f{k}" for k in range(lanes)] + ["rep"] + ([group] if group else [])
+    head = len(names)
     dealt = rows.select(*names, "block", "value", F.explode(F.coalesce(pairs, one)).alias("p")).select(*names, "block", "value", "p.i", "p.j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((rows[1:, lanes + 1 :] != rows[:-1, lanes + 1 :]).any(axis=1)) + 1
+            cuts = np.flatnonzero((rows[1:, head:] != rows[:-1, head:]).any(axis=1)) + 1
             bounds = np.concatenate(([0], cuts, [len(rows)]))
             a, b = [], []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    x, y = forest(np.ascontiguousarray(rows[s:e, :lanes]).view(np.uint64), radius)
-                    a.append(rows[s:e, lanes][x])
-                    b.append(rows[s:e, lanes][y])
+                    fps = np.ascontiguousarray(rows[s:e, :lanes]).view(np.uint64)
+                    for x, y in pairs_between(fps, rows[s:e, head - 1], radius) if group else [forest(fps, radius)]:
+                        a.append(rows[s:e, lanes][x])
+                        b.append(rows[s:e, lanes][y])
             none = np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
@@ -165,7 +186,7 @@ def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -> D
             if not batch.num_rows:
                 continue
             rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            same = (rows[:, lanes + 1 :] == rows[-1, lanes + 1 :]).all(axis=1)
+            same = (rows[:, head:] == rows[-1, head:]).all(axis=1)
             first = int(np.argmax(same))  # start of the bucket that may go on in the next batch
             if first:
                 yield flush(np.concatenate([*held, rows[:first]]))
@@ -223,21 +244,56 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.95, hot: int = 20_000) -> DataFrame:
-    """id, component_id per row with an id: texts link whose sets of word shingles are alike by their fingerprints.
+def alike(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of word shingles have this Jaccard similarity or more, by the sets themselves."""
 
-    Fingerprints link within the differing bits that the Jaccard similarity leads to expect, so
-    the similarity is the fingerprints' estimate of it. Two texts at the similarity share a bucket with probability
-    ``recall``, closer ones nearly always. Equal sets link always; null and empty texts are
-    one set, and texts shorter than a shingle are one shingle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "set"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(asked, "id", "left_semi")
+    sets = stored(slim.mapInArrow(run, "id long, set array<long>"), "simhash-shingles")
+    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.98, hot: int = 20_000) -> DataFrame:
+    """id, component_id per row with an id: texts link whose sets of word shingles have this Jaccard similarity or more.
+
+    Fingerprints propose pairs within the differing bits that the similarity leads to expect
+    and 2.5 standard deviations more; the sets decide. Two texts that differ in one deviation
+    more than the expected bits meet in a bucket with probability ``recall``, closer ones nearly always.
+    A spanning set of the proposed pairs is checked first; where a pair of it fails, all
+    proposed pairs between the groups that it would have joined are checked. Equal sets link
+    always; null and empty texts are one set, texts shorter than a shingle are one shingle,
+    texts of any length are read whole; an empty table gives no rows, other columns are not read.
     """
     fps = stored(wide_fingerprints(docs, id_col, text_col, width, lanes).where("id is not null"), "simhash-wide")
     names = [f"f{k}" for k in range(lanes)]
     distinct = stored(fps.groupBy("same").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in names]), "simhash-sets")
     share = differing_share(similarity)
-    radius = math.ceil(64 * lanes * share)
-    samples = bit_samples(lanes, distinct.count(), 1 - share, recall)
-    parts = connected_components(links(stored(shared_samples(distinct, lanes, samples), "simhash-keyed"), radius, lanes, hot))
+    spread = math.sqrt(share * (1 - share) / (64 * lanes))
+    radius = math.ceil(64 * lanes * (share + 2.5 * spread))
+    samples = bit_samples(lanes, distinct.count(), 1 - share - spread, recall)
+    keyed = stored(shared_samples(distinct, lanes, samples), "simhash-keyed")
+    found = stored(links(keyed, radius, lanes, hot), "simhash-links")
+    good = stored(alike(docs, found, similarity, id_col, text_col, width), "simhash-alike")
+    parts = stored(connected_components(good), "simhash-parts")
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    torn = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
+    if torn.limit(1).count():
+        loose = connected_components(found)
+        mixed = loose.join(torn.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+        rows = loose.join(mixed, "component", "left_semi").join(parts.withColumnRenamed("component", "part"), "node", "left").select(F.col("node").alias("rep"), F.coalesce("part", "node").alias("part"))
+        more = links(keyed.join(rows, "rep"), radius, lanes, hot, group="part")
+        good = good.unionByName(alike(docs, stored(more, "simhash-between"), similarity, id_col, text_col, width))
+        parts = connected_components(good)
     labels = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(labels, "same").select("id", "component_id")
 
