@@ -104,10 +104,11 @@ def shared_blocks(distinct: DataFrame, radius: int) -> DataFrame:
     return distinct.select("f0", "rep", F.explode(keys).alias("k")).select("f0", "rep", "k.block", "k.value")
 
 
-def bit_samples(lanes: int, rows: int, agree: float, recall: float, per_bucket: int = 32, seed: int = SEED) -> np.ndarray:
+def bit_samples(lanes: int, rows: int, agree: float, recall: float, per_bucket: int = 2048, seed: int = SEED) -> np.ndarray:
     """Samples of bit places (one row each): enough that two fingerprints agreeing on a share ``agree`` of all bits share one with the asked probability.
 
-    Samples are as long as keeps about per_bucket unrelated rows of ``rows`` in a bucket.
+    Samples are as long as keeps about per_bucket unrelated rows of ``rows`` in a bucket: the
+    longer they are, the more of them it takes, and comparing costs less than sending.
     """
     size = int(min(48, max(4, math.ceil(math.log2(max(2, rows) / per_bucket)))))
     many = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**size)))
@@ -281,7 +282,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     spread = math.sqrt(share * (1 - share) / (64 * lanes))
     radius = math.ceil(64 * lanes * (share + 2.5 * spread))
     samples = bit_samples(lanes, distinct.count(), 1 - share - spread, recall)
-    keyed = stored(shared_samples(distinct, lanes, samples), "simhash-keyed")
+    keyed = shared_samples(distinct, lanes, samples)
     found = stored(links(keyed, radius, lanes, hot), "simhash-links")
     good = stored(alike(docs, found, similarity, id_col, text_col, width), "simhash-alike")
     parts = stored(connected_components(good), "simhash-parts")
