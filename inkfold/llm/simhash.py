@@ -135,27 +135,9 @@ def shared_samples(distinct: DataFrame, lanes: int, samples: np.ndarray) -> Data
     return distinct.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "block", "value"]))
 
 
-def pairs_between(fps: np.ndarray, group: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius whose groups differ, a pair of tiles at a time."""
-    pops = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
-    order = np.argsort(pops, kind="stable")
-    f, pops, group = np.ascontiguousarray(fps[order].T), pops[order], group[order]
-    n = len(pops)
-    for i in range(0, n, tile):
-        for j in range(i, n, tile):
-            if pops[j] - pops[min(i + tile, n) - 1] > radius:
-                break
-            apart = sum(np.bitwise_count(x[i : i + tile, None] ^ x[None, j : j + tile]).astype(np.uint16) for x in f)
-            a, b = np.nonzero((apart <= radius) & (group[i : i + tile, None] != group[None, j : j + tile]))
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            yield order[a + i], order[b + j]
-
-
-def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, group: str | None = None) -> DataFrame:
+def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000) -> DataFrame:
     """a, b: representatives of fingerprints at radius or fewer differing bits that share a bucket (a spanning set of such links).
 
-    With a group column (long), every such pair of different groups instead.
     keyed: f0, ..., rep, block, value. A bucket above hot rows is dealt out as all pairs of its blocks of about hot rows.
     """
     crowded = keyed.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
@@ -163,7 +145,7 @@ def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, grou
     mine = F.pmod(F.xxhash64("f0", "rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    names = [f"f{k}" for k in range(lanes)] + ["rep"] + ([group] if group else [])
+    names = [f"f{k}" for k in range(lanes)] + ["rep"]
     head = len(names)
     dealt = rows.select(*names, "block", "value", F.explode(F.coalesce(pairs, one)).alias("p")).select(*names, "block", "value", "p.i", "p.j")
 
@@ -176,10 +158,9 @@ def links(keyed: DataFrame, radius: int, lanes: int = 1, hot: int = 20_000, grou
             a, b = [], []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    fps = np.ascontiguousarray(rows[s:e, :lanes]).view(np.uint64)
-                    for x, y in pairs_between(fps, rows[s:e, head - 1], radius) if group else [forest(fps, radius)]:
-                        a.append(rows[s:e, lanes][x])
-                        b.append(rows[s:e, lanes][y])
+                    x, y = forest(np.ascontiguousarray(rows[s:e, :lanes]).view(np.uint64), radius)
+                    a.append(rows[s:e, lanes][x])
+                    b.append(rows[s:e, lanes][y])
             none = np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
@@ -245,8 +226,8 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def alike(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of word shingles have this Jaccard similarity or more, by the sets themselves."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """id, set: the sorted hashes of the word shingles of the texts whose ids are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,22 +237,85 @@ def alike(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, tex
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "set"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(asked, "id", "left_semi")
-    sets = stored(slim.mapInArrow(run, "id long, set array<long>"), "simhash-shingles")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(ids, "id", "left_semi")
+    return slim.mapInArrow(run, "id long, set array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have this Jaccard similarity or more."""
     one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
+def bridges(fps: np.ndarray, group: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, tile: int = TILE) -> list[tuple[int, int]]:
+    """Index pairs that join groups: within the radius and alike by their sets, a spanning set of them."""
+    names, root = np.unique(group, return_inverse=True)
+    up = np.arange(len(names))
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = int(up[k])
+        return k
+
+    pops = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    order = np.argsort(pops, kind="stable")
+    f, pops, root, n = np.ascontiguousarray(fps[order].T), pops[order], root[order], len(fps)
+    out = []
+    for i in range(0, n, tile):
+        for j in range(i, n, tile):
+            if pops[j] - pops[min(i + tile, n) - 1] > radius:
+                break
+            apart = sum(np.bitwise_count(x[i : i + tile, None] ^ x[None, j : j + tile]).astype(np.uint16) for x in f)
+            flat = np.array([find(k) for k in range(len(names))])[root]
+            a, b = np.nonzero((apart <= radius) & (flat[i : i + tile, None] != flat[None, j : j + tile]))
+            for k in np.argsort(apart[a, b], kind="stable").tolist():  # the closest first: they join most
+                p, q = int(a[k] + i), int(b[k] + j)
+                u, v = find(root[p]), find(root[q])
+                if u == v:
+                    continue
+                x, y = sets[order[p]], sets[order[q]]
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= similarity * (len(x) + len(y) - shared):
+                    up[max(u, v)] = min(u, v)
+                    out.append((int(order[p]), int(order[q])))
+    return out
+
+
+def bridged(rows: DataFrame, lanes: int, radius: int, similarity: float, block_rows: int = 2000, block_hashes: int = 1_000_000) -> DataFrame:
+    """a, b: links between groups of one component. rows: component, rep, part (its group), f0, ..., set.
+
+    A component is dealt out as all pairs of its blocks of about block_rows rows and
+    block_hashes hashes, each pair a task of its own that keeps its comparisons to itself.
+    """
+    sizes = rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.size("set")) / block_hashes), F.lit(1)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    names = [f"f{k}" for k in range(lanes)]
+    dealt = rows.join(sizes, "component").select("component", "rep", "part", *names, "set", F.explode(pairs).alias("p")).select("component", "rep", "part", *names, "set", "p.i", "p.j")
+
+    def run(table: pa.Table) -> pa.Table:
+        fps = np.column_stack([table.column(c).to_numpy() for c in names]).view(np.uint64)
+        column = table.column("set").combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        found = bridges(fps, table.column("part").to_numpy(), [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)], radius, similarity)
+        rep = table.column("rep").to_numpy()
+        return pa.table([pa.array([rep[k] for k, _ in found], pa.int64()), pa.array([rep[k] for _, k in found], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("component", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.98, hot: int = 20_000) -> DataFrame:
     """id, component_id per row with an id: texts link whose sets of word shingles have this Jaccard similarity or more.
 
     Fingerprints propose pairs within the differing bits that the similarity leads to expect
     and 2.5 standard deviations more; the sets decide. Two texts that differ in one deviation
     more than the expected bits meet in a bucket with probability ``recall``, closer ones nearly always.
-    A spanning set of the proposed pairs is checked first; where a pair of it fails, all
-    proposed pairs between the groups that it would have joined are checked. Equal sets link
+    A spanning set of the proposed pairs is checked first; where a pair of it fails, all pairs
+    within that radius between the groups that it would have joined are checked. Equal sets link
     always; null and empty texts are one set, texts shorter than a shingle are one shingle,
     texts of any length are read whole; an empty table gives no rows, other columns are not read.
     """
@@ -284,17 +328,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     samples = bit_samples(lanes, distinct.count(), 1 - share - spread, recall)
     keyed = shared_samples(distinct, lanes, samples)
     found = stored(links(keyed, radius, lanes, hot), "simhash-links")
-    good = stored(alike(docs, found, similarity, id_col, text_col, width), "simhash-alike")
+    sets = stored(shingle_sets(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col, width), "simhash-shingles")
+    good = stored(alike(found, sets, similarity), "simhash-alike")
     parts = stored(connected_components(good), "simhash-parts")
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     torn = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
     if torn.limit(1).count():
         loose = connected_components(found)
         mixed = loose.join(torn.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
-        rows = loose.join(mixed, "component", "left_semi").join(parts.withColumnRenamed("component", "part"), "node", "left").select(F.col("node").alias("rep"), F.coalesce("part", "node").alias("part"))
-        more = links(keyed.join(rows, "rep"), radius, lanes, hot, group="part")
-        good = good.unionByName(alike(docs, stored(more, "simhash-between"), similarity, id_col, text_col, width))
-        parts = connected_components(good)
+        rows = loose.join(mixed, "component", "left_semi").join(parts.withColumnRenamed("component", "part"), "node", "left").select("component", F.col("node").alias("rep"), F.coalesce("part", "node").alias("part"))
+        full = rows.join(distinct.select("rep", *names), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        more = bridged(full, lanes, radius, similarity)
+        parts = connected_components(good.unionByName(stored(more, "simhash-bridges")))
     labels = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(labels, "same").select("id", "component_id")
 
