@@ -1,131 +1,48 @@
-"""Cut contours and image-wide kernels, one group per contour set or image."""
+"""Path language to polylines: cursor, curves and arcs, one path a group."""
 
 from __future__ import annotations
 
-import heapq
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from inkfold.operators.kernels import closed_rdp, trace
-
-
-def grown_outlines(boxes: np.ndarray, offset: float, cell: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """Outlines of the union of boxes (x0, y0, x1, y1) grown by an offset, on a grid of the given cell size.
-
-    The union is taken on the grid, so outlines are exact to half a cell; inner rings turn
-    the other way round.
-    """
-    low = np.floor((boxes[:, :2].min(axis=0) - offset) / cell).astype(int) - 1
-    high = np.ceil((boxes[:, 2:].max(axis=0) + offset) / cell).astype(int) + 1
-    size = high - low
-    cx = (np.arange(size[0]) + low[0] + 0.5) * cell
-    cy = (np.arange(size[1]) + low[1] + 0.5) * cell
-    inside = np.zeros((size[1], size[0]), bool)
-    for x0, y0, x1, y1 in boxes:
-        dx = np.maximum(np.maximum(x0 - cx, cx - x1), 0)
-        dy = np.maximum(np.maximum(y0 - cy, cy - y1), 0)
-        inside |= dx[None, :] ** 2 + dy[:, None] ** 2 <= offset**2
-    padded = np.pad(inside, 1)
-    edges = []
-    for dx, dy, ends in ((0, -1, (0, 0, 1, 0)), (1, 0, (1, 0, 1, 1)), (0, 1, (1, 1, 0, 1)), (-1, 0, (0, 1, 0, 0))):
-        other = padded[1 + dy : 1 + dy + size[1], 1 + dx : 1 + dx + size[0]]
-        y, x = np.nonzero(inside & ~other)
-        edges.append(np.stack([x + ends[0], y + ends[1], x + ends[2], y + ends[3]], axis=1))
-    return [(r + low) * cell for r in trace(np.concatenate(edges))], inside
-
 
 def _area(ring: np.ndarray) -> float:
     nxt = np.roll(ring, -1, axis=0)
     return float((ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]).sum() / 2)
 
 
-def cut_contours(nodes: DataFrame, offset_mm: float = 2.0, cell_mm: float = 0.5, tolerance_mm: float = 0.4, least_mm2: float = 1.0) -> DataFrame:
-    """doc_id, ring_no, is_hole, points, area_mm2: contours around the visible art of a document, grown by the offset.
-
-    Union, offset, cleaning and a minimum area; documents without art have no rows.
-    """
-    art = nodes.where("visible AND type NOT IN ('cut_contour', 'technical_guide') AND w_mm > 0 AND h_mm > 0").select("doc_id", "x_mm", "y_mm", "w_mm", "h_mm")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x_mm", "y_mm", "w_mm", "h_mm"])
-        boxes = np.stack([pdf["x_mm"], pdf["y_mm"], pdf["x_mm"] + pdf["w_mm"], pdf["y_mm"] + pdf["h_mm"]], axis=1)
-        rows = []
-        for ring in grown_outlines(boxes, offset_mm, cell_mm)[0]:
-            clean = ring[closed_rdp(ring, tolerance_mm)]
-            if len(clean) >= 3 and abs(_area(clean)) >= least_mm2:
-                rows.append([pdf["doc_id"].iloc[0], len(rows), _area(clean) < 0, len(clean), round(abs(_area(clean)), 6)])
-        return pd.DataFrame(rows, columns=["doc_id", "ring_no", "is_hole", "points", "area_mm2"])
-
-    return art.groupBy("doc_id").applyInPandas(run, "doc_id long, ring_no long, is_hole boolean, points long, area_mm2 double")
-
-
-def grow_seeds(lab: np.ndarray, visible: np.ndarray, flat: float, least_area: int) -> tuple[np.ndarray, np.ndarray]:
-    """Label map and seed mask: 4-connected seeds of pixels close to their seed's first pixel, then growth over the rest by least path cost.
-
-    Pixels are visited in row order; the path cost of a step is 1 plus a twentieth of the colour distance, ties go to the smaller label.
-    """
-    h, w = visible.shape
-    label = np.full((h, w), -1, np.int64)
-    count = 0
-    for y, x in zip(*np.nonzero(visible), strict=True):
-        if label[y, x] >= 0:
-            continue
-        members, todo, first = [], [(y, x)], lab[y, x]
-        label[y, x] = count
-        while todo:
-            cy, cx = todo.pop()
-            members.append((cy, cx))
-            for ny, nx in ((cy - 1, cx), (cy + 1, cx), (cy, cx - 1), (cy, cx + 1)):
-                if 0 <= ny < h and 0 <= nx < w and visible[ny, nx] and label[ny, nx] == -1 and np.sqrt(((lab[ny, nx] - first) ** 2).sum()) < flat:
-                    label[ny, nx] = count
-                    todo.append((ny, nx))
-        if len(members) < least_area:
-            for m in members:
-                label[m] = -2
-        else:
-            count += 1
-    seeds = label >= 0
-    label[label == -2] = -1
-    heap = [(0.0, int(label[y, x]), int(y), int(x)) for y, x in zip(*np.nonzero(seeds), strict=True)]
-    heapq.heapify(heap)
-    cost = np.where(seeds, 0.0, np.inf)
-    while heap:
-        c, k, y, x = heapq.heappop(heap)
-        if c > cost[y, x] or label[y, x] != k:
-            continue
-        for ny, nx in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= ny < h and 0 <= nx < w and visible[ny, nx] and not seeds[ny, nx]:
-                step = c + 1 + 0.05 * float(np.sqrt(((lab[ny, nx] - lab[y, x]) ** 2).sum()))
-                if step < cost[ny, nx]:
-                    cost[ny, nx], label[ny, nx] = step, k
-                    heapq.heappush(heap, (step, k, ny, nx))
-    return label, seeds
-
-
-def region_growth(pixels: DataFrame, flat: float = 60.0, least_area: int = 4) -> DataFrame:
-    """image_id, label, seed_area, area: regions grown from flat seeds; label -1 is what no seed reaches."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
-        lab, visible = np.zeros((h, w, 3)), np.zeros((h, w), bool)
-        lab[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy(float)
-        visible[pdf["y"], pdf["x"]] = pdf["a"].to_numpy() > 0
-        label, seeds = grow_seeds(lab, visible, flat, least_area)
-        flat_labels, own = label[visible], seeds[visible]
-        kinds, area = np.unique(flat_labels, return_counts=True)
-        seeded = {k: int((flat_labels[own] == k).sum()) for k in kinds}
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "label": kinds, "seed_area": [seeded[k] for k in kinds], "area": area})
-
-    return pixels.select("image_id", "x", "y", "r", "g", "b", "a").groupBy("image_id").applyInPandas(run, "image_id long, label long, seed_area long, area long")
+def arc_points(start: tuple[float, float], rx: float, ry: float, degrees: float, large: bool, sweep: bool, end: tuple[float, float], tolerance: float) -> list[tuple[float, float]]:
+    """Points of an elliptical arc after its start, from the end-point form of the path language; radii too small are scaled up, a radius of zero is a line."""
+    (x0, y0), (x1, y1) = start, end
+    rx, ry = abs(rx), abs(ry)
+    if start == end:
+        return []
+    if rx == 0 or ry == 0:
+        return [end]
+    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    # Half the chord in the ellipse's own axes, as parts of the radii: the arc is one of a unit circle.
+    u, v = (cos * (x0 - x1) + sin * (y0 - y1)) / 2 / rx, (cos * (y0 - y1) - sin * (x0 - x1)) / 2 / ry
+    far = math.hypot(u, v)
+    if far > 1:
+        rx, ry, u, v, far = rx * far, ry * far, u / far, v / far, 1.0
+    lift = math.sqrt(max(0.0, 1 - far * far)) / far * (-1 if large == sweep else 1)
+    cu, cv = lift * v, -lift * u
+    first, last = math.atan2(v - cv, u - cu), math.atan2(-v - cv, -u - cu)
+    turn = (last - first) % (2 * math.pi) if sweep else -((first - last) % (2 * math.pi))
+    count = max(1, math.ceil(abs(turn) / (2 * math.acos(max(0.0, 1 - min(1.0, tolerance / max(rx, ry)))))))
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    out = []
+    for k in range(1, count):
+        p, q = rx * (cu + math.cos(first + turn * k / count)), ry * (cv + math.sin(first + turn * k / count))
+        out.append((mx + cos * p - sin * q, my + sin * p + cos * q))
+    return [*out, end]
 
 
 def flatten(commands: list[tuple[str, list[float]]], tolerance: float = 0.05) -> list[np.ndarray]:
-    """Polylines of a path's subpaths; relative commands follow the cursor, curves are split until flat to the tolerance.
-
-    Arcs are drawn as their chord.
-    """
+    """Polylines of a path's subpaths; relative commands follow the cursor, curves are split until flat to the tolerance, arcs have points to the tolerance."""
     out: list[list[tuple[float, float]]] = []
     x = y = sx = sy = 0.0
     last = ("", 0.0, 0.0)
@@ -167,8 +84,12 @@ def flatten(commands: list[tuple[str, list[float]]], tolerance: float = 0.05) ->
                 if kind in "HV":
                     x, y = (bx + g[0], y) if kind == "H" else (x, by + g[0])
                     out[-1].append((x, y))
-                elif kind in "LA":
-                    x, y = bx + g[-2], by + g[-1]
+                elif kind == "A":
+                    end = (bx + g[5], by + g[6])
+                    out[-1] += arc_points((x, y), g[0], g[1], g[2], g[3] != 0, g[4] != 0, end, tolerance)
+                    x, y = end
+                elif kind == "L":
+                    x, y = bx + g[0], by + g[1]
                     out[-1].append((x, y))
                 else:
                     p = [(bx + g[k], by + g[k + 1]) for k in range(0, n, 2)]

@@ -48,22 +48,47 @@ kept AS (SELECT ring_id, pos, sum(CASE WHEN turn >= 45 THEN 1 ELSE 0 END) AS see
 SELECT ring_id, CAST(seen AS BIGINT) AS scales_seen, count(*) AS points FROM kept GROUP BY ring_id, seen""")
 
 # Every point of either outline to the nearest side of the other, closing sides included.
+# Sides meet points in the cells around them; only points without a side within a cell's width look at the whole outline.
+_REACH = 8
+_FOOT = E.clamp("((x - x1) * vx + (y - y1) * vy) / (vx * vx + vy * vy)", "0e0", "1e0")
+_TO_SIDE = E.distance(("x", "x1 + t * vx"), ("y", "y1 + t * vy"))
+
+
+def _cells(low: str, high: str) -> str:
+    return f"explode(sequence({E.whole(f'{low} / {_REACH}')}, {E.whole(f'{high} / {_REACH}')}))"
+
+
 point_to_segment = Operator(f"""
 WITH segs AS (SELECT ring_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM {{rings}} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),
+sides AS (SELECT ring_id, x1, y1, x2 - x1 AS vx, y2 - y1 AS vy, least(x1, x2) AS lx, greatest(x1, x2) AS hx, least(y1, y2) AS ly, greatest(y1, y2) AS hy FROM segs),
+lines AS (SELECT *, {_cells('lx', 'hx')} AS gx FROM sides),
+placed AS (SELECT ring_id, x1, y1, vx, vy, gx, {_cells('ly', 'hy')} AS gy FROM lines),
 ways AS (SELECT DISTINCT ring_id AS pair_id, ring_id AS from_id, ring_id + 1 AS to_id FROM {{rings}} UNION ALL SELECT DISTINCT ring_id AS pair_id, ring_id + 1 AS from_id, ring_id AS to_id FROM {{rings}}),
-pairs AS (
-  SELECT w.pair_id, w.from_id, a.pos, a.x, a.y, x1, y1, x2 - x1 AS vx, y2 - y1 AS vy FROM ways w JOIN {{rings}} a ON a.ring_id = w.from_id JOIN segs s ON s.ring_id = w.to_id
-),
-feet AS (SELECT *, CASE WHEN vx * vx + vy * vy = 0 THEN 0e0 ELSE {E.clamp('((x - x1) * vx + (y - y1) * vy) / (vx * vx + vy * vy)', '0e0', '1e0')} END AS t FROM pairs),
-near AS (SELECT pair_id, from_id, pos, min({E.distance(('x', 'x1 + t * vx'), ('y', 'y1 + t * vy'))}) AS d FROM feet GROUP BY pair_id, from_id, pos)
-SELECT pair_id, count(*) AS points, {E.rounded('avg(d)')} AS mean_distance, {E.rounded('max(d)')} AS max_distance FROM near GROUP BY pair_id""")
+asked AS (SELECT w.pair_id, w.from_id, w.to_id, a.pos, a.x, a.y, {E.whole(f'a.x / {_REACH}')} AS cx, {E.whole(f'a.y / {_REACH}')} AS cy FROM ways w JOIN {{rings}} a ON a.ring_id = w.from_id),
+rows3 AS (SELECT *, explode(array(cx - 1, cx, cx + 1)) AS gx FROM asked),
+around AS (SELECT *, explode(array(cy - 1, cy, cy + 1)) AS gy FROM rows3),
+feet AS (SELECT p.pair_id, p.from_id, p.pos, x, y, x1, y1, vx, vy, CASE WHEN vx * vx + vy * vy = 0 THEN 0e0 ELSE {_FOOT} END AS t FROM around p JOIN placed s ON s.ring_id = p.to_id AND s.gx = p.gx AND s.gy = p.gy),
+close AS (SELECT pair_id, from_id, pos, min({_TO_SIDE}) AS d FROM feet GROUP BY pair_id, from_id, pos),
+left_over AS (SELECT a.pair_id, a.from_id, a.to_id, a.pos, a.x, a.y FROM asked a LEFT JOIN close c ON c.pair_id = a.pair_id AND c.from_id = a.from_id AND c.pos = a.pos WHERE c.d IS NULL OR c.d > {_REACH}),
+far_feet AS (SELECT p.pair_id, p.from_id, p.pos, x, y, x1, y1, vx, vy, CASE WHEN vx * vx + vy * vy = 0 THEN 0e0 ELSE {_FOOT} END AS t FROM left_over p JOIN sides s ON s.ring_id = p.to_id),
+near AS (SELECT pair_id, from_id, pos, d FROM close WHERE d <= {_REACH} UNION ALL SELECT pair_id, from_id, pos, min({_TO_SIDE}) AS d FROM far_feet GROUP BY pair_id, from_id, pos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id, from_id ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY pair_id, from_id) AS n FROM near),
+ways2 AS (
+  SELECT pair_id, from_id, count(*) AS points, avg(d) AS mean, max(d) AS most, max(CASE WHEN k = {E.whole('n * 0.5')} THEN d END) AS p50, max(CASE WHEN k = {E.whole('n * 0.95')} THEN d END) AS p95 FROM ranked GROUP BY pair_id, from_id
+)
+SELECT pair_id, CAST(sum(points) AS BIGINT) AS points, {E.rounded('avg(mean)')} AS chamfer, {E.rounded('max(most)')} AS hausdorff, {E.rounded('max(CASE WHEN from_id = pair_id THEN p50 END)')} AS p50, {E.rounded('max(CASE WHEN from_id = pair_id THEN p95 END)')} AS p95
+FROM ways2 GROUP BY pair_id HAVING count(*) = 2""")
 
 boundary_distance = Operator(f"WITH {nearest_by_grid(BOTH_WAYS)} SELECT pair_id, count(*) AS points, {E.rounded('avg(d)')} AS chamfer, {E.rounded('max(d)')} AS hausdorff FROM gaps GROUP BY pair_id")
 
 ground_truth_fidelity = Operator(f"""
 WITH sides AS (SELECT ring_id, pos, n, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM {{rings}} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),
-sums AS (SELECT ring_id, abs(sum(x * ny - nx * y) / 2) AS area, sum({E.distance(('x', 'nx'), ('y', 'ny'))}) AS perimeter FROM sides GROUP BY ring_id)
-SELECT c.ring_id, {E.rounded('CASE WHEN t.area > 0 THEN abs(c.area - t.area) / t.area ELSE 0 END')} AS area_drift, {E.rounded('CASE WHEN t.perimeter > 0 THEN abs(c.perimeter - t.perimeter) / t.perimeter ELSE 0 END')} AS perimeter_drift
+raw AS (
+  SELECT ring_id, sum(x * ny - nx * y) / 2 AS area, sum({E.distance(('x', 'nx'), ('y', 'ny'))}) AS perimeter, sum((x + nx) * (x * ny - nx * y)) / 6 AS mx, sum((y + ny) * (x * ny - nx * y)) / 6 AS my, avg(x) AS ax, avg(y) AS ay FROM sides GROUP BY ring_id
+),
+sums AS (SELECT ring_id, abs(area) AS area, perimeter, CASE WHEN area = 0 THEN ax ELSE mx / area END AS cx, CASE WHEN area = 0 THEN ay ELSE my / area END AS cy FROM raw)
+SELECT c.ring_id, {E.rounded('CASE WHEN t.area > 0 THEN abs(c.area - t.area) / t.area ELSE 0 END')} AS area_drift, {E.rounded('CASE WHEN t.perimeter > 0 THEN abs(c.perimeter - t.perimeter) / t.perimeter ELSE 0 END')} AS perimeter_drift,
+       {E.rounded(E.distance(('c.cx', 't.cx'), ('c.cy', 't.cy')))} AS centroid_drift
 FROM sums c JOIN sums t ON t.ring_id = c.ring_id + 1""")
 
 # Edges are matched on a canonical key of their end points, snapped to a grid of 10.

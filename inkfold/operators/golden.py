@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from inkfold.functions import expressions as E
 from inkfold.operators.template import Operator
+from inkfold.sources.svg import NUMBER, UNSAFE
 
 _D = """regexp_extract_all(svg, '(?is)<path\\\\b[^>]*?\\\\bd\\\\s*=\\\\s*["\\']([^"\\']*)["\\']', 1)"""
 _COUNTS = f"""parts AS (SELECT case_id, svg, backend, octet_length(svg) AS bytes, regexp_count(svg, '(?i)<path\\\\b') AS paths, {_D} AS d FROM {{svgs}}),
@@ -22,16 +23,22 @@ command_counts = Operator(f"WITH {_COUNTS} SELECT case_id, bytes, CAST(paths AS
 tag_attributes = Operator("""
 SELECT case_id, regexp_extract(svg, 'viewBox="([^"]*)"', 1) AS view_box, regexp_extract(svg, 'width="([^"]*)"', 1) AS width, regexp_extract(svg, 'fill="([^"]*)"', 1) AS first_fill FROM {svgs}""")
 
-# What a file from elsewhere must not hold; nodes are pairs of numbers in path data.
-_UNSAFE = ["(?i)<script\\\\b", "(?i)</script>", "(?i)<foreignobject\\\\b", "(?i)<iframe\\\\b", "(?i)\\\\bon[a-z0-9_]+\\\\s*=", "(?i)javascript\\\\s*:", "(?i)data\\\\s*:\\\\s*text/html"]
-_NUMBER = "[-+]?[0-9]*[.]?[0-9]+([eE][-+]?[0-9]+)?"
+# Pairs of numbers in path data are nodes. The size is the view box's, else the width and height given, else what the nodes reach.
+_LIST = f"flatten(transform(d, p -> transform(regexp_extract_all(p, '{NUMBER}', 0), v -> CAST(v AS DOUBLE))))"
+_GIVEN = "try_cast(regexp_extract(svg, '(?i)\\\\b{0}\\\\s*=\\\\s*[\"\\']\\\\s*([0-9]*[.]?[0-9]+)', 1) AS DOUBLE)"
 svg_guard = Operator(f"""
 WITH {_COUNTS},
 told AS (
-  SELECT case_id, bytes, paths, CAST(aggregate(d, 0, (n, x) -> n + CAST(floor(regexp_count(x, '{_NUMBER}') / 2) AS INT)) AS BIGINT) AS nodes, {' OR '.join(f"svg RLIKE '{p}'" for p in _UNSAFE)} AS unsafe
+  SELECT case_id, svg, bytes, paths, CAST(aggregate(d, 0, (n, x) -> n + CAST(floor(regexp_count(x, '{NUMBER}') / 2) AS INT)) AS BIGINT) AS nodes, {UNSAFE} AS unsafe, {_LIST} AS numbers,
+         transform(split(trim(regexp_extract(svg, '(?i)viewBox\\\\s*=\\\\s*["\\']([^"\\']*)', 1)), '[ ,]+'), v -> try_cast(v AS DOUBLE)) AS box, {_GIVEN.format('width')} AS given_w, {_GIVEN.format('height')} AS given_h
   FROM (SELECT s.*, p.d FROM stats s JOIN parts p ON p.case_id = s.case_id) q
+),
+sized AS (
+  SELECT *, size(box) >= 4 AND get(box, 2) > 0 AND get(box, 3) > 0 AS boxed, array_max(filter(numbers, (v, i) -> i % 2 = 0)) AS reach_x, array_max(filter(numbers, (v, i) -> i % 2 = 1)) AS reach_y FROM told
 )
-SELECT case_id, bytes, nodes, CASE WHEN bytes = 0 THEN 'EMPTY' WHEN unsafe THEN 'UNSAFE' WHEN paths = 0 THEN 'NO_PATHS' WHEN nodes = 0 THEN 'NO_GEOMETRY' WHEN bytes > 20000000 OR nodes > 2000000 THEN 'TOO_LARGE' ELSE 'OK' END AS verdict FROM told""")
+SELECT case_id, bytes, nodes, CASE WHEN coalesce(boxed, false) THEN get(box, 2) WHEN given_w > 0 AND given_h > 0 THEN given_w WHEN nodes > 0 THEN greatest(1e0, ceil(reach_x)) END AS width,
+       CASE WHEN coalesce(boxed, false) THEN get(box, 3) WHEN given_w > 0 AND given_h > 0 THEN given_h WHEN nodes > 0 THEN greatest(1e0, ceil(reach_y)) END AS height,
+       CASE WHEN bytes = 0 THEN 'EMPTY' WHEN unsafe THEN 'UNSAFE' WHEN paths = 0 THEN 'NO_PATHS' WHEN nodes = 0 THEN 'NO_GEOMETRY' WHEN bytes > 20000000 OR nodes > 2000000 THEN 'TOO_LARGE' ELSE 'OK' END AS verdict FROM sized""")
 
 # A candidate fails on structural loss or a growth above three times, needs eyes on any other change.
 _VERDICTS = f"""{_COUNTS},

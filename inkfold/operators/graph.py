@@ -51,7 +51,7 @@ def pixel_components(cells: DataFrame, value: str = "label") -> DataFrame:
         WITH marked AS (SELECT *, CASE WHEN lag(x) OVER w = x - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END AS fresh FROM {cells} WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
         numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY x) AS k FROM marked)
         SELECT image_id, y, v, min(x) AS x0, max(x) AS x1, count(*) AS n FROM numbered GROUP BY image_id, y, v, k""", cells=cells)
-    runs = cut(runs.withColumn("node", F.col("y") * 1_000_000 + F.col("x0")))
+    runs = cut(runs.withColumn("node", F.col("y") * (1 << 31) + F.col("x0")))
     up = runs.select("image_id", (F.col("y") + 1).alias("y"), "v", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("up"))
     edges = runs.join(up, ["image_id", "y", "v"]).where("x0 <= u1 AND u0 <= x1").select("image_id", "node", "up")
     found = components(edges, ["image_id"], "node", "up")

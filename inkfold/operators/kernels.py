@@ -1,11 +1,14 @@
-"""Per-contour kernels that are sequential by nature: simplification, fitting, tracing, one group per contour."""
+"""Per-contour kernels that are sequential by nature: simplification and fitting, one ring of a streamed partition at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def rdp(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -70,42 +73,6 @@ def visvalingam(points: np.ndarray, least_area: float) -> np.ndarray:
     return np.array(alive)
 
 
-def fit_cubic(points: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float]:
-    """Least-squares cubic through both ends with chord-length parameters, refined by Newton steps; control points and largest error."""
-    step = np.hypot(*np.diff(points, axis=0).T)
-    t = np.concatenate(([0], np.cumsum(step))) / max(step.sum(), 1e-12)
-    p0, p3 = points[0], points[-1]
-    for k in range(rounds):
-        b1, b2 = 3 * t * (1 - t) ** 2, 3 * t * t * (1 - t)
-        rest = points - np.outer((1 - t) ** 3, p0) - np.outer(t**3, p3)
-        inner, *_ = np.linalg.lstsq(np.stack([b1, b2], axis=1), rest, rcond=None)
-        control = np.stack([p0, inner[0], inner[1], p3])
-        at = np.outer((1 - t) ** 3, p0) + np.outer(b1, inner[0]) + np.outer(b2, inner[1]) + np.outer(t**3, p3)
-        gap = at - points
-        if k + 1 < rounds:
-            d1 = 3 * np.outer((1 - t) ** 2, inner[0] - p0) + 6 * np.outer(t * (1 - t), inner[1] - inner[0]) + 3 * np.outer(t * t, p3 - inner[1])
-            d2 = 6 * np.outer(1 - t, inner[1] - 2 * inner[0] + p0) + 6 * np.outer(t, p3 - 2 * inner[1] + inner[0])
-            slope = (d1 * d1).sum(axis=1) + (gap * d2).sum(axis=1)
-            move = np.where(np.abs(slope) > 1e-12, (gap * d1).sum(axis=1) / np.where(np.abs(slope) > 1e-12, slope, 1), 0)
-            t = np.clip(t - move, 0, 1)
-            t[0], t[-1] = 0, 1
-    return control, float(np.hypot(*gap.T).max())
-
-
-def fit_curves(points: np.ndarray, tolerance: float) -> list[tuple[int, int, np.ndarray, float]]:
-    """Cubics over index ranges, split at the largest error until each is within the tolerance."""
-    out, todo = [], [(0, len(points) - 1)]
-    while todo:
-        a, b = todo.pop()
-        control, error = fit_cubic(points[a : b + 1]) if b - a > 1 else (np.stack([points[a], (2 * points[a] + points[b]) / 3, (points[a] + 2 * points[b]) / 3, points[b]]), 0.0)
-        if error <= tolerance or b - a < 2:
-            out.append((a, b, control, error))
-        else:
-            middle = (a + b) // 2
-            todo += [(middle, b), (a, middle)]
-    return sorted(out, key=lambda x: x[0])
-
-
 def fit_circle(points: np.ndarray) -> tuple[float, float, float, float]:
     """Algebraic least-squares circle: centre, radius, root mean square of radial errors."""
     m = points.mean(axis=0)
@@ -133,19 +100,46 @@ def smooth(ring: np.ndarray, sigma: float) -> np.ndarray:
     return sum(w * np.roll(ring, -k, axis=0) for w, k in zip(weight, range(-reach, reach + 1), strict=True))
 
 
-def _xy(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf.sort_values("pos")[["x", "y"]].to_numpy(float)
+def per_ring(rings: DataFrame, run: Callable[[int, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """run(ring_id, points in order) of every ring; a task streams through its rings in Arrow batches and holds one ring at a time."""
+    fields = rings.sparkSession.createDataFrame([], schema).schema
+    names, types = fields.names, [to_arrow_type(f.dataType) for f in fields]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+
+        def done() -> list[tuple]:
+            return run(held[0][0], np.concatenate([p for _, p in held])) if held else []
+
+        for batch in batches:
+            ring, points = batch.column(0).to_numpy(), np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]).astype(float)
+            starts = np.flatnonzero(np.diff(ring, prepend=ring[0] - 1 if len(ring) else 0))
+            rows: list[tuple] = []
+            for s, e in zip(starts, [*starts[1:], len(ring)], strict=True):
+                if held and held[0][0] != ring[s]:
+                    rows += done()
+                    held.clear()
+                held.append((int(ring[s]), points[s:e]))
+            if rows:
+                yield _batch(rows, names, types)
+        if rows := done():
+            yield _batch(rows, names, types)
+
+    return rings.select("ring_id", "pos", "x", "y").repartition("ring_id").sortWithinPartitions("ring_id", "pos").mapInArrow(stream, schema)
+
+
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def rdp_simplify(rings: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """ring_id, points, kept, area_before, area_after."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = _xy(pdf)
+    def run(ring: int, p: np.ndarray) -> list[tuple]:
         keep = closed_rdp(p, tolerance)
-        return pd.DataFrame({"ring_id": [pdf["ring_id"].iloc[0]], "points": [len(p)], "kept": [int(keep.sum())], "area_before": [_area(p)], "area_after": [_area(p[keep])]})
+        return [(ring, len(p), int(keep.sum()), _area(p), _area(p[keep]))]
 
-    return rings.select("ring_id", "pos", "x", "y").groupBy("ring_id").applyInPandas(run, "ring_id long, points long, kept long, area_before double, area_after double")
+    return per_ring(rings, run, "ring_id long, points long, kept long, area_before double, area_after double")
 
 
 def _area(p: np.ndarray) -> float:
@@ -155,77 +149,55 @@ def _area(p: np.ndarray) -> float:
 
 def vw_simplify(rings: DataFrame, least_area: float = 50.0) -> DataFrame:
     """ring_id, points, kept."""
+    return per_ring(rings, lambda ring, p: [(ring, len(p), int(visvalingam(p, least_area).sum()))], "ring_id long, points long, kept long")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = _xy(pdf)
-        return pd.DataFrame({"ring_id": [pdf["ring_id"].iloc[0]], "points": [len(p)], "kept": [int(visvalingam(p, least_area).sum())]})
 
-    return rings.select("ring_id", "pos", "x", "y").groupBy("ring_id").applyInPandas(run, "ring_id long, points long, kept long")
-
-
-def cubic_fit(rings: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """ring_id, seg_no, first_pos, last_pos, control points and largest error of cubics fitted to the smoothed ring."""
-    names = ["x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = smooth(_xy(pdf), 2.0) if len(pdf) > 2 else _xy(pdf)
-        if len(p) < 2:
-            return pd.DataFrame(columns=["ring_id", "seg_no", "first_pos", "last_pos", *names, "error"])
-        rows = [[pdf["ring_id"].iloc[0], k, a, b, *c.ravel(), e] for k, (a, b, c, e) in enumerate(fit_curves(p, tolerance))]
-        return pd.DataFrame(rows, columns=["ring_id", "seg_no", "first_pos", "last_pos", *names, "error"])
-
-    schema = "ring_id long, seg_no long, first_pos long, last_pos long, " + ", ".join(f"{n} double" for n in names) + ", error double"
-    return rings.select("ring_id", "pos", "x", "y").groupBy("ring_id").applyInPandas(run, schema)
+def crosses_itself(p: np.ndarray) -> bool:
+    """Whether two sides of a closed ring that are not neighbours meet; one side against all later ones at a time."""
+    q = np.roll(p, -1, axis=0)
+    n = len(p)
+    side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    for k in range(n - 2):
+        last = n - 1 if k == 0 else n
+        a, b, c, d = p[k], q[k], p[k + 2 : last], q[k + 2 : last]
+        near = (np.minimum(c, d) <= np.maximum(a, b)).all(axis=1) & (np.minimum(a, b) <= np.maximum(c, d)).all(axis=1)
+        c, d = c[near], d[near]
+        if len(c) and ((side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0)).any():
+            return True
+    return False
+
+
+def checked_simplify(p: np.ndarray, tolerance: float, most_area_loss: float = 0.05, attempts: int = 3) -> tuple[np.ndarray, float, str]:
+    """Points kept, tolerance used and outcome: Ramer-Douglas-Peucker with the tolerance halved until the ring keeps its area, does not cross itself and has three points.
+
+    A ring without area, that crosses itself or that no attempt simplifies well stays as it was.
+    """
+    whole, area = np.ones(len(p), bool), abs(_area(p))
+    if len(p) < 4 or area == 0:
+        return whole, 0.0, "UNCHANGED"
+    if crosses_itself(p):
+        return whole, 0.0, "CROSSING"
+    for k in range(attempts):
+        used = tolerance / 2**k
+        keep = closed_rdp(p, used)
+        if keep.sum() >= 3 and abs(abs(_area(p[keep])) - area) <= most_area_loss * area and not crosses_itself(p[keep]):
+            return keep, used, "SIMPLIFIED" if keep.sum() < len(p) else "UNCHANGED"
+    return whole, 0.0, "REJECTED"
+
+
+def validated_simplify(rings: DataFrame, tolerance: float = 2.0, most_area_loss: float = 0.05, attempts: int = 3) -> DataFrame:
+    """ring_id, points, kept, tolerance, outcome, area_before, area_after: simplification under gates of area, deviation (the tolerance) and crossings."""
+
+    def run(ring: int, p: np.ndarray) -> list[tuple]:
+        keep, used, outcome = checked_simplify(p, tolerance, most_area_loss, attempts)
+        return [(ring, len(p), int(keep.sum()), used, outcome, _area(p), _area(p[keep]))]
+
+    return per_ring(rings, run, "ring_id long, points long, kept long, tolerance double, outcome string, area_before double, area_after double")
 
 
 def circle_fit(rings: DataFrame) -> DataFrame:
-    """ring_id, cx, cy, radius, rms."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[pdf["ring_id"].iloc[0], *(fit_circle(_xy(pdf)) if len(pdf) > 2 else (None,) * 4)]], columns=["ring_id", "cx", "cy", "radius", "rms"])
-
-    return rings.select("ring_id", "pos", "x", "y").groupBy("ring_id").applyInPandas(run, "ring_id long, cx double, cy double, radius double, rms double")
-
-
-def trace(edges: np.ndarray) -> list[np.ndarray]:
-    """Chain directed boundary edges (x0, y0, x1, y1) into closed rings; at a crossing the sharpest right turn goes on."""
-    start: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y, *_) in enumerate(edges.tolist()):
-        start.setdefault((x, y), []).append(i)
-    used, out = [False] * len(edges), []
-    for first in range(len(edges)):
-        if used[first]:
-            continue
-        ring, at = [], first
-        while not used[at]:
-            used[at] = True
-            x0, y0, x1, y1 = edges[at].tolist()
-            ring.append((x0, y0))
-            heading = (x1 - x0, y1 - y0)
-            options = [j for j in start.get((x1, y1), []) if not used[j]]
-            if not options:
-                break
-            turn = lambda j: heading[0] * (edges[j][3] - edges[j][1]) - heading[1] * (edges[j][2] - edges[j][0])  # noqa: B023, E731
-            at = max(options, key=turn)
-        out.append(np.array(ring))
-    return out
-
-
-def trace_rings(shapes: DataFrame) -> DataFrame:
-    """image_id, label, ring_no, is_hole, points, area: closed outlines of every label, outer ones with positive area."""
-    cells = shapes.where("label IS NOT NULL").select("image_id", "x", "y", "label")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        here = set(zip(pdf["x"], pdf["y"], strict=True))
-        edges = []
-        for x, y in sorted(here):
-            for dx, dy, e in ((0, -1, (x, y, x + 1, y)), (1, 0, (x + 1, y, x + 1, y + 1)), (0, 1, (x + 1, y + 1, x, y + 1)), (-1, 0, (x, y + 1, x, y))):
-                if (x + dx, y + dy) not in here:
-                    edges.append(e)
-        rows = [[pdf["image_id"].iloc[0], pdf["label"].iloc[0], k, _area(r) < 0, len(r), abs(_area(r))] for k, r in enumerate(trace(np.array(edges)))]
-        return pd.DataFrame(rows, columns=["image_id", "label", "ring_no", "is_hole", "points", "area"])
-
-    return cells.groupBy("image_id", "label").applyInPandas(run, "image_id long, label long, ring_no long, is_hole boolean, points long, area double")
+    """ring_id, cx, cy, radius, rms; nulls below three points."""
+    return per_ring(rings, lambda ring, p: [(ring, *(fit_circle(p) if len(p) > 2 else (None,) * 4))], "ring_id long, cx double, cy double, radius double, rms double")
 
 
 def diverse_palette(colours: DataFrame, most: int = 8, least_distance: float = 40.0) -> DataFrame:

@@ -35,25 +35,25 @@ peaks AS (SELECT image_id, x, y, abs(slope) AS m, abs(lag(slope) OVER w) AS pm,
 SELECT image_id, x, y, {E.rounded('m')} AS strength, {E.rounded('x + CASE WHEN pm - 2 * m + nm = 0 THEN 0e0 ELSE (pm - nm) / (2 * (pm - 2 * m + nm)) END')} AS edge_x FROM peaks WHERE m > 20 AND m > pm AND m >= nm""")
 
 _L, _A, _B = E.oklab("r", "g", "b")
-_CENTRES = "SELECT image_id, cell, avg(x) AS cx, avg(y) AS cy, avg(l) AS cl, avg(a) AS ca, avg(b) AS cb FROM {src} GROUP BY image_id, cell"
+_CENTRES = "SELECT image_id, cell_x, cell_y, avg(x) AS cx, avg(y) AS cy, avg(l) AS cl, avg(a) AS ca, avg(b) AS cb FROM {src} GROUP BY image_id, cell_x, cell_y"
 
 
 def _assign(source: str) -> str:
-    """Nearest centre among those of the cells around a pixel; ties go to the lower cell."""
+    """Nearest centre among those of the cells around a pixel; ties go to the higher, then lefter cell."""
     gap = "(c.cl - p.l) * (c.cl - p.l) + (c.ca - p.a) * (c.ca - p.a) + (c.cb - p.b) * (c.cb - p.b)"
-    return f"""SELECT image_id, x, y, l, a, b, cell, gx, gy FROM (
-    SELECT p.image_id, p.x, p.y, p.l, p.a, p.b, p.gx, p.gy, c.cell, row_number() OVER (PARTITION BY p.image_id, p.x, p.y
-      ORDER BY floor((144 * ({gap}) + ((c.cx - p.x) * (c.cx - p.x) + (c.cy - p.y) * (c.cy - p.y)) / 64) * 1000000000), c.cell) AS k
-    FROM (SELECT q.*, (gy + d.dy) * 1000 + gx + d.dx AS want FROM px q JOIN around d ON true) p JOIN ({_CENTRES.replace('{src}', source)}) c ON c.image_id = p.image_id AND c.cell = p.want) r WHERE k = 1"""
+    return f"""SELECT image_id, x, y, l, a, b, cell_x, cell_y, gx, gy FROM (
+    SELECT p.image_id, p.x, p.y, p.l, p.a, p.b, p.gx, p.gy, c.cell_x, c.cell_y, row_number() OVER (PARTITION BY p.image_id, p.x, p.y
+      ORDER BY floor((144 * ({gap}) + ((c.cx - p.x) * (c.cx - p.x) + (c.cy - p.y) * (c.cy - p.y)) / 64) * 1000000000), c.cell_y, c.cell_x) AS k
+    FROM (SELECT q.*, gx + d.dx AS want_x, gy + d.dy AS want_y FROM px q JOIN around d ON true) p JOIN ({_CENTRES.replace('{src}', source)}) c ON c.image_id = p.image_id AND c.cell_x = p.want_x AND c.cell_y = p.want_y) r WHERE k = 1"""
 
 
 slic_superpixels = Operator(f"""
 WITH px AS (SELECT image_id, x, y, {_L} AS l, {_A} AS a, {_B} AS b, {E.whole('x / 8')} AS gx, {E.whole('y / 8')} AS gy FROM {{pixels}} WHERE a > 0),
 around AS (SELECT a.d AS dx, b.d AS dy FROM (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) a JOIN (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) b ON true),
-seeded AS (SELECT px.*, gy * 1000 + gx AS cell FROM px),
+seeded AS (SELECT px.*, gx AS cell_x, gy AS cell_y FROM px),
 one AS ({_assign('seeded')}),
 two AS ({_assign('one')})
-SELECT image_id, cell, count(*) AS area, {E.rounded('avg(l)')} AS ok_l, {E.rounded('avg(x)')} AS cx, {E.rounded('avg(y)')} AS cy FROM two GROUP BY image_id, cell""")
+SELECT image_id, cell_x, cell_y, count(*) AS area, {E.rounded('avg(l)')} AS ok_l, {E.rounded('avg(x)')} AS cx, {E.rounded('avg(y)')} AS cy FROM two GROUP BY image_id, cell_x, cell_y""")
 
 varnish_mask = Operator(f"""
 WITH boxes AS (
@@ -78,12 +78,16 @@ dark AS (SELECT p.image_id, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b
 SELECT b.image_id, {E.whole('b.r + 0.5')} AS bg_r, {E.whole('b.g + 0.5')} AS bg_g, {E.whole('b.b + 0.5')} AS bg_b, {E.whole('d.r + 0.5')} AS fg_r, {E.whole('d.g + 0.5')} AS fg_g, {E.whole('d.b + 0.5')} AS fg_b, d.n AS dark_samples
 FROM border b JOIN dark d ON d.image_id = b.image_id""")
 
+# An image's palette are its colours of a share or more; every colour goes to the nearest of them in CIELAB, ties to the more frequent.
+_SHARE = 0.02
+_PL, _PA, _PB = E.cielab("r", "g", "b")
 palette_snap = Operator(f"""
-WITH top AS (SELECT n, r, g, b FROM {{colours}} ORDER BY n DESC, r, g, b LIMIT 6),
-palette AS (SELECT r, g, b, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM top),
-gaps AS (SELECT c.r, c.g, c.b, c.n, p.k, row_number() OVER (PARTITION BY c.r, c.g, c.b ORDER BY (c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b), p.k) AS near,
-                (c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b) AS gap FROM {{colours}} c JOIN palette p ON true)
-SELECT CAST(k AS BIGINT) AS palette_id, count(*) AS colours, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(CASE WHEN gap > 0 THEN n ELSE 0 END) AS BIGINT) AS reassigned, {E.rounded('sqrt(max(gap))')} AS farthest FROM gaps WHERE near = 1 GROUP BY k""")
+WITH counted AS (SELECT image_id, r, g, b, count(*) AS n FROM {{pixels}} WHERE a > 0 GROUP BY image_id, r, g, b),
+shades AS (SELECT image_id, r, g, b, n, sum(n) OVER (PARTITION BY image_id) AS total, {_PL} AS l, {_PA} AS la, {_PB} AS lb FROM counted),
+palette AS (SELECT image_id, l, la, lb, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS k FROM shades WHERE n >= {_SHARE} * total),
+gaps AS (SELECT c.image_id, c.r, c.g, c.b, c.n, p.k, {E.rounded(E.distance(('c.l', 'p.l'), ('c.la', 'p.la'), ('c.lb', 'p.lb')))} AS gap FROM shades c JOIN palette p ON p.image_id = c.image_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, r, g, b ORDER BY gap, k) AS near FROM gaps)
+SELECT image_id, CAST(k AS BIGINT) AS palette_id, count(*) AS colours, CAST(sum(n) AS BIGINT) AS pixels, CAST(sum(CASE WHEN gap > 0 THEN n ELSE 0 END) AS BIGINT) AS reassigned, max(gap) AS farthest FROM ranked WHERE near = 1 GROUP BY image_id, k""")
 
 fragmented_colours = Operator("""
 WITH parts AS (SELECT image_id, label, count(*) AS cells, count(DISTINCT y) AS lines, min(x) AS min_x, max(x) AS max_x FROM {labels_map} GROUP BY image_id, label)

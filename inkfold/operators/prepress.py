@@ -44,7 +44,7 @@ wholes AS (
          max(CASE WHEN vertices >= 2 AND gap > {GAP} AND (opened = 1 OR (closed = 0 AND vertices >= 3 AND gap < 0.5 * mean_side)) THEN 1 ELSE 0 END) = 1 AS open_contour
   FROM outlines GROUP BY doc_id, node_id
 ),
-sides AS (SELECT doc_id, node_id, contour * 1000000 + pos AS k, x AS x1, y AS y1, nx AS x2, ny AS y2 FROM turned),
+sides AS (SELECT doc_id, node_id, contour * 4294967296 + pos AS k, x AS x1, y AS y1, nx AS x2, ny AS y2 FROM turned),
 low AS (SELECT *, {strip('least', '-')} AS first_strip FROM sides),
 cut AS (SELECT *, explode(sequence(first_strip, {strip('greatest', '+')})) AS strip FROM low),
 met AS (

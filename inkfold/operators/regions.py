@@ -73,22 +73,21 @@ SELECT image_id, label, area, CAST(neighbours AS BIGINT) AS neighbours,
             WHEN contrast >= 0.55 AND between < 0.05 THEN 'LEGITIMATE_DETAIL' ELSE 'UNCERTAIN' END AS class
 FROM offs""")
 
+# Owners are an image's colours of a share or more; another colour is a mixture of the two owners whose line in CIELAB runs nearest, if within the residual bound.
+_OWNER_SHARE, _MOST_RESIDUAL = 0.05, 12
+_ML, _MA, _MB = E.cielab("r", "g", "b")
 mixture_endpoint = Operator(f"""
-WITH top AS (SELECT n, r, g, b FROM {{colours}} ORDER BY n DESC, r, g, b LIMIT 12),
-owners AS (SELECT r, g, b, row_number() OVER (ORDER BY n DESC, r, g, b) AS k FROM top),
-others AS (SELECT c.r, c.g, c.b FROM {{colours}} c LEFT JOIN top o ON o.r = c.r AND o.g = c.g AND o.b = c.b WHERE o.r IS NULL),
-pairs AS (
-  SELECT p.k AS i, q.k AS j, p.r AS r1, p.g AS g1, p.b AS b1, q.r - p.r AS vr, q.g - p.g AS vg, q.b - p.b AS vb
-  FROM owners p JOIN owners q ON p.k < q.k
-),
+WITH counted AS (SELECT image_id, r, g, b, count(*) AS n FROM {{pixels}} WHERE a > 0 GROUP BY image_id, r, g, b),
+shades AS (SELECT image_id, r, g, b, n, sum(n) OVER (PARTITION BY image_id) AS total, {_ML} AS l, {_MA} AS la, {_MB} AS lb FROM counted),
+owners AS (SELECT image_id, l, la, lb, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS k FROM shades WHERE n >= {_OWNER_SHARE} * total),
+pairs AS (SELECT p.image_id, p.k AS i, q.k AS j, p.l AS l1, p.la AS a1, p.lb AS b1, q.l - p.l AS vl, q.la - p.la AS va, q.lb - p.lb AS vb FROM owners p JOIN owners q ON q.image_id = p.image_id AND p.k < q.k),
 shares AS (
-  SELECT c.r, c.g, c.b, i, j, r1, g1, b1, vr, vg, vb, CAST((c.r - r1) * vr + (c.g - g1) * vg + (c.b - b1) * vb AS DOUBLE) / (vr * vr + vg * vg + vb * vb) AS t
-  FROM others c JOIN pairs ON vr * vr + vg * vg + vb * vb > 0
+  SELECT c.image_id, c.r, c.g, c.b, c.l, c.la, c.lb, i, j, l1, a1, b1, vl, va, vb, ((c.l - l1) * vl + (c.la - a1) * va + (c.lb - b1) * vb) / (vl * vl + va * va + vb * vb) AS t
+  FROM shades c JOIN pairs p ON p.image_id = c.image_id AND c.n < {_OWNER_SHARE} * c.total AND vl * vl + va * va + vb * vb > 0
 ),
-fits AS (SELECT *, {E.distance(('r', 'r1 + vr * t'), ('g', 'g1 + vg * t'), ('b', 'b1 + vb * t'))} AS off FROM shares WHERE t > 0.02 AND t < 0.98),
-best AS (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY off, i, j) AS k FROM fits)
-SELECT r, g, b, CAST(i AS BIGINT) AS first_owner, CAST(j AS BIGINT) AS second_owner, {E.rounded('t')} AS share, {E.rounded('off')} AS residual,
-       CAST(CASE WHEN t < 0.5 THEN i ELSE j END AS BIGINT) AS endpoint
+fits AS (SELECT image_id, r, g, b, i, j, {E.rounded('t')} AS t, {E.rounded(E.distance(('l', 'l1 + vl * t'), ('la', 'a1 + va * t'), ('lb', 'b1 + vb * t')))} AS off FROM shares),
+best AS (SELECT *, row_number() OVER (PARTITION BY image_id, r, g, b ORDER BY off, i, j) AS k FROM fits WHERE t > 0.02 AND t < 0.98 AND off <= {_MOST_RESIDUAL})
+SELECT image_id, r, g, b, CAST(i AS BIGINT) AS first_owner, CAST(j AS BIGINT) AS second_owner, t AS share, off AS residual, CAST(CASE WHEN t < 0.5 THEN i ELSE j END AS BIGINT) AS endpoint
 FROM best WHERE k = 1""")
 
 nearest_prototype = Operator(f"""

@@ -5,22 +5,17 @@ from __future__ import annotations
 from inkfold.functions import expressions as E
 from inkfold.operators.template import Operator
 
+# The model of least description length among those within the error bound: fit error against number of parameters.
 best_model = Operator(f"""
-WITH models AS (
-  SELECT p_partkey AS interval_id, m.model, m.params, CAST((p_partkey * m.k) % 101 AS DOUBLE) / 40 + CAST(p_size AS DOUBLE) / 50 AS rms, CAST((p_partkey * m.k) % 89 AS DOUBLE) / 30 AS worst
-  FROM {{part}} JOIN (SELECT 'LINE' AS model, 2 AS params, 7 AS k UNION ALL SELECT 'ARC', 3, 13 UNION ALL SELECT 'ELLIPSE', 5, 29 UNION ALL SELECT 'BEZIER', 8, 31) m ON true
-),
-scored AS (SELECT *, 10 * ln(1e0 + rms) + 0.5e0 * params * ln(20e0) AS score FROM models WHERE worst <= 2.5),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY interval_id ORDER BY floor(score * 1000000), params) AS k FROM scored)
-SELECT interval_id, model, {E.rounded('score')} AS score, {E.rounded('rms')} AS rms_error, {E.rounded('worst')} AS max_error FROM ranked WHERE k = 1""")
+WITH scored AS (SELECT *, 10 * ln(1e0 + rms) + 0.5e0 * params * ln(20e0) AS score FROM {{model_errors}} WHERE worst <= 2.5),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ring_id, interval_id ORDER BY floor(score * 1000000), params) AS k FROM scored)
+SELECT ring_id, interval_id, model, {E.rounded('score')} AS score, {E.rounded('rms')} AS rms_error, {E.rounded('worst')} AS max_error FROM ranked WHERE k = 1""")
 
+# Trials of a case that no other trial beats in error, nodes and editability at once.
 pareto_frontier = Operator("""
-WITH grid AS (
-  SELECT p_size AS case_id, p_partkey AS trial, CAST((p_partkey * 17) % 101 AS BIGINT) AS error, CAST((p_partkey * 31) % 97 AS BIGINT) AS nodes, CAST((p_partkey * 7) % 89 AS BIGINT) AS editability FROM {part}
-)
-SELECT g.case_id, g.trial, g.error, g.nodes, g.editability FROM grid g
+SELECT g.case_id, g.trial, g.error, g.nodes, g.editability FROM {trials} g
 WHERE NOT EXISTS (
-  SELECT 1 FROM grid o WHERE o.case_id = g.case_id AND o.error <= g.error AND o.nodes <= g.nodes AND o.editability >= g.editability
+  SELECT 1 FROM {trials} o WHERE o.case_id = g.case_id AND o.error <= g.error AND o.nodes <= g.nodes AND o.editability >= g.editability
     AND (o.error < g.error OR o.nodes < g.nodes OR o.editability > g.editability))""")
 
 plan_progress = Operator("""

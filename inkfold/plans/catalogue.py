@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkfold.operators import contours, curves, documents, golden, governance, graph, kernels, masks, prepress, raster, regions, rings, selection
+from inkfold.operators import curves, documents, golden, governance, graph, kernels, masks, prepress, raster, regions, rings, selection
 from inkfold.operators.template import Operator
 from inkfold.plans.oracles import ORACLES
 from inkfold.plans.registry import register
@@ -13,7 +13,7 @@ from inkfold.streaming import telemetry
 
 
 # Operators shown on a derived relation of another name than their input.
-_SHOWN_ON = {"path_simplify": {"rings": "worn_rings"}}
+_SHOWN_ON = {"path_simplify": {"rings": "worn_rings"}, "mixture_endpoint": {"pixels": "artwork"}, "palette_snap": {"pixels": "artwork"}}
 
 
 def _declared(name: str, operator: Operator) -> None:
@@ -22,7 +22,9 @@ def _declared(name: str, operator: Operator) -> None:
     def query(spark, sf_dir):
         return operator(**{n: view(spark, sf_dir, v) for n, v in shown.items()})
 
-    register(name, query, oracle(ORACLES.get(name) or operator.ansi(), list(shown.values())))
+    # The operator's own text names its inputs; an oracle of its own names what it is shown on.
+    text = ORACLES.get(name) or operator.text.format(**shown).replace("/*g*/", ", 'g'")
+    register(name, query, oracle(text, list(shown.values())))
 
 
 for _module in (raster, masks, regions, rings, curves, documents, golden, prepress, governance, selection):
@@ -85,8 +87,7 @@ WITH stuck AS (
 SELECT DISTINCT plan_id, step_id FROM stuck WHERE far > 0"""
 register("blocked_steps", lambda spark, sf_dir: graph.blocked_steps(view(spark, sf_dir, "steps")), oracle(_BLOCKED, ["steps"], recursive=True))
 
-for _name, _input in (("rdp_simplify", "rings"), ("vw_simplify", "rings"), ("cubic_fit", "rings"), ("circle_fit", "rings"), ("trace_rings", "shapes"), ("diverse_palette", "colours")):
-    register(_name, lambda spark, sf_dir, f=getattr(kernels, _name), n=_input: f(view(spark, sf_dir, n)))
+register("diverse_palette", lambda spark, sf_dir: kernels.diverse_palette(view(spark, sf_dir, "colours")))
 
 register("png_round_trip", lambda spark, sf_dir: png.write_images(view(spark, sf_dir, "pixels")).selectExpr("image_id", "width", "height", "length(png) AS bytes"))
 register(
@@ -120,6 +121,3 @@ WITH gaps AS (SELECT organization_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION
 numbered AS (SELECT organization_id, ts, sum(fresh) OVER (PARTITION BY organization_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gaps)
 SELECT organization_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS requests FROM numbered GROUP BY organization_id, k"""
 register("telemetry_sessions", lambda spark, sf_dir: telemetry.sessions(view(spark, sf_dir, "telemetry")), oracle(_SESSIONS, ["telemetry"]))
-
-register("cut_contours", lambda spark, sf_dir: contours.cut_contours(view(spark, sf_dir, "nodes")))
-register("region_growth", lambda spark, sf_dir: contours.region_growth(view(spark, sf_dir, "pixels")))

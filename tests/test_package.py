@@ -42,6 +42,10 @@ def test_svg_counts_guard_and_verdicts(spark):
     svgs = spark.createDataFrame([(k, s, "DIRECT") for k, s in rows], "case_id long, svg string, backend string")
     got = {r["case_id"]: r for r in golden.command_counts(svgs=svgs).collect()}
     assert {c: got[1][c] for c in ("paths", "subpaths", "anchors", "holes", "compound", "curves")} == dict(paths=2, subpaths=3, anchors=11, holes=1, compound=1, curves=1)
+    sizes = {r["case_id"]: (r["width"], r["height"]) for r in golden.svg_guard(svgs=spark.createDataFrame([
+        (1, '<svg viewBox="0 0 30 20.5" width="9mm"><path d="M0 0L1 1"/></svg>', "X"), (2, '<svg width="9mm" HEIGHT=\'8\'><path d="M0 0L1 1"/></svg>', "X"), (3, '<svg viewBox="0 0 0 5"><path d="M0 0L7.2-1.5"/></svg>', "X"), (4, "<svg/>", "X"),
+    ], "case_id long, svg string, backend string")).collect()}
+    assert sizes == {1: (30.0, 20.5), 2: (9.0, 8.0), 3: (8.0, 1.0), 4: (None, None)}
     guard = {r["case_id"]: r["verdict"] for r in golden.svg_guard(svgs=svgs).collect()}
     assert guard == {1: "OK", 2: "EMPTY", 3: "UNSAFE", 4: "NO_PATHS", 5: "NO_GEOMETRY", 6: "OK", 7: "OK"}
     base = [(1, 2, 11, 1, "DIRECT", True, ok), (6, 2, 11, 1, "DIRECT", True, ok), (7, 1, 3, 1, "DIRECT", True, rows[6][1]), (4, 1, 1, 0, "DIRECT", True, "<svg/>")]

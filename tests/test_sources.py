@@ -52,6 +52,14 @@ def test_svg(spark):
     assert [r["d"] for r in again.orderBy("path_no").collect()] == [g[2] for g in got]
     bad = spark.createDataFrame([("<svg onload='x()'/>",), ("<svg/>",), (None,)], "s string")
     assert [r[0] for r in bad.select(svg.unsafe(bad["s"])).collect()] == [True, False, False]
+    texts = {
+        "<svg><SCRIPT>x</SCRIPT></svg>": True, "<svg><iframe src='x'/></svg>": True, "<svg><foreignObject/></svg>": True, "<!DOCTYPE svg [<!ENTITY a 'b'>]><svg/>": True, "<svg><a/></svg>": True,
+        "<svg><use href='#a'/><image xlink:href='data:image/png;base64,AA'/></svg>": False, "<svg><use href='http://a/b.svg#c'/></svg>": True, "<svg><image href=\"data:text/html,x\"/></svg>": True, "<svg><use href=' javascript:x'/></svg>": True,
+        "<svg><rect style='fill:url(#g)'/></svg>": False, "<svg><rect style='fill:url(http://x)'/></svg>": True, "<svg><rect/ONCLICK=x></svg>": True, "<svg><!-- a note --><path d='M0 0'/></svg>": False, "<svg><path d='M0 0' stroke-width='1' font='on'/></svg>": False,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "svg string")
+    assert {r[0]: r[1] for r in rows.select("svg", svg.unsafe(rows["svg"])).collect()} == texts
+    assert {r[0]: r[1] for r in rows.selectExpr("svg", svg.UNSAFE).collect()} == texts
 
 
 def test_json_documents(spark, tmp_path):
