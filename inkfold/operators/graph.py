@@ -3,39 +3,99 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, a temporary one only on a single machine where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        sc = spark.sparkContext
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkfold-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkfold-"))
-    return df.checkpoint(eager=True)
+    """The table written to the shared folder and read back: no lineage, and its true size for the plans of the next round.
+
+    A checkpoint would carry the estimate of its plan along, which a loop of joins multiplies round by round.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/inkfold-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _local_roots(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every edge the smallest node of its component, among these edges alone."""
+    pairs = np.stack([np.concatenate([group, group]), np.concatenate([a, b])], axis=1)
+    nodes, at = np.unique(pairs, axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    p, q = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[p], root[q])
+        before = root.copy()
+        np.minimum.at(root, root[p], low)
+        np.minimum.at(root, root[q], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return nodes[root[p], 1]
+
+
+def _stars(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, node, other: edges from every node to the smallest node of its component within an Arrow batch of neighbouring edges; long chains become stars before they are followed across batches."""
+    slim = edges.where(F.col(a) != F.col(b)).select(*keys, F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.zeros(batch.num_rows, np.int64)
+            for k in range(len(keys)):
+                group = np.unique(np.stack([group, pc.rank(batch.column(k), tiebreaker="dense").to_numpy().astype(np.int64)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+            node, other = batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1).to_numpy()
+            root = pa.array(_local_roots(group, node, other))
+            names = [*keys, "node", "other"]
+            for end in (len(keys), len(keys) + 1):
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], batch.column(end), root], names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
+    near = slim.repartitionByRange(*keys, "node").sortWithinPartitions(*keys, "node", "other")
+    return near.mapInArrow(run, schema).where("node <> other").distinct()
 
 
 def components(edges: DataFrame, keys: list[str], a: str, b: str, most_rounds: int = 200) -> DataFrame:
     """keys, node, component: smallest node reachable over edges, within equal keys.
 
-    Each round a node takes the smallest label among its neighbours and then its label's
-    own label, so a path of length n settles in about log n rounds.
+    Edges are first settled batch by batch. Then each round a node takes the smallest label
+    among its neighbours and its label's own label, so a path of length n settles in about
+    log n rounds. Nodes that only meet themselves are their own component.
     """
-    both = edges.select(*keys, F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(*keys, F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
-    both = cut(both)
-    label = both.select(*keys, "node").distinct().withColumn("component", F.col("node"))
+    loops = edges.where(F.col(a) == F.col(b)).select(*keys, F.col(a).cast("long").alias("node"), F.col(a).cast("long").alias("other"))
+    star = cut(_stars(edges, keys, a, b).unionByName(loops))
+    both = star.unionByName(star.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    label = both.groupBy(*keys, "node").agg(F.least("node", F.min("other")).alias("component"))
+    label = cut(label)
     for _ in range(most_rounds):
         other = label.select(*keys, F.col("node").alias("other"), F.col("component").alias("theirs"))
         near = both.join(other, [*keys, "other"]).groupBy(*keys, "node").agg(F.min("theirs").alias("theirs"))
         stepped = label.join(near, [*keys, "node"]).select(*keys, "node", F.col("component").alias("was"), F.least("component", "theirs").alias("component"))
         root = stepped.select(*keys, F.col("node").alias("component"), F.col("component").alias("up"))
         jumped = cut(stepped.join(root, [*keys, "component"], "left").select(*keys, "node", "was", F.least("component", "up").alias("component")))
-        changed = jumped.where("was <> component").limit(1).count()
         label = jumped.drop("was")
-        if not changed:
+        if not jumped.where("was <> component").limit(1).count():
             return label
     raise RuntimeError("components did not settle")
 

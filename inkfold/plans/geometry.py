@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkfold.operators import arrangement, fields, fitting, hierarchy, kernels, planar, selection
+from inkfold.operators import arrangement, clustering, coupling, fields, fitting, hierarchy, kernels, planar, selection
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
 
@@ -206,6 +206,40 @@ told AS (
 SELECT doc_id, a_id, CASE WHEN status <> 'LOST' THEN b_id END AS b_id, CASE WHEN status <> 'LOST' THEN iou END AS iou, CASE WHEN status <> 'LOST' THEN apart END AS apart, CASE WHEN status <> 'LOST' THEN ratio END AS ratio, status FROM told"""
 register("component_matching", lambda spark, sf_dir: hierarchy.match_components(view(spark, sf_dir, "art_boxes"), view(spark, sf_dir, "redrawn_boxes")), oracle(_MATCHED, ["art_boxes", "redrawn_boxes"], recursive=True))
 
+# Partial clusters one after the other by size, each a leader unless an earlier one is near.
+_MASKS = """
+WITH parts AS (
+  SELECT image_id, cell, n, floor(({l}) * 1000000000 + 0.5) / 1000000000 AS l, floor(({a}) * 1000000000 + 0.5) / 1000000000 AS ca, floor(({b}) * 1000000000 + 0.5) / 1000000000 AS cb, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, cell) AS k
+  FROM (SELECT image_id, r // 8 * 1024 + g // 8 * 32 + b // 8 AS cell, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM mosaic WHERE a > 0 GROUP BY 1, 2) q
+),
+walk AS (
+  SELECT image_id, 1 AS k, [{{'cell': cell, 'l': l, 'ca': ca, 'cb': cb, 'k': k}}] AS heads FROM parts WHERE k = 1
+  UNION ALL SELECT w.image_id, p.k, CASE WHEN len([h FOR h IN w.heads IF sqrt((h.l - p.l) ** 2 + (h.ca - p.ca) ** 2 + (h.cb - p.cb) ** 2) <= 0.025]) = 0 THEN list_append(w.heads, {{'cell': p.cell, 'l': p.l, 'ca': p.ca, 'cb': p.cb, 'k': p.k}}) ELSE w.heads END
+  FROM walk w JOIN parts p ON p.image_id = w.image_id AND p.k = w.k + 1
+),
+heads AS (SELECT image_id, unnest(arg_max(heads, k)) AS h FROM walk GROUP BY image_id),
+owned AS (
+  SELECT p.image_id, p.cell, arg_min(h.cell, floor(sqrt((h.l - p.l) ** 2 + (h.ca - p.ca) ** 2 + (h.cb - p.cb) ** 2) * 1000000000 + 0.5) * 100000 + h.k) AS leader FROM parts p JOIN heads USING (image_id)
+  WHERE sqrt((h.l - p.l) ** 2 + (h.ca - p.ca) ** 2 + (h.cb - p.cb) ** 2) <= 0.025 GROUP BY p.image_id, p.cell
+),
+sums AS (
+  SELECT m.image_id, o.leader, count(*) AS pixels, avg(r) AS r, avg(g) AS g, avg(b) AS b, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y
+  FROM mosaic m JOIN owned o ON o.image_id = m.image_id AND o.cell = r // 8 * 1024 + g // 8 * 32 + b // 8 WHERE a > 0 GROUP BY m.image_id, o.leader
+)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY pixels DESC, leader) - 1 AS cluster, CAST(floor(r + 0.5) AS BIGINT) AS r, CAST(floor(g + 0.5) AS BIGINT) AS g, CAST(floor(b + 0.5) AS BIGINT) AS b, pixels,
+       floor(pixels / sum(pixels) OVER (PARTITION BY image_id) * 1000000 + 0.5) / 1000000 AS coverage, min_x, min_y, max_x, max_y FROM sums"""
+register("colour_masks", lambda spark, sf_dir: clustering.colour_masks(view(spark, sf_dir, "mosaic")), oracle(_MASKS.format(**_OK), ["mosaic"], recursive=True))
+
+
+def _coupled(spark, sf_dir):
+    """Circles through the round outlines of a document, with near relations made exact."""
+    fits = kernels.circle_fit(view(spark, sf_dir, "round_outlines")).where("radius IS NOT NULL")
+    owned = view(spark, sf_dir, "art_outlines").groupBy("doc_id", "ring_id").agg(planar.F.count("*").cast("double").alias("weight"))
+    circles = fits.join(owned, "ring_id").selectExpr("doc_id", "ring_id AS shape_id", "cx", "cy", "radius", "weight")
+    return coupling.couple(circles, circles.selectExpr("doc_id", "shape_id", "CAST(NULL AS DOUBLE) AS degrees", "weight"))[0]
+
+
+register("coupled_shapes", _coupled)
 register("cubic_fit", lambda spark, sf_dir: fitting.fit_curves(view(spark, sf_dir, "rings"), 4.0, sigma=2.0))
 register("outline_curves", lambda spark, sf_dir: fitting.fit_curves(view(spark, sf_dir, "round_outlines"), 0.2))
 register("interval_models", lambda spark, sf_dir: selection.best_model(model_errors=fitting.interval_models(view(spark, sf_dir, "round_outlines"))))

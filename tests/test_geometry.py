@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from inkfold.operators import arrangement, chains, fields, fitting, hierarchy, kernels, planar, selection
+from inkfold.operators import arrangement, chains, clustering, coupling, fields, fitting, hierarchy, kernels, planar, selection
 from inkfold.sources import svg
 from tests.test_operators import grid
 
@@ -205,6 +205,36 @@ def test_rings_in_rings_and_what_a_redrawing_keeps(spark):
     assert told[1]["violations"] == "COMPONENT_COUNT,NESTING_DEPTH"
 
 
+def test_colour_masks_do_not_depend_on_order(spark):
+    rng = np.random.default_rng(8)
+    shades = [(200, 30, 30), (204, 34, 28), (30, 30, 200), (250, 250, 250)]
+    rows = [(k % 2, x, y, *(int(c + rng.integers(-2, 3)) if c < 250 else c for c in shades[(x // 6 + k) % 4]), 255 if (x, y) != (0, 0) else 0) for k in range(2) for x in range(24) for y in range(8)]
+    schema = "image_id long, x long, y long, r long, g long, b long, a long"
+    once = sorted(map(tuple, clustering.colour_masks(spark.createDataFrame(rows, schema)).collect()))
+    again = sorted(map(tuple, clustering.colour_masks(spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], schema).repartition(7)).collect()))
+    assert once == again and [r[1] for r in once] == [0, 1, 2, 0, 1, 2]
+    assert [r[5] for r in once[:3]] == [95, 48, 48] and sum(r[6] for r in once[:3]) == pytest.approx(1, abs=1e-5)
+    assert (once[0][2:5], once[0][7:]) == ((202, 32, 29), (0, 0, 11, 7))
+    assert clustering.colour_masks(spark.createDataFrame(rows, schema).where("a = 0")).count() == 0
+
+
+def test_near_relations_become_exact_and_others_stay(spark):
+    circles = [(1, 1, 10.0, 10.0, 5.0, 30.0), (1, 2, 10.4, 9.8, 9.0, 10.0), (1, 3, 40.0, 10.0, 5.3, 10.0), (1, 4, 80.0, 80.0, 30.0, 1.0), (2, 1, 10.0, 10.0, 5.0, 1.0), (1, 9, None, 1.0, 5.0, 1.0)]
+    circles += [(3, k, 0.9 * k, 0.0, 10.0 * k, 1.0) for k in range(8)]  # a chain: each near the next only
+    lines = [(1, 11, 179.5, 1.0), (1, 12, 0.7, 3.0), (1, 13, 45.0, 1.0), (1, 14, 90.0, 1.0), (1, 15, 91.5, 1.0), (1, 16, None, 1.0)]
+    rounds, straight = coupling.couple(spark.createDataFrame(circles, "doc_id long, shape_id long, cx double, cy double, radius double, weight double"), spark.createDataFrame(lines, "doc_id long, shape_id long, degrees double, weight double"))
+    got = {(r["doc_id"], r["shape_id"]): r for r in rounds.collect()}
+    assert got[(1, 1)]["cx"] == got[(1, 2)]["cx"] == pytest.approx(10.1) and got[(1, 1)]["cy"] == got[(1, 2)]["cy"] == pytest.approx(9.95)
+    assert got[(1, 1)]["radius"] == got[(1, 3)]["radius"] == pytest.approx(5.075) and got[(1, 2)]["radius"] == 9.0
+    assert got[(1, 1)]["concentric"] == 1 and got[(1, 3)]["concentric"] is None and got[(1, 3)]["equal_size"] == 1
+    for key in ((1, 4), (2, 1), (1, 9), *((3, k) for k in range(8))):
+        want = next(c for c in circles if c[:2] == key)
+        assert tuple(got[key])[:6] == want and tuple(got[key])[6:] == (None, None)
+    turn = {r["shape_id"]: (r["degrees"], r["parallel"]) for r in straight.collect()}
+    assert turn[11][0] == turn[12][0] == pytest.approx(0.4, abs=1e-3) and turn[14][0] == turn[15][0] == pytest.approx(90.75, abs=1e-3)
+    assert turn[13] == (45.0, None) and turn[16] == (None, None)
+
+
 def test_matching_uses_no_target_twice(spark):
     boxes = "doc_id long, node_id long, fill string, x0 double, y0 double, x1 double, y1 double"
     a = [(1, 1, "r", 0, 0, 10, 10), (1, 2, "r", 1, 0, 11, 10), (1, 3, "r", 500, 0, 510, 10), (1, 4, "b", 0, 0, 10, 10), (1, 5, "g", 0, 0, 10, 10), (1, 6, "y", 0, 0, 10, 10)]
