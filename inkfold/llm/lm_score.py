@@ -5,7 +5,8 @@ predicts a token's class: the most frequent words are classes of their own, all
 are hashed to ``rare`` classes; a token's probability is that of its class, given
 ``reach`` tokens on either side, times the word's share of its class by the counts of all
 documents. Position-specific embeddings of the neighbours' classes are summed, squashed
-and projected to a softmax, whose biases start from the corpus frequencies.
+and projected to two softmaxes, over groups of classes and over the classes of a group,
+whose biases start from the corpus frequencies.
 
 Texts are dealt to tasks by a hash of id and text and split into words once; a *chunk* of
 them holds its own dictionary, so only distinct words of chunks are joined with the
@@ -107,8 +108,8 @@ def classes(counts: DataFrame, frequent: int, rare: int) -> tuple[list[tuple[str
 def encode(chunks: DataFrame, counts: DataFrame, known: list[tuple[str, int]], total: np.ndarray) -> DataFrame:
     """chunk, ids, lens, tokens (one byte each: classes), inner (per text: sum of log P(word | class))."""
     spark, frequent, rare = chunks.sparkSession, len(known), len(total) - len(known)
-    if len(total) > 255:
-        raise ValueError("frequent and rare classes together must be at most 255")
+    if len(total) > 256:
+        raise ValueError("frequent and rare classes together must be at most 256")
     local = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
     top = F.broadcast(spark.createDataFrame([(w, k) for k, (w, _) in enumerate(known)], "word string, class int"))
     sizes = F.array(*[F.lit(float(n)) for n in total])
@@ -143,14 +144,26 @@ def _sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class Window:
-    """The network: neighbours' embeddings per offset, a squashed sum, a softmax layer."""
+    """The network: neighbours' embeddings per offset, a squashed sum, a softmax over groups of classes and one over the classes of the group.
+
+    Classes stand by frequency, so groups of about the square root of their number hold
+    classes alike in frequency; a token costs two small softmaxes instead of a large one.
+    """
 
     def __init__(self, size: int, reach: int = 2, dim: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.reach, self.size = reach, size
+        self.per = max(1, math.ceil(math.sqrt(size)))
+        groups = -(-size // self.per)
         self.into = rng.normal(0, 0.3, (2 * reach, size + 1, dim)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (dim, size)).astype(np.float32)
         self.bias = np.zeros(size, np.float32)
+        self.top = rng.normal(0, 0.1, (dim, groups)).astype(np.float32)
+        self.top_bias = np.zeros(groups, np.float32)
+
+    @property
+    def params(self) -> list[np.ndarray]:
+        return [self.into, self.out, self.bias, self.top, self.top_bias]
 
     def neighbours(self, laid: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Classes at each offset from places in texts laid out with padding."""
@@ -162,28 +175,54 @@ class Window:
             total = total + table[n]
         return np.tanh(total)
 
+    def by_group(self, group: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """The classes of every group at hand and the rows of it."""
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        for s, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            g = int(group[order[s]])
+            yield slice(g * self.per, min((g + 1) * self.per, self.size)), order[s:e]
+
     def log_probs(self, near: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        z = self.hidden(near) @ self.out
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(target)), target]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-    def gradients(self, near: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Summed gradients of the negative log-likelihood for into, out, bias."""
-        h = self.hidden(near)
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        d = (z @ self.out.T) * (1 - h * h)
+        h, group = self.hidden(near), target // self.per
+        out = _log_softmax_at(h @ self.top + self.top_bias, group)
+        for block, rows in self.by_group(group):
+            out[rows] += _log_softmax_at(h[rows] @ self.out[:, block] + self.bias[block], target[rows] - block.start)
+        return out
+
+    def gradients(self, near: list[np.ndarray], target: np.ndarray) -> list[np.ndarray]:
+        """Summed gradients of the negative log-likelihood for params."""
+        h, group = self.hidden(near), target // self.per
+        z = _softmax_less_one(h @ self.top + self.top_bias, group)
+        g_top, g_top_bias, d = h.T @ z, z.sum(axis=0), z @ self.top.T
+        g_out, g_bias = np.zeros_like(self.out), np.zeros_like(self.bias)
+        for block, rows in self.by_group(group):
+            mine = h[rows]
+            z = _softmax_less_one(mine @ self.out[:, block] + self.bias[block], target[rows] - block.start)
+            g_out[:, block], g_bias[block] = mine.T @ z, z.sum(axis=0)
+            d[rows] += z @ self.out[:, block].T
+        d *= 1 - h * h
         g_in = np.zeros_like(self.into)
         for table, n in zip(g_in, near, strict=True):
             order = np.argsort(n, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], np.diff(n[order]) != 0)))
             table[n[order][first]] = np.add.reduceat(d[order], first, axis=0)
-        return g_in, h.T @ z, z.sum(axis=0)
+        return [g_in, g_out, g_bias, g_top, g_top_bias]
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(at)), at]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _softmax_less_one(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Softmax, less one at the target."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(at)), at] -= 1
+    return z
 
 
 def _padded(tokens: bytes, lens: np.ndarray, reach: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +235,7 @@ def _padded(tokens: bytes, lens: np.ndarray, reach: int, pad: int) -> tuple[np.n
 
 def _steps(net: Window, laid: np.ndarray, at: np.ndarray, rate: float, batch: int) -> None:
     """AdaGrad mini-batches over masked places, in place."""
-    params = [net.into, net.out, net.bias]
+    params = net.params
     squares = [np.full(p.shape, 1e-3, np.float32) for p in params]
     for s in range(0, len(at), batch):
         some = at[s : s + batch]
@@ -211,8 +250,10 @@ def train(ready: DataFrame, total: np.ndarray, passes: int = 2, mask: int | None
     """Passes over every chunk, masking each token in one of them unless mask is given; total: counts of the classes, the biases to begin with."""
     mask = mask or max(1, passes)
     net = Window(len(total), reach, dim, seed)
-    net.bias += np.log((total + 1.0) / (total + 1.0).sum()).astype(np.float32)
-    sizes = [net.into.size, net.out.size, net.bias.size]
+    share = (total + 1.0) / (total + 1.0).sum()
+    net.bias += np.log(share).astype(np.float32)
+    net.top_bias += np.log(np.add.reduceat(share, np.arange(0, len(total), net.per))).astype(np.float32)
+    sizes = [p.size for p in net.params]
     for turn in range(passes):
         sent = ready.sparkSession.sparkContext.broadcast((net, turn))
 
@@ -227,7 +268,7 @@ def train(ready: DataFrame, total: np.ndarray, passes: int = 2, mask: int | None
                         continue
                     mine = copy.deepcopy(common)
                     _steps(mine, laid, at, rate, batch)
-                    change = np.concatenate([(x - y).ravel() for x, y in ((mine.into, common.into), (mine.out, common.out), (mine.bias, common.bias))])
+                    change = np.concatenate([(x - y).ravel() for x, y in zip(mine.params, common.params, strict=True)])
                     flat[:-1] += np.rint(change.astype(np.float64) * len(at) * _SCALE).astype(np.int64)
                     flat[-1] += len(at)
             hit = np.flatnonzero(flat)
@@ -241,13 +282,13 @@ def train(ready: DataFrame, total: np.ndarray, passes: int = 2, mask: int | None
         if not sums[-1]:
             break
         parts = np.split(sums[:-1] / _SCALE / sums[-1], np.cumsum(sizes)[:-1])
-        for p, x in zip((net.into, net.out, net.bias), parts, strict=True):
+        for p, x in zip(net.params, parts, strict=True):
             p += x.reshape(p.shape).astype(np.float32)
         sent.unpersist()
     return net
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 128, rare: int = 32, **training) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 192, rare: int = 64, **training) -> DataFrame:
     """id, n_tokens, pseudo_log_likelihood (sum over tokens), mean_log_prob per row.
 
     Null texts and texts without words have no tokens, sum 0 and a null mean; rows with

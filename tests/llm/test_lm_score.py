@@ -47,8 +47,9 @@ def test_scores_match_a_plain_version(spark):
         ext, total = [14, 14, *ids, 14, 14], 0.0
         for p, (y, w) in enumerate(zip(ids, ws, strict=True)):
             h = np.tanh(sum(net.into[k][ext[p + o]].astype(float) for k, o in enumerate((0, 1, 3, 4))))
-            z = h @ net.out.astype(float) + net.bias
-            total += z[y] - math.log(np.exp(z).sum()) + math.log(counts[w] / of[y])
+            z, group = h @ net.out.astype(float) + net.bias, np.arange(14) // 4 == y // 4
+            top_z = h @ net.top.astype(float) + net.top_bias
+            total += top_z[y // 4] - math.log(np.exp(top_z).sum()) + z[y] - math.log(np.exp(z[group]).sum()) + math.log(counts[w] / of[y])
         want.append((i, len(ids), total, total / len(ids) if ids else None))
     for a, b in zip(got, sorted(want, key=str), strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * max(1, b[1]) and (a[3] is None) == (b[3] is None)
@@ -68,10 +69,11 @@ def test_gradients_by_differences():
     net = lm.Window(7, 2, 3, 1)
     ids = np.array([7, 7, 1, 4, 2, 6, 0, 3, 3, 7, 7], np.int32)
     at = np.array([2, 5, 8])
-    net.into, net.out, net.bias = net.into.astype(float), net.out.astype(float), net.bias.astype(float)
+    for name in ("into", "out", "bias", "top", "top_bias"):
+        setattr(net, name, getattr(net, name).astype(float))
     near = net.neighbours(ids, at)
     loss = lambda: -float(net.log_probs(near, ids[at]).sum())
-    for p, g in zip((net.into, net.out, net.bias), net.gradients(near, ids[at]), strict=True):
+    for p, g in zip(net.params, net.gradients(near, ids[at]), strict=True):
         for k in np.random.default_rng(2).integers(0, p.size, 12):
             was = p.flat[k]
             p.flat[k] = was + 1e-5
