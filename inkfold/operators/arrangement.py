@@ -61,19 +61,20 @@ def _cuts(segs: DataFrame) -> DataFrame:
         "sid", "o_sid", "x1", "y1", "x2", "y2", "o_x1", "o_y1", "o_x2", "o_y2", "(x2 - x1) * (o_y2 - o_y1) - (y2 - y1) * (o_x2 - o_x1) AS det",
         "(o_x1 - x1) * (o_y2 - o_y1) - (o_y1 - y1) * (o_x2 - o_x1) AS t", "(o_x1 - x1) * (y2 - y1) - (o_y1 - y1) * (x2 - x1) AS u",
     )
-    crossing = met.where("(det > 0 AND t BETWEEN 0 AND det AND u BETWEEN 0 AND det) OR (det < 0 AND t BETWEEN det AND 0 AND u BETWEEN det AND 0)").selectExpr(
-        "sid", "o_sid", "x1", "y1", "x2", "y2", "o_x1", "o_y1", "o_x2", "o_y2",
-        "CASE WHEN t = 0 THEN x1 WHEN t = det THEN x2 WHEN u = 0 THEN o_x1 WHEN u = det THEN o_x2 ELSE CAST(round(x1 + (x2 - x1) * (CAST(t AS DOUBLE) / det)) AS BIGINT) END AS px",
-        "CASE WHEN t = 0 THEN y1 WHEN t = det THEN y2 WHEN u = 0 THEN o_y1 WHEN u = det THEN o_y2 ELSE CAST(round(y1 + (y2 - y1) * (CAST(t AS DOUBLE) / det)) AS BIGINT) END AS py",
-    )
-    own, theirs = "NOT (px = x1 AND py = y1) AND NOT (px = x2 AND py = y2)", "NOT (px = o_x1 AND py = o_y1) AND NOT (px = o_x2 AND py = o_y2)"
-    along = met.where("det = 0 AND u = 0")
-    inside = lambda x, y, a, b, c, d: f"({x} - {a}) * ({c} - {a}) + ({y} - {b}) * ({d} - {b}) > 0 AND ({x} - {c}) * ({a} - {c}) + ({y} - {d}) * ({b} - {d}) > 0"
-    cuts = crossing.where(own).select("sid", "px", "py").unionByName(crossing.where(theirs).selectExpr("o_sid AS sid", "px", "py"))
-    for k in ("1", "2"):
-        cuts = cuts.unionByName(along.where(inside(f"o_x{k}", f"o_y{k}", "x1", "y1", "x2", "y2")).selectExpr("sid", f"o_x{k} AS px", f"o_y{k} AS py"))
-        cuts = cuts.unionByName(along.where(inside(f"x{k}", f"y{k}", "o_x1", "o_y1", "o_x2", "o_y2")).selectExpr("o_sid AS sid", f"x{k} AS px", f"y{k} AS py"))
-    return cuts.distinct()
+    met = met.withColumn("crosses", F.expr("(det > 0 AND t BETWEEN 0 AND det AND u BETWEEN 0 AND det) OR (det < 0 AND t BETWEEN det AND 0 AND u BETWEEN det AND 0)"))
+    met = met.where("crosses OR (det = 0 AND u = 0)")
+    at = lambda c: f"CASE WHEN t = 0 THEN {c}1 WHEN t = det THEN {c}2 WHEN u = 0 THEN o_{c}1 WHEN u = det THEN o_{c}2 WHEN crosses THEN CAST(round({c}1 + ({c}2 - {c}1) * (CAST(t AS DOUBLE) / det)) AS BIGINT) END AS p{c}"
+    met = met.selectExpr("*", at("x"), at("y"))
+    spot = lambda sid, x, y, test: f"IF({test}, named_struct('sid', {sid}, 'px', {x}, 'py', {y}), NULL)"
+    inside = lambda x, y, a, b, c, d: f"NOT crosses AND ({x} - {a}) * ({c} - {a}) + ({y} - {b}) * ({d} - {b}) > 0 AND ({x} - {c}) * ({a} - {c}) + ({y} - {d}) * ({b} - {d}) > 0"
+    spots = [
+        spot("sid", "px", "py", "crosses AND NOT (px = x1 AND py = y1) AND NOT (px = x2 AND py = y2)"),
+        spot("o_sid", "px", "py", "crosses AND NOT (px = o_x1 AND py = o_y1) AND NOT (px = o_x2 AND py = o_y2)"),
+    ]
+    for k in ("1", "2"):  # segments along one another are cut at each other's ends
+        spots.append(spot("sid", f"o_x{k}", f"o_y{k}", inside(f"o_x{k}", f"o_y{k}", "x1", "y1", "x2", "y2")))
+        spots.append(spot("o_sid", f"x{k}", f"y{k}", inside(f"x{k}", f"y{k}", "o_x1", "o_y1", "o_x2", "o_y2")))
+    return met.selectExpr(f"inline(filter(array({', '.join(spots)}), s -> s IS NOT NULL))").distinct()
 
 
 def arrange(segs: DataFrame, most_rounds: int = 12) -> DataFrame:

@@ -13,7 +13,7 @@ from inkfold.streaming import telemetry
 
 
 # Operators shown on a derived relation of another name than their input.
-_SHOWN_ON = {"path_simplify": {"rings": "worn_rings"}, "mixture_endpoint": {"pixels": "artwork"}, "palette_snap": {"pixels": "artwork"}}
+_SHOWN_ON = {"path_simplify": {"rings": "worn_rings"}, "mixture_endpoint": {"pixels": "blended"}, "palette_snap": {"pixels": "blended"}}
 
 
 def _declared(name: str, operator: Operator) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkfold.operators import arrangement, clustering, coupling, fields, fitting, hierarchy, kernels, planar, selection
+from inkfold.operators import arrangement, clustering, coupling, fields, fitting, hierarchy, kernels, planar, reassignment, selection
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
 
@@ -183,6 +183,35 @@ register(
     oracle(_INVARIANTS, ["art_outlines", "redrawn_outlines"], recursive=True),
 )
 
+# Every point of a fragment against every point of every larger ring of its document.
+_LABS = {p: dict(zip("lab", fields.E.cielab(*c), strict=True)) for p, c in (("own", ("o0", "o1", "o2")), ("under", ("r", "g", "b")))}
+_REASSIGNED = f"""
+WITH sides AS (SELECT doc_id, ring_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM fragment_outlines WINDOW w AS (PARTITION BY doc_id, ring_id ORDER BY pos)),
+areas AS (SELECT doc_id, ring_id, abs(sum(x * ny - nx * y)) / 2 AS area FROM sides GROUP BY doc_id, ring_id),
+sized AS (SELECT a.doc_id, a.ring_id, a.area, f.fill, f.r, f.g, f.b FROM areas a JOIN ring_fills f ON f.doc_id = a.doc_id AND f.ring_id = a.ring_id),
+gaps AS (
+  SELECT s.doc_id, s.ring_id, l.fill AS owner, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM sized s JOIN sized l ON l.doc_id = s.doc_id AND s.area < 25 AND l.area >= 25
+  JOIN fragment_outlines p ON p.doc_id = s.doc_id AND p.ring_id = s.ring_id JOIN fragment_outlines q ON q.doc_id = l.doc_id AND q.ring_id = l.ring_id
+),
+met AS (SELECT doc_id, ring_id, owner, count(*) FILTER (WHERE d < 1) AS shared, min(d) AS least FROM gaps WHERE d < 2.5 GROUP BY ALL),
+free AS (SELECT * FROM met QUALIFY owner NOT IN ('#ffffff', '#fefefe') OR NOT bool_or(owner NOT IN ('#ffffff', '#fefefe')) OVER (PARTITION BY doc_id, ring_id)),
+wide AS (SELECT f.*, s.r, s.g, s.b, CAST(('0x' || substr(owner, 2, 2)) AS INT) AS o0, CAST(('0x' || substr(owner, 4, 2)) AS INT) AS o1, CAST(('0x' || substr(owner, 6, 2)) AS INT) AS o2 FROM free f JOIN sized s ON s.doc_id = f.doc_id AND s.ring_id = f.ring_id),
+scored AS (
+  SELECT doc_id, ring_id, owner, round(20 * shared + greatest(0, 10 - 2 * least) + greatest(0, 50 - sqrt(({_LABS['own']['l']} - ({_LABS['under']['l']})) ** 2 + ({_LABS['own']['a']} - ({_LABS['under']['a']})) ** 2 + ({_LABS['own']['b']} - ({_LABS['under']['b']})) ** 2)), 6) AS score FROM wide
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, ring_id ORDER BY score DESC, owner) = 1),
+told AS (
+  SELECT s.doc_id, s.ring_id, s.area, s.fill, b.owner, b.score, CASE WHEN b.score > 10 THEN least(1.0, b.score / 100) ELSE 0.0 END AS confidence FROM sized s LEFT JOIN best b ON b.doc_id = s.doc_id AND b.ring_id = s.ring_id WHERE s.area < 25
+),
+moved AS (SELECT *, coalesce(confidence >= 0.5 AND owner <> fill, false) AS moves, CASE WHEN coalesce(confidence >= 0.5 AND owner <> fill, false) THEN (CAST(fill IN ('#ffffff', '#fefefe') AS INT) - CAST(owner IN ('#ffffff', '#fefefe') AS INT)) * area ELSE 0 END AS change FROM told),
+done AS (SELECT *, CASE WHEN NOT moves THEN 'PRESERVED' WHEN change <> 0 AND abs(sum(change) OVER (PARTITION BY doc_id)) > 5 THEN 'ROLLED_BACK' ELSE 'REASSIGNED' END AS action FROM moved)
+SELECT doc_id, ring_id, round(area, 6) AS area, fill, CASE WHEN action = 'REASSIGNED' THEN owner ELSE fill END AS owner, score, round(confidence, 6) AS confidence, action FROM done"""
+register(
+    "fragment_reassignment",
+    lambda spark, sf_dir: reassignment.reassign_fragments(view(spark, sf_dir, "fragment_outlines"), view(spark, sf_dir, "ring_fills")),
+    oracle(_REASSIGNED, ["fragment_outlines", "ring_fills"]),
+)
+
 # Pairs in order of rank, one after the other, with the numbers already used.
 _MATCHED = """
 WITH pairs AS (

@@ -45,6 +45,11 @@ VIEWS = {
         SELECT CAST(floor(l_orderkey / 1024) AS BIGINT) AS image_id, l_orderkey % 1024 AS idx, l_orderkey % 32 AS x, CAST(floor(l_orderkey % 1024 / 32) AS BIGINT) AS y, label,
                CAST(label * 28 + s % 24 AS BIGINT) AS r, CAST(220 - label * 20 + p % 16 AS BIGINT) AS g, CAST(label % 3 * 90 + p % 12 AS BIGINT) AS b, CAST(255 AS BIGINT) AS a
         FROM (SELECT l_orderkey, CAST(floor((max(l_quantity) + floor(l_orderkey % 1024 / 128) * 12) / 18) AS BIGINT) AS label, max(l_suppkey) AS s, max(l_partkey) AS p FROM {lineitem} GROUP BY l_orderkey) q"""),
+    # The mosaic in one flat colour a label, a sixth of its pixels mixed from two of them.
+    "blended": Operator("""
+        SELECT image_id, idx, x, y, CAST(floor((label % 5 * 60 * (9 - m) + (label + 1) % 5 * 60 * m) / 9) AS BIGINT) AS r, CAST(floor(((220 - label % 5 * 50) * (9 - m) + (220 - (label + 1) % 5 * 50) * m) / 9) AS BIGINT) AS g,
+               CAST(floor((label % 2 * 150 * (9 - m) + (label + 1) % 2 * 150 * m) / 9) AS BIGINT) AS b, a
+        FROM (SELECT *, CASE WHEN idx % 6 = 5 THEN b % 10 ELSE 0 END AS m FROM {mosaic}) q"""),
     "mosaic_regions": Operator(f"""
         SELECT image_id, label, avg({_OK_L}) AS ok_l, avg({_OK_A}) AS ok_a, avg({_OK_B}) AS ok_b, count(*) >= 120 AS structural FROM {{mosaic}} GROUP BY image_id, label"""),
     "mosaic_prototypes": Operator(f"""
@@ -65,6 +70,15 @@ VIEWS = {
         WHERE n.visible AND n.w_mm > 0 AND (n.type = 'raster_image' OR (n.type IN ('vector_path', 'group') AND r.ring_id IS NULL))"""),
     # The same art drawn again: some rings gone, some moved.
     "redrawn_outlines": Operator("SELECT doc_id, ring_id, pos, CASE WHEN ring_id % 5 = 0 THEN x + 40 ELSE x END AS x, y FROM {art_outlines} WHERE ring_id % 11 <> 3 AND NOT (doc_id % 3 = 0 AND ring_id % 4 = 1)"),
+    # Every second ring has a speck of nine square millimetres at its first point.
+    "fragment_outlines": Operator("""
+        SELECT doc_id, ring_id, pos, x, y FROM {art_outlines}
+        UNION ALL SELECT o.doc_id, o.ring_id + 1000001, CAST(k.pos AS BIGINT), o.x + CASE WHEN k.pos IN (1, 2) THEN 3 ELSE 0 END, o.y + CASE WHEN k.pos IN (2, 3) THEN 3 ELSE 0 END
+        FROM {art_outlines} o JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k ON true WHERE o.pos = 0 AND o.ring_id % 2 = 0"""),
+    "ring_fills": Operator("""
+        SELECT DISTINCT doc_id, ring_id, CASE ring_id % 5 WHEN 0 THEN '#ffffff' WHEN 1 THEN '#c81e1e' WHEN 2 THEN '#1e50dc' ELSE '#1eb446' END AS fill,
+               CAST(CASE ring_id % 3 WHEN 0 THEN 200 ELSE 40 + ring_id % 20 END AS BIGINT) AS r, CAST(CASE ring_id % 3 WHEN 1 THEN 170 ELSE 40 END AS BIGINT) AS g, CAST(CASE ring_id % 3 WHEN 2 THEN 210 ELSE 50 END AS BIGINT) AS b
+        FROM {fragment_outlines}"""),
     "round_outlines": Operator("SELECT ring_id, pos, x, y FROM {art_outlines}"),
     "art_boxes": Operator("SELECT doc_id, node_id, coalesce(fill, 'none') AS fill, x_mm AS x0, y_mm AS y0, x_mm + w_mm AS x1, y_mm + h_mm AS y1 FROM {nodes} WHERE type IN ('vector_path', 'group') AND w_mm > 0"),
     "redrawn_boxes": Operator("""

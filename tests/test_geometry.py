@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from inkfold.operators import arrangement, chains, clustering, coupling, fields, fitting, hierarchy, kernels, planar, selection
+from inkfold.operators import arrangement, chains, clustering, coupling, fields, fitting, hierarchy, kernels, planar, reassignment, selection
 from inkfold.sources import svg
 from tests.test_operators import grid
 
@@ -235,6 +235,22 @@ def test_near_relations_become_exact_and_others_stay(spark):
     assert turn[13] == (45.0, None) and turn[16] == (None, None)
 
 
+def test_fragments_change_colour_but_not_the_covered_area(spark):
+    box = np.array([[0, 0], [30, 0], [30, 30], [0, 30.0]])
+    speck = np.array([[0, 0], [3, 0], [3, 3], [0, 3.0]])
+    docs = {
+        1: [box, speck + [30, 0], speck + [60, 60]],  # a speck at a corner of the red box, another far from all
+        2: [box, speck + [30, 0]],  # white to red: nine units more are covered
+        3: [box, speck[:, ::-1] * [0.5, 1] + [30, 0]],  # white to red, but small enough
+        4: [box, box + [31, 0], speck + [29.5, 0]],  # red or white: red, as a colour goes before white
+    }
+    fills = {1: ["#c81e1e", "#1e50dc", "#1e50dc"], 2: ["#c81e1e", "#ffffff"], 3: ["#c81e1e", "#fefefe"], 4: ["#c81e1e", "#ffffff", "#1e50dc"]}
+    rows = [(d, k, f, 200, 30, 30) for d, some in fills.items() for k, f in enumerate(some)]
+    got = reassignment.reassign_fragments(frame(spark, docs), spark.createDataFrame(rows, "doc_id long, ring_id long, fill string, r long, g long, b long"))
+    told = {(r["doc_id"], r["ring_id"]): (r["owner"], r["action"]) for r in got.collect()}
+    assert told == {(1, 1): ("#c81e1e", "REASSIGNED"), (1, 2): ("#1e50dc", "PRESERVED"), (2, 1): ("#ffffff", "ROLLED_BACK"), (3, 1): ("#c81e1e", "REASSIGNED"), (4, 2): ("#c81e1e", "REASSIGNED")}
+
+
 def test_matching_uses_no_target_twice(spark):
     boxes = "doc_id long, node_id long, fill string, x0 double, y0 double, x1 double, y1 double"
     a = [(1, 1, "r", 0, 0, 10, 10), (1, 2, "r", 1, 0, 11, 10), (1, 3, "r", 500, 0, 510, 10), (1, 4, "b", 0, 0, 10, 10), (1, 5, "g", 0, 0, 10, 10), (1, 6, "y", 0, 0, 10, 10)]
