@@ -6,11 +6,11 @@ from inkfold.functions import expressions as E
 from inkfold.operators.rings import BOTH_WAYS, nearest_by_grid
 from inkfold.operators.template import Operator
 
-# Every third point starts a cubic; the next two are its handles.
-_CUBICS = """cubics AS (
+# Every third point starts a cubic; the next two are its handles. The last cubic ends in the ring's first point, where handles that are missing lie too.
+_CUBICS = f"""cubics AS (
   SELECT * FROM (
-    SELECT ring_id, pos, x AS x0, y AS y0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(x, 3) OVER w AS x3, lead(y, 3) OVER w AS y3
-    FROM {rings} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)) q WHERE pos % 3 = 0 AND x3 IS NOT NULL
+    SELECT ring_id, pos, x AS x0, y AS y0, {', '.join(f"coalesce(lead({c}, {k}) OVER w, first_value({c}) OVER w) AS {c}{k}" for k in (1, 2, 3) for c in "xy")}
+    FROM {{rings}} WINDOW w AS (PARTITION BY ring_id ORDER BY pos)) q WHERE pos % 3 = 0
 )"""
 
 
@@ -31,8 +31,8 @@ SELECT ring_id, count(*) AS segments, {E.rounded('sum(energy) / 1000')} AS total
 
 tangent_breaks = Operator(f"""
 WITH {_CUBICS},
-joined AS (SELECT ring_id, pos, x3 - x2 AS ax, y3 - y2 AS ay, lead(x1 - x0) OVER (PARTITION BY ring_id ORDER BY pos) AS bx, lead(y1 - y0) OVER (PARTITION BY ring_id ORDER BY pos) AS b_y FROM cubics),
-turns AS (SELECT ring_id, {E.rounded(E.turn_degrees('ax', 'ay', 'bx', 'b_y'))} AS turn FROM joined WHERE bx IS NOT NULL)
+joined AS (SELECT ring_id, pos, x3 - x2 AS ax, y3 - y2 AS ay, coalesce(lead(x1 - x0) OVER w, first_value(x1 - x0) OVER w) AS bx, coalesce(lead(y1 - y0) OVER w, first_value(y1 - y0) OVER w) AS b_y FROM cubics WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),
+turns AS (SELECT ring_id, {E.rounded(E.turn_degrees('ax', 'ay', 'bx', 'b_y'))} AS turn FROM joined)
 SELECT ring_id, count(*) AS joints, CAST(sum(CASE WHEN turn > 15 THEN 1 ELSE 0 END) AS BIGINT) AS g1_breaks, CAST(sum(CASE WHEN turn > 5 AND turn < 90 THEN 1 ELSE 0 END) AS BIGINT) AS soft_breaks, {E.rounded('avg(turn)')} AS mean_turn,
        {E.rounded(E.editability('count(*)', 'avg(CASE WHEN turn <= 15 THEN 1e0 ELSE 0e0 END)'))} AS editability
 FROM turns GROUP BY ring_id""")
@@ -100,8 +100,10 @@ WITH sides AS (
 SELECT a.ring_id AS ring_a, b.ring_id AS ring_b, count(*) AS shared_edges FROM sides a JOIN sides b ON b.ex0 = a.ex0 AND b.ex1 = a.ex1 AND b.ey0 = a.ey0 AND b.ey1 = a.ey1 AND b.ring_id > a.ring_id GROUP BY a.ring_id, b.ring_id""")
 
 light_region_audit = Operator(f"""
-WITH shape AS (
-  SELECT image_id, label, count(*) AS area, (max(x) - min(x) + 1) * 2 + (max(y) - min(y) + 1) * 2 AS perimeter, avg({E.luminance('r', 'g', 'b')}) AS light FROM {{labels_map}} GROUP BY image_id, label
-)
+WITH beside AS (
+  SELECT *, CASE WHEN lag(x) OVER across = x - 1 AND lag(label) OVER across = label THEN 1 ELSE 0 END + CASE WHEN lag(y) OVER down = y - 1 AND lag(label) OVER down = label THEN 1 ELSE 0 END AS inner_sides
+  FROM {{labels_map}} WINDOW across AS (PARTITION BY image_id, y ORDER BY x), down AS (PARTITION BY image_id, x ORDER BY y)
+),
+shape AS (SELECT image_id, label, count(*) AS area, 4 * count(*) - 2 * CAST(sum(inner_sides) AS BIGINT) AS perimeter, avg({E.luminance('r', 'g', 'b')}) AS light FROM beside GROUP BY image_id, label)
 SELECT image_id, label, area, {E.rounded('2e0 * area / perimeter')} AS thickness, {E.rounded('CAST(perimeter AS DOUBLE) * perimeter / (4 * 3.141592653589793e0 * area)')} AS elongation, {E.rounded('light')} AS light,
        CASE WHEN 2e0 * area / perimeter < 1 THEN 'SLIVER' WHEN light > 150 THEN 'LIGHT' ELSE 'BODY' END AS provenance FROM shape""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import expressions as E
-from inkfold.operators.graph import components, cut, pixel_components
+from inkfold.operators.graph import components, cut, labelled_runs, pixel_components
 
 _STEPS = "explode(array(named_struct('dx', 1, 'dy', 0), named_struct('dx', -1, 'dy', 0), named_struct('dx', 0, 'dy', 1), named_struct('dx', 0, 'dy', -1)))"
 
@@ -94,6 +94,22 @@ def prototype_field(pixels: DataFrame, regions: DataFrame, edges: DataFrame, pro
     return told.select("image_id", "x", "y", F.when(~F.col("ambiguous"), F.col("component")).alias("component"), F.when(~F.col("ambiguous"), F.col("kind")).alias("proto_id"), "wave", "ambiguous")
 
 
+def remove_islands(labels: DataFrame, least_area: int = 12) -> DataFrame:
+    """image_id, x, y, label, island: the map with every component below least_area given to the label it borders most.
+
+    Sides to cells of other labels count, ties go to the smaller label; borders to nothing do
+    not count, so an island among holes stays as it is. All islands are judged on the map as given.
+    """
+    runs = cut(labelled_runs(labels))
+    small = runs.groupBy("image_id", "component").agg(F.sum("n").alias("area")).where(F.col("area") < least_area).select("image_id", "component")
+    cells = runs.join(small, ["image_id", "component"]).select("image_id", "component", "y", "v", F.explode(F.sequence("x0", "x1")).alias("x"))
+    beside = cells.withColumn("s", F.expr(_STEPS)).select("image_id", "component", "v", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    around = beside.join(labels.select("image_id", "x", "y", "label"), ["image_id", "x", "y"]).where("label <> v").groupBy("image_id", "component", "label").count()
+    owner = around.groupBy("image_id", "component").agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("owner"))
+    given = cells.join(owner, ["image_id", "component"], "left").select("image_id", "x", "y", "owner", F.lit(True).alias("island"))
+    return labels.join(given, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("owner", "label").alias("label"), F.coalesce("island", F.lit(False)).alias("island"))
+
+
 def bridged_components(labels: DataFrame, gap: float = 2.0, cell: int = 32) -> DataFrame:
     """image_id, label, logical, parts, area, min_x, max_x, min_y, max_y: 4-connected components of a label, joined where their boxes are at most `gap` pixels apart.
 

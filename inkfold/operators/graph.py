@@ -100,8 +100,8 @@ def components(edges: DataFrame, keys: list[str], a: str, b: str, most_rounds: i
     raise RuntimeError("components did not settle")
 
 
-def pixel_components(cells: DataFrame, value: str = "label") -> DataFrame:
-    """image_id, component, value, area, bounds of 4-connected cells of one value.
+def labelled_runs(cells: DataFrame, value: str = "label") -> DataFrame:
+    """image_id, y, v, x0, x1, n, component: row runs of cells of one value with their 4-connected component.
 
     Cells are compressed to runs within a row first; runs that overlap in neighbouring
     rows are the edges, so the graph has a node per run, not per cell.
@@ -115,8 +115,12 @@ def pixel_components(cells: DataFrame, value: str = "label") -> DataFrame:
     up = runs.select("image_id", (F.col("y") + 1).alias("y"), "v", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("up"))
     edges = runs.join(up, ["image_id", "y", "v"]).where("x0 <= u1 AND u0 <= x1").select("image_id", "node", "up")
     found = components(edges, ["image_id"], "node", "up")
-    labelled = runs.join(found, ["image_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
-    return labelled.groupBy("image_id", "component", F.col("v").alias(value)).agg(
+    return runs.join(found, ["image_id", "node"], "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+
+
+def pixel_components(cells: DataFrame, value: str = "label") -> DataFrame:
+    """image_id, component, value, area, bounds of 4-connected cells of one value."""
+    return labelled_runs(cells, value).groupBy("image_id", "component", F.col("v").alias(value)).agg(
         F.sum("n").alias("area"), F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y")
     )
 

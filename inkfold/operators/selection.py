@@ -67,7 +67,11 @@ SELECT p_partkey, said, CASE WHEN said LIKE '#%' THEN 'HEX' WHEN said LIKE 'rgb(
 FROM said""")
 
 sensitivity_matrix = Operator(f"""
-WITH trials AS (SELECT image_id, t.tolerance, CAST(floor(r / t.tolerance) AS BIGINT) AS q, count(*) AS n FROM {{pixels}} JOIN (SELECT 8 AS tolerance UNION ALL SELECT 16 UNION ALL SELECT 32 UNION ALL SELECT 64) t ON true GROUP BY image_id, t.tolerance, CAST(floor(r / t.tolerance) AS BIGINT))
+WITH colours AS (SELECT image_id, r, g, b, count(*) AS n FROM {{pixels}} GROUP BY image_id, r, g, b),
+trials AS (
+  SELECT image_id, t.tolerance, floor(r / t.tolerance) AS qr, floor(g / t.tolerance) AS qg, floor(b / t.tolerance) AS qb, CAST(sum(n) AS BIGINT) AS n
+  FROM colours JOIN (SELECT 8 AS tolerance UNION ALL SELECT 16 UNION ALL SELECT 32 UNION ALL SELECT 64) t ON true GROUP BY image_id, t.tolerance, floor(r / t.tolerance), floor(g / t.tolerance), floor(b / t.tolerance)
+)
 SELECT image_id, CAST(sum(CASE WHEN tolerance = 8 THEN 1 ELSE 0 END) AS BIGINT) AS t8, CAST(sum(CASE WHEN tolerance = 16 THEN 1 ELSE 0 END) AS BIGINT) AS t16, CAST(sum(CASE WHEN tolerance = 32 THEN 1 ELSE 0 END) AS BIGINT) AS t32,
        CAST(sum(CASE WHEN tolerance = 64 THEN 1 ELSE 0 END) AS BIGINT) AS t64, {E.rounded('CAST(max(n) AS DOUBLE) / sum(n)')} AS largest_share FROM trials GROUP BY image_id""")
 

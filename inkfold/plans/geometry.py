@@ -141,6 +141,22 @@ FROM boxes b JOIN whole w ON w.image_id = b.image_id AND w.part = b.part GROUP B
 register("bridged_components", lambda spark, sf_dir: fields.bridged_components(view(spark, sf_dir, "mosaic")), oracle(_BRIDGED, ["mosaic"], recursive=True))
 
 
+_ISLANDS = """
+WITH cells AS (SELECT image_id, label, x, y, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS id FROM mosaic WHERE label IS NOT NULL),
+links AS (SELECT a.image_id, a.id AS p, b.id AS q FROM cells a JOIN cells b ON b.image_id = a.image_id AND b.label = a.label AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+walk AS (SELECT image_id, id, id AS root FROM cells UNION SELECT w.image_id, l.q, w.root FROM walk w JOIN links l ON l.image_id = w.image_id AND l.p = w.id AND l.q > w.root),
+owned AS (SELECT image_id, id, min(root) AS part FROM walk GROUP BY image_id, id),
+islands AS (SELECT image_id, part FROM owned GROUP BY image_id, part HAVING count(*) < 12),
+sides AS (
+  SELECT i.image_id, i.part, b.label, count(*) AS n FROM islands i JOIN owned o ON o.image_id = i.image_id AND o.part = i.part JOIN cells a ON a.image_id = o.image_id AND a.id = o.id
+  JOIN cells b ON b.image_id = a.image_id AND b.label <> a.label AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY i.image_id, i.part, b.label
+),
+owners AS (SELECT image_id, part, label FROM sides QUALIFY row_number() OVER (PARTITION BY image_id, part ORDER BY n DESC, label) = 1)
+SELECT c.image_id, c.x, c.y, coalesce(w.label, c.label) AS label, i.part IS NOT NULL AS island FROM cells c JOIN owned o ON o.image_id = c.image_id AND o.id = c.id
+LEFT JOIN islands i ON i.image_id = o.image_id AND i.part = o.part LEFT JOIN owners w ON w.image_id = o.image_id AND w.part = o.part"""
+register("island_removal", lambda spark, sf_dir: fields.remove_islands(view(spark, sf_dir, "mosaic")), oracle(_ISLANDS, ["mosaic"], recursive=True))
+
+
 def _tree(name: str) -> str:
     """Common tables tree_<name> and adjacent_<name> of a relation of outlines: every probe against every side of the document."""
     return f"""

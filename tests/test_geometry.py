@@ -147,6 +147,13 @@ def test_components_joined_over_gaps(spark):
     assert sorted(r["parts"] for r in fields.bridged_components(cells, gap=70.0, cell=16).where("image_id = 1").collect()) == [3]
 
 
+def test_islands_go_to_the_label_they_border_most(spark):
+    cells = grid(spark, "aaaaaa/aabbaa/aaccaa/aaccaa/......", "aab/..b")
+    got = {(r["image_id"], r["x"], r["y"]): (None if r["label"] is None else chr(r["label"]), r["island"]) for r in fields.remove_islands(cells, 4).collect()}
+    assert got[(0, 2, 1)] == got[(0, 3, 1)] == ("a", True) and got[(0, 2, 2)] == ("c", False) and got[(0, 0, 4)] == (None, False)
+    assert [got[(1, x, 0)][0] for x in range(3)] == ["b", "b", "a"] and len(got) == 36
+
+
 def test_field_equals_a_breadth_first_walk(spark):
     rng = np.random.default_rng(6)
     size = 14
