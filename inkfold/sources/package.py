@@ -9,8 +9,10 @@ _DOS_TIME, _DOS_DATE = 0, 33  # midnight, 1980-01-01: equal files make equal arc
 
 
 def _le(value: Column, size: int) -> Column:
-    """A whole number as little-endian bytes."""
-    text = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    """A whole number as little-endian bytes; one that does not fit is an error, as the archive would be wrong."""
+    whole = value.cast("long")
+    fits = F.when(whole.between(0, 256**size - 1), whole).otherwise(F.raise_error(F.concat(whole.cast("string"), F.lit(f" is beyond {size} bytes of a ZIP field"))))
+    text = F.lpad(F.hex(fits), 2 * size, "0")
     return F.unhex(F.concat(*[F.substring(text, 2 * k + 1, 2) for k in reversed(range(size))]))
 
 
@@ -22,7 +24,8 @@ def zip_archives(files: DataFrame, key: str = "package_id") -> DataFrame:
     """package, files, zip per package from files(package, name, data binary): entries stored in order of name.
 
     Names are UTF-8, null data is an empty file; equal names of a package stay separate entries.
-    A package is one row, so its files together must fit in a task.
+    A package is one row, so its files together must fit in a task; 65,536 files, or sizes
+    beyond 4 GB, are an error.
     """
     rows = files.select(F.col(key).alias("package"), F.encode("name", "UTF-8").alias("name"), F.coalesce("data", F.lit(b"")).alias("data"))
     rows = rows.withColumn("common", F.concat(_le(F.lit(2048), 2), _le(F.lit(0), 2), _le(F.lit(_DOS_TIME), 2), _le(F.lit(_DOS_DATE), 2), _le(F.crc32("data"), 4), _le(F.octet_length("data"), 4), _le(F.octet_length("data"), 4), _le(F.octet_length("name"), 2), _le(F.lit(0), 2)))

@@ -4,8 +4,10 @@ import io
 import zipfile
 import zlib
 
+import pytest
 from inkfold.operators import golden
 from inkfold.sources import package
+from pyspark.sql import functions as F
 
 
 def test_zip_round_trip(spark):
@@ -36,6 +38,13 @@ def test_cut_lines_and_packages(spark):
     assert names == ["document-1-cut.svg", "document-1-manifest.json", "document-1-print.png"]
 
 
+def test_numbers_beyond_a_field_are_refused(spark):
+    one = spark.range(1)
+    assert bytes(one.select(package._le(F.lit(65_535), 2)).first()[0]) == b"\xff\xff"
+    with pytest.raises(Exception, match="beyond 2 bytes"):
+        one.select(package._le(F.lit(65_536), 2)).collect()
+
+
 def test_svg_counts_guard_and_verdicts(spark):
     ok = '<svg><path d="M0 0L5 0L5 5Z M1 1L2 1L2 2Z" fill="#f00"/><PATH fill="none" d=\'m1,1c2-2 3,3 4.5,4z\'/></svg>'
     rows = [(1, ok), (2, ""), (3, "<svg><path d='M0 0L1 1'/><a onclick = 'x'/></svg>"), (4, "<svg/>"), (5, "<svg><path d=''/></svg>"), (6, ok.replace("#f00", "#0f0")), (7, "<svg><path d='M0 0L1 1Z'/></svg>")]
