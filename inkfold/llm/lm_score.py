@@ -175,53 +175,64 @@ class Window:
             total = total + table[n]
         return np.tanh(total)
 
-    def by_group(self, group: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-        """The classes of every group at hand and the rows of it."""
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-        for s, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            g = int(group[order[s]])
-            yield slice(g * self.per, min((g + 1) * self.per, self.size)), order[s:e]
+    def by_group(self, group: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """The classes of every group at hand and its rows; group is in order."""
+        cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(group)], strict=True):
+            g = int(group[s])
+            yield slice(g * self.per, min((g + 1) * self.per, self.size)), slice(s, e)
 
     def log_probs(self, near: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        h, group = self.hidden(near), target // self.per
-        out = _log_softmax_at(h @ self.top + self.top_bias, group)
+        order = _order(target)
+        target = target[order]
+        h, group = self.hidden([n[order] for n in near]), target // self.per
+        logs = _log_softmax_at(self.top.T @ h.T + self.top_bias[:, None], group)
         for block, rows in self.by_group(group):
-            out[rows] += _log_softmax_at(h[rows] @ self.out[:, block] + self.bias[block], target[rows] - block.start)
+            logs[rows] += _log_softmax_at(self.out[:, block].T @ h[rows].T + self.bias[block, None], target[rows] - block.start)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def gradients(self, near: list[np.ndarray], target: np.ndarray) -> list[np.ndarray]:
         """Summed gradients of the negative log-likelihood for params."""
+        order = _order(target)
+        target, near = target[order], [n[order] for n in near]
         h, group = self.hidden(near), target // self.per
-        z = _softmax_less_one(h @ self.top + self.top_bias, group)
-        g_top, g_top_bias, d = h.T @ z, z.sum(axis=0), z @ self.top.T
+        z = _softmax_less_one(self.top.T @ h.T + self.top_bias[:, None], group)
+        g_top, g_top_bias, d = (z @ h).T, z.sum(axis=1), z.T @ self.top.T
         g_out, g_bias = np.zeros_like(self.out), np.zeros_like(self.bias)
         for block, rows in self.by_group(group):
             mine = h[rows]
-            z = _softmax_less_one(mine @ self.out[:, block] + self.bias[block], target[rows] - block.start)
-            g_out[:, block], g_bias[block] = mine.T @ z, z.sum(axis=0)
-            d[rows] += z @ self.out[:, block].T
+            z = _softmax_less_one(self.out[:, block].T @ mine.T + self.bias[block, None], target[rows] - block.start)
+            g_out[:, block], g_bias[block] = (z @ mine).T, z.sum(axis=1)
+            d[rows] += z.T @ self.out[:, block].T
         d *= 1 - h * h
         g_in = np.zeros_like(self.into)
         for table, n in zip(g_in, near, strict=True):
-            order = np.argsort(n, kind="stable")
+            order = _order(n)
             first = np.flatnonzero(np.concatenate(([True], np.diff(n[order]) != 0)))
             table[n[order][first]] = np.add.reduceat(d[order], first, axis=0)
         return [g_in, g_out, g_bias, g_top, g_top_bias]
 
 
+def _order(classes: np.ndarray) -> np.ndarray:
+    """Stable order of classes; two-byte numbers are sorted digit by digit."""
+    return np.argsort(classes.astype(np.uint16), kind="stable")
+
+
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(at)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    """z: classes down, tokens across, so that sums run over whole rows."""
+    z -= z.max(axis=0)
+    own = z[at, np.arange(len(at))]
+    return own - np.log(np.exp(z, out=z).sum(axis=0))
 
 
 def _softmax_less_one(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Softmax, less one at the target."""
-    z -= z.max(axis=1, keepdims=True)
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(at)), at] -= 1
+    z /= z.sum(axis=0)
+    z[at, np.arange(len(at))] -= 1
     return z
 
 
@@ -308,7 +319,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
             for ids, lens, tokens, inner in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 lens = np.array(lens, np.int64)
                 laid, at = _padded(tokens, lens, held.reach, held.size)
-                logs = np.concatenate([np.empty(0), *(held.log_probs(held.neighbours(laid, at[s : s + 4096]), laid[at[s : s + 4096]]) for s in range(0, len(at), 4096))])
+                logs = np.concatenate([np.empty(0), *(held.log_probs(held.neighbours(laid, at[s : s + 16384]), laid[at[s : s + 16384]]) for s in range(0, len(at), 16384))])
                 sums = _sums(logs.astype(np.float64), lens) + np.array(inner)
                 means = pa.array(sums / np.maximum(lens, 1), mask=lens == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lens), pa.array(sums), means], ["id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
