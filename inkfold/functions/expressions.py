@@ -68,7 +68,7 @@ def hsl(r: str, g: str, b: str) -> tuple[str, str, str]:
 
 
 def colour_family(h: str, s: str, l: str) -> str:  # noqa: E741
-    """Eleven colour families of HSL columns."""
+    """Eleven colour families of HSL columns. Limits are fixed values."""
     return (
         f"CASE WHEN {l} >= 0.92 OR ({l} >= 0.82 AND {s} <= 0.12) THEN 'white' WHEN {l} <= 0.10 THEN 'black' WHEN {s} <= 0.18 THEN 'grey' "
         f"WHEN {h} >= 345 OR {h} <= 18 THEN 'red' WHEN {h} <= 45 THEN 'orange' WHEN {h} <= 70 THEN 'yellow' WHEN {h} <= 165 THEN 'green' "
@@ -96,10 +96,12 @@ def turn_degrees(ax: str, ay: str, bx: str, by: str) -> str:
 
 
 def route(cpoly: str, wramp: str) -> str:
+    """Backend by local variety and ramp width. Limits are fixed values."""
     return f"CASE WHEN {cpoly} >= 80 THEN 'REGION_GRAPH' WHEN {wramp} <= 9.5 THEN 'DIRECT' ELSE 'UNCERTAIN' END"
 
 
 def complexity(paths: str) -> str:
+    """Class by number of paths. Limits are fixed values."""
     return f"CASE WHEN {paths} > 800 THEN 'complex' WHEN {paths} > 150 THEN 'moderate' ELSE 'simple' END"
 
 

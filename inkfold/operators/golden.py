@@ -40,7 +40,7 @@ SELECT case_id, bytes, nodes, CASE WHEN coalesce(boxed, false) THEN get(box, 2)
        CASE WHEN coalesce(boxed, false) THEN get(box, 3) WHEN given_w > 0 AND given_h > 0 THEN given_h WHEN nodes > 0 THEN greatest(1e0, ceil(reach_y)) END AS height,
        CASE WHEN bytes = 0 THEN 'EMPTY' WHEN unsafe THEN 'UNSAFE' WHEN paths = 0 THEN 'NO_PATHS' WHEN nodes = 0 THEN 'NO_GEOMETRY' WHEN bytes > 20000000 OR nodes > 2000000 THEN 'TOO_LARGE' ELSE 'OK' END AS verdict FROM sized""")
 
-# A candidate fails on structural loss or a growth above three times, needs eyes on any other change.
+# A candidate fails on structural loss or a growth above three times, needs eyes on any other change. Limits are fixed values.
 _VERDICTS = f"""{_COUNTS},
 compared AS (
   SELECT c.case_id, c.paths - g.paths AS path_delta, c.anchors - g.anchors AS anchor_delta, c.holes - g.holes AS hole_delta, trim(c.svg) = trim(g.svg) AS same,

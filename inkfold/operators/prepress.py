@@ -131,6 +131,7 @@ def _fanned(source: str, codes: list[tuple[str, str, str, str, str]]) -> str:
 
 
 # Rules of the validation report that have a code of their own; the rest is generic.
+# Rule, condition, code, severity, category and whether it can be mended.
 _MAPPED = [
     ("V008_RASTER_LOW_DPI", "f.detail = 'critical_low_dpi'", "CRITICAL_LOW_DPI", _ERROR, "resolution", _HAND),
     ("V008_RASTER_LOW_DPI", "f.detail <> 'critical_low_dpi'", "LOW_DPI", _WARN, "resolution", _HAND),

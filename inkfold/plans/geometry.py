@@ -6,6 +6,10 @@ from inkfold.operators import arrangement, clustering, coupling, fields, fitting
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
 
+def _r4(x: str) -> str:
+    return f"floor({x} * 10000 + 0.5) / 10000"
+
+
 _P = "0.3137"  # offset of the sample grid of covered_cells
 
 
@@ -290,5 +294,39 @@ register("outline_curves", lambda spark, sf_dir: fitting.fit_curves(view(spark,
 register("interval_models", lambda spark, sf_dir: selection.best_model(model_errors=fitting.interval_models(view(spark, sf_dir, "round_outlines"))))
 register("fit_frontier", lambda spark, sf_dir: selection.pareto_frontier(trials=fitting.fit_trials(view(spark, sf_dir, "round_outlines"))))
 register("ellipse_fit", lambda spark, sf_dir: fitting.ellipse_fit(view(spark, sf_dir, "rings")))
-for _name in ("rdp_simplify", "vw_simplify", "validated_simplify", "circle_fit"):
+for _name in ("vw_simplify", "validated_simplify"):
     register(_name, lambda spark, sf_dir, f=getattr(kernels, _name): f(view(spark, sf_dir, "rings")))
+
+# Segments of a ring that is split at its first point and the one farthest from it, split on while a point lies off.
+_RDP = """
+WITH ext AS (SELECT ring_id, pos, n, x, y FROM rings UNION ALL SELECT ring_id, n, n, x, y FROM rings WHERE pos = 0),
+far AS (
+  SELECT p.ring_id, p.pos AS far, p.n FROM rings p JOIN rings o ON o.ring_id = p.ring_id AND o.pos = 0 WHERE p.n >= 4
+  QUALIFY row_number() OVER (PARTITION BY p.ring_id ORDER BY (p.x - o.x) ** 2 + (p.y - o.y) ** 2 DESC, p.pos) = 1
+),
+segs AS (
+  SELECT ring_id, 0 AS a, far AS b FROM far UNION ALL SELECT ring_id, far, n FROM far
+  UNION ALL
+  SELECT ring_id, CASE WHEN half = 0 THEN a ELSE k END, CASE WHEN half = 0 THEN k ELSE b END FROM (
+    SELECT s.ring_id, s.a, s.b, p.pos AS k, CASE WHEN size2 = 0 THEN sqrt((p.x - s.ax) ** 2 + (p.y - s.ay) ** 2) ELSE abs((s.bx - s.ax) * (p.y - s.ay) - (s.by_ - s.ay) * (p.x - s.ax)) / sqrt(size2) END AS off
+    FROM (SELECT t.ring_id, t.a, t.b, u.x AS ax, u.y AS ay, v.x AS bx, v.y AS by_, (v.x - u.x) ** 2 + (v.y - u.y) ** 2 AS size2 FROM segs t JOIN ext u ON u.ring_id = t.ring_id AND u.pos = t.a JOIN ext v ON v.ring_id = t.ring_id AND v.pos = t.b) s
+    JOIN ext p ON p.ring_id = s.ring_id AND p.pos > s.a AND p.pos < s.b
+    QUALIFY row_number() OVER (PARTITION BY s.ring_id, s.a, s.b ORDER BY off DESC, p.pos) = 1
+  ) q CROSS JOIN (VALUES (0), (1)) h(half) WHERE off > 2
+),
+kept AS (SELECT DISTINCT s.ring_id, p.pos FROM segs s JOIN rings p ON p.ring_id = s.ring_id AND (p.pos = s.a OR p.pos = s.b) UNION SELECT ring_id, pos FROM rings WHERE n < 4),
+after AS (SELECT k.ring_id, k.pos, r.x, r.y, coalesce(lead(r.x) OVER w, first(r.x) OVER w) AS nx, coalesce(lead(r.y) OVER w, first(r.y) OVER w) AS ny FROM kept k JOIN rings r ON r.ring_id = k.ring_id AND r.pos = k.pos WINDOW w AS (PARTITION BY k.ring_id ORDER BY k.pos)),
+before AS (SELECT ring_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM rings WINDOW w AS (PARTITION BY ring_id ORDER BY pos))
+SELECT b.ring_id, b.points, a.kept, b.area AS area_before, a.area AS area_after FROM (SELECT ring_id, count(*) AS points, sum(x * ny - nx * y) / 2 AS area FROM before GROUP BY ring_id) b
+JOIN (SELECT ring_id, count(*) AS kept, sum(x * ny - nx * y) / 2 AS area FROM after GROUP BY ring_id) a ON a.ring_id = b.ring_id"""
+register("rdp_simplify", lambda spark, sf_dir: kernels.rdp_simplify(view(spark, sf_dir, "rings")), oracle(_RDP, ["rings"], recursive=True))
+
+# The same circle from its normal equations, in sums about the mean.
+_CIRCLE = f"""
+WITH centred AS (SELECT ring_id, avg(x) OVER r AS mx, avg(y) OVER r AS my, x - avg(x) OVER r AS u, y - avg(y) OVER r AS v FROM rings WINDOW r AS (PARTITION BY ring_id)),
+sums AS (SELECT ring_id, any_value(mx) AS mx, any_value(my) AS my, count(*) AS n, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * (u * u + v * v)) / 2 AS a, sum(v * (u * u + v * v)) / 2 AS b FROM centred GROUP BY ring_id),
+found AS (SELECT ring_id, n, mx, my, (a * vv - b * uv) / (uu * vv - uv * uv) AS p, (b * uu - a * uv) / (uu * vv - uv * uv) AS q, (uu + vv) / n AS spread FROM sums WHERE n > 2 AND uu * vv <> uv * uv),
+circles AS (SELECT ring_id, mx + p AS cx, my + q AS cy, p, q, sqrt(p * p + q * q + spread) AS radius FROM found),
+offs AS (SELECT f.ring_id, sqrt(avg((sqrt((u - p) ** 2 + (v - q) ** 2) - radius) ** 2)) AS rms FROM circles f JOIN centred c ON c.ring_id = f.ring_id GROUP BY f.ring_id)
+SELECT r.ring_id, {_r4('c.cx')} AS cx, {_r4('c.cy')} AS cy, {_r4('c.radius')} AS radius, {_r4('o.rms')} AS rms FROM (SELECT DISTINCT ring_id FROM rings) r LEFT JOIN circles c ON c.ring_id = r.ring_id LEFT JOIN offs o ON o.ring_id = r.ring_id"""
+register("circle_fit", lambda spark, sf_dir: kernels.circle_fit(view(spark, sf_dir, "rings")).selectExpr("ring_id", *(f"{_r4(c)} AS {c}" for c in ("cx", "cy", "radius", "rms"))), oracle(_CIRCLE, ["rings"]))
