@@ -115,3 +115,28 @@ def flatten_paths(commands: DataFrame, tolerance: float = 0.05) -> DataFrame:
         return pd.DataFrame(rows, columns=["svg_id", "path_no", "subpath", "points", "length", "area"])
 
     return commands.groupBy("svg_id", "path_no").applyInPandas(run, "svg_id long, path_no long, subpath long, points long, length double, area double")
+
+
+def artboard_outlines(commands: DataFrame, placed: DataFrame, tolerance_mm: float = 0.05) -> DataFrame:
+    """svg_id, path_no, subpath, pos, x, y: the subpaths of path commands as closed polygons in artboard millimetres.
+
+    placed(svg_id, x_mm, y_mm, w_mm, h_mm, vb_x, vb_y, vb_w, vb_h): where a file's view box lies on
+    the artboard. Curves and arcs are flat to the tolerance there. Points that their follower
+    repeats go, subpaths of fewer than three points too; files without a placement, or
+    with a view box or size of zero, have no rows.
+    """
+    spots = placed.where("vb_w > 0 AND vb_h > 0 AND w_mm > 0 AND h_mm > 0").selectExpr("svg_id", "x_mm", "y_mm", "vb_x", "vb_y", "w_mm / vb_w AS sx", "h_mm / vb_h AS sy")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        first = pdf.iloc[0]
+        rows = []
+        lines = flatten([(c, list(a)) for c, a in zip(pdf["cmd"], pdf["args"], strict=True)], tolerance_mm / max(first["sx"], first["sy"]))
+        for k, line in enumerate(lines):
+            line = line[np.any(line != np.roll(line, -1, axis=0), axis=1)]
+            if len(line) >= 3:
+                xy = (line - [first["vb_x"], first["vb_y"]]) * [first["sx"], first["sy"]] + [first["x_mm"], first["y_mm"]]
+                rows += [(first["svg_id"], first["path_no"], k, p, x, y) for p, (x, y) in enumerate(xy.tolist())]
+        return pd.DataFrame(rows, columns=["svg_id", "path_no", "subpath", "pos", "x", "y"])
+
+    return commands.join(spots, "svg_id").groupBy("svg_id", "path_no").applyInPandas(run, "svg_id long, path_no long, subpath long, pos long, x double, y double")

@@ -32,10 +32,28 @@ def cut(df: DataFrame) -> DataFrame:
     A checkpoint would carry the estimate of its plan along, which a loop of joins multiplies round by round.
     """
     path = f"{scratch_dir(df.sparkSession)}/inkfold-cut-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []  # tables of cut() not yet discarded, oldest first
+
+
+def scratch_mark() -> str | None:
+    """The last table written, to which discard() can go back."""
+    return _WRITTEN[-1] if _WRITTEN else None
+
+
+def discard(spark: SparkSession, since: str | None = None) -> None:
+    """Delete the tables that cut() wrote after a mark; for when results made from them are written or dropped. Queries that run at the same time need marks of one caller."""
+    first = _WRITTEN.index(since) + 1 if since in _WRITTEN else 0
+    for path in _WRITTEN[first:]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del _WRITTEN[first:]
+
+
 def _local_roots(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For every edge the smallest node of its component, among these edges alone."""
     pairs = np.stack([np.concatenate([group, group]), np.concatenate([a, b])], axis=1)

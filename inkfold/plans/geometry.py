@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkfold.operators import arrangement, clustering, coupling, fields, fitting, hierarchy, kernels, planar, reassignment, selection
+from inkfold.operators import arrangement, clustering, contours, coupling, fields, fitting, hierarchy, kernels, planar, reassignment, selection
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
+from inkfold.sources import svg
 
 def _r4(x: str) -> str:
     return f"floor({x} * 10000 + 0.5) / 10000"
@@ -321,6 +322,24 @@ SELECT b.ring_id, b.points, a.kept, b.area AS area_before, a.area AS area_after
 JOIN (SELECT ring_id, count(*) AS kept, sum(x * ny - nx * y) / 2 AS area FROM after GROUP BY ring_id) a ON a.ring_id = b.ring_id"""
 register("rdp_simplify", lambda spark, sf_dir: kernels.rdp_simplify(view(spark, sf_dir, "rings")), oracle(_RDP, ["rings"], recursive=True))
 
+
+
+def _artboard(spark, sf_dir):
+    """Subpath areas of the first path of every file, its view box laid out at twice its size."""
+    files = view(spark, sf_dir, "svgs").withColumnRenamed("case_id", "svg_id")
+    nodes = view(spark, sf_dir, "nodes").where("type = 'vector_path'")
+    placed = nodes.selectExpr("node_id AS svg_id", "x_mm", "y_mm", "2 * w_mm AS w_mm", "2 * h_mm AS h_mm", "0e0 AS vb_x", "0e0 AS vb_y", "floor(w_mm) AS vb_w", "floor(h_mm) AS vb_h")
+    points = contours.artboard_outlines(svg.path_commands(svg.read_paths(files)), placed).where("path_no = 0")
+    areas = arrangement.ring_areas(points.selectExpr("svg_id AS doc_id", "subpath AS ring_id", "pos", "x", "y"))
+    low = points.groupBy("svg_id", "subpath").agg(planar.F.min("x").alias("min_x"), planar.F.max("y").alias("max_y"))
+    return areas.selectExpr("doc_id AS svg_id", "ring_id AS subpath", "points", "area_mm2").join(low, ["svg_id", "subpath"])
+
+
+_ARTBOARD = """
+SELECT node_id AS svg_id, CAST(0 AS BIGINT) AS subpath, CAST(4 AS BIGINT) AS points, w_mm * h_mm * 4 AS area_mm2, x_mm AS min_x, y_mm + 2 * h_mm AS max_y FROM nodes WHERE type = 'vector_path' AND w_mm > 0
+UNION ALL SELECT node_id, 1, 3, 2, x_mm + 2, y_mm + 4 FROM nodes WHERE type = 'vector_path' AND w_mm > 0 AND node_id % 4 = 0"""
+register("artboard_outlines", _artboard, oracle(_ARTBOARD, ["nodes"]))
+
 # The same circle from its normal equations, in sums about the mean.
 _CIRCLE = f"""
 WITH centred AS (SELECT ring_id, avg(x) OVER r AS mx, avg(y) OVER r AS my, x - avg(x) OVER r AS u, y - avg(y) OVER r AS v FROM rings WINDOW r AS (PARTITION BY ring_id)),

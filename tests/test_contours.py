@@ -27,6 +27,20 @@ def test_arcs_are_drawn():
     assert abs(small[:, 1].min() + 5) < 0.05
 
 
+def test_paths_on_the_artboard(spark):
+    files = spark.createDataFrame([(1, '<path d="M10 10 h20 v20 h-20 z M0 0 L1 1"/><path d="M20 20 A10 10 0 0 1 40 20 A10 10 0 0 1 20 20 Z"/>'), (2, '<path d="M0 0L1 0L1 1"/>'), (3, '<path d="M0 0L1 0L1 1"/>')], "svg_id long, svg string")
+    placed = spark.createDataFrame([(1, 5.0, 7.0, 100.0, 50.0, 10.0, 10.0, 50.0, 50.0), (3, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "svg_id long, x_mm double, y_mm double, w_mm double, h_mm double, vb_x double, vb_y double, vb_w double, vb_h double")
+    got = {}
+    for r in sorted(contours.artboard_outlines(svg.path_commands(svg.read_paths(files)), placed).collect()):
+        got.setdefault((r["svg_id"], r["path_no"], r["subpath"]), []).append((r["x"], r["y"]))
+    assert set(got) == {(1, 0, 0), (1, 1, 0)}  # a line is no polygon; files without a placement or a view box have none
+    assert got[(1, 0, 0)] == [(5.0, 7.0), (45.0, 7.0), (45.0, 27.0), (5.0, 27.0)]
+    round_one = got[(1, 1, 0)]
+    assert all(abs(((x - 45) / 20) ** 2 + ((y - 17) / 10) ** 2 - 1) < 1e-9 for x, y in round_one) and len(round_one) > 20
+    area = abs(contours._area(contours.np.array(round_one)))
+    assert abs(area - math.pi * 200) < 2
+
+
 def test_palette_reaches_colours_below_thousands_of_shades(spark):
     shades = [(r, g, b, 100) for r in range(17) for g in range(17) for b in range(17)]
     far = [(255, 0, 0, 3), (0, 255, 0, 2), (0, 0, 255, 1)]

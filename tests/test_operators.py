@@ -40,6 +40,16 @@ def test_components_settle_on_long_paths(spark):
     assert got.count() == 501 and got.where("component <> 0").count() == 0
 
 
+def test_scratch_tables_go_back_to_a_mark(spark):
+    kept = graph.cut(spark.range(3))
+    mark = graph.scratch_mark()
+    gone = graph.cut(spark.range(4))
+    graph.discard(spark, mark)
+    assert kept.count() == 3 and graph.scratch_mark() == mark
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_levels_skip_cycles(spark):
     steps = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 5), (1, 5, 4), (1, 6, 99)], "plan_id long, step_id long, depends_on long")
     assert sorted(tuple(r)[1:] for r in graph.step_levels(steps).collect()) == [(1, 0), (2, 1), (3, 2)]
