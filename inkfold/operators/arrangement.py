@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.operators.chains import follow
@@ -32,12 +32,13 @@ def segments(outlines: DataFrame) -> DataFrame:
     return _netted(sides.withColumn("w", F.lit(1).cast("long")))
 
 
-def _netted(sides: DataFrame) -> DataFrame:
-    """Equal segments as one, those walked as often both ways left out: they bound nothing and change no winding number."""
+def _netted(sides: DataFrame, *more: Column) -> DataFrame:
+    """Equal segments as one, with aggregates asked for; those walked as often both ways are left out: they bound nothing and change no winding number."""
     forth = "(x1 < x2 OR (x1 = x2 AND y1 < y2))"
     ends = [f"IF({forth}, {a}, {b}) AS {n}" for a, b, n in (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))]
-    canon = sides.where("x1 <> x2 OR y1 <> y2").selectExpr("doc_id", *ends, f"IF({forth}, w, -w) AS w")
-    return canon.groupBy("doc_id", "x1", "y1", "x2", "y2").agg(F.sum("w").alias("w")).where("w <> 0")
+    rest = [c for c in sides.columns if c not in ("doc_id", "x1", "y1", "x2", "y2", "w")]
+    canon = sides.where("x1 <> x2 OR y1 <> y2").selectExpr("doc_id", *ends, f"IF({forth}, w, -w) AS w", *rest)
+    return canon.groupBy("doc_id", "x1", "y1", "x2", "y2").agg(F.sum("w").alias("w"), *more).where("w <> 0")
 
 
 def _by_cells(segs: DataFrame) -> DataFrame:
@@ -95,10 +96,7 @@ def arrange(segs: DataFrame, most_rounds: int = 12) -> DataFrame:
         # A segment that lies on a new piece is the same segment again, and new.
         rest = state.join(points.select("sid"), "sid", "left_anti")
         both = made.withColumn("fresh", F.lit(True)).unionByName(rest.select("doc_id", "x1", "y1", "x2", "y2", "w").withColumn("fresh", F.lit(False)))
-        forth = "(x1 < x2 OR (x1 = x2 AND y1 < y2))"
-        ends = [f"IF({forth}, {a}, {b}) AS {n}" for a, b, n in (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))]
-        canon = both.where("x1 <> x2 OR y1 <> y2").selectExpr("doc_id", *ends, f"IF({forth}, w, -w) AS w", "fresh")
-        state = numbered(canon.groupBy("doc_id", "x1", "y1", "x2", "y2").agg(F.sum("w").alias("w"), F.min("fresh").alias("fresh")).where("w <> 0"))
+        state = numbered(_netted(both, F.min("fresh").alias("fresh")))
     raise RuntimeError("segments did not settle")
 
 
