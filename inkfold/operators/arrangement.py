@@ -19,7 +19,7 @@ from inkfold.operators.chains import follow
 from inkfold.operators.graph import cut
 
 UNIT = 100_000  # of a millimetre
-_CELL, _STRIP, _TILE = 8 * UNIT, UNIT, 64 * UNIT
+_CELL, _STRIP, _TILE = 8 * UNIT, UNIT, 512 * UNIT
 
 
 def segments(outlines: DataFrame) -> DataFrame:
@@ -135,7 +135,8 @@ def rings(sides: DataFrame) -> DataFrame:
     leaving = sides.selectExpr("doc_id", "e AS nxt", "x1 AS x2", "y1 AS y2", "x2 - x1 AS ox", "y2 - y1 AS oy")
     turn = F.expr("atan2(CAST((x2 - x1) * oy - (y2 - y1) * ox AS DOUBLE), CAST((x2 - x1) * ox + (y2 - y1) * oy AS DOUBLE))")
     links = sides.join(leaving, ["doc_id", "x2", "y2"]).groupBy("doc_id", "e", "x1", "y1").agg(F.max_by("nxt", turn).alias("nxt"))
-    tiles = links.withColumn("tx", F.floor(F.col("x1") / _TILE)).withColumn("ty", F.floor(F.col("y1") / _TILE))
+    tile = lambda c: F.floor((F.col(c) + _TILE / 4) / _TILE)  # noqa: E731  art reaches beyond the origin, and seldom far
+    tiles = links.withColumns({"tx": tile("x1"), "ty": tile("y1")})
     placed = follow(tiles, ["doc_id"], ["tx", "ty"], ("x1", "y1"))
     ring = Window.partitionBy("doc_id", "ring").orderBy("pos")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
