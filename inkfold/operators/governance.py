@@ -44,11 +44,14 @@ component_identities = Operator(f"""
 SELECT doc_id, node_id, {E.rounded('w_mm * h_mm')} AS area, {E.rounded('2 * (w_mm + h_mm)')} AS perimeter, {E.rounded('x_mm + w_mm / 2')} AS cx, {E.rounded('y_mm + h_mm / 2')} AS cy,
        CASE WHEN y_mm < 30 THEN 'HEADER' WHEN y_mm > 120 THEN 'FOOTER' WHEN w_mm * h_mm < 200 THEN 'DETAIL' ELSE 'BODY' END AS role FROM {{nodes}} WHERE type = 'vector_path'""")
 
+# Boxes of one place and size are compared once, by the smallest number among them; a front is larger, so never one of them.
 hole_provenance = Operator(f"""
 WITH boxes AS (SELECT doc_id, node_id, x_mm + w_mm / 2 AS cx, y_mm + h_mm / 2 AS cy, w_mm * h_mm AS area FROM {{nodes}} WHERE type = 'vector_path' AND w_mm > 0),
-near AS (SELECT h.doc_id, h.node_id, f.node_id AS front, {E.distance(('h.cx', 'f.cx'), ('h.cy', 'f.cy'))} AS gap, h.area, row_number() OVER (PARTITION BY h.doc_id, h.node_id ORDER BY {E.distance(('h.cx', 'f.cx'), ('h.cy', 'f.cy'))}, f.node_id) AS k
-  FROM boxes h JOIN boxes f ON f.doc_id = h.doc_id AND f.node_id <> h.node_id AND f.area > h.area)
-SELECT doc_id, node_id, front, {E.rounded('gap')} AS gap, CASE WHEN area < 100 THEN 'ARTEFACT' WHEN gap < 20 THEN 'COUNTERFORM' ELSE 'OPENING' END AS class FROM near WHERE k = 1""")
+kinds AS (SELECT doc_id, cx, cy, area, min(node_id) AS node_id FROM boxes GROUP BY doc_id, cx, cy, area),
+gaps AS (SELECT h.doc_id, h.cx, h.cy, h.area, f.node_id AS front, {E.distance(('h.cx', 'f.cx'), ('h.cy', 'f.cy'))} AS gap FROM kinds h JOIN kinds f ON f.doc_id = h.doc_id AND f.area > h.area),
+near AS (SELECT doc_id, cx, cy, area, min(named_struct('gap', gap, 'front', front)) AS best FROM gaps GROUP BY doc_id, cx, cy, area)
+SELECT b.doc_id, b.node_id, n.best.front AS front, {E.rounded('n.best.gap')} AS gap, CASE WHEN b.area < 100 THEN 'ARTEFACT' WHEN n.best.gap < 20 THEN 'COUNTERFORM' ELSE 'OPENING' END AS class
+FROM boxes b JOIN near n ON n.doc_id = b.doc_id AND n.cx = b.cx AND n.cy = b.cy AND n.area = b.area""")
 
 offset_texts = Operator("""
 WITH said AS (
