@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from inkfold.operators import governance
+from inkfold.operators import governance, rings
 
 COPIES = 60_000
 
@@ -31,3 +31,10 @@ def crowd(spark, copies=COPIES):
 def test_hole_provenance_of_copies(spark, soon):
     got = governance.hole_provenance(nodes=crowd(spark)).selectExpr("node_id % 3 AS kind", "front", "round(gap, 3) AS gap", "class").groupBy("kind", "front", "gap", "class").count().collect()
     assert sorted(tuple(r) for r in got) == [(0, 1, 14.142, "COUNTERFORM", COPIES // 3), (1, 2, 14.142, "COUNTERFORM", COPIES // 3)]
+
+
+def test_containment_tree_of_copies(spark, soon):
+    got = rings.containment_tree(nodes=crowd(spark)).where("doc_id = 1").selectExpr("node_id % 3 AS kind", "parent_region", "depth").groupBy("kind", "parent_region", "depth").count().collect()
+    third = COPIES // 3
+    assert sorted(tuple(r) for r in got if r["kind"] < 2) == [(0, 1, 2 * third, third), (1, 2, third, third)]
+    assert [tuple(r) for r in got if r["kind"] == 2] == [(2, None, 0, third)]
