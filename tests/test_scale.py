@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from inkfold.operators import governance, rings
+from inkfold.operators import documents, governance, rings
 
 COPIES = 60_000
 
@@ -38,3 +38,11 @@ def test_containment_tree_of_copies(spark, soon):
     third = COPIES // 3
     assert sorted(tuple(r) for r in got if r["kind"] < 2) == [(0, 1, 2 * third, third), (1, 2, third, third)]
     assert [tuple(r) for r in got if r["kind"] == 2] == [(2, None, 0, third)]
+
+
+def test_component_correspondence_of_copies(spark, soon):
+    nodes = crowd(spark)
+    many = nodes.unionByName(nodes.where("doc_id = 1").selectExpr("CAST(2 AS BIGINT) AS doc_id", f"node_id + {COPIES + 1} AS node_id", "x_mm", "y_mm", "w_mm", "h_mm", "type", "fill"))
+    got = documents.component_correspondence(nodes=many).selectExpr("a_id % 3 AS kind", "b_id", "iou", "centroid_distance").groupBy("kind", "b_id", "iou", "centroid_distance").count().collect()
+    third = COPIES // 3
+    assert sorted(tuple(r) for r in got) == [(0, COPIES + 1, 1.0, 0.0, third), (1, COPIES + 2, 1.0, 0.0, third), (2, COPIES, 1.0, 0.0, third)]
