@@ -4,14 +4,22 @@ outlines(doc_id, ring_id, pos, x, y), closed without a repeated last point, of a
 holes, touching and self-crossing rings, in any direction; a point belongs to the union if
 its winding number is not zero. Coordinates are rounded to units of 1e-5 mm. Segments are
 cut where they meet, the meeting points rounded too, until no cut is left; segments that
-meet are found by grid cells, winding numbers by rays inside strips, so that a document is
-spread over tasks by its cells.
+meet are found by grid cells, winding numbers from the corner of a cell on, so that a document
+is spread over tasks by its cells.
+
+Between two points of a cell the winding number changes by no more than the segments that pass
+the cell. A cell whose corner winds more often than that lies inside the union: no edge of it is
+there, and neither meetings nor sides are looked at. The pile of a document's art so costs
+what its rim costs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +27,10 @@ from inkfold.operators.chains import follow
 from inkfold.operators.graph import cut
 
 UNIT = 100_000  # of a millimetre
-_CELL, _STRIP, _TILE = 8 * UNIT, UNIT, 512 * UNIT
+_CELL, _TILE = 2 * UNIT, 512 * UNIT
+_SHIFT = UNIT // 2  # of the cells' corners, since art often lies on whole millimetres
+_SLACK = 16  # units by which a piece may lie beside its segment after all rounds
+_BESIDE = 0.3819660112501051  # winding numbers are known at this much to the left of and below a cell, in line with no end
 
 
 def segments(outlines: DataFrame) -> DataFrame:
@@ -42,50 +53,87 @@ def _netted(sides: DataFrame, *more: Column) -> DataFrame:
 
 
 def _by_cells(segs: DataFrame) -> DataFrame:
-    """Every segment under the grid cells that it passes."""
-    rows = segs.withColumn("cy", F.explode(F.expr(f"sequence(CAST(floor(least(y1, y2) / {_CELL}) AS BIGINT), CAST(floor(greatest(y1, y2) / {_CELL}) AS BIGINT))")))
+    """Every segment under the grid cells that it passes, or passes by within the slack."""
+    rows = segs.withColumn("cy", F.explode(F.expr(f"sequence({_cell(f'least(y1, y2) - {_SLACK}')}, {_cell(f'greatest(y1, y2) + {_SLACK}')})")))
     at = lambda y: f"IF(y1 = y2, x1, x1 + (x2 - x1) * ((least(greatest({y}, least(y1, y2)), greatest(y1, y2)) - y1) / (y2 - y1)))"
-    low, high = at(f"cy * {_CELL}"), at(f"(cy + 1) * {_CELL}")
+    low, high = at(f"cy * {_CELL} - {_SHIFT + _SLACK}"), at(f"(cy + 1) * {_CELL} - {_SHIFT - _SLACK}")
     flat = "IF(y1 = y2, least(x1, x2), least({0}, {1}) - 1)", "IF(y1 = y2, greatest(x1, x2), greatest({0}, {1}) + 1)"
-    span = [f"CAST(floor({f.format(low, high)} / {_CELL}) AS BIGINT)" for f in flat]
+    span = [_cell(f"{f.format(low, high)} {slack}") for f, slack in zip(flat, (f"- {_SLACK}", f"+ {_SLACK}"), strict=True)]
     return rows.withColumn("cx", F.explode(F.expr(f"sequence({span[0]}, {span[1]})")))
 
 
-def _cuts(segs: DataFrame) -> DataFrame:
+def _cell(v: str) -> str:
+    return f"CAST(floor(({v} + {_SHIFT}) / {_CELL}) AS BIGINT)"
+
+
+def _windings(segs: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells(doc_id, cx, cy, touch) with winding, the number beside their lower left corner: turns of segments along the line of corners, summed from the left."""
+    beside = _SHIFT + _BESIDE
+    level = f"(cy * {_CELL} - {beside})"
+    rows = segs.where("y1 <> y2").selectExpr("*", f"explode(sequence({_cell('least(y1, y2)')}, {_cell('greatest(y1, y2)')} + 1)) AS cy").where(f"least(y1, y2) < {level} AND {level} < greatest(y1, y2)")
+    met = rows.selectExpr("doc_id", f"CAST(floor((x1 + (x2 - x1) * (({level} - y1) / (y2 - y1)) + {beside}) / {_CELL}) AS BIGINT) + 1 AS cx", "cy", "CAST(-w * sign(y2 - y1) AS BIGINT) AS turn", "CAST(NULL AS BIGINT) AS touch")
+    marks = met.unionByName(cells.selectExpr("doc_id", "cx", "cy", "CAST(0 AS BIGINT) AS turn", "touch")).groupBy("doc_id", "cx", "cy").agg(F.sum("turn").alias("turn"), F.max("touch").alias("touch"))
+    line = Window.partitionBy("doc_id", "cy").orderBy("cx")
+    return marks.select("doc_id", "cx", "cy", "touch", F.sum("turn").over(line).alias("winding")).where("touch IS NOT NULL")
+
+
+def _open_cells(segs: DataFrame) -> DataFrame:
+    """doc_id, cx, cy, touch: cells in which the winding number may be zero."""
+    touched = _by_cells(segs).groupBy("doc_id", "cx", "cy").agg(F.sum(F.abs("w")).alias("touch"))
+    return _windings(segs, touched).where("abs(winding) <= touch").select("doc_id", "cx", "cy", "touch")
+
+
+def _cuts(cells: DataFrame) -> DataFrame:
     """sid, px, py: points inside a segment at which another one meets it; pairs without a fresh segment are known to be apart."""
-    cells = _by_cells(segs).select("doc_id", "cx", "cy", "sid", "fresh", "x1", "y1", "x2", "y2")
+    cells = cells.select("doc_id", "cx", "cy", "sid", "fresh", "x1", "y1", "x2", "y2")
     other = cells.select("doc_id", "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("sid", "fresh", "x1", "y1", "x2", "y2")))
     near = cells.where("fresh").join(other, ["doc_id", "cx", "cy"]).where(
         "sid <> o_sid AND (NOT o_fresh OR sid < o_sid) AND least(x1, x2) <= greatest(o_x1, o_x2) AND least(o_x1, o_x2) <= greatest(x1, x2) AND least(y1, y2) <= greatest(o_y1, o_y2) AND least(o_y1, o_y2) <= greatest(y1, y2)"
     )
-    met = near.selectExpr(
-        "sid", "o_sid", "x1", "y1", "x2", "y2", "o_x1", "o_y1", "o_x2", "o_y2", "(x2 - x1) * (o_y2 - o_y1) - (y2 - y1) * (o_x2 - o_x1) AS det",
-        "(o_x1 - x1) * (o_y2 - o_y1) - (o_y1 - y1) * (o_x2 - o_x1) AS t", "(o_x1 - x1) * (y2 - y1) - (o_y1 - y1) * (x2 - x1) AS u",
-    )
-    met = met.withColumn("crosses", F.expr("(det > 0 AND t BETWEEN 0 AND det AND u BETWEEN 0 AND det) OR (det < 0 AND t BETWEEN det AND 0 AND u BETWEEN det AND 0)"))
-    met = met.where("crosses OR (det = 0 AND u = 0)")
-    at = lambda c: f"CASE WHEN t = 0 THEN {c}1 WHEN t = det THEN {c}2 WHEN u = 0 THEN o_{c}1 WHEN u = det THEN o_{c}2 WHEN crosses THEN CAST(round({c}1 + ({c}2 - {c}1) * (CAST(t AS DOUBLE) / det)) AS BIGINT) END AS p{c}"
-    met = met.selectExpr("*", at("x"), at("y"))
-    spot = lambda sid, x, y, test: f"IF({test}, named_struct('sid', {sid}, 'px', {x}, 'py', {y}), NULL)"
-    inside = lambda x, y, a, b, c, d: f"NOT crosses AND ({x} - {a}) * ({c} - {a}) + ({y} - {b}) * ({d} - {b}) > 0 AND ({x} - {c}) * ({a} - {c}) + ({y} - {d}) * ({b} - {d}) > 0"
-    spots = [
-        spot("sid", "px", "py", "crosses AND NOT (px = x1 AND py = y1) AND NOT (px = x2 AND py = y2)"),
-        spot("o_sid", "px", "py", "crosses AND NOT (px = o_x1 AND py = o_y1) AND NOT (px = o_x2 AND py = o_y2)"),
-    ]
-    for k in ("1", "2"):  # segments along one another are cut at each other's ends
-        spots.append(spot("sid", f"o_x{k}", f"o_y{k}", inside(f"o_x{k}", f"o_y{k}", "x1", "y1", "x2", "y2")))
-        spots.append(spot("o_sid", f"x{k}", f"y{k}", inside(f"x{k}", f"y{k}", "o_x1", "o_y1", "o_x2", "o_y2")))
-    return met.selectExpr(f"inline(filter(array({', '.join(spots)}), s -> s IS NOT NULL))").distinct()
-
-
-def arrange(segs: DataFrame, most_rounds: int = 12) -> DataFrame:
-    """doc_id, x1, y1, x2, y2, w: the same segments cut so that any two share no more than ends."""
+    return near.select("sid", "o_sid", *_ENDS).mapInArrow(_meetings, "sid long, px long, py long").distinct()
+
+
+_ENDS = ("x1", "y1", "x2", "y2", "o_x1", "o_y1", "o_x2", "o_y2")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, px, py for pairs of segments: where they cross, at units; segments along one another are cut at each other's ends."""
+    for batch in batches:
+        sid, o_sid, x1, y1, x2, y2, ox1, oy1, ox2, oy2 = (c.to_numpy() for c in batch.columns)
+        det = (x2 - x1) * (oy2 - oy1) - (y2 - y1) * (ox2 - ox1)
+        t = (ox1 - x1) * (oy2 - oy1) - (oy1 - y1) * (ox2 - ox1)
+        u = (ox1 - x1) * (y2 - y1) - (oy1 - y1) * (x2 - x1)
+        sign, size = np.sign(det), np.abs(det)
+        crosses = (det != 0) & (t * sign >= 0) & (t * sign <= size) & (u * sign >= 0) & (u * sign <= size)
+        share = t / np.where(det == 0, 1, det)
+
+        def at(a: np.ndarray, b: np.ndarray, oa: np.ndarray, ob: np.ndarray) -> np.ndarray:
+            v = a + (b - a) * share
+            near = (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
+            return np.select([t == 0, t == det, u == 0, u == det], [a, b, oa, ob], near)
+
+        px, py = at(x1, x2, ox1, ox2), at(y1, y2, oy1, oy2)
+        found = [(sid, px, py, crosses & ~((px == x1) & (py == y1)) & ~((px == x2) & (py == y2))), (o_sid, px, py, crosses & ~((px == ox1) & (py == oy1)) & ~((px == ox2) & (py == oy2)))]
+        along = (det == 0) & (u == 0)
+        for whose, x, y, a, b, c, d in (
+            (sid, ox1, oy1, x1, y1, x2, y2), (sid, ox2, oy2, x1, y1, x2, y2), (o_sid, x1, y1, ox1, oy1, ox2, oy2), (o_sid, x2, y2, ox1, oy1, ox2, oy2),
+        ):
+            found.append((whose, x, y, along & ((x - a) * (c - a) + (y - b) * (d - b) > 0) & ((x - c) * (a - c) + (y - d) * (b - d) > 0)))
+        columns = [np.concatenate([f[k][f[3]] for f in found]) for k in range(3)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.stack(columns, axis=1), axis=0).T], ["sid", "px", "py"])
+
+
+def arrange(segs: DataFrame, most_rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same segments cut so that any two share no more than ends in open cells, as (sid, doc_id, x1, y1, x2, y2, w); those in open cells under each of them; and the open cells."""
     numbered = lambda s: cut(s.withColumn("sid", F.monotonically_increasing_id()))
     state = numbered(segs.withColumn("fresh", F.lit(True)))
+    cells = cut(_open_cells(state))
     for _ in range(most_rounds):
-        cuts = cut(_cuts(state))
+        placed = cut(_by_cells(state).join(cells.select("doc_id", "cx", "cy"), ["doc_id", "cx", "cy"], "left_semi"))
+        cuts = cut(_cuts(placed))
         if not cuts.limit(1).count():
-            return state.select("doc_id", "x1", "y1", "x2", "y2", "w")
+            return state, placed, cells
         points = cuts.groupBy("sid").agg(F.collect_list(F.struct("px", "py")).alias("points"))
         far = "(p.px - x1) * (p.px - x1) + (p.py - y1) * (p.py - y1)"
         joined = state.join(points, "sid")
@@ -100,23 +148,25 @@ def arrange(segs: DataFrame, most_rounds: int = 12) -> DataFrame:
     raise RuntimeError("segments did not settle")
 
 
-def boundary(planar: DataFrame) -> DataFrame:
-    """doc_id, x1, y1, x2, y2: directed sides of the union, which lies to their left (y grows upwards)."""
-    planar = planar.withColumn("sid", F.monotonically_increasing_id())
+def boundary(planar: DataFrame, placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, x1, y1, x2, y2: directed sides of the union, which lies to their left (y grows upwards), of what arrange() returns."""
+    corners = cut(_windings(planar, cells))
     out = None
-    # Sides that rise or fall are probed from their middle along x, level ones along y: across is the axis of the ray.
+    # Sides that rise or fall are probed at their middle along x, level ones along y: across is the axis of the last leg, from the corner's line to the side.
     for level, across, along in ((False, "x", "y"), (True, "y", "x")):
         a1, a2, b1, b2 = f"{across}1", f"{across}2", f"{along}1", f"{along}2"
-        probes = planar.where("y1 = y2" if level else "y1 <> y2").selectExpr("doc_id", "sid", "x1", "y1", "x2", "y2", "w", f"({a1} + {a2}) / 2 AS qa", f"({b1} + {b2}) / 2 AS qb", f"CAST(floor(({b1} + {b2}) / 2 / {_STRIP}) AS BIGINT) AS strip")
-        walls = planar.where(f"{b1} <> {b2}").selectExpr(
-            "doc_id", "sid AS wall", f"{a1} AS a1", f"{b1} AS b1", f"{a2} AS a2", f"{b2} AS b2", "w AS ww", f"explode(sequence(CAST(floor(least({b1}, {b2}) / {_STRIP}) AS BIGINT), CAST(floor(greatest({b1}, {b2}) / {_STRIP}) AS BIGINT))) AS strip"
-        )
-        crossed = probes.join(walls, ["doc_id", "strip"]).where("wall <> sid AND least(b1, b2) <= qb AND qb < greatest(b1, b2) AND a1 + (a2 - a1) * ((qb - b1) / (b2 - b1)) < qa")
-        # A ray towards smaller x meets falling sides at their inner face; one towards smaller y, sides to the right.
-        turn = "sign(b2 - b1)" if level else "-sign(b2 - b1)"
-        before = crossed.groupBy("sid").agg(F.expr(f"CAST(sum(ww * {turn}) AS BIGINT)").alias("lower"))
+        probes = planar.where("y1 = y2" if level else "y1 <> y2").selectExpr("doc_id", "sid", "x1", "y1", "x2", "y2", "w", f"({a1} + {a2}) / 2 AS qa", f"({b1} + {b2}) / 2 AS qb", f"{_cell('(x1 + x2) / 2')} AS cx", f"{_cell('(y1 + y2) / 2')} AS cy")
+        probes = probes.join(corners.drop("touch"), ["doc_id", "cx", "cy"]).selectExpr("*", f"c{across} * {_CELL} - {_SHIFT + _BESIDE} AS a0", f"c{along} * {_CELL} - {_SHIFT + _BESIDE} AS b0")
+        walls = placed.selectExpr("doc_id", "cx", "cy", "sid AS wall", f"{a1} AS a1", f"{b1} AS b1", f"{a2} AS a2", f"{b2} AS b2", "w AS ww")
+        # The first leg goes along the corner's line up to the middle of the side, that much further that it meets no end there.
+        first = "a1 <> a2 AND least(a1, a2) < a0 AND a0 < greatest(a1, a2) AND b0 < b1 + (b2 - b1) * ((a0 - a1) / nullif(a2 - a1, 0)) AND b1 + (b2 - b1) * ((a0 - a1) / nullif(a2 - a1, 0)) <= qb"
+        second = "wall <> sid AND b1 <> b2 AND least(b1, b2) <= qb AND qb < greatest(b1, b2) AND a0 < a1 + (a2 - a1) * ((qb - b1) / nullif(b2 - b1, 0)) AND a1 + (a2 - a1) * ((qb - b1) / nullif(b2 - b1, 0)) < qa"
+        # Towards larger x a rising side leads to a smaller number, towards larger y a side to the right to a larger one.
+        turn = "" if level else "-"
+        crossed = probes.join(walls, ["doc_id", "cx", "cy"]).selectExpr("sid", f"IF({first}, -({turn}ww) * sign(a2 - a1), 0) + IF({second}, {turn}ww * sign(b2 - b1), 0) AS turn").where("turn <> 0")
+        before = crossed.groupBy("sid").agg(F.expr("CAST(sum(turn) AS BIGINT)").alias("more"))
         own = "w" if level else "-w * CAST(sign(y2 - y1) AS BIGINT)"
-        told = probes.join(before, "sid", "left").selectExpr("doc_id", "x1", "y1", "x2", "y2", "coalesce(lower, 0) <> 0 AS lower_in", f"coalesce(lower, 0) + {own} <> 0 AS upper_in")
+        told = probes.join(before, "sid", "left").selectExpr("doc_id", "x1", "y1", "x2", "y2", "winding + coalesce(more, 0) <> 0 AS lower_in", f"winding + coalesce(more, 0) + {own} <> 0 AS upper_in")
         edge = told.where("lower_in <> upper_in")
         # The smaller side of a rising edge is its left; the smaller side of an edge to the right is its right.
         forth = "upper_in" if level else "lower_in = (y2 > y1)"
@@ -158,7 +208,7 @@ def _in_mm(found: DataFrame) -> DataFrame:
 
 def union(outlines: DataFrame) -> DataFrame:
     """doc_id, ring_id, pos, n, x, y: rings of the union of a document's outlines; outer ones turn left, holes right. Documents without area have none."""
-    return _in_mm(rings(boundary(arrange(segments(outlines)))))
+    return _in_mm(rings(boundary(*arrange(segments(outlines)))))
 
 
 def _pieces(sides: DataFrame, offset_mm: float, join: str, miter_limit: float, arc_tolerance_mm: float) -> DataFrame:

@@ -347,3 +347,15 @@ def test_long_commands_are_read_whole(spark):
     many = " ".join(["7"] * 800_000)
     df = spark.createDataFrame([(1, f'<path d="M0 0L{many}"/>')], "svg_id long, svg string")
     assert svg.path_commands(svg.read_paths(df)).where("cmd = 'L'").selectExpr("size(args)").first()[0] == 800_000
+
+
+def test_union_of_a_pile(spark):
+    """Most sides of 200 squares of one pile lie inside of it, where they are not cut: 200 squares cross 30,000 times or more, which makes 60,000 pieces."""
+    rng = np.random.default_rng(5)
+    box = np.array([[0, 0], [20, 0], [20, 20], [0, 20.0]])
+    rings = [box + rng.uniform(0, 10, 2).round(4) + rng.uniform(0, 0.5, (4, 2)).round(4) for _ in range(200)]
+    docs = frame(spark, {0: rings, 1: [r[::-1] for r in rings] + [box + [60, 0]]})
+    assert arrangement.arrange(arrangement.segments(docs.where("doc_id = 0")))[0].count() < 30_000
+    for d, found in rings_of(arrangement.union(docs)).items():
+        spots = np.stack(np.meshgrid(np.arange(-2, 84, 0.371) + 0.0137, np.arange(-2, 34, 0.371) + 0.0291), axis=-1).reshape(-1, 2)
+        assert ((winding(spots, found) != 0) == (winding(spots, rings + [box + [60, 0]] * d) != 0)).all()
