@@ -34,6 +34,45 @@ def relations(circles: DataFrame, lines: DataFrame, centre: float = 1.0, size: f
     return same_centre.withColumn("kind", F.lit("CONCENTRIC")).unionByName(same_size.withColumn("kind", F.lit("EQUAL_SIZE"))).unionByName(parallel.withColumn("kind", F.lit("PARALLEL"))).select("doc_id", "kind", "a", "b")
 
 
+def _chained(shapes: DataFrame, value: str, reach: float) -> DataFrame:
+    """doc_id, a, b: neighbours in the order of a value that lie within reach: they hang together as all such pairs do."""
+    order = Window.partitionBy("doc_id").orderBy(value, "shape_id")
+    near = shapes.select("doc_id", F.col("shape_id").alias("b"), F.lag("shape_id").over(order).alias("a"), F.lag(value).over(order).alias("was"), F.col(value).alias("now"))
+    return near.where(f"abs(was - now) <= {reach}").select("doc_id", "a", "b")
+
+
+def _bound_to_equals(shapes: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with the smallest shape that has them, and doc_id, a, b: that shape with every other one."""
+    firsts = shapes.groupBy("doc_id", *values).agg(F.min("shape_id").alias("first"))
+    same = shapes.join(firsts, ["doc_id", *values]).where("shape_id <> first").select("doc_id", F.col("first").alias("a"), F.col("shape_id").alias("b"))
+    return firsts.withColumnRenamed("first", "shape_id"), same
+
+
+def spanning_relations(circles: DataFrame, lines: DataFrame, centre: float = 1.0, size: float = 0.5, degrees: float = 2.0) -> DataFrame:
+    """doc_id, kind, a, b: relations that join the same groups as those of relations(), without the square of a crowd.
+
+    Sizes and directions are chained in order. Of equal centres one stands for all, and of the
+    different centres in a cell whose corners are within the tolerance the first is joined to
+    the others; different centres of neighbouring cells are compared.
+    """
+    round_ones = circles.where("cx IS NOT NULL AND cy IS NOT NULL AND radius IS NOT NULL").select("doc_id", "shape_id", "cx", "cy", "radius")
+    firsts, same = _bound_to_equals(round_ones.select("doc_id", "shape_id", "cx", "cy"), ["cx", "cy"])
+    cell = centre / 2
+    placed = cut(firsts.selectExpr("*", f"CAST(floor(cx / {cell}) AS BIGINT) AS gx", f"CAST(floor(cy / {cell}) AS BIGINT) AS gy"))
+    heads = placed.groupBy("doc_id", "gx", "gy").agg(F.min("shape_id").alias("head"))
+    inside = placed.join(heads, ["doc_id", "gx", "gy"]).where("shape_id <> head").select("doc_id", F.col("head").alias("a"), F.col("shape_id").alias("b"))
+    # Centres of cells two apart may be within reach; each pair of cells is looked at from its smaller one.
+    ways = F.expr("filter(flatten(transform(sequence(-2, 2), dx -> transform(sequence(-2, 2), dy -> named_struct('dx', dx, 'dy', dy)))), w -> w.dx > 0 OR (w.dx = 0 AND w.dy > 0))")
+    asked = placed.withColumn("w", F.explode(ways)).selectExpr("doc_id", "shape_id", "cx", "cy", "gx + w.dx AS gx", "gy + w.dy AS gy")
+    other = placed.selectExpr("doc_id", "gx", "gy", "shape_id AS b", "cx AS o_cx", "cy AS o_cy")
+    across = asked.join(other, ["doc_id", "gx", "gy"]).where(f"(cx - o_cx) * (cx - o_cx) + (cy - o_cy) * (cy - o_cy) <= {centre * centre}").select("doc_id", F.col("shape_id").alias("a"), "b")
+    concentric = same.unionByName(inside).unionByName(across)
+    equal = _chained(round_ones.select("doc_id", "shape_id", "radius"), "radius", size)
+    turned = lines.where("degrees IS NOT NULL").selectExpr("doc_id", "shape_id", "pmod(degrees, 180e0) AS turn")
+    parallel = _chained(turned.unionByName(turned.where(f"turn < {degrees}").withColumn("turn", F.col("turn") + 180)), "turn", degrees).where("a <> b")
+    return concentric.withColumn("kind", F.lit("CONCENTRIC")).unionByName(equal.withColumn("kind", F.lit("EQUAL_SIZE"))).unionByName(parallel.withColumn("kind", F.lit("PARALLEL"))).select("doc_id", "kind", "a", "b")
+
+
 def _settled(edges: DataFrame, kind: str) -> DataFrame:
     found = components(edges.where(F.col("kind") == kind), ["doc_id"], "a", "b")
     return found.select("doc_id", F.col("node").alias("shape_id"), F.col("component").alias("group"))
@@ -47,7 +86,7 @@ def couple(circles: DataFrame, lines: DataFrame, centre: float = 1.0, size: floa
     group that only hangs together by a chain, with members further from that mean than the
     tolerance, stays as it was. Shapes without a relation and with nulls stay as they were.
     """
-    edges = cut(relations(circles, lines, centre, size, degrees))
+    edges = cut(spanning_relations(circles, lines, centre, size, degrees))
     group = Window.partitionBy("doc_id", "group")
     weight = F.coalesce("weight", F.lit(1.0))
 

@@ -359,3 +359,28 @@ def test_union_of_a_pile(spark):
     for d, found in rings_of(arrangement.union(docs)).items():
         spots = np.stack(np.meshgrid(np.arange(-2, 84, 0.371) + 0.0137, np.arange(-2, 34, 0.371) + 0.0291), axis=-1).reshape(-1, 2)
         assert ((winding(spots, found) != 0) == (winding(spots, rings + [box + [60, 0]] * d) != 0)).all()
+
+
+def test_relations_span_the_same_groups(spark):
+    """A crowd of equal circles gives links in proportion to it, and scattered ones the groups of all their pairs."""
+    rng = np.random.default_rng(8)
+    some = [(0, i, *(float(v) for v in rng.uniform(0, 12, 2)), float(r), 1.0) for i, r in enumerate(rng.uniform(0, 60, 80))]
+    crowd = [(1, 1000 + i, 3.0, 4.0, 5.0, 1.0) for i in range(2000)]
+    circles = spark.createDataFrame(some + crowd, "doc_id long, shape_id long, cx double, cy double, radius double, weight double")
+    turns = [(0, i, float(t), 1.0) for i, t in enumerate(rng.uniform(0, 180, 60))]
+    lines = spark.createDataFrame(turns, "doc_id long, shape_id long, degrees double, weight double")
+
+    def groups(edges):
+        root = {}
+        find = lambda v: v if root.setdefault(v, v) == v else find(root[v])
+        for kind, a, b in edges:
+            root[find((kind, a))] = find((kind, b))
+        found = {}
+        for v in list(root):
+            found.setdefault(find(v), set()).add(v)
+        return {frozenset(g) for g in found.values() if len(g) > 1}
+
+    links = [tuple(r) for r in coupling.spanning_relations(circles, lines).select("kind", "a", "b", "doc_id").collect()]
+    assert sum(r[3] == 1 for r in links) < 3 * len(crowd)
+    pairs = coupling.relations(circles.where("doc_id = 0"), lines).select("kind", "a", "b").collect()
+    assert groups(r[:3] for r in links if r[3] == 0) == groups(tuple(r) for r in pairs)
