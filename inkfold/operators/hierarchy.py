@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.operators.copies import classes, firsts, for_all
 from inkfold.operators.graph import cut, step_levels
 
 _STRIP = 8
+_DOC = ("doc_id",)
 
 
 def _sides(outlines: DataFrame) -> DataFrame:
@@ -24,8 +26,15 @@ def ring_tree(outlines: DataFrame) -> DataFrame:
     and three quarters of its length; of several the smallest is its parent, ties by number.
     depth counts parents; role is OUTER at depth 0, then HOLE and ISLAND in turn. Rings of
     fewer than three points are left out. A probe meets only sides of its document in its
-    strip of y whose span it lies in.
+    strip of y whose span it lies in. Equal rings have no area more than each other, so they are
+    placed once.
     """
+    of = classes(outlines, _DOC)
+    return for_all(_tree(firsts(outlines, of, _DOC)), of, _DOC)
+
+
+def _tree(outlines: DataFrame) -> DataFrame:
+    """ring_tree of outlines that all differ."""
     sides = cut(_sides(outlines).where("n >= 3"))
     areas = sides.groupBy("doc_id", "ring_id").agg(F.abs(F.sum(F.expr("x * ny - nx * y")) / 2).alias("area"))
     quarter = F.expr("k IN (0, CAST(floor(n / 4) AS BIGINT), CAST(floor(n / 2) AS BIGINT), CAST(floor(3 * n / 4) AS BIGINT))")
@@ -43,22 +52,47 @@ def ring_tree(outlines: DataFrame) -> DataFrame:
     return tree.join(depths.select(F.col("plan_id").alias("doc_id"), F.col("step_id").alias("ring_id"), F.col("level").alias("depth")), ["doc_id", "ring_id"]).select("doc_id", "ring_id", F.round("area", 6).alias("area"), "parent", "depth", role.alias("role"))
 
 
-def ring_adjacency(outlines: DataFrame, reach: float = 2.5, least_points: int = 2) -> DataFrame:
-    """doc_id, ring_a, ring_b, shared: rings of a document of which the first has least_points or more points within reach of the second's; by grid cells."""
+def _near(outlines: DataFrame, reach: float, least_points: int, which: str) -> DataFrame:
+    """doc_id, ring_a, ring_b, shared of the pairs that a condition on ring_a and ring_b lets meet; by grid cells."""
     spots = outlines.selectExpr("doc_id", "ring_id", "pos", "x", "y", f"CAST(floor(x / {reach}) AS BIGINT) AS cx", f"CAST(floor(y / {reach}) AS BIGINT) AS cy")
     around = spots.withColumnsRenamed({"ring_id": "ring_a", "x": "ax", "y": "ay"}).selectExpr("doc_id", "ring_a", "pos", "ax", "ay", "cx", "explode(array(cy - 1, cy, cy + 1)) AS cy").selectExpr("doc_id", "ring_a", "pos", "ax", "ay", "explode(array(cx - 1, cx, cx + 1)) AS cx", "cy")
     other = spots.select("doc_id", F.col("ring_id").alias("ring_b"), "cx", "cy", "x", "y")
-    near = around.join(other, ["doc_id", "cx", "cy"]).where(f"ring_a < ring_b AND (ax - x) * (ax - x) + (ay - y) * (ay - y) < {reach * reach}")
+    near = around.join(other, ["doc_id", "cx", "cy"]).where(f"{which} AND (ax - x) * (ax - x) + (ay - y) * (ay - y) < {reach * reach}")
     return near.select("doc_id", "ring_a", "ring_b", "pos").distinct().groupBy("doc_id", "ring_a", "ring_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_points)
 
 
+def ring_adjacency(outlines: DataFrame, reach: float = 2.5, least_points: int = 2) -> DataFrame:
+    """doc_id, ring_a, ring_b, shared: rings of a document of which the first has least_points or more points within reach of the second's; by grid cells."""
+    return _near(outlines, reach, least_points, "ring_a < ring_b")
+
+
+def _adjacent(outlines: DataFrame, of: DataFrame, reach: float = 2.5, least_points: int = 2) -> DataFrame:
+    """doc_id, adjacent: how many pairs ring_adjacency has, from outlines that all differ and the rings of each.
+
+    Where only one of two has its points near the other, the pairs in which it has the smaller number are counted along the numbers of both.
+    """
+    found = cut(_near(outlines, reach, least_points, "true").select("doc_id", "ring_a", "ring_b"))
+    sizes = of.groupBy("doc_id", "first").agg(F.count("*").alias("m"))
+    one, two = (sizes.withColumnsRenamed({"first": f"ring_{c}", "m": f"m{c}"}) for c in "ab")
+    alone = found.where("ring_a = ring_b").join(one, ["doc_id", "ring_a"]).selectExpr("doc_id", "ma * (ma - 1) / 2 AS pairs")
+    back = found.selectExpr("doc_id", "ring_b AS ring_a", "ring_a AS ring_b")
+    mutual = found.join(back, ["doc_id", "ring_a", "ring_b"], "left_semi").where("ring_a < ring_b").join(one, ["doc_id", "ring_a"]).join(two, ["doc_id", "ring_b"]).selectExpr("doc_id", "ma * mb AS pairs")
+    single = found.where("ring_a <> ring_b").join(back, ["doc_id", "ring_a", "ring_b"], "left_anti")
+    ends = single.selectExpr("doc_id", "ring_a", "ring_b", "inline(array(named_struct('first', ring_a, 'from_a', 1L), named_struct('first', ring_b, 'from_a', 0L)))")
+    along = Window.partitionBy("doc_id", "ring_a", "ring_b").orderBy("ring_id").rowsBetween(Window.unboundedPreceding, 0)
+    passed = ends.join(of, ["doc_id", "first"]).select("doc_id", "from_a", F.sum("from_a").over(along).alias("pairs")).where("from_a = 0").select("doc_id", "pairs")
+    counts = alone.unionByName(mutual).unionByName(passed)
+    return counts.groupBy("doc_id").agg(F.sum("pairs").cast("long").alias("adjacent")).where("adjacent > 0")
+
+
 def topology_signature(outlines: DataFrame) -> DataFrame:
     """doc_id, components, holes, islands, max_depth, adjacent: counts that a redrawn document must keep."""
-    tree = ring_tree(outlines)
+    of = classes(outlines, _DOC)
+    shapes = cut(firsts(outlines, of, _DOC))
+    tree = for_all(_tree(shapes), of, _DOC)
     kind = lambda r: F.count(F.when(F.col("role") == r, 1))
     counts = tree.groupBy("doc_id").agg(F.count("*").alias("components"), kind("HOLE").alias("holes"), kind("ISLAND").alias("islands"), F.max("depth").alias("max_depth"))
-    pairs = ring_adjacency(outlines).groupBy("doc_id").agg(F.count("*").alias("adjacent"))
-    return counts.join(pairs, "doc_id", "left").withColumn("adjacent", F.coalesce("adjacent", F.lit(0).cast("long")))
+    return counts.join(_adjacent(shapes, of), "doc_id", "left").withColumn("adjacent", F.coalesce("adjacent", F.lit(0).cast("long")))
 
 
 def topology_invariants(approved: DataFrame, candidate: DataFrame) -> DataFrame:
