@@ -1,9 +1,11 @@
 """Equal outlines are computed once and told for all of them."""
 
+import threading
+
 import numpy as np
 import pytest
 
-from inkfold.operators import copies, curves, rings
+from inkfold.operators import copies, curves, hierarchy, rings
 
 RINGS = "ring_id long, pos long, n long, x double, y double"
 
@@ -35,3 +37,52 @@ def test_equal_pairs_are_measured_once(spark, measure, monkeypatch):
     assert seen == [6] and sorted(got) == list(range(59))  # three pairs of shapes, both ways
     alone = {r[0]: tuple(r)[-3:] for r in measure(rings=df.where("ring_id < 4")).collect()}
     assert all(got[k] == alone[k % 3] for k in got) and alone[1] != alone[0]
+
+
+def box(x: float, y: float, size: float) -> np.ndarray:
+    return np.array([[x, y], [x + size, y], [x + size, y + size], [x, y + size]], float)
+
+
+@pytest.mark.parametrize(("measure", "inner"), [(rings.point_in_ring, "inkfold.operators.rings._point_in_ring"), (curves.shared_edge_absorption, "inkfold.operators.curves._shared_edges")])
+def test_pairs_of_equal_rings_are_compared_once(spark, measure, inner, monkeypatch):
+    shapes = [box(0, 0, 40), box(10, 10, 10), box(0, 0, 10)]
+    few, many = repeated(spark, shapes, 2), repeated(spark, shapes, 12)
+    want = {}
+    for a, b, n in measure(rings=few).collect():
+        want.setdefault((a % 3, b % 3), set()).add(n)
+    module, name = inner.rsplit(".", 1)
+    plain, seen = getattr(__import__(module, fromlist=[name]), name), []
+    monkeypatch.setattr(inner, lambda rings: (seen.append(rings.select("ring_id").distinct().count()), plain(rings=rings))[1])
+    got = measure(rings=many).collect()
+    assert seen == [3] and len({r[:2] for r in map(tuple, got)}) == len(got)
+    ordered = measure is curves.shared_edge_absorption
+    numbers = range(36)
+    pairs = {(a, b) for a in numbers for b in numbers if (a < b if ordered else a != b) and ((a % 3, b % 3) in want or (ordered and (b % 3, a % 3) in want))}
+    assert {(r[0], r[1]) for r in got} == pairs and all({r[2]} in (want.get((r[0] % 3, r[1] % 3)), want.get((r[1] % 3, r[0] % 3))) for r in got)
+
+
+OUTLINES = "doc_id long, ring_id long, pos long, x double, y double"
+
+
+def test_trees_of_copies(spark):
+    times = 4000
+    shapes = spark.createDataFrame([(k, pos, float(x), float(y)) for k, p in enumerate((box(0, 0, 90), box(20, 20, 40), box(30, 30, 10))) for pos, (x, y) in enumerate(p)], "k long, pos long, x double, y double")
+    df = spark.range(times).crossJoin(shapes).selectExpr("CAST(1 AS BIGINT) AS doc_id", "3 * id + k AS ring_id", "pos", "x", "y")
+    timer = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    tree = hierarchy.ring_tree(df).selectExpr("ring_id % 3 AS kind", "parent", "depth", "role").groupBy("kind", "parent", "depth", "role").count().collect()
+    told = hierarchy.topology_signature(df).first()
+    timer.cancel()
+    assert sorted(tuple(r) for r in tree) == [(0, None, 0, "OUTER", times), (1, 0, 1, "HOLE", times), (2, 1, 2, "ISLAND", times)]
+    assert told["components"] == 3 * times and told["adjacent"] == 3 * times * (times - 1) // 2
+
+
+def test_adjacent_copies_are_counted_as_pairs(spark):
+    long = np.array([[0, 0], [30, 0], [30, 1], [0, 1]], float)
+    spot = np.array([[0, 0], [0.5, 0], [0.5, 0.5], [0, 9]], float)  # three of its points are near one of the long ring's, which has one near it or two
+    shapes = [long, spot, long + [40, 0], box(31, 0, 5)]
+    order = np.random.default_rng(4).permutation(40)
+    rows = [(1 + k % 2, int(n), pos, float(x), float(y)) for k, n in enumerate(order) for pos, (x, y) in enumerate(shapes[k % 4 if k % 2 else k // 2 % 4])]
+    df = spark.createDataFrame(rows, OUTLINES)
+    want = {r["doc_id"]: r["count"] for r in hierarchy.ring_adjacency(df).groupBy("doc_id").count().collect()}
+    assert {r["doc_id"]: r["adjacent"] for r in hierarchy.topology_signature(df).collect()} == want
