@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.operators.copies import classes, firsts, for_all
+from inkfold.operators.graph import cut
 from inkfold.operators.kernels import fit_circle, per_ring, smooth
+from inkfold.operators.selection import pareto_frontier
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -23,14 +26,12 @@ def bezier(control: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.outer(s**3, control[0]) + np.outer(3 * s * s * t, control[1]) + np.outer(3 * s * t * t, control[2]) + np.outer(t**3, control[3])
 
 
-def fit_tangent_cubic(points: np.ndarray, start: np.ndarray, stop: np.ndarray, tolerance: float, rounds: int = 24) -> tuple[np.ndarray, float, int]:
-    """Control points, largest error and its place: the cubic through both ends whose arms lie along the end tangents, least squares over arm lengths, parameters bettered by Newton steps."""
+def tangent_cubics(points: np.ndarray, start: np.ndarray, stop: np.ndarray, rounds: int = 24) -> Iterator[tuple[np.ndarray, float, int]]:
+    """Control points, largest error and its place, round by round: the cubic through both ends whose arms lie along the end tangents, least squares over arm lengths, parameters bettered by Newton steps."""
     first, last = points[0], points[-1]
     steps = np.hypot(*np.diff(points, axis=0).T)
     t = np.concatenate(([0.0], np.cumsum(steps))) / max(steps.sum(), 1e-12)
     chord = np.hypot(*(last - first))
-    best: tuple[np.ndarray, float, int] | None = None
-    last_off = np.inf
     for _ in range(rounds):
         s = 1 - t
         b1, b2 = 3 * s * s * t, 3 * s * t * t
@@ -47,19 +48,51 @@ def fit_tangent_cubic(points: np.ndarray, start: np.ndarray, stop: np.ndarray, t
         gap = bezier(control, t) - points
         off = np.hypot(*gap.T)
         at = int(off.argmax())
-        if best is None or off[at] < best[1]:
-            best = control, float(off[at]), at
-        if off[at] <= tolerance * 0.5 or off[at] > 0.97 * last_off or off[at] > 100 * tolerance:  # good, no longer better, or hopeless
-            break
-        last_off = off[at]
+        yield control, float(off[at]), at
         d1 = 3 * (np.outer(s * s, control[1] - control[0]) + 2 * np.outer(s * t, control[2] - control[1]) + np.outer(t * t, control[3] - control[2]))
         d2 = 6 * (np.outer(s, control[2] - 2 * control[1] + control[0]) + np.outer(t, control[3] - 2 * control[2] + control[1]))
         slope = (d1 * d1).sum(axis=1) + (gap * d2).sum(axis=1)
         t = np.clip(np.where(np.abs(slope) > 1e-12, t - (gap * d1).sum(axis=1) / np.where(np.abs(slope) > 1e-12, slope, 1), t), 0, 1)
         t[0], t[-1] = 0, 1
+
+
+def best_cubic(found: Iterable[tuple[np.ndarray, float, int]], tolerance: float) -> tuple[np.ndarray, float, int]:
+    """The best of the rounds up to the first that is good, no longer better, or hopeless."""
+    best: tuple[np.ndarray, float, int] | None = None
+    last_off = np.inf
+    for one in found:
+        off = one[1]
+        if best is None or off < best[1]:
+            best = one
+        if off <= tolerance * 0.5 or off > 0.97 * last_off or off > 100 * tolerance:
+            break
+        last_off = off
     return best
 
 
+def fit_tangent_cubic(points: np.ndarray, start: np.ndarray, stop: np.ndarray, tolerance: float, rounds: int = 24) -> tuple[np.ndarray, float, int]:
+    """Control points, largest error and its place of the tangent-bound cubic that is good enough for a tolerance."""
+    return best_cubic(tangent_cubics(points, start, stop, rounds), tolerance)
+
+
+class Rounds:
+    """Rounds of a fit, made as they are asked for and kept for the next tolerance."""
+
+    def __init__(self, found: Iterator[tuple[np.ndarray, float, int]]):
+        self.found, self.made = found, []
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, float, int]]:
+        k = 0
+        while True:
+            if k == len(self.made):
+                one = next(self.found, None)
+                if one is None:
+                    return
+                self.made.append(one)
+            yield self.made[k]
+            k += 1
+
+
 def corners_of(ring: np.ndarray, degrees: float) -> np.ndarray:
     """Places where the ring's direction turns by at least so much."""
     before, after = ring - np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0) - ring
@@ -77,12 +110,13 @@ def end_tangent(p: np.ndarray) -> np.ndarray:
     return slope if slope @ side > 0.9 else side
 
 
-def fit_ring(ring: np.ndarray, tolerance: float, corner_degrees: float = 38.0) -> list[tuple[int, int, np.ndarray, float, bool]]:
+def fit_ring(ring: np.ndarray, tolerance: float, corner_degrees: float = 38.0, kept: dict[tuple[int, int, int], Rounds] | None = None) -> list[tuple[int, int, np.ndarray, float, bool]]:
     """(first, last, control points, error, smooth start) of cubics round a closed ring; last may pass the ring's end.
 
     Runs between corners are split at the largest error until every cubic is within the
     tolerance; joints inside a run share a tangent. Then neighbours inside a run are merged,
     the pair with the smallest joint error first, while that error is within the tolerance.
+    kept holds rounds of fits from one tolerance to the next of the same ring.
     """
     keep = np.any(ring != np.roll(ring, 1, axis=0), axis=1)
     place = np.flatnonzero(keep)
@@ -107,12 +141,16 @@ def fit_ring(ring: np.ndarray, tolerance: float, corner_degrees: float = 38.0) -
                 tangent[i] = d if d.any() else _unit(run[i + 1] - run[i])
             return tangent[i]
 
-        def fit(i: int, j: int, run: np.ndarray = run, along: Callable = along) -> tuple[np.ndarray, float, int]:
+        def fit(i: int, j: int, run: np.ndarray = run, along: Callable = along, k: int = k) -> tuple[np.ndarray, float, int]:
             p = run[i : j + 1]
             if j - i == 1:
                 third = np.hypot(*(p[1] - p[0])) / 3
                 return np.stack([p[0], p[0] + third * along(i), p[1] - third * along(j), p[1]]), 0.0, 0
-            return fit_tangent_cubic(p, along(i), -along(j), tolerance)
+            if kept is None:
+                return fit_tangent_cubic(p, along(i), -along(j), tolerance)
+            if (k, i, j) not in kept:
+                kept[k, i, j] = Rounds(tangent_cubics(p, along(i), -along(j)))
+            return best_cubic(kept[k, i, j], tolerance)
 
         parts, todo = [], [(0, len(run) - 1)]
         while todo:
@@ -238,9 +276,10 @@ def fit_trials(rings: DataFrame, tolerances: tuple[float, ...] = (0.25, 0.5, 1.0
 
     def run(ring: int, points: np.ndarray) -> list[tuple]:
         out = []
+        lines = {s: (smooth(points, s) if s and len(points) > 2 else points, {}) for s in sigmas}
         for k, (tolerance, sigma) in enumerate((t, s) for t in tolerances for s in sigmas):
-            smoothed = smooth(points, sigma) if sigma and len(points) > 2 else points
-            curves = fit_ring(smoothed, tolerance)
+            smoothed, kept = lines[sigma]
+            curves = fit_ring(smoothed, tolerance, kept=kept)
             moved = float(np.hypot(*(smoothed - points).T).max()) if len(points) else 0.0
             if curves:
                 out.append((ring, k, tolerance, sigma, round(max(c[3] for c in curves) + moved, 6), len(curves), 100 * sum(c[4] for c in curves) // len(curves)))
@@ -249,6 +288,13 @@ def fit_trials(rings: DataFrame, tolerances: tuple[float, ...] = (0.25, 0.5, 1.0
     return per_ring(rings, run, "case_id long, trial long, tolerance double, sigma double, error double, nodes long, editability long")
 
 
+def fit_frontier(rings: DataFrame) -> DataFrame:
+    """case_id, trial, error, nodes, editability: the trials of every ring that no other trial of it beats; equal rings are fitted once."""
+    of = classes(rings)
+    best = pareto_frontier(trials=cut(fit_trials(firsts(rings, of))))
+    return for_all(best, of, ring="case_id")
+
+
 _POWERS = [(i, j) for i in range(5) for j in range(5 - i)]
 
 

@@ -293,7 +293,7 @@ register("coupled_shapes", _coupled)
 register("cubic_fit", lambda spark, sf_dir: fitting.fit_curves(view(spark, sf_dir, "rings"), 4.0, sigma=2.0))
 register("outline_curves", lambda spark, sf_dir: fitting.fit_curves(view(spark, sf_dir, "round_outlines"), 0.2))
 register("interval_models", lambda spark, sf_dir: selection.best_model(model_errors=fitting.interval_models(view(spark, sf_dir, "round_outlines"))))
-register("fit_frontier", lambda spark, sf_dir: selection.pareto_frontier(trials=fitting.fit_trials(view(spark, sf_dir, "round_outlines"))))
+register("fit_frontier", lambda spark, sf_dir: fitting.fit_frontier(view(spark, sf_dir, "round_outlines")))
 register("ellipse_fit", lambda spark, sf_dir: fitting.ellipse_fit(view(spark, sf_dir, "rings")))
 for _name in ("vw_simplify", "validated_simplify"):
     register(_name, lambda spark, sf_dir, f=getattr(kernels, _name): f(view(spark, sf_dir, "rings")))

@@ -5,7 +5,7 @@ import threading
 import numpy as np
 import pytest
 
-from inkfold.operators import copies, curves, hierarchy, rings
+from inkfold.operators import copies, curves, fitting, hierarchy, kernels, rings, selection
 
 RINGS = "ring_id long, pos long, n long, x double, y double"
 
@@ -86,3 +86,29 @@ def test_adjacent_copies_are_counted_as_pairs(spark):
     df = spark.createDataFrame(rows, OUTLINES)
     want = {r["doc_id"]: r["count"] for r in hierarchy.ring_adjacency(df).groupBy("doc_id").count().collect()}
     assert {r["doc_id"]: r["adjacent"] for r in hierarchy.topology_signature(df).collect()} == want
+
+
+def test_frontier_fits_equal_rings_once(spark, monkeypatch):
+    df = repeated(spark, [outline(0, 24), outline(4, 7)], 10)
+    plain, seen = fitting.fit_trials, []
+    monkeypatch.setattr(fitting, "fit_trials", lambda r: (seen.append(r.select("ring_id").distinct().count()), plain(r))[1])
+    got = {}
+    for r in fitting.fit_frontier(df).collect():
+        got.setdefault(r["case_id"], set()).add(tuple(r)[1:])
+    assert seen == [2] and sorted(got) == list(range(20)) and all(got[k] == got[k % 2] for k in got)
+    want = selection.pareto_frontier(trials=plain(df.where("ring_id < 2"))).collect()
+    assert {(r[0], *tuple(r)[1:]) for r in want} == {(k, *rest) for k in (0, 1) for rest in got[k]}
+
+
+def test_fits_share_rounds_between_tolerances():
+    rng = np.random.default_rng(2)
+    ring = outline(6, 40) + rng.normal(0, 0.4, (40, 2))
+    kept: dict = {}
+    for tolerance in (0.25, 4.0, 1.0):
+        mine, alone = fitting.fit_ring(ring, tolerance, kept=kept), fitting.fit_ring(ring, tolerance)
+        assert [(a, b, c.tolist(), e, s) for a, b, c, e, s in mine] == [(a, b, c.tolist(), e, s) for a, b, c, e, s in alone]
+    assert kept
+
+
+def test_rings_are_dealt_to_all_tasks(spark):
+    assert kernels.circle_fit(repeated(spark, [outline(0)], 8)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
