@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +119,7 @@ def topology_invariants(approved: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def _offers(sources: DataFrame, targets: DataFrame, far: float) -> DataFrame:
-    """doc_id, a_id, b_id, iou, within, apart, ratio: compatible pairs near each other; they meet in the first cell that both reach."""
+    """doc_id, fill, a_id, b_id, iou, within, apart, ratio: compatible pairs near each other; they meet in the first cell that both reach."""
     cell = 128
     span = lambda low, high: f"explode(sequence(CAST(floor(({low}) / {cell}) AS BIGINT), CAST(floor(({high}) / {cell}) AS BIGINT)))"
 
@@ -127,31 +131,83 @@ def _offers(sources: DataFrame, targets: DataFrame, far: float) -> DataFrame:
     pairs = spread(sources, "a", far).join(spread(targets, "b", 0.0), ["doc_id", "fill", "cx", "cy"]).where("cx = greatest(a_fx, b_fx) AND cy = greatest(a_fy, b_fy)")
     shared = "greatest(0e0, least(a_x1, b_x1) - greatest(a_x0, b_x0)) * greatest(0e0, least(a_y1, b_y1) - greatest(a_y0, b_y0))"
     sized = pairs.selectExpr(
-        "doc_id", "a_id", "b_id", "(a_x1 - a_x0) * (a_y1 - a_y0) AS a_area", "(b_x1 - b_x0) * (b_y1 - b_y0) AS b_area", f"{shared} AS shared",
+        "doc_id", "fill", "a_id", "b_id", "(a_x1 - a_x0) * (a_y1 - a_y0) AS a_area", "(b_x1 - b_x0) * (b_y1 - b_y0) AS b_area", f"{shared} AS shared",
         "sqrt(power((a_x0 + a_x1 - b_x0 - b_x1) / 2, 2) + power((a_y0 + a_y1 - b_y0 - b_y1) / 2, 2)) AS gap",
     ).where("a_area > 0 AND b_area > 0")
-    told = sized.selectExpr("doc_id", "a_id", "b_id", "round(shared / (a_area + b_area - shared), 9) AS iou", "round(shared / a_area, 9) AS within", "round(gap, 9) AS apart", "round(b_area / greatest(1e0, a_area), 9) AS ratio")
+    told = sized.selectExpr("doc_id", "fill", "a_id", "b_id", "round(shared / (a_area + b_area - shared), 9) AS iou", "round(shared / a_area, 9) AS within", "round(gap, 9) AS apart", "round(b_area / greatest(1e0, a_area), 9) AS ratio")
     return told.where(f"iou > 0.05 OR within > 0.5 OR apart < {far}")
 
 
+def _equal_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct boxes with the smallest node of each, and doc_id, fill, first, node_id of all nodes."""
+    same = ["doc_id", "fill", "x0", "y0", "x1", "y1"]
+    kinds = cut(boxes.groupBy(*same).agg(F.min("node_id").alias("node_id")))
+    return kinds, boxes.select(*same, "node_id").join(kinds.withColumnRenamed("node_id", "first"), same).select("doc_id", "fill", "first", "node_id")
+
+
+def _take(level: list[tuple], left: tuple[dict, dict]) -> Iterator[tuple[int, int, tuple]]:
+    """Pairs of one rank: offers (a, b, ...) between boxes with nodes left; the smaller source goes first and takes the smallest target of all its boxes."""
+    ties: dict[int, list[tuple]] = {}
+    for offer in level:
+        ties.setdefault(offer[0], []).append(offer)
+    queue = [(left[0][a][-1], a) for a in ties if left[0][a]]
+    heapq.heapify(queue)
+    while queue:
+        node, a = heapq.heappop(queue)
+        open_ones = [(left[1][o[1]][-1], o) for o in ties[a] if left[1][o[1]]]
+        if open_ones:
+            target, offer = min(open_ones, key=lambda p: p[0])
+            left[0][a].pop()
+            left[1][offer[1]].pop()
+            yield node, target, offer
+            if left[0][a]:
+                heapq.heappush(queue, (left[0][a][-1], a))
+
+
+_MATCHES = "doc_id long, a_id long, b_id long, iou double, within double, apart double, ratio double"
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of documents and fills one after the other: the nodes of their boxes first, then offers by rank. The nodes are held, offers pass by."""
+    group, left, level, rank = None, ({}, {}), [], None
+    for batch in batches:
+        rows: list[tuple] = []
+        doc, fill, kind, a, b = (batch.column(k).to_pylist() for k in range(5))
+        iou, within, apart, ratio = (batch.column(k) for k in range(5, 9))
+        for k in range(batch.num_rows):
+            if group != (doc[k], fill[k]):
+                rows += [(group[0], m, n, *o[2:]) for m, n, o in _take(level, left)] if level else []
+                group, left, level, rank = (doc[k], fill[k]), ({}, {}), [], None
+            if kind[k] < 2:
+                left[kind[k]].setdefault(a[k], []).append(b[k])  # largest first
+            elif left[0][a[k]] and left[1][b[k]]:
+                offer = (a[k], b[k], iou[k].as_py(), within[k].as_py(), apart[k].as_py(), ratio[k].as_py())
+                if rank != (offer[2], offer[4]):
+                    rows += [(doc[k], m, n, *o[2:]) for m, n, o in _take(level, left)]
+                    level, rank = [], (offer[2], offer[4])
+                level.append(offer)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], [c.split()[0] for c in _MATCHES.split(", ")])
+    if level and (rows := [(group[0], m, n, *o[2:]) for m, n, o in _take(level, left)]):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], [c.split()[0] for c in _MATCHES.split(", ")])
+
+
 def match_components(sources: DataFrame, targets: DataFrame, far: float = 100.0, least_iou: float = 0.35, most_drift: float = 30.0, least_ratio: float = 0.4, most_ratio: float = 2.5) -> DataFrame:
     """doc_id, a_id, b_id, iou, apart, ratio, status: every source with at most one target, no target used twice.
 
     sources and targets(doc_id, node_id, fill, x0, y0, x1, y1) of one fill may match. Pairs rank by
-    overlap, then distance, then numbers, alike for both sides; in each round the pairs that
-    are the best left for both are taken, until none is left. That matching is the only
-    stable one, whatever the order of rows. Status: PRESERVED, MERGED (far larger target),
+    overlap, then distance, then numbers, alike for both sides, and are taken in that order where
+    both are left. That matching is the only stable one, whatever the order of rows. Equal boxes
+    are compared once; a task takes the offers of a document and fill by rank and holds its nodes. Status: PRESERVED, MERGED (far larger target),
     SHRUNK (far smaller) or LOST (no target near or alike enough, then b_id is null).
     """
-    left = cut(_offers(sources, targets, far))
-    order = [F.desc("iou"), "apart", "a_id", "b_id"]
-    taken = None
-    while left.limit(1).count():
-        ranked = left.withColumns({"ka": F.row_number().over(Window.partitionBy("doc_id", "a_id").orderBy(*order)), "kb": F.row_number().over(Window.partitionBy("doc_id", "b_id").orderBy(*order))})
-        mutual = cut(ranked.where("ka = 1 AND kb = 1").drop("ka", "kb"))
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        left = cut(left.join(mutual.select("doc_id", "a_id"), ["doc_id", "a_id"], "left_anti").join(mutual.select("doc_id", "b_id"), ["doc_id", "b_id"], "left_anti"))
-    taken = left if taken is None else taken
+    (kinds_a, nodes_a), (kinds_b, nodes_b) = _equal_boxes(sources), _equal_boxes(targets)
+    nothing = ["CAST(NULL AS DOUBLE) AS iou", "CAST(NULL AS DOUBLE) AS within", "CAST(NULL AS DOUBLE) AS apart", "CAST(NULL AS DOUBLE) AS ratio"]
+    stream = _offers(kinds_a, kinds_b, far).selectExpr("doc_id", "fill", "2 AS kind", "a_id AS a", "b_id AS b", "iou", "within", "apart", "ratio")
+    for kind, nodes in enumerate((nodes_a, nodes_b)):
+        stream = stream.unionByName(nodes.selectExpr("doc_id", "fill", f"{kind} AS kind", "first AS a", "node_id AS b", *nothing))
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = stream.repartition(tasks, "doc_id", "fill").sortWithinPartitions("doc_id", "fill", "kind", F.desc("iou"), "apart", "a", F.desc("b")).mapInArrow(_match, _MATCHES)
     alike = f"(iou >= {least_iou} OR within >= 0.7 OR (apart <= {most_drift} AND ratio >= {least_ratio}))"
     told = sources.selectExpr("doc_id", "node_id AS a_id").join(taken, ["doc_id", "a_id"], "left")
     status = f"CASE WHEN b_id IS NULL OR NOT {alike} THEN 'LOST' WHEN ratio > {most_ratio} THEN 'MERGED' WHEN ratio < {least_ratio} THEN 'SHRUNK' ELSE 'PRESERVED' END"

@@ -112,3 +112,35 @@ def test_fits_share_rounds_between_tolerances():
 
 def test_rings_are_dealt_to_all_tasks(spark):
     assert kernels.circle_fit(repeated(spark, [outline(0)], 8)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BOXES = "doc_id long, node_id long, fill string, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_matching_of_copies(spark):
+    copied = lambda start: spark.range(2000).selectExpr("CAST(1 AS BIGINT) AS doc_id", f"{start} + id AS node_id", "'r' AS fill", "0e0 AS x0", "0e0 AS y0", "10e0 AS x1", "10e0 AS y1")
+    timer = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    got = hierarchy.match_components(copied(0), copied(5000)).collect()
+    timer.cancel()
+    assert {(r["a_id"], r["b_id"], r["status"]) for r in got} == {(k, 5000 + k, "PRESERVED") for k in range(2000)}
+
+
+def test_matching_takes_pairs_in_order_of_rank(spark):
+    rng = np.random.default_rng(6)
+    made = lambda start: [(int(rng.integers(1, 3)), start + int(k), "rg"[int(rng.integers(2))], x, y, x + w, y + 10) for k in rng.permutation(60) for x, y, w in [map(float, (10 * rng.integers(0, 3), 10 * rng.integers(0, 2), 10 * rng.integers(1, 3)))]]
+    a, b = made(0), made(100)
+    offers = []
+    for p in a:
+        for q in b:
+            if p[0] == q[0] and p[2] == q[2]:
+                shared = max(0, min(p[5], q[5]) - max(p[3], q[3])) * max(0, min(p[6], q[6]) - max(p[4], q[4]))
+                iou = shared / ((p[5] - p[3]) * 10 + (q[5] - q[3]) * 10 - shared)
+                offers.append((-round(iou, 9), round(float(np.hypot(p[3] + p[5] - q[3] - q[5], p[4] + p[6] - q[4] - q[6]) / 2), 9), p[1], q[1]))
+    want, used = {}, set()
+    for _, _, m, n in sorted(offers):
+        if m not in want and n not in used:
+            want[m] = n
+            used.add(n)
+    got = hierarchy.match_components(spark.createDataFrame(a, BOXES), spark.createDataFrame(b, BOXES)).where("b_id IS NOT NULL").collect()
+    assert got and all(want[r["a_id"]] == r["b_id"] for r in got)
