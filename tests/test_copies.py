@@ -5,7 +5,7 @@ import threading
 import numpy as np
 import pytest
 
-from inkfold.operators import copies, curves, fitting, hierarchy, kernels, rings, selection
+from inkfold.operators import copies, curves, fitting, hierarchy, kernels, raster, rings, selection
 
 RINGS = "ring_id long, pos long, n long, x double, y double"
 
@@ -144,3 +144,12 @@ def test_matching_takes_pairs_in_order_of_rank(spark):
             used.add(n)
     got = hierarchy.match_components(spark.createDataFrame(a, BOXES), spark.createDataFrame(b, BOXES)).where("b_id IS NOT NULL").collect()
     assert got and all(want[r["a_id"]] == r["b_id"] for r in got)
+
+
+def test_underbase_of_copies(spark):
+    nodes = spark.range(60_000).selectExpr("id % 2 AS doc_id", "id AS node_id", "'vector_path' AS type", "true AS visible", "CAST(NULL AS BIGINT) AS parent_id", "0e0 AS x_mm", "0e0 AS y_mm", "200e0 AS w_mm", "200e0 AS h_mm", "(id % 4) / 4 AS opacity")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    got = sorted(map(tuple, raster.white_underbase(nodes=nodes).collect()))
+    timer.cancel()
+    assert got == [(0, 40_000, 40_000 * 128, 128), (1, 40_000, 40_000 * 191, 191)]
