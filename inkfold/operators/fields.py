@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import expressions as E
-from inkfold.operators.graph import components, cut, labelled_runs, pixel_components
+from inkfold.operators.graph import components, cut, few, labelled_runs, pixel_components
 
 _STEPS = "explode(array(named_struct('dx', 1, 'dy', 0), named_struct('dx', -1, 'dy', 0), named_struct('dx', 0, 'dy', 1), named_struct('dx', 0, 'dy', -1)))"
 
@@ -102,11 +102,14 @@ def remove_islands(labels: DataFrame, least_area: int = 12) -> DataFrame:
     """
     runs = cut(labelled_runs(labels))
     small = runs.groupBy("image_id", "component").agg(F.sum("n").alias("area")).where(F.col("area") < least_area).select("image_id", "component")
-    cells = runs.join(small, ["image_id", "component"]).select("image_id", "component", "y", "v", F.explode(F.sequence("x0", "x1")).alias("x"))
-    beside = cells.withColumn("s", F.expr(_STEPS)).select("image_id", "component", "v", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    small = few(cut(small))
+    cells = cut(runs.join(small, ["image_id", "component"]).select("image_id", "component", "y", "v", F.explode(F.sequence("x0", "x1")).alias("x")))
+    sent = few(cells)
+    beside = sent.withColumn("s", F.expr(_STEPS)).select("image_id", "component", "v", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
     around = beside.join(labels.select("image_id", "x", "y", "label"), ["image_id", "x", "y"]).where("label <> v").groupBy("image_id", "component", "label").count()
     owner = around.groupBy("image_id", "component").agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("owner"))
-    given = cells.join(owner, ["image_id", "component"], "left").select("image_id", "x", "y", "owner", F.lit(True).alias("island"))
+    given = sent.join(owner, ["image_id", "component"], "left").select("image_id", "x", "y", "owner", F.lit(True).alias("island"))
+    given = given if sent is cells else given.hint("merge")
     return labels.join(given, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("owner", "label").alias("label"), F.coalesce("island", F.lit(False)).alias("island"))
 
 
@@ -117,7 +120,7 @@ def bridged_components(labels: DataFrame, gap: float = 2.0, cell: int = 32) -> D
     cell they share; the joined boxes' components are then contracted once more. logical
     numbers the components of an image by their first part (top, then left).
     """
-    parts = cut(pixel_components(labels))
+    parts = few(cut(pixel_components(labels)))
     reach = int(-(-gap // 1)) + 1
     span = lambda low, high: f"explode(sequence(CAST(floor(({low}) / {cell}) AS BIGINT), CAST(floor(({high}) / {cell}) AS BIGINT)))"
     lines = parts.selectExpr("*", span(f"min_x - {reach}", "max_x") + " AS cx")
