@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkfold.operators import arrangement, clustering, contours, coupling, fields, fitting, hierarchy, kernels, planar, reassignment, selection
+from inkfold.operators.graph import cut
 from inkfold.plans.registry import register
 from inkfold.plans.views import oracle, view
 from inkfold.sources import svg
@@ -125,9 +126,17 @@ field AS (
 SELECT p.image_id, p.x, p.y, CASE WHEN coalesce(f.gap <= 0.5, false) THEN NULL ELSE f.component END AS component, CASE WHEN coalesce(f.gap <= 0.5, false) THEN NULL ELSE c.proto_id END AS proto_id, CAST(f.wave AS BIGINT) AS wave, coalesce(f.gap <= 0.5, false) AS ambiguous
 FROM px p LEFT JOIN field f ON f.image_id = p.image_id AND f.x = p.x AND f.y = p.y LEFT JOIN colours c ON c.image_id = f.image_id AND c.component = f.component"""
 _OK = dict(zip("lab", fields.E.oklab("r", "g", "b"), strict=True))
+
+
+def _field(spark, sf_dir):
+    """The mosaic is made once for its regions, edges and prototypes too."""
+    held = {"mosaic": cut(view(spark, sf_dir, "mosaic"))}
+    return fields.prototype_field(*(view(spark, sf_dir, n, held) for n in ("mosaic", "mosaic_regions", "mosaic_edges", "mosaic_prototypes")))
+
+
 register(
     "prototype_field",
-    lambda spark, sf_dir: fields.prototype_field(*(view(spark, sf_dir, n) for n in ("mosaic", "mosaic_regions", "mosaic_edges", "mosaic_prototypes"))),
+    _field,
     oracle(_FIELD.format(**_OK), ["mosaic", "mosaic_regions", "mosaic_edges", "mosaic_prototypes"], recursive=True),
 )
 

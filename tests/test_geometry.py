@@ -384,3 +384,35 @@ def test_relations_span_the_same_groups(spark):
     assert sum(r[3] == 1 for r in links) < 3 * len(crowd)
     pairs = coupling.relations(circles.where("doc_id = 0"), lines).select("kind", "a", "b").collect()
     assert groups(r[:3] for r in links if r[3] == 0) == groups(tuple(r) for r in pairs)
+
+
+def _field_of(spark, label):
+    """The field over a map of labels 0 to 3, 1 and 2 seeds of two prototypes, 0 beside 1 strongly."""
+    colour = {0: (128, 128, 128), 1: (250, 20, 20), 2: (20, 20, 250), 3: (60, 200, 60)}
+    pixels = [(0, x, y, *colour[int(v)], int(v)) for (y, x), v in np.ndenumerate(label) if v >= 0]
+    df = spark.createDataFrame(pixels, "image_id long, x long, y long, r long, g long, b long, label long")
+    regions = spark.createDataFrame([(0, 1, 0.6, 0.2, 0.1, True), (0, 2, 0.4, 0.0, -0.3, True), (0, 0, 0.5, 0.0, 0.0, False), (0, 3, 0.7, -0.2, 0.1, False)], "image_id long, label long, ok_l double, ok_a double, ok_b double, structural boolean")
+    edges = spark.createDataFrame([(0, 0, 1, 0.9), (0, 0, 2, 0.2)], "image_id long, region_a long, region_b long, avg_strength double")
+    prototypes = spark.createDataFrame([(7, 0.6, 0.2, 0.1), (8, 0.4, 0.0, -0.3)], "proto_id long, ok_l double, ok_a double, ok_b double")
+    return sorted(map(str, fields.prototype_field(df, regions, edges, prototypes).collect()))
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_field_of_many_tiles_is_that_of_one(spark, inside, monkeypatch):
+    rng = np.random.default_rng(5)
+    label = np.where(rng.random((11, 17)) < 0.2, 3, 0)
+    label[rng.random(label.shape) < 0.1] = -1  # no pixel there
+    label[2:5, 3:6], label[6:10, 12:16] = 1, 2
+    if not inside:  # components of no pixel with four neighbours: their first one seeds
+        label[2:10, 3:16:2] = 0
+    whole = _field_of(spark, label)
+    monkeypatch.setattr(fields, "_TILE", 6)
+    assert _field_of(spark, label) == whole and len({r.split("wave=")[1] for r in whole}) > 8
+
+
+def test_field_writes_no_table_a_wave(spark, monkeypatch):
+    label = np.zeros((2, 40), int)
+    label[:, :3] = 1
+    written, plain = [], fields.cut
+    monkeypatch.setattr(fields, "cut", lambda df: (written.append(df), plain(df))[1])
+    assert any("wave=37" in r for r in _field_of(spark, label)) and len(written) < 10
