@@ -1,12 +1,17 @@
-"""Path language to polylines: cursor, curves and arcs, one path a group."""
+"""Path language to polylines: cursor, curves and arcs, one path of a streamed partition at a time."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def _area(ring: np.ndarray) -> float:
@@ -104,17 +109,39 @@ def flatten(commands: list[tuple[str, list[float]]], tolerance: float = 0.05) ->
     return [np.array(s) for s in out]
 
 
+_MOST = 20_000  # rows of a batch that is passed on
+
+
+def _per_path(commands: DataFrame, columns: list[str], run: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """run(svg_id, path_no, commands, further columns of the first of them), as rows of a schema; paths stream through sorted partitions, one at a time."""
+    fields = StructType.fromDDL(schema)
+    types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (svg_id, path_no), path in groupby(held, key=itemgetter(0, 1)):
+            first = next(path)
+            rows += run(svg_id, path_no, [(first[2], first[3]), *((r[2], r[3]) for r in path)], *first[4:])
+            if len(rows) >= _MOST:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
+
+    # As many tasks as a shuffle has: without a number, small tables are put into one task, whatever a path costs.
+    tasks = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = commands.repartition(tasks, "svg_id", "path_no").sortWithinPartitions("svg_id", "path_no", "pos")
+    return dealt.select("svg_id", "path_no", "cmd", "args", *columns).mapInArrow(stream, schema)
+
+
 def flatten_paths(commands: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """svg_id, path_no, subpath, points, length, area of the polylines of path commands (svg_id, path_no, pos, cmd, args)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = []
-        for k, s in enumerate(flatten([(c, list(a)) for c, a in zip(pdf["cmd"], pdf["args"], strict=True)], tolerance)):
-            rows.append([pdf["svg_id"].iloc[0], pdf["path_no"].iloc[0], k, len(s), float(np.hypot(*np.diff(s, axis=0).T).sum()) if len(s) > 1 else 0.0, abs(_area(s))])
-        return pd.DataFrame(rows, columns=["svg_id", "path_no", "subpath", "points", "length", "area"])
+    def run(svg_id: int, path_no: int, path: list[tuple[str, list[float]]]) -> list[tuple]:
+        return [(svg_id, path_no, k, len(s), float(np.hypot(*np.diff(s, axis=0).T).sum()) if len(s) > 1 else 0.0, abs(_area(s))) for k, s in enumerate(flatten(path, tolerance))]
 
-    return commands.groupBy("svg_id", "path_no").applyInPandas(run, "svg_id long, path_no long, subpath long, points long, length double, area double")
+    return _per_path(commands, [], run, "svg_id long, path_no long, subpath long, points long, length double, area double")
 
 
 def artboard_outlines(commands: DataFrame, placed: DataFrame, tolerance_mm: float = 0.05) -> DataFrame:
@@ -127,16 +154,14 @@ def artboard_outlines(commands: DataFrame, placed: DataFrame, tolerance_mm: floa
     """
     spots = placed.where("vb_w > 0 AND vb_h > 0 AND w_mm > 0 AND h_mm > 0").selectExpr("svg_id", "x_mm", "y_mm", "vb_x", "vb_y", "w_mm / vb_w AS sx", "h_mm / vb_h AS sy")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        first = pdf.iloc[0]
+    def run(svg_id: int, path_no: int, path: list[tuple[str, list[float]]], x_mm: float, y_mm: float, vb_x: float, vb_y: float, sx: float, sy: float) -> list[tuple]:
         rows = []
-        lines = flatten([(c, list(a)) for c, a in zip(pdf["cmd"], pdf["args"], strict=True)], tolerance_mm / max(first["sx"], first["sy"]))
-        for k, line in enumerate(lines):
+        for k, line in enumerate(flatten(path, tolerance_mm / max(sx, sy))):
             line = line[np.any(line != np.roll(line, -1, axis=0), axis=1)]
             if len(line) >= 3:
-                xy = (line - [first["vb_x"], first["vb_y"]]) * [first["sx"], first["sy"]] + [first["x_mm"], first["y_mm"]]
-                rows += [(first["svg_id"], first["path_no"], k, p, x, y) for p, (x, y) in enumerate(xy.tolist())]
-        return pd.DataFrame(rows, columns=["svg_id", "path_no", "subpath", "pos", "x", "y"])
+                xy = (line - [vb_x, vb_y]) * [sx, sy] + [x_mm, y_mm]
+                rows += [(svg_id, path_no, k, p, x, y) for p, (x, y) in enumerate(xy.tolist())]
+        return rows
 
-    return commands.join(spots, "svg_id").groupBy("svg_id", "path_no").applyInPandas(run, "svg_id long, path_no long, subpath long, pos long, x double, y double")
+    columns = ["x_mm", "y_mm", "vb_x", "vb_y", "sx", "sy"]
+    return _per_path(commands.join(spots, "svg_id"), columns, run, "svg_id long, path_no long, subpath long, pos long, x double, y double")

@@ -335,10 +335,11 @@ register("rdp_simplify", lambda spark, sf_dir: kernels.rdp_simplify(view(spark,
 
 def _artboard(spark, sf_dir):
     """Subpath areas of the first path of every file, its view box laid out at twice its size."""
-    files = view(spark, sf_dir, "svgs").withColumnRenamed("case_id", "svg_id")
+    # Texts are dealt to all tasks before they are read, as the table they come from may be one small file; outlines are made once for both sums.
+    files = view(spark, sf_dir, "svgs").selectExpr("case_id AS svg_id", "svg").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "svg_id")
     nodes = view(spark, sf_dir, "nodes").where("type = 'vector_path'")
     placed = nodes.selectExpr("node_id AS svg_id", "x_mm", "y_mm", "2 * w_mm AS w_mm", "2 * h_mm AS h_mm", "0e0 AS vb_x", "0e0 AS vb_y", "floor(w_mm) AS vb_w", "floor(h_mm) AS vb_h")
-    points = contours.artboard_outlines(svg.path_commands(svg.read_paths(files)), placed).where("path_no = 0")
+    points = cut(contours.artboard_outlines(svg.path_commands(svg.read_paths(files)), placed).where("path_no = 0"))
     areas = arrangement.ring_areas(points.selectExpr("svg_id AS doc_id", "subpath AS ring_id", "pos", "x", "y"))
     low = points.groupBy("svg_id", "subpath").agg(planar.F.min("x").alias("min_x"), planar.F.max("y").alias("max_y"))
     return areas.selectExpr("doc_id AS svg_id", "ring_id AS subpath", "points", "area_mm2").join(low, ["svg_id", "subpath"])

@@ -46,3 +46,18 @@ def test_palette_reaches_colours_below_thousands_of_shades(spark):
     far = [(255, 0, 0, 3), (0, 255, 0, 2), (0, 0, 255, 1)]
     got = kernels.diverse_palette(spark.createDataFrame(shades + far, "r int, g int, b int, n long")).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(k, *c) for k, c in enumerate([shades[0], *far])]
+
+
+def test_paths_stream_and_are_dealt_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(contours, "_MOST", 3)  # rows are passed on in many batches
+    files = spark.range(300).selectExpr("id AS svg_id", "'<path d=\"M0 0H4V3L0 3Z M1 1Q2 5 3 1Z\"/>' AS svg")
+    placed = files.selectExpr("svg_id", "0e0 AS x_mm", "0e0 AS y_mm", "2e0 AS w_mm", "2e0 AS h_mm", "0e0 AS vb_x", "0e0 AS vb_y", "1e0 AS vb_w", "1e0 AS vb_h")
+    made = contours.artboard_outlines(svg.path_commands(svg.read_paths(files)), placed)
+    assert made.rdd.getNumPartitions() == 4  # a small table is not put into one task
+    found = {}
+    for r in made.collect():
+        found.setdefault((r["svg_id"], r["subpath"]), []).append((r["pos"], r["x"], r["y"]))
+    assert len(found) == 600 and all(sorted(found[(k, s)]) == sorted(found[(0, s)]) for k in range(300) for s in (0, 1))
+    assert [p[1:] for p in sorted(found[(7, 0)])] == [(0.0, 0.0), (8.0, 0.0), (8.0, 6.0), (0.0, 6.0)] and len(found[(7, 1)]) > 5
+    flat = contours.flatten_paths(svg.path_commands(svg.read_paths(files)))
+    assert flat.rdd.getNumPartitions() == 4 and {tuple(r)[2:4] for r in flat.where("subpath = 0").collect()} == {(0, 5)}
