@@ -103,3 +103,20 @@ def test_issue_codes_and_their_order(spark):
     assert {("CRITICAL_LOW_DPI", 30), ("LOW_DPI", 31), ("OUT_OF_BOUNDS", 31), ("RGB_RASTER", 30)} <= set(found)
     order = ["AUTO_FIXABLE", "REQUIRES_CONFIRMATION", "MANUAL", "INFORMATIONAL"]
     assert [order.index(r["fix_class"]) for r in got] == sorted(order.index(r["fix_class"]) for r in got)
+
+
+def test_sides_meet_once_with_and_without_strips(spark, monkeypatch):
+    """Tall zigzags with missing points: in one strip, in many, and as one side after another."""
+    rows = [r for k in (1, 2) for r in outline(k, [((i * 37) % 101, (i * i * 29) % 97) for i in range(40 * k)], True)]
+    rows[5] = (*rows[5][:7], None)
+    frame = spark.createDataFrame(rows, POINTS)
+    whole = sorted(map(str, prepress.cut_integrity(cut_rings=frame).collect()))
+    monkeypatch.setattr(prepress, "_FEW_SIDES", 50)
+    assert sorted(map(str, prepress.Operator(prepress._integrity("cut_rings"))(cut_rings=frame).collect())) == whole and "crossings=0" not in " ".join(whole)
+
+
+def test_contour_checks_are_dealt_to_all_tasks(spark):
+    frame = spark.createDataFrame(CASES[1][0] + CASES[2][0], POINTS)
+    assert prepress.Operator("SELECT /*deal doc_id, node_id*/ * FROM {cut_rings}")(cut_rings=frame).rdd.getNumPartitions() == 4
+    plan = prepress.cut_integrity(cut_rings=frame)._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2  # small tables are not put into one task, whatever pairs they make
