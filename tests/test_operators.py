@@ -132,3 +132,35 @@ def test_tracing_finds_outlines_and_holes(spark):
     cells = grid(spark, "##### / #...# / #...# / #####")
     rows = sorted((r["is_hole"], r["area"], r["points"]) for r in planar.trace_rings(cells).collect())
     assert rows == [(False, 20.0, 18), (True, 6.0, 10)]
+
+
+def _simplified(ring):
+    """The rule of path_simplify, point by point."""
+    far = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+    one = [p for k, p in enumerate(ring) if far(p, ring[k - 1]) >= 0.0001]
+    kept = []
+    for k, c in enumerate(one):
+        p, q = one[k - 1], one[(k + 1) % len(one)]
+        v, u = (q[0] - p[0], q[1] - p[1]), (c[0] - p[0], c[1] - p[1])
+        size, dot = v[0] * v[0] + v[1] * v[1], u[0] * v[0] + u[1] * v[1]
+        if not (size > 0 and 0 < dot < size and abs(u[0] * v[1] - u[1] * v[0]) / size**0.5 <= 0.005):
+            kept.append(c)
+    return kept if len(kept) >= 3 else ring
+
+
+def test_paths_are_simplified_in_one_order(spark):
+    import random
+
+    from inkfold.operators import rings
+    from inkfold.plans.views import view
+
+    rng = random.Random(2)
+    shapes = [[(float(rng.randrange(4)), float(rng.randrange(3))) for _ in range(rng.choice([1, 2, 3, 6, 15]))] for _ in range(60)] + [[(2.0, 2.0)] * 4, [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]]
+    df = spark.createDataFrame([(k, pos, len(s), *p) for k, s in enumerate(shapes) for pos, p in enumerate(s)], "ring_id long, pos long, n long, x double, y double")
+    got = {}
+    for r in rings.path_simplify(rings=df).orderBy("ring_id", "pos").collect():
+        got.setdefault(r["ring_id"], []).append((r["pos"], r["x"], r["y"]))
+    assert got == {k: [(i, *p) for i, p in enumerate(_simplified(s))] for k, s in enumerate(shapes)}
+    # A task holds one sort of the events and one of the points, whatever windows there are.
+    plan = rings.path_simplify(rings=view(spark, "/root/testdata/sf0.001", "worn_rings"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1
