@@ -120,3 +120,13 @@ def test_contour_checks_are_dealt_to_all_tasks(spark):
     assert prepress.Operator("SELECT /*deal doc_id, node_id*/ * FROM {cut_rings}")(cut_rings=frame).rdd.getNumPartitions() == 4
     plan = prepress.cut_integrity(cut_rings=frame)._jdf.queryExecution().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2  # small tables are not put into one task, whatever pairs they make
+
+
+def test_issue_list_holds_what_it_reads_more_than_once(spark, monkeypatch):
+    from inkfold.operators import graph
+    from inkfold.plans import registry
+
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (written.append(df.columns), plain(df))[1])
+    rows = registry.queries()["prepress_issues"](spark, "/root/testdata/sf0.001").count()
+    assert rows > 0 and len(written) == 3 and "crossings" in written[2]
