@@ -292,10 +292,11 @@ register("colour_masks", lambda spark, sf_dir: clustering.colour_masks(view(spar
 
 def _coupled(spark, sf_dir):
     """Circles through the round outlines of a document, with near relations made exact."""
-    fits = kernels.circle_fit(view(spark, sf_dir, "round_outlines")).where("radius IS NOT NULL")
-    owned = view(spark, sf_dir, "art_outlines").groupBy("doc_id", "ring_id").agg(planar.F.count("*").cast("double").alias("weight"))
-    circles = fits.join(owned, "ring_id").selectExpr("doc_id", "ring_id AS shape_id", "cx", "cy", "radius", "weight")
-    return coupling.couple(circles, circles.selectExpr("doc_id", "shape_id", "CAST(NULL AS DOUBLE) AS degrees", "weight"))[0]
+    outlines = cut(view(spark, sf_dir, "art_outlines"))
+    fits = kernels.circle_fit(outlines).where("radius IS NOT NULL")
+    owned = outlines.groupBy("doc_id", "ring_id").agg(planar.F.count("*").cast("double").alias("weight"))
+    circles = cut(fits.join(owned, "ring_id").selectExpr("doc_id", "ring_id AS shape_id", "cx", "cy", "radius", "weight"))
+    return coupling.couple_circles(circles)
 
 
 register("coupled_shapes", _coupled)

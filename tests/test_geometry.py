@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkfold.operators import arrangement, chains, clustering, coupling, fields, fitting, hierarchy, kernels, planar, reassignment, selection
 from inkfold.sources import svg
@@ -242,6 +243,20 @@ def test_near_relations_become_exact_and_others_stay(spark):
     assert turn[13] == (45.0, None) and turn[16] == (None, None)
 
 
+def test_shapes_are_made_once_and_crowds_need_no_rounds(spark, monkeypatch):
+    """What makes the circles runs once, and of shapes that hang on one of them only links between different centres are followed."""
+    seen, followed = spark.sparkContext.accumulator(0), []
+    made = F.udf(lambda v: seen.add(1) or v, "double").asNondeterministic()
+    circles = spark.range(300).selectExpr("1L AS doc_id", "(id * 7) % 300 AS shape_id", "0.4e0 * (id % 2) AS cx", "0e0 AS cy", "10 + id / 4 AS r", "1e0 AS weight").repartition(4)
+    plain = coupling.components
+    monkeypatch.setattr(coupling, "components", lambda edges, keys, a, b: (followed.append(edges.count()), plain(edges, keys, a, b))[1])
+    lines = spark.createDataFrame([], "doc_id long, shape_id long, degrees double, weight double")
+    rounds, _ = coupling.couple(circles.select("doc_id", "shape_id", "cx", "cy", made("r").alias("radius"), "weight"), lines)
+    got = rounds.collect()
+    assert len(got) == 300 and {(round(r["cx"], 9), r["cy"], r["concentric"], r["equal_size"]) for r in got} == {(0.2, 0.0, 0, None)}
+    assert seen.value == 300 and followed[0] == 1 and sum(followed) <= 2
+
+
 def test_fragments_change_colour_but_not_the_covered_area(spark):
     box = np.array([[0, 0], [30, 0], [30, 30], [0, 30.0]])
     speck = np.array([[0, 0], [3, 0], [3, 3], [0, 3.0]])
