@@ -67,3 +67,21 @@ def test_points_without_a_place_and_a_crowd_of_copies(spark):
     df = spark.createDataFrame(rows, RINGS)
     assert {tuple(r) for r in rings.point_in_ring(rings=df).collect()} == {(p, r, 1) for p in range(200) for r in range(200) if p != r}
     assert {tuple(r) for r in curves.shared_edge_absorption(rings=df).collect()} == {(a, b, 9) for a in range(200) for b in range(a + 1, 200)}
+
+
+def test_ranges_of_points_and_arithmetic_agree(monkeypatch):
+    """Sides of all slopes and sizes, points on them and beside them."""
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        monkeypatch.setattr(pairs, "_PART", int(rng.integers(2, 60)))
+        monkeypatch.setattr(pairs, "_PARTS", int(rng.integers(1, 6)))
+        monkeypatch.setattr(pairs, "_TOLD", int(rng.integers(5, 200)))
+        scale = (1, 1, 1e-6, 1e7)[trial % 4]
+        qx, qy = rng.integers(0, 12, (2, int(rng.integers(1, 300)))) / (1 + trial % 2) * scale
+        lx, ly, nx, ny = rng.integers(0, 6, (4, 40)) * 1.0 * scale
+        if trial % 5 == 4:
+            nx = lx + rng.normal(0, 1e-12, 40) * scale  # hardly steep
+        lx, ly, nx, ny = (c[ly != ny] for c in (lx, ly, nx, ny))
+        want = sum(((ly[k] > qy) != (ny[k] > qy)) & (qx < (nx[k] - lx[k]) * (qy - ly[k]) / (ny[k] - ly[k]) + lx[k]) for k in range(len(lx)))
+        laid = pairs._Points(qx, qy, (lx, ly, nx, ny))
+        assert (laid.crossings(slice(0, len(lx))) == (want + np.zeros(len(qx), int))[laid.order]).all()
